@@ -1 +1,196 @@
-"""Near-duplicate detection by MinHash with tensored banding, links verified on full shingle sets."""
+"""Near-duplicate detection by MinHash with tensored banding, links verified on full shingle sets.
+
+Two small collections of GROUPS groups of two minhashes each stand in for GROUPS^2 tables: the key of table (i, j) joins group i of the
+first with group j of the second, four minhashes, though only 4 * GROUPS are computed. Two sets of Jaccard similarity 0.8 share no table
+with a chance of 2 * (1 - 0.8^2)^GROUPS, one in 100,000 with 12 groups, and less above. Table keys are only made of groups that another
+set shares, so sets without a relative cost 2 * GROUPS rows, not GROUPS^2.
+
+Equal sets are one node from the start. In each table's bucket the nodes are tied to the bucket's leader, the one first by a hash; ties
+whose signatures agree in under half of their places are dropped. The connected groups of ties hold the candidates: within a group all
+pairs are verified on full sets, a bounded block of documents against another in a task, each block pair giving at most a spanning
+forest of the links it finds. Groups of any size are handled whole: more blocks, no larger ones. Components of the links are the answer.
+
+Defined cases: null and empty text, or text of blanks, has no shingles and stays alone; fewer words than a shingle make one shingle;
+documents of equal sets are linked; repeated rows share their component, `keep_one` keeps one row of a doc_id; an empty table gives an
+empty result; other columns are ignored, `keep_one` returns them. Sets are compared by 64-bit hashes of their shingles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reelmark.llm.common import mixed, stored
+from reelmark.llm.shingles import shingle_sets
+
+WIDTH, PERCENT = 4, 80
+GROUPS = 12
+#: Places of the signatures that must agree for two documents to be tied: well below the 0.8 of a link.
+TIE_AGREEMENT = 0.5
+#: Documents in a block of candidates.
+BLOCK = 512
+
+_FACTORS = mixed(np.arange(1, 4 * GROUPS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """4 * GROUPS minhashes of 32 bits."""
+    least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint64)
+    for a in range(0, len(shingles), 4096):
+        least = np.minimum(least, ((shingles[a : a + 4096, None] * _FACTORS) >> np.uint64(32)).min(0))
+    return least.astype(np.uint32)
+
+
+def set_hash(shingles: np.ndarray) -> int:
+    """Equal sets have equal hashes."""
+    return int(mixed(mixed(shingles).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(shingles))).view(np.int64)[0])
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, node, minhashes); node and minhashes are null without shingles."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                sets = shingle_sets(part["text"], width)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["doc_id"],
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()),
+                        pa.array([signature(x).view(np.int32) if len(x) else None for x in sets], pa.list_(pa.int32())),
+                    ],
+                    ["doc_id", "n_shingles", "node", "minhashes"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, minhashes array<int>")
+
+
+def ties(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes that share a table's bucket with its leader b, and much of its signature. nodes: node, minhashes."""
+    at = lambda k: F.element_at("minhashes", k + 1)
+    keys = F.array(*[F.xxhash64(F.lit(k), at(2 * k), at(2 * k + 1)) for k in range(2 * GROUPS)])
+    groups = nodes.select("node", F.posexplode(keys).alias("group", "key"))
+    shared = groups.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
+    kept = groups.join(shared, "key", "left_semi")
+    side = lambda test: F.collect_list(F.when(test, F.col("key")))
+    pairs = kept.groupBy("node").agg(side(F.col("group") < GROUPS).alias("first"), side(F.col("group") >= GROUPS).alias("second"))
+    tables = stored(pairs.select("node", "second", F.explode("first").alias("i")).select("node", "i", F.explode("second").alias("j")).select("node", F.xxhash64("i", "j").alias("bucket")))
+    leaders = tables.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("leader"), F.min("node").alias("low"), F.max("node").alias("high"))
+    leaders = leaders.filter("low != high").select("bucket", F.col("leader.node").alias("b"))
+    tied = tables.join(leaders, "bucket").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    own, other = (nodes.select(F.col("node").alias(x), F.col("minhashes").alias(f"minhashes_{x}")) for x in "ab")
+    agree = F.aggregate(F.zip_with("minhashes_a", "minhashes_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return tied.join(own, "a").join(other, "b").filter(agree >= int(TIE_AGREEMENT * 4 * GROUPS)).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b), root the least node of its component. Alternates two steps, each cut off from
+    its lineage by a written table: every node hands its larger neighbours, then its smaller ones, to the least of them."""
+    stars = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    before = state(stars)
+    while before[0]:
+        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = larger.groupBy("u").agg(F.min("v").alias("m"))
+        smaller = larger.join(first, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = stored(smaller.union(first.select("u", F.col("m").alias("v"))).distinct())
+        if (now := state(stars)) == before:
+            break
+        before = now
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", F.col("v").alias("root")).distinct())
+
+
+def linked(sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets. first: true, false or both; if both, only links between the two kinds count."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    if n < 2:
+        return []
+    rows = np.repeat(np.arange(n), sizes)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    new = np.concatenate(([True], values[1:] != values[:-1]))
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1
+    rows, column = rows[common], column[common]
+    column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1 if len(column) else column
+    same = np.zeros((n, n), np.float32)
+    width = 4096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (a, a + width))
+        part = np.zeros((n, width), np.float32)
+        part[rows[lo:hi], column[lo:hi] - a] = 1
+        same += part @ part.T
+    link = 100 * same >= percent * (sizes[:, None] + sizes[None, :] - same)
+    if first.any() and not first.all():
+        link &= first[:, None] != first[None, :]
+    forest, fresh = [], np.ones(n, bool)
+    for start in range(n):
+        if fresh[start]:
+            fresh[start] = False
+            queue = [start]
+            while queue:
+                at = queue.pop()
+                found = np.flatnonzero(link[at] & fresh)
+                fresh[found] = False
+                forest += [(at, int(k)) for k in found]
+                queue += found.tolist()
+    return forest
+
+
+def links(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): enough verified links to connect what is linked. candidates: doc_id and node of each distinct set, and its group `root`."""
+    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = candidates.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select("doc_id", "node", "root", "blocks", "block"), "doc_id")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                sets = shingle_sets(part["text"], width)
+                own = np.array([bool(len(x)) and set_hash(x) == node for x, node in zip(sets, part["node"].to_pylist(), strict=True)], bool)
+                data = pa.array([x.tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.drop_columns(["text", "doc_id"]).columns, data], ["node", "root", "blocks", "block", "shingles"]).filter(pa.array(own))
+
+    built = texts.select("doc_id", "text", "node", "root", "blocks", "block").mapInArrow(build, "node long, root long, blocks int, block int, shingles binary")
+    dealt = built.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles")
+
+    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
+        forest = linked([np.frombuffer(x, np.uint64) for x in rows["shingles"]], (rows["block"] == key[1]).to_numpy(), percent)
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"a": [node[i] for i, _ in forest], "b": [node[k] for _, k in forest]}, dtype="int64")
+
+    return dealt.groupBy("root", "low", "high").applyInPandas(verify, "a long, b long")
+
+
+def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs: component_id is the least doc_id that links reach."""
+    signed = stored(signatures(docs, width))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("minhashes").alias("minhashes"))
+    groups = stored(components(ties(nodes.select("node", "minhashes"))))
+    candidates = stored(nodes.select("node", "doc_id").join(groups, "node"))
+    roots = components(stored(links(docs, candidates, width, percent)))
+    named = roots.join(candidates.select("node", "doc_id"), "node")
+    component = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    first = nodes.select("node", F.col("doc_id").alias("first_id")).join(component, "node", "left")
+    out = signed.select("doc_id", "n_shingles", "node").join(first, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "first_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stand for their component, with all columns."""
+    kept = near_groups(docs, width, percent).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import language_id, mixing, packing, quality
+from reelmark.llm import language_id, mixing, near_dedup, packing, quality
 from reelmark.llm.common import table
 
 #: Sources are numbered; every fourth belongs to one domain.
@@ -37,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.col("lang_accepted").alias("accepted"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +54,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op5_language_id": op5_language_id,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_pack": op8_pack,
 }
