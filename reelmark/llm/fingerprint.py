@@ -3,8 +3,8 @@
 Each paragraph (a line) is hashed to a wide vector and a document's fingerprint is the sum of its paragraphs' vectors: EXACT words modulo
 2^64, uniform, that tell equal multisets of paragraphs from others; and SKETCH lanes modulo 2^16, among which each word triple of the
 paragraph adds +1 or -1 to one, with a last lane counting the triples modulo 2^32. Sums don't depend on the order of paragraphs, and
-one is put in or taken out by adding or subtracting its vector. The squared length of the difference of two sketches estimates in how
-many triples the documents differ, so likeness = 1 - that / (sum of both counts), between 0 and 1.
+one is put in or taken out by adding or subtracting its vector. The squared length of a sketch estimates that of the document's
+counts of triples, so likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2), between 0 and 1.
 
 The text written into an edited document comes from the next one by falling doc_id. Rows are dealt to ranges of doc_id, and the first row
 of each range also goes to the one before, so the text moves once and each range is read in order as a stream.
@@ -27,6 +27,7 @@ from reelmark.llm.common import Hasher, mixed, runs, steps, text_bytes
 
 EXACT, SKETCH = 4, 128
 _K = np.uint64(0xD6E8FEB86659FD93)
+_SALTS = mixed(np.arange(1, EXACT + 1, dtype=np.uint64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -51,7 +52,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         owner = np.searchsorted(bounds, starts, "right") - 1
         hashes = hasher.hashes(starts, ends)
         for k in range(EXACT):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(hashes + np.uint64(k + 1) * _K))))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(hashes + _SALTS[k]))))
             at = np.searchsorted(owner, np.arange(m + 1))
             exact[first:last, k] = sums[at[1:]] - sums[at[:-1]]
         # Triples of words within a paragraph; shorter paragraphs count as one piece.
@@ -78,8 +79,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def likeness(one: tuple, other: tuple) -> np.ndarray:
-    difference = (one[1] - other[1]).view(np.int16).astype(np.int64)
-    apart, total = (difference * difference).sum(1), one[2] + other[2]
+    length = lambda lanes: np.square(lanes.view(np.int16).astype(np.int64)).sum(1)
+    apart, total = length(one[1] - other[1]), length(one[1]) + length(other[1])
     near = np.where(total > 0, 1 - apart / np.maximum(total, 1), 0.0)
     return np.where((one[0] == other[0]).all(1), 1.0, np.clip(near, 0.0, 1.0))
 

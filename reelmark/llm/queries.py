@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import language_id, mixing, near_dedup, packing, quality
+from reelmark.llm import chat_format, fingerprint, html_extract, language_id, mixing, near_dedup, packing, quality, url_filter
 from reelmark.llm.common import table
 
 #: Sources are numbered; every fourth belongs to one domain.
 DOMAIN = F.concat(F.lit("domain"), F.coalesce(F.pmod(F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("int"), F.lit(4)).cast("string"), F.lit("")))
 MIX_SEED, MIX_EPOCHS = "mix-1", 4
 TOKENIZER = "word_bpe_49k.json"
+PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
+URL_RULES = [
+    url_filter.ListedRule("block", "com", "/en/"),
+    url_filter.ListedRule("allow", "example.com", "/en/7"),
+    url_filter.ListedRule("allow", "net", "/de/"),
+    url_filter.ListedRule("block", "example.net", "/de/8"),
+    url_filter.ListedRule("block", "org", "/es/"),
+]
 
 
 def mix_weights() -> list[Column]:
@@ -31,6 +39,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", F.col("epoch").cast("long").alias("epoch"), F.col("leaf_budget").cast("long").alias("leaf_budget"))
 
 
+def op2_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE_TEXT), (-1, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(probe)))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), docs)
@@ -51,12 +69,24 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_extract_html": op2_extract_html,
+    "op3_format_chats": op3_format_chats,
     "op5_language_id": op5_language_id,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_pack": op8_pack,
+    "op9_filter_urls": op9_filter_urls,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 _SHARE = """
