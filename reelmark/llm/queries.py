@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import chat_format, fingerprint, html_extract, language_id, mixing, near_dedup, packing, quality, url_filter
+from reelmark.llm import chat_format, fingerprint, html_extract, language_id, media, mixing, near_dedup, packing, quality, url_filter
 from reelmark.llm.common import table
 
 #: Sources are numbered; every fourth belongs to one domain.
@@ -49,6 +49,10 @@ def op3_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(probe)))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(table(spark, sf_dir, "documents")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), docs)
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_extract_html": op2_extract_html,
     "op3_format_chats": op3_format_chats,
+    "op4_media": op4_media,
     "op5_language_id": op5_language_id,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
