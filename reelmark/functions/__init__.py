@@ -1,0 +1 @@
+"""Column functions: names and paths, codes, time, text."""
