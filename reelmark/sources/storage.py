@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder of sessions without spark.checkpoint.dir, made when first needed.
+_temporary: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a temporary one where that isn't set, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="reelmark-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        _temporary[:] = _temporary or [tempfile.mkdtemp(prefix="reelmark-")]
+        top = _temporary[0]
     return f"{top.rstrip('/')}/reelmark-{uuid.uuid4().hex}"
 
 
