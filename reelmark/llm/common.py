@@ -100,12 +100,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of sessions without spark.checkpoint.dir, made when first needed.
+_temporary: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that setting is absent, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="reelmark-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        _temporary[:] = _temporary or [tempfile.mkdtemp(prefix="reelmark-")]
+        top = _temporary[0]
     return f"{top.rstrip('/')}/reelmark-{uuid.uuid4().hex}"
 
 
