@@ -32,7 +32,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A part of the documents in the target weights of domain, language and source."""
-    return mixing.mix(docs, queries.DOMAIN, queries.mix_weights(), MIX_SHARE, 1, queries.MIX_SEED).select(*docs.columns)
+    return mixing.mix(docs, queries.mix_domain(), queries.mix_weights(), MIX_SHARE, 1, queries.MIX_SEED).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

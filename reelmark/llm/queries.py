@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from reelmark.llm import chat_format, fingerprint, html_extract, language_id, media, mixing, near_dedup, packing, quality, url_filter
 from reelmark.llm.common import table
 
-#: Sources are numbered; every fourth belongs to one domain.
-DOMAIN = F.concat(F.lit("domain"), F.coalesce(F.pmod(F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("int"), F.lit(4)).cast("string"), F.lit("")))
 MIX_SEED, MIX_EPOCHS = "mix-1", 4
 TOKENIZER = "word_bpe_49k.json"
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -25,6 +23,12 @@ URL_RULES = [
 ]
 
 
+def mix_domain() -> Column:
+    """Sources are numbered; every fourth belongs to one domain."""
+    number = F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("int")
+    return F.concat(F.lit("domain"), F.coalesce((number % 4).cast("string"), F.lit("")))
+
+
 def mix_weights() -> list[Column]:
     domain, lang, _ = (F.col(x) for x in mixing.LEVELS)
     return [
@@ -35,7 +39,7 @@ def mix_weights() -> list[Column]:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), DOMAIN, mix_weights(), 1.0, MIX_EPOCHS, MIX_SEED)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_domain(), mix_weights(), 1.0, MIX_EPOCHS, MIX_SEED)
     return mixed.select("doc_id", "domain", "lang", "source", F.col("epoch").cast("long").alias("epoch"), F.col("leaf_budget").cast("long").alias("leaf_budget"))
 
 
