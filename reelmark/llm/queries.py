@@ -140,4 +140,36 @@ SELECT doc_id, d AS domain, lang, source, cast(e AS BIGINT) AS epoch, budget AS
 FROM spots, range({MIX_EPOCHS}) t(e) WHERE e < full_epochs OR (e = full_epochs AND upto <= rest)"""
 )
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL}
+_RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
+_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
+_CASE = f"'{url_filter._UPPER}', '{url_filter._LOWER}'"
+URL_SQL = f"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), {_CASE}) AS host, regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path,
+    translate(concat(regexp_extract(coalesce(url, ''), '{_URL}', 2), regexp_extract(coalesce(url, ''), '{_URL}', 3)), {_CASE}) AS rest
+  FROM pages)
+, urls AS (
+  SELECT row_number() OVER () AS id, page_id, host, path, try_cast(regexp_extract(path, '/([0-9]{{1,18}})([^0-9]|$)', 1) AS BIGINT) AS doc_id,
+    list_distinct(list_concat(list_transform(regexp_extract_all(host, '[a-z0-9-]+'), lambda x: 'h:' || x),
+      list_transform(regexp_extract_all(rest, '[a-z0-9]+'), lambda x: 'p:' || regexp_replace(x, '^[0-9]+$', '#')))) AS tokens
+  FROM parts)
+, rated AS (SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id)
+, labelled AS (SELECT id, tokens, bad FROM urls JOIN rated USING (doc_id))
+, least AS (
+  SELECT count(*) AS n, ceil(greatest({url_filter.LEAST_SUPPORT}::DOUBLE, {url_filter.LEAST_COUNT} / count(*)) * count(*)) AS least FROM labelled)
+, items AS (SELECT id, bad, unnest(tokens) AS t FROM labelled)
+, sets AS (
+  SELECT [a.t] AS s, a.bad FROM items a
+  UNION ALL SELECT [a.t, b.t], a.bad FROM items a JOIN items b ON a.id = b.id AND a.t < b.t
+  UNION ALL SELECT [a.t, b.t, c.t], a.bad FROM items a JOIN items b ON a.id = b.id AND a.t < b.t JOIN items c ON a.id = c.id AND b.t < c.t)
+, mined AS (
+  SELECT s FROM sets, least WHERE n >= {url_filter.LEAST_COUNT} GROUP BY s, least
+  HAVING count(*) FILTER (bad) >= least AND count(*) FILTER (bad) / count(*) >= {url_filter.LEAST_CONFIDENCE}::DOUBLE)
+, fits AS (
+  SELECT id, arg_max(concat(r.host, r.path), length(r.host) + length(r.path)) AS rule, arg_max(r.verdict, length(r.host) + length(r.path)) AS verdict
+  FROM urls u JOIN (VALUES {_RULES}) r(verdict, host, path) ON (u.host = r.host OR ends_with(u.host, concat('.', r.host))) AND starts_with(u.path, r.path) GROUP BY id)
+SELECT u.page_id, u.host, u.path, f.rule,
+  coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM mined m WHERE list_has_all(u.tokens, m.s)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls u LEFT JOIN fits f USING (id)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_filter_urls": URL_SQL}
