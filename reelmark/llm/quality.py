@@ -103,27 +103,33 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def screen(numbers: np.ndarray, rows: np.ndarray, grades: np.ndarray, levels: int, bits: int, rarest: int = 8, least: float = 6.0) -> np.ndarray:
+def _occurrences(numbers: np.ndarray, offsets: np.ndarray, documents: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and the documents they stand in, some documents at a time, so that a large sample takes little memory beside itself."""
+    for first in range(0, len(offsets) - 1, documents):
+        ends = offsets[first : first + documents + 1]
+        yield numbers[ends[0] : ends[-1]], np.repeat(np.arange(first, first + len(ends) - 1), np.diff(ends))
+
+
+def screen(numbers: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int, bits: int, rarest: int = 8, least: float = 6.0) -> np.ndarray:
     """Features of at least `rarest` documents that shift the odds of passing some grade, among those that reached it, by `least` standard errors."""
     good = np.zeros(1 << bits, bool)
     for k in range(levels - 1):
-        reached = grades[rows] >= k
         share = np.clip(np.mean(grades[grades >= k] > k), 1e-4, 1 - 1e-4) if (grades >= k).any() else 0.5
-        n = np.bincount(numbers[reached], minlength=1 << bits)
-        passed = np.bincount(numbers[reached], grades[rows[reached]] > k, 1 << bits)
+        n, passed = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        for own, rows in _occurrences(numbers, offsets):
+            n += np.bincount(own[grades[rows] >= k], minlength=1 << bits).astype(np.int32)
+            passed += np.bincount(own[grades[rows] > k], minlength=1 << bits).astype(np.int32)
         good |= (n >= rarest) & (np.abs(passed - n * share) >= least * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
     return np.flatnonzero(good)
 
 
 def fit_ordinal(numbers: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int, bits: int = BITS, passes: int = 500, ridge: float = 0.002) -> OrdinalModel:
     """Maximum likelihood over the screened features with a ridge penalty, by Adam on the whole sample."""
-    rows = np.repeat(np.arange(len(grades)), np.diff(offsets))
-    used = screen(numbers, rows, grades, levels, bits)
-    slot = np.full(1 << bits, len(used), np.int64)
+    used = screen(numbers, offsets, grades, levels, bits)
+    slot = np.full(1 << bits, -1, np.int64)
     slot[used] = np.arange(len(used))
-    columns = slot[numbers]
-    kept = columns < len(used)
-    columns, rows = columns[kept], rows[kept]
+    kept = [(slot[own][slot[own] >= 0], rows[slot[own] >= 0]) for own, rows in _occurrences(numbers, offsets)]
+    columns, rows = (np.concatenate([x[k] for x in kept]) if kept else np.zeros(0, np.int64) for k in range(2))
     n = max(1, len(grades))
     w = np.zeros(len(used))
     share = np.array([np.clip(np.mean(grades > k), 1e-3, 1 - 1e-3) if len(grades) else 1 - 1e-3 for k in range(levels - 1)])
@@ -174,12 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
             lists = [numbers[a:b].astype(np.int32) for numbers, at in features(batch["text"], bits) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "grade", "numbers"])
 
-    rows = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(extract, "doc_id long, grade int, numbers binary").dropDuplicates(["doc_id"]).toPandas()
-    rows = rows.sort_values("doc_id", ignore_index=True)
-    lists = [np.frombuffer(x, np.int32) for x in rows["numbers"]]
+    rows = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(extract, "doc_id long, grade int, numbers binary").dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    grades, parts = rows["grade"].to_numpy().astype(np.int64)[order], rows["numbers"].take(pa.array(order)).combine_chunks() if len(order) else []
+    del rows
+    lists = [np.frombuffer(x.as_buffer(), np.int32) for x in parts]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    numbers = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-    return fit_ordinal(numbers, offsets, rows["grade"].to_numpy(np.int64), GRADES, bits)
+    return fit_ordinal(np.concatenate(lists) if lists else np.zeros(0, np.int32), offsets, grades, GRADES, bits)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT_PROBABILITY, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
