@@ -151,7 +151,8 @@ def links(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> D
     """(a, b): enough verified links to connect what is linked. candidates: doc_id and node of each distinct set, and its group `root`."""
     sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = candidates.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select("doc_id", "node", "root", "blocks", "block"), "doc_id")
+    # Shuffled at every size: the candidates grow with the documents, so they are never broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(placed.select("doc_id", "node", "root", "blocks", "block"), "doc_id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,4 +194,4 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stand for their component, with all columns."""
     kept = near_groups(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
