@@ -140,12 +140,34 @@ def profile_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", rules.size_bucket(width).alias("size"), title.alias("title"), age_text((F.col("o_orderkey") * F.col("o_orderkey") % 400000).cast("double")).alias("age"))
 
 
-_HEX = "0123456789abcdef"
+def comment_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as XML elements and their attributes read back by path."""
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    element = F.format_string("<chat thread='%d' no='%d' date='%d'>x</chat>", "conv_id", "turn", F.col("conv_id") * 60 + F.col("turn"))
+    read = lambda name: F.xpath_long(F.col("xml"), F.lit(f"/chat/@{name}"))
+    return turns.select(element.alias("xml")).select(read("thread").alias("thread"), read("no").alias("no"), read("date").alias("date"))
+
+
+def checked_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each customer whether all, none or some of its orders are urgent, and how much they come to in whole units."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    groups = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_and(urgent).alias("every"), F.bool_or(urgent).alias("any"), F.sum(F.floor("o_totalprice")).alias("total"))
+    return groups.select("o_custkey", F.when(F.col("every"), "all").when(F.col("any"), "mixed").otherwise("none").alias("checked"), "total")
+
+
+def disk_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of all destinations and of the folders in the settings, each once."""
+    roots = F.array(F.lit("C:\\"), F.lit("D:\\"), F.lit("E:\\"))
+    paths = table(spark, sf_dir, "orders").select(F.concat(F.element_at(roots, (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit("rec\\"), "o_orderstatus").alias("path"))
+    known = spark.createDataFrame([("D:\\work",), ("F:\\bin;G:\\out",)], "path string").select(F.explode(F.split("path", ";")).alias("path"))
+    return paths.union(known).select(F.regexp_extract("path", r"^([A-Z]:\\)", 1).alias("root")).distinct()
+
+
 _MD5_WORD = "(('0x' || substr(h, {a}, 2) || substr(h, {b}, 2) || substr(h, {c}, 2) || substr(h, {d}, 2))::BIGINT)"
 _FOLDED = "xor(xor({}, {}), xor({}, {}))".format(*[_MD5_WORD.format(a=8 * k + 7, b=8 * k + 5, c=8 * k + 3, d=8 * k + 1) for k in range(4)])
 _TAIL_RE = r"(-([0-9]+))?(_div([0-9]+))?(-cm)?(-nicojk-[0-9]+[ST])?(\..+)"
 
-QUERIES = {f.__name__: f for f in (hash_manifest, name_codes, path_parts, tail_class, time_slots, comment_merge, regex_log_extract, console_lines, section_text, set_ops, bit_masks, profile_routing)}
+QUERIES = {f.__name__: f for f in (hash_manifest, name_codes, path_parts, tail_class, time_slots, comment_merge, regex_log_extract, console_lines, section_text, set_ops, bit_masks, profile_routing, comment_attributes, checked_states, disk_roots)}
 
 
 def _section_sql() -> str:
@@ -198,6 +220,9 @@ UNION ALL SELECT 'bag', key % 10, count(*) FROM (SELECT o_orderkey AS key FROM o
     "bit_masks": """WITH o AS (SELECT o_orderkey, o_orderkey % 101 AS a, o_orderkey % 97 AS b, o_orderkey % 53 AS c FROM orders)
 SELECT o_orderkey, a * 65536 + b * 256 + c AS packed, (SELECT sum(CASE WHEN o_orderkey % (k + 2) = 0 THEN 2 ** k ELSE 0 END)::BIGINT FROM range(6) t(k)) AS mask, 1 AS groups, concat(a, '-', b, '-', c) AS first_group,
   concat('10.', o_orderkey % 256, '.15.255') AS broadcast, o_orderkey % 999 // 2 * 2 AS snap_start, (o_orderkey % 999 + o_orderkey % 77 + 1) // 2 * 2 - o_orderkey % 999 // 2 * 2 AS snap_length, concat(a, '/', b, '/', c) AS unpacked FROM o""",
+    "comment_attributes": "SELECT conv_id AS thread, turn AS no, conv_id * 60 + turn AS date FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL",
+    "checked_states": """SELECT o_custkey, CASE WHEN bool_and(o_orderpriority = '1-URGENT') THEN 'all' WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'mixed' ELSE 'none' END AS checked, sum(cast(floor(o_totalprice) AS BIGINT)) AS total FROM orders GROUP BY o_custkey""",
+    "disk_roots": """SELECT DISTINCT ['C:\\', 'D:\\', 'E:\\'][o_orderkey % 3 + 1] AS root FROM orders UNION SELECT unnest(['D:\\', 'F:\\', 'G:\\'])""",
     "profile_routing": """WITH o AS (SELECT *, o_orderkey % 2000 AS w, o_orderkey * o_orderkey % 400000 AS s FROM orders)
 SELECT o_orderkey, CASE WHEN w > 1440 THEN 'FullHD' WHEN w > 720 THEN 'HD1440' WHEN w > 320 THEN 'SD' ELSE 'OneSeg' END AS size,
   CASE WHEN o_orderkey % 4 <> 0 AND o_orderdate > TIMESTAMP '2000-01-01' THEN concat(strftime(o_orderdate, '%Y%m%d%H%M'), '_ev', o_custkey, ' _TV1.ts') END AS title,
