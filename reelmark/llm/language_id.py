@@ -32,6 +32,8 @@ from reelmark.llm.common import distinct, extended, steps, stored, text_bytes
 ORDER = 4
 FIT_DOCUMENTS = 2_500
 UNKNOWN = "und"
+#: A list of more languages is joined by shuffling, not broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: How sharply differences of entropy (bits a character) turn into the score, and the margin on the widest calibration excess.
 SHARPNESS, MARGIN = 8.0, 1.5
 #: Texts shorter than this may deviate more, as the square root of their length.
@@ -172,9 +174,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> KneserNey:
     """docs: doc_id, text, lang; only rows that are not held out and have a language are read. Gram counts and one figure for each calibration text come to the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    sample = stored(known.join(F.broadcast(sizes), "lang").filter(part * F.col("n") < fit_documents).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("calibrates")))
+    sample = stored(known.join(sizes, "lang").filter(part * F.col("n") < fit_documents).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("calibrates")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
