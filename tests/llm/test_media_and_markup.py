@@ -294,6 +294,16 @@ def test_articles_without_what_surrounds_them(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_frames_and_fragments():
+    read = lambda source: html_extract.content(html_extract.Page(source), set())
+    assert read('<body class="x"><div class="layout with-sidebar"><div class="sidebar">s</div><p>text</p></div>') == ["text"]
+    assert read("<main><p>in</main><p>out") == ["in"]
+    assert read("a < b <b>c</b> &am; &amp &#x41;") == ["a < b c &am; & A"]
+    assert read("<p>one<div>two</div>three</p>four") == ["one", "two", "three", "four"]
+    assert read("<table><tr><td>1<td>2<tr><td>3</table><!-- <p>no --><script>x") == ["1", "2", "3"]
+    assert read('<ul><li><a href="/">only</a> <a>links</a></ul><p>text with <a>one</a> link') == ["text with one link"]
+
+
 def test_copies_are_no_template():
     pages = [html_extract.Page(PAGE.format(k="same")) for _ in range(30)]
     assert html_extract.induce(pages) == [set()] * 30
