@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of numpy work takes; longer single texts are taken whole, alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))

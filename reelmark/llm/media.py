@@ -22,7 +22,7 @@ from reelmark.llm import webp
 from reelmark.llm.common import steps, text_bytes
 
 WIDTH, STRIP_ROWS = 192, 32
-ENCODE_BYTES, DECODE_BYTES = 1 << 20, 4 << 20
+ENCODE_BYTES, DECODE_BYTES = 1 << 20, 20 << 20
 
 
 def store(docs: DataFrame) -> DataFrame:

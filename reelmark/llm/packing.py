@@ -30,7 +30,7 @@ GROUP_DOCUMENTS = 50_000
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 _PLAIN = re.compile(r"([^\w\s']*)([a-z\xdf-\xf6\xf8-\xff]+)([^\w\s']*)")
 #: Entries that a worker remembers of each kind, in two halves; the older half is dropped as the younger one fills.
-_CACHED = 800_000
+_CACHED = 240_000
 _encoders: dict[str, Encoder] = {}
 
 
