@@ -181,6 +181,18 @@ def test_ids_equal_the_tokenizer():
         assert encode.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
 
 
+def test_ids_of_random_characters_equal_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHED", 200)  # so that pretokens are dropped and encoded again
+    encode = packing.encoder(public_tokenizers.path(queries.TOKENIZER))
+    rng = random.Random(5)
+    characters = [*map(chr, range(256)), *(["'s", "'ll", "'re", "'", " ", "a", "é", "<|", "|>", "\n", "1", "²"] * 8)]
+    plain = [c for c in characters if c not in packing._ODD]
+    for k in range(6000):
+        text = "".join(rng.choice(plain if k % 3 else characters) for _ in range(rng.randint(1, 40)))
+        ids = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(4)
     lengths = sorted((rng.randint(1, 64) for _ in range(400)), reverse=True)
