@@ -309,6 +309,22 @@ def test_copies_are_no_template():
     assert html_extract.induce(pages) == [set()] * 30
 
 
+def test_copies_in_other_frames_are_no_template():
+    page = "<nav>Menu {k}</nav><article>{text}</article><div class='ad-slot'>Buy {k}</div><footer>Foot {k}</footer>"
+    text = lambda *parts: "".join(f"<p>{x}</p>" for x in parts)
+    extracted = lambda sources: (lambda pages: [html_extract.content(p, t) for p, t in zip(pages, html_extract.induce(pages), strict=True)])([html_extract.Page(x) for x in sources])
+    long = [f"long {k}" for k in range(9)]
+    copies = [page.format(k=k, text=text(*long)) for k in range(5)]
+    assert extracted(copies) == [long] * 5
+    assert extracted(copies[:4] + [page.format(k=9, text=text("other"))]) == [long] * 4 + [["other"]]
+    # Beside shorter articles a long one's tail is reached by its own copies only; a near copy changes a word of it.
+    short = [[f"short {k}", f"end {k}"] for k in range(10)]
+    near = [[f"near {k}", *long[1:]] for k in range(4)]
+    assert extracted(copies + [page.format(k=f"s{k}", text=text(*x)) for k, x in enumerate(short + near)]) == [long] * 5 + short + near
+    # What different articles share still is.
+    assert extracted([page.format(k=k, text=text("Read more", *x)) for k, x in enumerate(short)]) == short
+
+
 def test_extraction_equals_the_documents(spark, small):
     docs = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = queries.op2_extract_html(spark, small).collect()
