@@ -6,7 +6,8 @@ down to a uniform one. The grams of all languages stand in one sorted array of 6
 language, and the discounts' weights in a sorted array of histories; texts are looked up in them by binary search.
 
 The language of least cross-entropy per character is predicted. A prediction is accepted if that entropy lies no further above the
-language's mean than any calibration document's does, with a margin and allowing for the spread of short texts.
+language's mean than those of nearly all calibration texts that are told as their language do, with a margin and allowing for the spread
+of short texts; a few outliers among these don't widen it.
 
 Models are fitted on about FIT_DOCUMENTS texts a language, chosen by a hash of doc_id (a parameter), a fifth of them for calibration;
 prediction reads every text whole.
@@ -34,8 +35,10 @@ FIT_DOCUMENTS = 2_500
 UNKNOWN = "und"
 #: A list of more languages is joined by shuffling, not broadcast.
 BROADCAST_LANGUAGES = 10_000
-#: How sharply differences of entropy (bits a character) turn into the score, and the margin on the widest calibration excess.
-SHARPNESS, MARGIN = 8.0, 1.5
+#: How sharply differences of entropy (bits a character) turn into the score.
+SHARPNESS = 8.0
+#: The calibration excess is that of this part of the texts, the least one at that; and the margin on it.
+CALIBRATION_SHARE, LEAST_EXCESS, MARGIN = 0.995, 4.0, 1.5
 #: Texts shorter than this may deviate more, as the square root of their length.
 STEADY_LENGTH = 400
 
@@ -203,6 +206,7 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> KneserNey:
             bits, sizes = sent.value.entropies(batch["text"])
             own = [sent.value.langs.index(x) if x in sent.value.langs else -1 for x in batch["lang"].to_pylist()]
             ok = (sizes > 0) & (np.array(own, int) >= 0)
+            ok[ok] = bits[ok].argmin(1) == np.array(own, int)[ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)[ok]), pa.array(bits[np.flatnonzero(ok), np.array(own, int)[ok]]), pa.array(sizes[ok])], ["lang", "bits", "n"])
 
     seen = sample.filter("calibrates").select("lang", "text").mapInArrow(measure, "lang long, bits double, n long").toPandas()
@@ -211,7 +215,8 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> KneserNey:
     for col in range(n_langs):
         if len(own := seen[seen["lang"] == col]):
             model.means[col] = np.average(own["bits"], weights=np.minimum(own["n"], STEADY_LENGTH))
-            model.excess[col] = MARGIN * max(((own["bits"] - model.means[col]) * np.sqrt(np.minimum(own["n"], STEADY_LENGTH))).max(), 10.0)
+            over = (own["bits"] - model.means[col]) * np.sqrt(np.minimum(own["n"], STEADY_LENGTH))
+            model.excess[col] = MARGIN * max(np.quantile(over, CALIBRATION_SHARE, method="lower"), LEAST_EXCESS)
     return model
 
 

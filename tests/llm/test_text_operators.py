@@ -98,6 +98,23 @@ def test_languages_are_told_apart(spark, small):
     assert np.mean([r.lang_accepted for r in got]) > 0.98
 
 
+def test_what_is_no_learned_language_is_rejected(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(5)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    # An outlier among each language's calibration texts: random letters under its label.
+    calibrating = spark.range(10**6, 10**6 + 1000).filter(~language_id.held_out(F.col("id")) & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)).limit(4).collect()
+    outliers = [(r.id, letters(100), lang) for r, lang in zip(calibrating, ("de", "en", "es", "fr"), strict=True)]
+    strange = [letters(n) for n in (4, 8, 20, 80, 300) for _ in range(4)] + [
+        "Kolme pientä porsasta rakensi talon metsän reunaan ja susi tuli puhaltamaan sen nurin kun talvi oli kylmä",
+        "Het was een koude dag in april en de klokken sloegen dertien toen hij door de glazen deuren van het gebouw liep",
+    ]
+    mixed = docs.unionByName(spark.createDataFrame(outliers, "doc_id long, text string, lang string"))
+    got = language_id.identify(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-k - 1, t) for k, t in enumerate(strange)], "doc_id long, text string")), mixed).collect()
+    assert not [r.text for r in got if r.doc_id < 0 and r.lang_accepted]
+    assert np.mean([r.lang_accepted for r in got if r.doc_id >= 0]) > 0.98
+
+
 def test_language_edges(spark, odd, empty):
     got = language_id.identify(odd.withColumn("score", F.lit(9))).collect()
     assert len(got) == odd.count()
