@@ -17,9 +17,11 @@ from pyspark.sql.types import StructType
 #: Bytes of text that one step of numpy work takes; longer single texts are taken whole, alone.
 STEP_BYTES = 1 << 19
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that one running sum of hashing covers; segments that cross from one such tile to the next are put together from their parts.
+TILE = STEP_BYTES
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1103515245, 1597334677)
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,25 +56,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers
+def _powers(base: int, prime: int) -> np.ndarray:
+    """base^0 to base^TILE modulo a prime below 2^31."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= TILE:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)))
+    return out[: TILE + 1]
+
+
+def _power_tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each prime the powers of its base and of that base's inverse."""
+    if not _tables:
+        _tables.extend((_powers(base, prime), _powers(pow(base, -1, prime), prime)) for base, prime in zip(_BASES, _PRIMES, strict=True))
+    return _tables
 
 
 class Hasher:
-    """64-bit hashes of data[start:end] for any segments, from one running polynomial sum; equal bytes give equal hashes."""
+    """64-bit hashes of data[start:end] for segments that lie one after another; equal bytes give equal hashes.
+
+    Polynomials modulo two primes near 2^31, each with a base of its own: unlike one modulo a power of two, no family of strings
+    collides whatever the base. A segment's hash comes from running sums over a tile of the data, so memory doesn't grow with long texts.
+    """
 
     def __init__(self, data: np.ndarray) -> None:
-        power, self.inverse = _power_tables(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
+        self.data = data
+        self.held: tuple[int, list[np.ndarray]] = (-1, [])
+
+    def _sums(self, tile: int) -> list[np.ndarray]:
+        if self.held[0] != tile:
+            part = self.data[tile * TILE : (tile + 1) * TILE].astype(np.uint64) + np.uint64(1)
+            sums = [np.zeros(len(part) + 1, np.uint64) for _ in _PRIMES]
+            for out, (power, _) in zip(sums, _power_tables(), strict=True):
+                np.cumsum(part * power[: len(part)], out=out[1:])
+            self.held = tile, sums
+        return self.held[1]
+
+    def _within(self, tile: int, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        a, b = starts - tile * TILE, ends - tile * TILE
+        return [(s[b] - s[a]) % np.uint64(p) * inverse[a] % np.uint64(p) for s, p, (_, inverse) in zip(self._sums(tile), _PRIMES, _power_tables(), strict=True)]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        """starts must rise."""
+        out = np.zeros((len(_PRIMES), len(starts)), np.uint64)
+        for tile in range(-(-len(self.data) // TILE)):
+            lo, hi = np.searchsorted(starts, (tile * TILE, (tile + 1) * TILE))
+            own = np.arange(lo, hi)[ends[lo:hi] <= (tile + 1) * TILE]
+            if len(own):
+                out[:, own] = self._within(tile, starts[own], ends[own])
+            for k in np.arange(lo, hi)[ends[lo:hi] > (tile + 1) * TILE]:
+                at, end = int(starts[k]), int(ends[k])
+                while at < end:
+                    stop = min(end, (at // TILE + 1) * TILE)
+                    parts = self._within(at // TILE, np.array([at]), np.array([stop]))
+                    for j, (part, prime, base) in enumerate(zip(parts, _PRIMES, _BASES, strict=True)):
+                        out[j, k] = (int(out[j, k]) + int(part[0]) * pow(base, at - int(starts[k]), prime)) % prime
+                    at = stop
+        return mixed((out[0] << np.uint64(32)) | out[1])
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -105,9 +144,11 @@ _temporary: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that setting is absent, as in tests."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session, as in tests, may lack that setting: it gets a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _temporary[:] = _temporary or [tempfile.mkdtemp(prefix="reelmark-")]
         top = _temporary[0]
     return f"{top.rstrip('/')}/reelmark-{uuid.uuid4().hex}"

@@ -1,16 +1,18 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Each paragraph (a line) is hashed to a wide vector and a document's fingerprint is the sum of its paragraphs' vectors: EXACT words modulo
-2^64, uniform, that tell equal multisets of paragraphs from others; and SKETCH lanes modulo 2^16, among which each word triple of the
-paragraph adds +1 or -1 to one, with a last lane counting the triples modulo 2^32. Sums don't depend on the order of paragraphs, and
-one is put in or taken out by adding or subtracting its vector. The squared length of a sketch estimates that of the document's
-counts of triples, so likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2), between 0 and 1.
+2^64, the paragraph's BLAKE2b digest, that tell equal multisets of paragraphs from others; and SKETCH lanes modulo 2^16, among which each
+word triple of the paragraph adds +1 or -1 to one, with a last lane counting the triples modulo 2^32. Sums don't depend on the order of
+paragraphs, and one is put in or taken out by adding or subtracting its vector (`inserted`, `deleted`). The squared length of a sketch
+estimates that of the document's counts of triples, so likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2), between 0 and 1.
 
-The text written into an edited document comes from the next one by falling doc_id. Rows are dealt to ranges of doc_id, and the first row
-of each range also goes to the one before, so the text moves once and each range is read in order as a stream.
+The text written into an edited document comes from the next one by falling doc_id. Rows are dealt to ranges of doc_id of about
+RANGE_BYTES of text, and the first row of each range also goes to the one before, so the text moves once and each range is read in order
+as a stream. A doc_id of very many rows is cut into ranges by a hash of the text.
 
 Defined cases: null text counts as empty; empty texts have the zero vector and likeness 1 to each other, 0 to others; a single document is
-its own next one; rows of equal doc_id follow in the order of their text; an empty table gives an empty result; other columns are ignored.
+its own next one; rows of equal doc_id follow by falling 64-bit hash of their text, those of null doc_id come last; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import Hasher, mixed, runs, steps, text_bytes
+from reelmark.llm.common import Hasher, mixed, runs, steps, stored, text_bytes
 
-EXACT, SKETCH = 4, 128
+EXACT, SKETCH = 8, 128
+#: Text that a range holds on average, and bounds of doc_id that are looked up; more ranges than bounds cut each span evenly.
+RANGE_BYTES, MOST_BOUNDS = 32 << 20, 1024
+#: A list of more ranges is joined by shuffling, not broadcast.
+BROADCAST_RANGES = 1_000_000
 _K = np.uint64(0xD6E8FEB86659FD93)
-_SALTS = mixed(np.arange(1, EXACT + 1, dtype=np.uint64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -50,11 +55,11 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         solid = ends > starts
         starts, ends = starts[solid], ends[solid]
         owner = np.searchsorted(bounds, starts, "right") - 1
-        hashes = hasher.hashes(starts, ends)
-        for k in range(EXACT):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(hashes + _SALTS[k]))))
-            at = np.searchsorted(owner, np.arange(m + 1))
-            exact[first:last, k] = sums[at[1:]] - sums[at[:-1]]
+        whole = part.tobytes()
+        vectors = np.frombuffer(b"".join(hashlib.blake2b(whole[a:b]).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), "<u8").reshape(-1, EXACT)
+        sums = np.concatenate((np.zeros((1, EXACT), np.uint64), np.cumsum(vectors, 0, np.uint64)))
+        at = np.searchsorted(owner, np.arange(m + 1))
+        exact[first:last] = sums[at[1:]] - sums[at[:-1]]
         # Triples of words within a paragraph; shorter paragraphs count as one piece.
         word_start, word_end = runs(~_BLANK[part])
         cut = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(part))]
@@ -68,7 +73,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         triple[: len(words) - 2] = line[2:] == line[:-2] if len(words) > 2 else False
         at = np.flatnonzero(triple)
         short = np.flatnonzero((sizes > 0) & (sizes < 3))
-        items = np.concatenate((mixed((words[at] * _K + words[at + 1]) * _K + words[at + 2]), mixed(hashes[short] ^ _K)))
+        items = np.concatenate((mixed((words[at] * _K + words[at + 1]) * _K + words[at + 2]), mixed(hasher.hashes(starts[short], ends[short]) ^ _K)))
         row = np.concatenate((owner[line[at]], owner[short]))
         lane = (items >> np.uint64(32)).astype(np.int64) % SKETCH
         sign = 1 - 2 * (items & np.uint64(1)).astype(np.int64)
@@ -91,35 +96,85 @@ def rendered(prints: tuple) -> list[str]:
     return [a.tobytes().hex() + b.tobytes().hex() + int(c & 0xFFFFFFFF).to_bytes(4, "little").hex() for a, b, c in zip(exact, sketch, count, strict=True)]
 
 
+def parsed(fingerprint: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What rendered() wrote, as prints of one document."""
+    raw = bytes.fromhex(fingerprint)
+    exact, sketch = np.frombuffer(raw, "<u8", EXACT), np.frombuffer(raw, "<u2", SKETCH, 8 * EXACT)
+    return exact[None, :], sketch[None, :], np.array([int.from_bytes(raw[-4:], "little")])
+
+
+def inserted(fingerprint: str, paragraphs: list[str]) -> str:
+    """The fingerprint of a document after paragraphs were added to it, without its text."""
+    exact, sketch, count = fingerprints(*text_bytes(pa.array(["\n".join(paragraphs)])))
+    own = parsed(fingerprint)
+    return rendered((own[0] + exact, own[1] + sketch, own[2] + count))[0]
+
+
+def deleted(fingerprint: str, paragraphs: list[str]) -> str:
+    """The fingerprint of a document after paragraphs of it were taken out, without its text."""
+    exact, sketch, count = fingerprints(*text_bytes(pa.array(["\n".join(paragraphs)])))
+    own = parsed(fingerprint)
+    return rendered((own[0] - exact, own[1] - sketch, own[2] - count))[0]
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the code points replaced by as many of the next document, or by all of it."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_edits(docs: DataFrame, partitions: int) -> DataFrame:
+def _ranged(plain: DataFrame, bounds: list[int], parts: int) -> DataFrame:
+    """Adds range, a number that rises along the order of rows. plain: doc_id, text, key.
+
+    bounds: doc_ids in rising order, a repeated one standing for as many rows each time; parts: ranges between two bounds. Bounds are
+    looked up in two steps, first among every so many of them.
+    """
+    if not bounds:
+        return plain.withColumn("range", F.lit(0).cast("long"))
+    different = sorted(set(bounds))
+    hot = [b for b in different if bounds.count(b) > 1]
+    width = max(1, int(len(different) ** 0.5))
+    chunks = [different[k : k + width] for k in range(0, len(different), width)]
+    numbers = lambda x: F.array(*[F.lit(v).cast("long") for v in x])
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
+    chunk = F.greatest(below(numbers([c[0] for c in chunks])) - 1, F.lit(0))
+    placed = plain.withColumn("chunk", chunk).withColumn("at", F.col("chunk") * width + below(F.element_at(F.array(*[numbers(c) for c in chunks]), F.col("chunk") + 1)))
+    edges = F.array(numbers(different[:1]), *[numbers(different[k : k + 2]) for k in range(len(different) - 1)], numbers(different[-1:]))
+    edge = F.element_at(edges, F.col("at") + 1)
+    low, high = F.get(edge, 0).cast("double"), F.get(edge, 1).cast("double")
+    span = F.when(F.size(edge) == 2, (F.col("doc_id").cast("double") - low) / (high - low)).otherwise(0.0)
+    is_hot = F.col("doc_id").isin(*hot) if hot else F.lit(False)
+    # Within a hot doc_id the key, a signed 64-bit hash, cuts: as finely as all the bounds it stands for.
+    copies = parts * max((bounds.count(b) for b in hot), default=1)
+    by_key = F.floor((0.5 - F.col("key").cast("double") / 2.0**64) * copies)
+    within = F.when(is_hot, F.least(by_key, F.lit(copies - 1))).otherwise(F.least(F.floor((1 - span) * parts), F.lit(parts - 1)))
+    most = max(copies, parts)
+    # In falling order of doc_id; a hot bound comes right before the span below it.
+    number = (2 * (len(different) - F.col("at")) - is_hot.cast("int")) * most + within
+    return placed.withColumn("range", F.coalesce(number.cast("long"), F.lit((2 * len(different) + 2) * most).cast("long"))).drop("chunk", "at")
+
+
+def fingerprint_edits(docs: DataFrame, partitions: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and how near they and the next document are."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = plain.filter("doc_id is not null")
-    # Falling doc_id: ranges are numbered from the largest on. Bounds are as many as partitions.
-    fractions = [k / partitions for k in range(1, partitions)]
-    found = known.agg(F.percentile_approx("doc_id", fractions, 10_000).alias("q")).first()["q"] if fractions else None
-    bounds = sorted(set(found or []))
-    number = F.lit(len(bounds)) - F.size(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>"), lambda b: b < F.col("doc_id")))
-    ranged = plain.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(number).cast("int").alias("range"))
-    heads = [r["range"] for r in ranged.select("range").distinct().collect()]  # at most `partitions` numbers
-    order = sorted(heads)
-    before = {r: order[k - 1] for k, r in enumerate(order)}  # the first range's first row closes the last range
-    if not order:
-        before = {0: 0}
-    tops = {r["range"]: (r["doc_id"], r["key"]) for r in _tops(ranged)}
-    top = lambda k: F.create_map(*[x for r, v in (tops or {0: (0, 0)}).items() for x in (F.lit(r), F.lit(v[k]).cast("long"))])[F.col("range")]
-    head = F.col("doc_id").eqNullSafe(top(0)) & (F.xxhash64("text") == top(1))
-    previous = F.create_map(*[x for r, b in before.items() for x in (F.lit(r), F.lit(b))])[F.col("range")]
-    places = F.when(head, F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("extra")), F.struct(previous.alias("range"), F.lit(1).alias("extra"))))
-    places = places.otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("extra"))))
-    dealt = ranged.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.range", "place.extra")
-    ordered = dealt.repartition(partitions, "range").sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    size, known = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.count("doc_id").alias("known")).first()
+    wanted = max(min(4 * partitions, known), -(-int(size) // range_bytes), 1)
+    n_bounds = min(wanted - 1, MOST_BOUNDS)
+    parts = -(-wanted // (n_bounds + 1))
+    found = plain.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [k / (n_bounds + 1) for k in range(1, n_bounds + 1)], 20_000).alias("q")).first()["q"] if n_bounds else None
+    ranged = _ranged(plain, list(found or []), parts)
+    # One row for each range that has rows: its first one's doc_id and key, and the range before it. The first range's first row closes the last range.
+    tops = stored(ranged.groupBy("range").agg(F.max(F.struct("doc_id", "key")).alias("top")))
+    order = Window.orderBy("range")
+    last = F.max("range").over(Window.partitionBy())
+    heads = tops.select("range", "top", F.coalesce(F.lag("range").over(order), last).alias("previous"))
+    heads = F.broadcast(heads) if wanted <= BROADCAST_RANGES else heads
+    head = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("key") == F.col("top.key"))
+    place = lambda number, extra: F.struct(F.col(number).alias("range"), F.lit(extra).alias("extra"))
+    places = F.when(head, F.array(place("range", 0), place("previous", 1))).otherwise(F.array(place("range", 0)))
+    dealt = ranged.join(heads, "range").select("doc_id", "text", "key", F.explode(places).alias("place")).select("doc_id", "text", "key", "place.range", "place.extra")
+    tasks = max(partitions, -(-int(size) // (4 * range_bytes)))
+    ordered = dealt.repartition(tasks, "range").sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), F.col("key").desc()).drop("key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []
@@ -160,9 +215,3 @@ def fingerprint_edits(docs: DataFrame, partitions: int) -> DataFrame:
 
     return ordered.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
-
-def _tops(ranged: DataFrame) -> list:
-    """Of each range the first row in order: its doc_id and a hash of its text."""
-    firsts = ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id"))
-    ties = ranged.join(F.broadcast(firsts.withColumnRenamed("range", "r").withColumnRenamed("doc_id", "d")), F.col("range").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    return ties.groupBy("range", "doc_id").agg(F.min(F.xxhash64("text")).alias("key")).collect()

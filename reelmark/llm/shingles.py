@@ -41,10 +41,10 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
             if b - a >= width:
                 sets.append(distinct(rolled[a : b - width + 1]))
             elif b > a:
-                few = np.uint64(b - a)
-                for h in words[a:b]:
-                    few = few * np.uint64(0xD6E8FEB86659FD93) + h
-                sets.append(mixed(np.array([few], np.uint64)))
+                few = np.array([b - a], np.uint64)
+                for k in range(a, b):
+                    few = few * np.uint64(0xD6E8FEB86659FD93) + words[k : k + 1]
+                sets.append(mixed(few))
             else:
                 sets.append(np.zeros(0, np.uint64))
     return sets

@@ -433,6 +433,76 @@ def test_fingerprints_are_sums_of_paragraphs():
     assert alone == prints("x y z", "", "é\nü")[0].tolist()
 
 
+def plain_fingerprint(text: str) -> tuple[list[int], list[int], int]:
+    """Paragraph by paragraph and triple by triple: sums of digests, and the triples themselves."""
+    exact, triples = [0] * fingerprint.EXACT, []
+    for line in text.encode().split(b"\n"):
+        if line:
+            digest = hashlib.blake2b(line).digest()
+            exact = [(x + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % 2**64 for k, x in enumerate(exact)]
+            words = [w for w in __import__("re").split(b"[\x20\x09-\x0d]+", line) if w]
+            triples += [tuple(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) > 2 else [(line,)] if words else []
+    return exact, triples, len(triples)
+
+
+def test_fingerprints_equal_plain_sums():
+    rng = random.Random(13)
+    texts = ["", "\n\n", "one", "a b c d\n\na b c d\ne f", "é ü ö ä ß", " \t \n x "] + [" ".join(rng.choice("abcdefg\n") for _ in range(rng.randint(5, 200))) for _ in range(40)]
+    exact, sketch, count = prints(*texts)
+    for k, text in enumerate(texts):
+        own, triples, n = plain_fingerprint(text)
+        assert exact[k].tolist() == own and count[k] == n
+        # The squared length of the sketch estimates that of the counts of triples; its sum of signs keeps their parity.
+        assert int(sketch[k].view(np.int16).astype(int).sum()) % 2 == n % 2 and (n > 0 or not sketch[k].any())
+    for a in range(len(texts)):
+        for b in range(a):
+            one, other = (plain_fingerprint(texts[k])[1] for k in (a, b))
+            counts = [{t: x.count(t) for t in x} for x in (one, other)]
+            apart = sum((counts[0].get(t, 0) - counts[1].get(t, 0)) ** 2 for t in {*one, *other})
+            total = sum(v * v for c in counts for v in c.values())
+            near = fingerprint.likeness(tuple(x[a : a + 1] for x in (exact, sketch, count)), tuple(x[b : b + 1] for x in (exact, sketch, count)))[0]
+            if total:
+                assert abs(near - max(0.0, 1 - apart / total)) < 0.5
+
+
+def test_no_family_of_strings_collides():
+    from reelmark.llm.common import segment_hashes
+    from reelmark.llm.shingles import shingle_sets
+
+    text = "a"
+    for _ in range(13):
+        text += text.translate(str.maketrans("ab", "ba"))
+        other = text.translate(str.maketrans("ab", "ba"))
+        hashes = [int(segment_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in (text, other)]
+        assert hashes[0] != hashes[1]
+        sets = shingle_sets(pa.array([text, other]), 4)
+        assert sets[0].tolist() != sets[1].tolist()
+        words = prints(text, other)[0]
+        assert (words[0] != words[1]).all()
+
+
+def test_paragraphs_go_in_and_out_of_a_fingerprint():
+    lines = ["one two three four", "five six", "", "é", "one two three four"]
+    whole, start = (fingerprint.rendered(prints(t))[0] for t in ("\n".join(lines), ""))
+    assert fingerprint.inserted(start, lines) == whole
+    assert fingerprint.inserted(fingerprint.inserted(start, lines[3:]), lines[:3]) == whole
+    assert fingerprint.deleted(whole, lines[1:]) == fingerprint.rendered(prints(lines[0]))[0]
+    assert fingerprint.deleted(whole, lines) == start
+    assert fingerprint.rendered(fingerprint.parsed(whole)) == [whole]
+
+
+def test_segments_across_tiles_hash_alike(monkeypatch):
+    from reelmark.llm import common
+
+    data = np.frombuffer(random.Random(14).randbytes(5000), np.uint8)
+    starts = np.arange(0, 4990, 7)
+    ends = np.minimum(5000, starts + np.arange(len(starts)) % 9 * 40)
+    ends = np.maximum(ends, starts)
+    whole = common.segment_hashes(data, starts, ends)
+    monkeypatch.setattr(common, "TILE", 64)
+    assert (common.segment_hashes(data, starts, ends) == whole).all()
+
+
 def test_edits_take_the_next_document(spark):
     texts = {3: "abcdef", 7: "é1é2", 5: None, 11: "", 900: "tail " * 400, 2: "first\nlines\nof the last", 12: "odd"}
     docs = spark.createDataFrame([(k, t, "clash") for k, t in texts.items()], "doc_id long, text string, n_chars string")
@@ -451,5 +521,11 @@ def test_edits_take_the_next_document(spark):
             assert r.near_next == pytest.approx(near) and 0 <= r.near_edited <= 1
     repeated = fingerprint.fingerprint_edits(docs.union(docs).union(docs), 4)
     assert repeated.count() == 21
+    # One doc_id of most rows, null ones and neighbours: rows of equal doc_id follow by falling hash of their text.
+    hot = spark.createDataFrame([(5 if k % 3 else k if k % 2 else None, f"text {k} " * (k % 9)) for k in range(300)], "doc_id long, text string")
+    order = hot.select("doc_id", "text", F.xxhash64("text").alias("key")).orderBy(F.col("doc_id").desc_nulls_last(), F.col("key").desc()).collect()
+    expected = sorted((str(a.doc_id), hashlib.sha256(fingerprint.edited(a.text, b.text).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    for limit in (1 << 25, 40):
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in fingerprint.fingerprint_edits(hot, 4, limit).collect()) == expected
     assert fingerprint.fingerprint_edits(docs.limit(0), 4).count() == 0 and fingerprint.fingerprint_edits(docs.filter("doc_id = 3"), 4).first().near_next == 1.0
     assert struct.calcsize("Q") == 8
