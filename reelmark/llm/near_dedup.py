@@ -10,9 +10,16 @@ whose signatures agree in under half of their places are dropped. The connected
 pairs are verified on full sets, a bounded block of documents against another in a task, each block pair giving at most a spanning
 forest of the links it finds. Groups of any size are handled whole: more blocks, no larger ones. Components of the links are the answer.
 
+Before that each node is verified against the leaders it resembles most, in blocks by leader; only groups that these links leave in
+several components go on to pairs of blocks, and of a component that fills blocks no two are paired. So a group of near copies of one text
+costs work in proportion to its size, and only groups of many unlinked parts cost more.
+
 Defined cases: null and empty text, or text of blanks, has no shingles and stays alone; fewer words than a shingle make one shingle;
-documents of equal sets are linked; repeated rows share their component, `keep_one` keeps one row of a doc_id; an empty table gives an
-empty result; other columns are ignored, `keep_one` returns them. Sets are compared by 64-bit hashes of their shingles.
+documents of equal sets are linked; repeated rows share their component. A null doc_id links like any other, but names a component only
+where all its rows lack one; there component_id is null and `kept` true. Rows of one doc_id and different texts are judged each by its text.
+`keep_one` keeps one row of each component: the least doc_id, null last, then the least hash of the text; rows without shingles stay, once
+for each doc_id and text. An empty table gives an empty result; other columns are ignored, `keep_one` returns them. Sets are compared by
+64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmark.llm.common import mixed, stored
@@ -32,8 +39,10 @@ WIDTH, PERCENT = 4, 80
 GROUPS = 12
 #: Places of the signatures that must agree for two documents to be tied: well below the 0.8 of a link.
 TIE_AGREEMENT = 0.5
-#: Documents in a block of candidates.
-BLOCK = 512
+#: Documents in a block of candidates, and shingles that a block holds on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Leaders that a node is verified against before blocks are paired.
+LEADERS = 3
 
 _FACTORS = mixed(np.arange(1, 4 * GROUPS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -52,7 +61,7 @@ def set_hash(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node, minhashes); node and minhashes are null without shingles."""
+    """(doc_id, id_key, text_key, n_shingles, node, minhashes); node and minhashes are null without shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,18 +71,30 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
+                        part["id_key"],
+                        part["text_key"],
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()),
                         pa.array([signature(x).view(np.int32) if len(x) else None for x in sets], pa.list_(pa.int32())),
                     ],
-                    ["doc_id", "n_shingles", "node", "minhashes"],
+                    ["doc_id", "id_key", "text_key", "n_shingles", "node", "minhashes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, minhashes array<int>")
+    return _keyed(docs).mapInArrow(sign, "doc_id long, id_key long, text_key long, n_shingles long, node long, minhashes array<int>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two keys without nulls by which rows are found again; rows of equal keys are equal in both."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_row_keys())
+
+
+def _row_keys() -> list[Column]:
+    own = F.col("doc_id").cast("long")
+    return [F.coalesce(own, F.lit(0).cast("long")).alias("id_key"), F.xxhash64(own, F.col("text")).alias("text_key")]
 
 
 def ties(nodes: DataFrame) -> DataFrame:
-    """(a, b): nodes that share a table's bucket with its leader b, and much of its signature. nodes: node, minhashes."""
+    """(a, b, agree): nodes that share a table's bucket with its leader b, and how much of its signature, if that is much. nodes: node, minhashes."""
     at = lambda k: F.element_at("minhashes", k + 1)
     keys = F.array(*[F.xxhash64(F.lit(k), at(2 * k), at(2 * k + 1)) for k in range(2 * GROUPS)])
     groups = nodes.select("node", F.posexplode(keys).alias("group", "key"))
@@ -87,7 +108,7 @@ def ties(nodes: DataFrame) -> DataFrame:
     tied = tables.join(leaders, "bucket").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     own, other = (nodes.select(F.col("node").alias(x), F.col("minhashes").alias(f"minhashes_{x}")) for x in "ab")
     agree = F.aggregate(F.zip_with("minhashes_a", "minhashes_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return tied.join(own, "a").join(other, "b").filter(agree >= int(TIE_AGREEMENT * 4 * GROUPS)).select("a", "b")
+    return tied.join(own, "a").join(other, "b").select("a", "b", agree.alias("agree")).filter(F.col("agree") >= int(TIE_AGREEMENT * 4 * GROUPS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -147,12 +168,8 @@ def linked(sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tupl
     return forest
 
 
-def links(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): enough verified links to connect what is linked. candidates: doc_id and node of each distinct set, and its group `root`."""
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = candidates.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Shuffled at every size: the candidates grow with the documents, so they are never broadcast.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(placed.select("doc_id", "node", "root", "blocks", "block"), "doc_id")
+def shingle_table(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
+    """(node, root, blocks, shingles) of the candidates, each set once or more. candidates: id_key and text_key of a row of each set, node, root, blocks."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,37 +178,118 @@ def links(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> D
                 sets = shingle_sets(part["text"], width)
                 own = np.array([bool(len(x)) and set_hash(x) == node for x, node in zip(sets, part["node"].to_pylist(), strict=True)], bool)
                 data = pa.array([x.tobytes() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.drop_columns(["text", "doc_id"]).columns, data], ["node", "root", "blocks", "block", "shingles"]).filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([part["node"], part["root"], part["blocks"], data], ["node", "root", "blocks", "shingles"]).filter(pa.array(own))
+
+    # Shuffled at every size: the candidates grow with the documents, so they are never broadcast.
+    texts = _keyed(docs).hint("merge").join(candidates, ["id_key", "text_key"])
+    return texts.select("text", "node", "root", "blocks").mapInArrow(build, "node long, root long, blocks int, shingles binary")
 
-    built = texts.select("doc_id", "text", "node", "root", "blocks", "block").mapInArrow(build, "node long, root long, blocks int, block int, shingles binary")
-    dealt = built.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles")
 
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _verified(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(a, b) links within each group of keys; rows: keys, first (boolean), node, shingles. Where both kinds occur, only links between them count."""
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
-        forest = linked([np.frombuffer(x, np.uint64) for x in rows["shingles"]], (rows["block"] == key[1]).to_numpy(), percent)
+        forest = linked([np.frombuffer(x, np.uint64) for x in rows["shingles"]], rows["first"].to_numpy(bool), percent)
         node = rows["node"].to_numpy()
         return pd.DataFrame({"a": [node[i] for i, _ in forest], "b": [node[k] for _, k in forest]}, dtype="int64")
 
-    return dealt.groupBy("root", "low", "high").applyInPandas(verify, "a long, b long")
+    return dealt.groupBy(*keys).applyInPandas(verify, "a long, b long")
+
+
+def leader_links(sets: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between nodes and the LEADERS leaders b that agree with them most. sets: node, shingles."""
+    best = Window.partitionBy("a").orderBy(F.desc("agree"), F.xxhash64("b"), "b")
+    picks = tied.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= LEADERS).select("a", "b")
+    # A leader of many stands in as many parts as its followers need.
+    parts = picks.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    followers = picks.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a", F.lit(2)), F.col("parts")).cast("int"))
+    own = followers.select(F.col("a").alias("node"), "b", "part", F.lit(False).alias("leads"))
+    heads = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"))
+    dealt = own.union(heads).join(sets.select("node", "shingles"), "node")
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node")
+        head = rows[rows["leads"]]
+        if not len(head):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        leader = np.frombuffer(head["shingles"].iloc[0], np.uint64)
+        found = []
+        for node, data in zip(rows["node"], rows["shingles"], strict=True):
+            other = np.frombuffer(data, np.uint64)
+            common = int((leader[np.minimum(np.searchsorted(leader, other), len(leader) - 1)] == other).sum())
+            if node != head["node"].iloc[0] and 100 * common >= percent * (len(leader) + len(other) - common):
+                found.append(node)
+        return pd.DataFrame({"a": found, "b": [head["node"].iloc[0]] * len(found)}, dtype="int64")
+
+    return dealt.groupBy("b", "part").applyInPandas(verify, "a long, b long")
+
+
+def _block_pairs(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows dealt to the pairs of blocks that may still link different components: root, low, high, first, node, shingles.
+
+    sets: node, root, n_shingles, shingles; known: (node, part), components found so far. A component that fills half a block or more has
+    blocks of its own, which are not paired with each other; the others share mixed blocks. Groups of one component are left out.
+    """
+    placed = sets.join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = placed.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    several = sizes.groupBy("root").agg(F.count("*").alias("parts")).filter("parts > 1").select("root")
+    label = F.when(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES) >= 0.5, F.col("part"))
+    labels = sizes.join(several, "root", "left_semi").withColumn("label", label)
+    many = labels.groupBy("root", "label").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("root").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    blocks = stored(many.withColumn("start", before))
+    lists = blocks.groupBy("root").agg(F.collect_list(F.struct("label", "start", "many")).alias("others"))
+    whose = labels.select("root", "part", "label").join(blocks.withColumnRenamed("label", "own"), "root").filter(F.col("label").eqNullSafe(F.col("own"))).select("root", "part", "label", "start", "many").join(lists, "root")
+    dealt = placed.join(whose, ["root", "part"]).withColumn("block", F.col("start") + F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
+    partners = F.filter("others", lambda o: o["label"].isNull() | ~o["label"].eqNullSafe(F.col("label")))
+    others = F.flatten(F.transform(partners, lambda o: F.sequence(o["start"], o["start"] + o["many"] - 1)))
+    pairs = dealt.select("root", "node", "shingles", "block", F.explode(others).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return pairs.select("root", low.alias("low"), high.alias("high"), (F.col("block") == low).alias("first"), "node", "shingles")
+
+
+def links(docs: DataFrame, candidates: DataFrame, tied: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): enough verified links to connect what is linked. candidates: keys of a row, node, n_shingles and group `root` of each distinct set; tied: see ties()."""
+    sizes = candidates.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sets = stored(shingle_table(docs, candidates.join(sizes, "root"), width).withColumn("n_shingles", F.octet_length("shingles") / 8))
+    small = _verified(sets.filter("blocks = 1").select("root", F.lit(True).alias("first"), "node", "shingles"), ["root"], percent)
+    large = sets.filter("blocks > 1").dropDuplicates(["node"])
+    if sizes.filter("blocks > 1").isEmpty():
+        return small
+    led = stored(leader_links(large, tied.join(large.select(F.col("node").alias("a")), "a", "left_semi"), percent))
+    known = stored(components(led)).select("node", F.col("root").alias("part"))
+    return small.union(led).union(_verified(_block_pairs(large, known), ["root", "low", "high"], percent))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, id_key, text_key, n_shingles, group, component_id) for every row of docs; group tells components apart, component_id is null where no doc_id names one."""
+    signed = stored(signatures(docs, width))
+    row = F.struct("id_key", "text_key")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(row).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("minhashes").alias("minhashes"))
+    tied = stored(ties(nodes.select("node", "minhashes")))
+    groups = stored(components(tied))
+    candidates = stored(nodes.select("node", "doc_id", "row.id_key", "row.text_key", "n_shingles").join(groups, "node"))
+    roots = components(stored(links(docs, candidates.drop("doc_id"), tied, width, percent)))
+    named = roots.join(candidates.select("node", "doc_id"), "node")
+    component = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", F.col("root").alias("linked"), "component_id")
+    first = nodes.select("node", F.col("doc_id").alias("first_id")).join(component, "node", "left")
+    out = signed.select("doc_id", "id_key", "text_key", "n_shingles", "node").join(first, "node", "left")
+    own = F.when(F.col("linked").isNotNull(), F.col("component_id")).when(F.col("node").isNotNull(), F.col("first_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "id_key", "text_key", "n_shingles", F.coalesce("linked", "node").alias("group"), own.alias("component_id"))
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs: component_id is the least doc_id that links reach."""
-    signed = stored(signatures(docs, width))
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("minhashes").alias("minhashes"))
-    groups = stored(components(ties(nodes.select("node", "minhashes"))))
-    candidates = stored(nodes.select("node", "doc_id").join(groups, "node"))
-    roots = components(stored(links(docs, candidates, width, percent)))
-    named = roots.join(candidates.select("node", "doc_id"), "node")
-    component = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    first = nodes.select("node", F.col("doc_id").alias("first_id")).join(component, "node", "left")
-    out = signed.select("doc_id", "n_shingles", "node").join(first, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "first_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return _grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stand for their component, with all columns."""
-    kept = near_groups(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each component, with all columns."""
+    rows = _grouped(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = rows.filter("group is not null").groupBy("group").agg(F.min_by(F.struct("id_key", "text_key"), order).alias("row")).select("row.*")
+    kept = first.union(rows.filter("group is null").select("id_key", "text_key").distinct())
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_row_keys())
+    # Both keys again tell which rows are equal, so this needs no further shuffle.
+    return whole.join(kept.hint("merge"), ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]).select("row.*")

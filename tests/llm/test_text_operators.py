@@ -314,8 +314,10 @@ def test_groups_equal_all_pairs(spark):
     assert all(got[i].n_shingles == len(plain_set(t)) and got[i].kept == (i == expected[i]) for i, t in texts.items())
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+@pytest.mark.parametrize(("name", "size"), [("BLOCK", 7), ("BLOCK_SHINGLES", 400)])
+def test_blocks_lose_no_link(spark, monkeypatch, name, size):
+    monkeypatch.setattr(near_dedup, name, size)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)  # so that pairs of blocks have links left to find
     rng = random.Random(8)
     words = [f"w{k}" for k in range(90)]
     texts = {i: " ".join(f"x{rng.randint(0, 999)}" if rng.random() < 0.03 else w for w in words) for i in range(80)}
@@ -323,6 +325,22 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()} == plain_components(texts)
 
 
+def test_parts_of_a_large_group_are_paired(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    sets = spark.createDataFrame([(n, 1 if n < 60 else 2, 1, bytearray(b"")) for n in range(70)], "node long, root long, n_shingles long, shingles binary")
+    # Of group 1 a component of 40 nodes, one of 12 and eight alone; group 2 is one component.
+    known = spark.createDataFrame([(n, 0 if n < 40 else 40 if n < 52 else 60) for n in range(70) if n < 52 or n >= 60], "node long, part long")
+    met = set()
+    for key, rows in __import__("itertools").groupby(sorted(tuple(r) for r in near_dedup._block_pairs(sets, known).select("root", "low", "high", "first", "node").collect()), lambda r: r[:3]):
+        rows = list(rows)
+        assert key[0] == 1
+        both = len({r[3] for r in rows}) == 2
+        met |= {frozenset((a[4], b[4])) for a in rows for b in rows if a[4] != b[4] and (a[3] != b[3] or not both)}
+    part = lambda n: 0 if n < 40 else 40 if n < 52 else n
+    assert {frozenset((a, b)) for a in range(60) for b in range(a) if part(a) != part(b)} <= met
+    assert not {frozenset((a, b)) for a in range(40) for b in range(a)} & met
+
+
 def test_components_of_any_shape(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
@@ -342,6 +360,16 @@ def test_components_of_any_shape(spark):
 
 
 def test_one_of_each_group_stays(spark, odd, empty):
-    kept = near_dedup.keep_one(odd.withColumn("node", F.lit("mine")))
+    kept = near_dedup.keep_one(odd.withColumn("node", F.lit("mine")).withColumn("text_key", F.lit(7)))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9] and "node" in kept.columns
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
+
+
+def test_rows_without_an_id_are_grouped_too(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (7, text), (9, text), (None, "alone here"), (None, "alone here"), (None, None), (None, " "), (3, None), (3, None), (5, "first text of five"), (5, "second text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.near_groups(docs).collect())
+    assert got == sorted([("None", "7", False), ("7", "7", True), ("9", "7", False), *[("None", "None", True)] * 4, *[("3", "3", True)] * 2, *[("5", "5", True)] * 2])
+    kept = sorted((str(r.doc_id), str(r.text)) for r in near_dedup.keep_one(docs).collect())
+    assert kept == sorted([("7", text), ("None", "alone here"), ("None", "None"), ("None", " "), ("3", "None"), ("5", "first text of five"), ("5", "second text of the same id")])
