@@ -24,6 +24,8 @@ from reelmark.llm.common import stored
 #: Hex digits of the hash that name a range: 16^3 = 4096 ranges a leaf.
 RANGE_DIGITS = 3
 LEVELS = ["mix_domain", "mix_lang", "mix_source"]
+#: Columns of the result; the input's columns of these names are replaced.
+ADDED = ["domain", "epoch", "leaf_budget"]
 #: A plan of more leaves than this is joined by shuffling, not broadcast.
 BROADCAST_LEAVES = 50_000
 
@@ -90,9 +92,10 @@ def mix(docs: DataFrame, domain: Column, weights: list[Column], budget_share: fl
     ends = leaves.select(*LEVELS, F.col("budget").alias("leaf_budget"), "full").join(last_range.drop("before"), LEVELS, "left").join(last_spot, LEVELS, "left")
     ends = stored(ends)
 
-    own = [F.col(c) for c in docs.columns if c.lower() not in ("domain", "epoch", "leaf_budget", "full", "last_range", "last_spot", *LEVELS)]
-    placed = docs.select(*own, *leaf_of).join(hinted(ends), LEVELS)
+    # The input's columns travel as one, so that none of theirs meets a name used here.
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    placed = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), "doc_id", *leaf_of).join(hinted(ends), LEVELS)
     start = F.substring(spot, 1, RANGE_DIGITS)
     in_prefix = F.col("last_range").isNull() | (start < F.col("last_range")) | ((start == F.col("last_range")) & F.coalesce(spot <= F.col("last_spot"), F.lit(False)))
     taken = F.filter(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: (e < F.col("full")) | ((e == F.col("full")) & in_prefix))
-    return placed.select(*own, F.col(LEVELS[0]).alias("domain"), F.explode(taken).alias("epoch"), "leaf_budget")
+    return placed.select("row", F.col(LEVELS[0]).alias("domain"), F.explode(taken).alias("epoch"), "leaf_budget").select(*[F.col("row")[c].alias(c) for c in own], *ADDED)

@@ -180,10 +180,12 @@ def test_prefixes_fill_their_budgets(spark, small):
 
 
 def test_mixing_edges(spark, odd, empty):
-    clashing = odd.withColumn("epoch", F.lit("mine")).withColumn("tokens", F.lit(1))
+    inner = ("tokens", "full", "last_range", "last_spot", "mix_domain", "mix_lang", "mix_source", "row", "size", "budget")
+    clashing = odd.withColumn("epoch", F.lit("mine")).withColumns({name: F.lit(f"own {name}") for name in inner})
     got = mixing.mix(clashing, queries.mix_domain(), queries.mix_weights(), 5.0, 2, "s")
     rows = got.collect()
-    assert got.columns.count("epoch") == 1 and "tokens" in got.columns
+    assert got.columns == [*odd.columns, *inner, "domain", "epoch", "leaf_budget"]
+    assert all(r[name] == f"own {name}" for r in rows for name in inner)
     assert {r.doc_id for r in rows} == set(range(len(ODD)))
     assert mixing.mix(empty, queries.mix_domain(), queries.mix_weights(), 1.0, 2, "s").count() == 0
 
