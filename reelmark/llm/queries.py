@@ -155,16 +155,13 @@ WITH parts AS (
   FROM parts)
 , rated AS (SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id)
 , labelled AS (SELECT id, tokens, bad FROM urls JOIN rated USING (doc_id))
-, least AS (
-  SELECT count(*) AS n, ceil(greatest({url_filter.LEAST_SUPPORT}::DOUBLE, {url_filter.LEAST_COUNT} / count(*)) * count(*)) AS least FROM labelled)
-, items AS (SELECT id, bad, unnest(tokens) AS t FROM labelled)
-, sets AS (
-  SELECT [a.t] AS s, a.bad FROM items a
-  UNION ALL SELECT [a.t, b.t], a.bad FROM items a JOIN items b ON a.id = b.id AND a.t < b.t
-  UNION ALL SELECT [a.t, b.t, c.t], a.bad FROM items a JOIN items b ON a.id = b.id AND a.t < b.t JOIN items c ON a.id = c.id AND b.t < c.t)
+, often AS (
+  SELECT t FROM (SELECT bad, unnest(tokens) AS t FROM labelled) GROUP BY t HAVING count(*) FILTER (bad) >= {url_filter.LEAST_COUNT})
+, own AS (SELECT id, bad, list_sort(list(t)) AS ts FROM (SELECT id, bad, unnest(tokens) AS t FROM labelled) SEMI JOIN often USING (t) GROUP BY id, bad)
+, sets AS (SELECT bad, list_filter(ts, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM (SELECT bad, ts, unnest(range(1, 1 << len(ts))) AS m FROM own))
 , mined AS (
-  SELECT s FROM sets, least WHERE n >= {url_filter.LEAST_COUNT} GROUP BY s, least
-  HAVING count(*) FILTER (bad) >= least AND count(*) FILTER (bad) / count(*) >= {url_filter.LEAST_CONFIDENCE}::DOUBLE)
+  SELECT s FROM sets GROUP BY s
+  HAVING count(*) FILTER (bad) >= {url_filter.LEAST_COUNT} AND count(*) FILTER (bad) >= count(*) * {url_filter.LEAST_CONFIDENCE}::DOUBLE)
 , fits AS (
   SELECT id, arg_max(concat(r.host, r.path), length(r.host) + length(r.path)) AS rule, arg_max(r.verdict, length(r.host) + length(r.path)) AS verdict
   FROM urls u JOIN (VALUES {_RULES}) r(verdict, host, path) ON (u.host = r.host OR ends_with(u.host, concat('.', r.host))) AND starts_with(u.path, r.path) GROUP BY id)

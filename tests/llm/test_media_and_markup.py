@@ -403,6 +403,47 @@ def test_mined_rules_block(spark):
     assert all((got[k] == "block") == (k % 4 == 0) for k in got)
 
 
+def plain_rules(rows: list[tuple[set[str], bool]], least: int, confidence: float) -> set[frozenset]:
+    """Every combination of tokens that reaches both figures."""
+    from itertools import combinations
+
+    often = {t for t in set().union(*[r[0] for r in rows]) if sum(bad for own, bad in rows if t in own) >= least}
+    sets = {frozenset(c) for own, _ in rows for n in range(1, len(own & often) + 1) for c in combinations(sorted(own & often), n)}
+    out = set()
+    for one in sets:
+        bad, total = sum(b for own, b in rows if one <= own), sum(one <= own for own, _ in rows)
+        if bad >= least and bad >= total * confidence:
+            out.add(one)
+    return out
+
+
+def test_rules_of_any_length_equal_all_combinations(spark):
+    rng = random.Random(15)
+    shared = {f"s{k}" for k in range(4)}
+    rows = []
+    for _ in range(400):
+        own = {t for t in ("a", "b", "c", "d", "e") if rng.random() < 0.7}
+        # Only four tokens together tell; two always come together.
+        bad = {"a", "b", "c", "d"} <= own and rng.random() < 0.9 or rng.random() < 0.1
+        rows.append((own | shared | ({"x", "y"} if rng.random() < 0.5 else set()), bad))
+    labelled = spark.createDataFrame([(k, sorted(own), bad) for k, (own, bad) in enumerate(rows)], "id long, tokens array<string>, bad boolean")
+    items = url_filter.token_items(labelled, 20)
+    rules = [(set(r["items"]), r.bad, r.total) for r in url_filter.mine(labelled, items).collect()]
+    names = {r.token: r.item for r in items.collect()}
+    assert len({names[t] for t in shared}) == 1 and names["x"] == names["y"]
+    expected = plain_rules(rows, 20, 0.6)
+    assert rules and max(len(r) for r, _, _ in rules) >= 4 and not [1 for r, _, _ in rules for o, _, _ in rules if o < r]
+    for _ in range(300):
+        url = set(rng.sample(["a", "b", "c", "d", "e", "s0", "x", "y", "q"], rng.randint(0, 7)))
+        assert any(one <= url for one in expected) == any(r <= {names.get(t) for t in url} for r, _, _ in rules)
+
+
+def test_what_all_urls_share_is_one_item(spark):
+    labelled = spark.createDataFrame([(k, [f"t{i}" for i in range(40)] + [f"u{k}"], True) for k in range(60)], "id long, tokens array<string>, bad boolean")
+    rules = url_filter.mine(labelled, url_filter.token_items(labelled, 20)).collect()
+    assert [(r["items"], r.bad, r.total) for r in rules] == [(["t0"], 60, 60)]
+
+
 def test_urls_equal_their_sql(spark, small):
     name = "op9_filter_urls"
     assert differences(queries.QUERIES[name], queries.ORACLE_SQL[name], spark, small) == ""
