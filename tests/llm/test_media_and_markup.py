@@ -304,6 +304,67 @@ def test_frames_and_fragments():
     assert read('<ul><li><a href="/">only</a> <a>links</a></ul><p>text with <a>one</a> link') == ["text with one link"]
 
 
+def test_weak_words_lose_no_article():
+    read = lambda source: html_extract.content(html_extract.Page(source), set())
+    article = '<article class="post"><div class="article-header"><h1>Head</h1></div><p class="share">Share prices rise</p><section class="related-work"><p>Earlier work</p></section>{}</article>'
+    assert read(article.format("")) == ["Head", "Share prices rise", "Earlier work"]
+    assert read(article.format('<div class="share"><a>One</a> <a>Two</a></div><div class="ad-slot">Buy</div><ol class="comments"><li><article>Nice</article></ol>')) == ["Head", "Share prices rise", "Earlier work"]
+    assert read('<article><div class="reader"><p>All of it</p></div></article>') == ["All of it"]
+    assert read('<div class="header">Site</div><div class="text"><p>Longer text than that</p><p><a href="/">One block that is a link</a></p></div>') == ["Longer text than that", "One block that is a link"]
+    assert read('<div class="reader"><p>All of the page</p></div><p>x</p>') == ["All of the page", "x"]
+    assert read('<div class="content-sidebar-wrap"><main><p>in</main><div class="sidebar">out</div></div>') == ["in"]
+    assert read("<div><p>text of a page</p><p><a>a</a></p><p><a>menu</a></p></div>") == ["text of a page"]
+    assert read("<p>See <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here <video>no video</video></p>") == ["See x=2 here no video"]
+
+
+def plain_matching(a, b) -> int:
+    """Simple tree matching as it is written down: (label, children) trees, no short cuts."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_alignment_matches_as_many_nodes_as_the_plain_matcher():
+    rng = random.Random(16)
+
+    def tree(depth: int):
+        return rng.choice(["div", "ul", "section"]), [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+
+    write = lambda t: f"<{t[0]}>{''.join(map(write, t[1]))}</{t[0]}>"
+    matcher = html_extract.Matcher()
+    for _ in range(150):
+        one, two = ("#", [tree(3)]), ("#", [tree(3)])
+        a, b = (html_extract.Page(write(t[1][0])) for t in (one, two))
+        matched = matcher.align(a, b)
+        assert len(matched) == plain_matching(one, two) == matcher.matching(matcher.shapes(a)[0], matcher.shapes(b)[0])[0]
+        assert len(set(matched.values())) == len(matched)
+        assert all(a.labels[x] == b.labels[y] and (x == 0 or matched[a.parents[x]] == b.parents[y]) for x, y in matched.items())
+
+
+def test_long_lists_are_matched_in_turn(monkeypatch):
+    monkeypatch.setattr(html_extract, "MOST_PAIRS", 10)
+    a, b = (html_extract.Page("".join(f"<{t}><div></div></{t}>" for t in tags) + "<hr>x") for tags in (["p", "ul", "p", "section"] * 3, ["ul", "p", "p", "ol"] * 3))
+    matched = html_extract.Matcher().align(a, b)
+    assert len(matched) > 6 and all(a.labels[x] == b.labels[y] for x, y in matched.items())
+
+
+def test_deep_pages_have_a_template():
+    deep = lambda k: "<div>" * 800 + f"<p>On every page</p><p>Own text {k}</p>" + "</div>" * 800
+    pages = [html_extract.Page(deep(k)) for k in range(8)]
+    assert [html_extract.content(p, t) for p, t in zip(pages, html_extract.induce(pages), strict=True)] == [[f"Own text {k}"] for k in range(8)]
+
+
+def test_a_page_of_many_rows_is_extracted_once(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 4)
+    rows = [(1, "http://a.example/1", "<p>one</p>")] * 30 + [(1, "http://a.example/1", "<p>two</p>")] * 3 + [(k, f"http://a.example/{k}", f"<p>page {k}</p>") for k in range(2, 6)] + [(None, None, None)] * 9
+    got = sorted((str(r.page_id), r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted([("1", "one")] * 30 + [("1", "two")] * 3 + [(str(k), f"page {k}") for k in range(2, 6)] + [("None", "")] * 9)
+
+
 def test_copies_are_no_template():
     pages = [html_extract.Page(PAGE.format(k="same")) for _ in range(30)]
     assert html_extract.induce(pages) == [set()] * 30
