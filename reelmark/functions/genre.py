@@ -23,7 +23,8 @@ def includes(group: Column, item: Column) -> Column:
 
 
 def with_names(rows: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Adds label: names of both levels, or the codes where any level is unknown. dimension: space, level1, level2, main_name, sub_name."""
+    """Adds label: names of both levels, or the space and codes where any level is unknown. dimension: space, level1, level2, main_name, sub_name."""
     named = rows.join(dimension, ["space", "level1", "level2"], "left")
-    codes = F.concat(F.lit("unknown ("), F.concat_ws(", ", *[F.col(c).cast("string") for c in ("space", "level1", "level2")]), F.lit(")"))
+    space = F.when(F.col("space") == 0, "ARIB").when(F.col("space") == 2, "CS").otherwise(F.concat(F.lit("事業者定義("), (F.col("space") - 1).cast("string"), F.lit(")")))
+    codes = F.concat(F.lit("不明な"), space, F.lit("ジャンル("), F.col("level1").cast("string"), F.lit("-"), F.col("level2").cast("string"), F.lit(")"))
     return named.withColumn("label", F.coalesce(F.concat("main_name", F.lit(" - "), "sub_name"), codes))

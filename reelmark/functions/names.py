@@ -11,6 +11,7 @@ BACKSLASH, YEN = "\\", "￥"
 
 # Bits of the kinds of output files, by number (main or other) and content.
 OUT_KINDS = {"v": 1, "c": 2, "s": 4, "w": 8, "d": 16, "t": 32, "r": 64, "l": 128}
+# Fixed value: the grammar of what follows the main name of an output file.
 _TAIL = r"(-([0-9]+))?(_div([0-9]+))?(-cm)?(-nicojk-[0-9]+[ST])?(\..+)"
 
 
@@ -19,10 +20,12 @@ def escaped(name: Column, with_backslash: bool) -> Column:
 
 
 def suffix(n: Column) -> Column:
-    """'' for 0, then -A to -Z, and above 26 two digits of base 27 whose first letter is one further on; numbers below 729."""
-    letter = lambda code: F.char(65 + code)
-    one, two = letter(n % 27 - 1), F.concat(letter(F.floor(n / 27) % 27 - 1), letter(n % 27))
-    return F.when(n == 0, "").when(n < 27, F.concat(F.lit("-"), one)).otherwise(F.concat(F.lit("-"), two))
+    """'' for 0, else a dash and the digits of base 27: A to Z for 1 to 26 in the first place, A to [ for 0 to 26 in the others."""
+    places = [F.when(n == 0, "")]
+    for k in range(7):  # 27^7 is beyond an int
+        digits = [F.char(64 + F.floor(n / 27**k).cast("int"))] + [F.char(65 + F.floor(n / 27**j).cast("int") % 27) for j in range(k - 1, -1, -1)]
+        places[0] = places[0].when(n < 27 ** (k + 1), F.concat(F.lit("-"), *digits))
+    return places[0]
 
 
 def directory(path: Column) -> Column:
@@ -84,23 +87,24 @@ def flag_mask(flags: Column) -> Column:
     return F.aggregate(F.transform(flags, lambda f, k: F.when(f, F.expr("1")).otherwise(0) * F.pow(F.lit(2), k).cast("int")), F.lit(0), lambda t, x: t + x)
 
 
-def grouped_numbers(text: Column, size: int) -> Column:
-    """Numbers out of a text with several separators, blanks dropped, in groups of `size`; an incomplete last group is left out."""
-    numbers = F.transform(F.filter(F.split(text, "[,;: \t]+"), lambda x: x != ""), lambda x: x.try_cast("int"))
-    whole = F.floor(F.size(numbers) / size).cast("int")
-    return F.transform(F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.slice(numbers, k * size + 1, size))
+def grouped_numbers(text: Column, size: int, groups: int) -> Column:
+    """Numbers out of a text, between line ends and colons, blank ones dropped, as `groups` groups of `size`; null if they are more or fewer, or one isn't a number."""
+    parts = F.filter(F.split(text, "\r\n|\r|\n|:"), lambda x: F.trim(x) != "")
+    numbers = F.transform(parts, lambda x: F.trim(x).try_cast("int"))
+    whole = (F.size(numbers) == size * groups) & ~F.exists(numbers, lambda x: x.isNull())
+    return F.when(whole, F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda k: F.slice(numbers, k * size + 1, size)))
 
 
-def recording_title(time: Column, event: Column, service: Column) -> Column:
-    """`time_event _service.ts` where all three are known and the time is after the year 2000 began; else null."""
+def recording_title(time: Column, event: Column, service: Column, name: Column) -> Column:
+    """`time_event _service.ts`, both escaped, where all three are known and the time is after the year 2000 began; else the file's own name."""
     known = time.isNotNull() & (event != "") & (service != "") & (time > F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.when(known, F.concat(F.date_format(time, "yyyyMMddHHmm"), F.lit("_"), event, F.lit(" _"), service, F.lit(".ts")))
+    title = F.concat(F.date_format(time, "yyyyMMddHHmm"), F.lit("_"), escaped(event, True), F.lit(" _"), escaped(service, True), F.lit(".ts"))
+    return F.when(F.coalesce(known, F.lit(False)), title).otherwise(name)
 
 
 def snapped(start: Column, length: Column) -> list[Column]:
-    """An interval grown to even bounds."""
-    begin = F.floor(start / 2) * 2
-    return [begin, F.ceil((start + length) / 2) * 2 - begin]
+    """The even number at or below a start and the one at or above a length; the end may lie one before where it was."""
+    return [F.floor(start / 2) * 2, F.ceil(length / 2) * 2]
 
 
 def mac_bytes(text: Column) -> Column:

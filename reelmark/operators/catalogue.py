@@ -7,12 +7,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmark.functions.names import directory
+
 ACTIVE_STATES = ("Encoding", "LogoPending", "Queue")
+# The message of recordings that are too small, and what states and modes are called.
+TOO_SMALL = "映像が小さすぎます"
+STATE_TEXTS = {"Queue": "待ち", "Failed": "失敗", "PreFailed": "失敗", "LogoPending": "ペンディング", "Canceled": "キャンセル", "Complete": "完了"}
+MODE_TEXTS = {"AutoBatch": "自動追加", "Batch": "通常", "Test": "テスト", "DrcsCheck": "DRCSチェック", "CMCheck": "CM解析"}
 
 
 @dataclass
 class View:
-    """What a list of jobs shows; empty fields don't filter."""
+    """What a list of jobs shows; empty fields don't filter. start and end bound the time in which a job ran."""
 
     hide_small: bool = False
     priorities: list[int] = field(default_factory=list)
@@ -29,10 +35,8 @@ def priority_index(priority: Column) -> Column:
 
 
 def state_bucket(state: Column) -> Column:
-    """Queued and pending 0 and 1, running 2, failed of either kind 3, cancelled 4, done 5."""
-    return (
-        F.when(state == "Queue", 0).when(state == "LogoPending", 1).when(state == "Encoding", 2).when(state.isin("Failed", "PreFailed"), 3).when(state == "Canceled", 4).otherwise(5)
-    )
+    """Queued 0, pending 1, running 2, cancelled 3, done 4, failed of either kind 5; unknown states count as queued."""
+    return F.when(state == "LogoPending", 1).when(state == "Encoding", 2).when(state == "Canceled", 3).when(state == "Complete", 4).when(state.isin("Failed", "PreFailed"), 5).otherwise(0)
 
 
 def is_active(state: Column) -> Column:
@@ -43,11 +47,74 @@ def is_small(width: Column, height: Column) -> Column:
     return (width <= 320) | (height <= 260)
 
 
+def was_refused_as_small(state: Column, fail_reason: Column) -> Column:
+    return (state == "PreFailed") & F.contains(F.coalesce(fail_reason, F.lit("")), F.lit(TOO_SMALL))
+
+
+def is_batch(mode: Column) -> Column:
+    return mode.isin("Batch", "AutoBatch")
+
+
+def is_check(mode: Column) -> Column:
+    return mode.isin("DrcsCheck", "CMCheck")
+
+
+def is_test(mode: Column) -> Column:
+    return mode == "Test"
+
+
+def needs_separate_hash(mode: Column, hash_disabled: Column, path: Column) -> Column:
+    """A batch job of a file on another machine, unless its profile leaves hashes out."""
+    return (mode == "Batch") & ~hash_disabled & F.startswith(path, F.lit("\\\\"))
+
+
+def encode_finish(start: Column, seconds: Column) -> Column:
+    """Null if the job has no start or took no time yet."""
+    return F.when(seconds != 0, start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
+
+
+def state_text(state: Column, mode: Column, console: Column) -> Column:
+    doing = F.when(mode == "CMCheck", "CM解析中→").when(mode == "DrcsCheck", "DRCSチェック中→").otherwise("エンコード中→")
+    text = F.when(state == "Encoding", F.concat(doing, (console + 1).cast("string")))
+    for name, shown in STATE_TEXTS.items():
+        text = text.when(state == name, shown)
+    return text.otherwise("不明")
+
+
+def mode_text(mode: Column) -> Column:
+    text = F.when(F.lit(False), "")
+    for name, shown in MODE_TEXTS.items():
+        text = text.when(mode == name, shown)
+    return text.otherwise("不明モード")
+
+
+def displayed(jobs: DataFrame, now: Column) -> DataFrame:
+    """jobs: state, mode, console, fail_reason, width, height, start, seconds, service_name, service_id, ts_time, genres, path, dst_path. Adds what a queue shows of each."""
+    c = F.col
+    return jobs.select(
+        "*",
+        c("state").isin("Failed", "PreFailed").alias("is_error"),
+        was_refused_as_small(c("state"), c("fail_reason")).alias("is_too_small"),
+        F.coalesce(F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(c("start").cast("timestamp")), F.lit(0)).alias("elapsed_s"),
+        encode_finish(c("start"), c("seconds")).alias("finish"),
+        F.coalesce(F.array_join("genres", ", "), F.lit("")).alias("genre_text"),
+        F.concat(c("width").cast("string"), F.lit("x"), c("height").cast("string")).alias("size_text"),
+        state_text(c("state"), c("mode"), c("console")).alias("state_text"),
+        mode_text(c("mode")).alias("mode_text"),
+        F.concat("service_name", F.lit("("), c("service_id").cast("string"), F.lit(")")).alias("service_text"),
+        F.date_format("ts_time", "yyyy年MM月dd日").alias("time_text"),
+        directory(c("dst_path")).alias("out_dir"),
+    )
+
+
 def view(jobs: DataFrame, shown: View) -> DataFrame:
-    """jobs: state, priority, width, height, finish and the text fields. Every set part of the view must hold; the word must be in one of the fields, case and all."""
+    """jobs: state, priority, fail_reason, start, finish and the text fields. Every set part of the view must hold; the word must be in one of the fields, case and all.
+
+    A job without a finish ended before any start of the view, one without a start began before any end.
+    """
     out = jobs
     if shown.hide_small:
-        out = out.filter(~is_small(F.col("width"), F.col("height")))
+        out = out.filter(~was_refused_as_small(F.col("state"), F.col("fail_reason")))
     if shown.priorities:
         out = out.filter(priority_index(F.col("priority")).isin(*shown.priorities))
     if shown.buckets:
@@ -55,7 +122,7 @@ def view(jobs: DataFrame, shown: View) -> DataFrame:
     if shown.start:
         out = out.filter(F.col("finish") >= F.lit(shown.start).cast("timestamp_ntz"))
     if shown.end:
-        out = out.filter(F.col("finish") <= F.lit(shown.end).cast("timestamp_ntz"))
+        out = out.filter(F.coalesce(F.col("start") <= F.lit(shown.end).cast("timestamp_ntz"), F.lit(True)))
     if shown.word and shown.fields:
         found = F.lit(False)
         for name in shown.fields:
@@ -65,9 +132,9 @@ def view(jobs: DataFrame, shown: View) -> DataFrame:
 
 
 def progress(jobs: DataFrame, by: list[str]) -> DataFrame:
-    """(by, total, active, progress): done over all, both raised by 0.1 so that no job at all counts as done."""
-    counts = jobs.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(is_active(F.col("state"))).alias("active"))
-    return counts.withColumn("progress", (F.col("total") - F.col("active") + 0.1) / (F.col("total") + 0.1))
+    """(by, total, remaining, progress): done over all but jobs that can't start yet or ever, both raised by 0.1 so that no job at all counts as done."""
+    counts = jobs.groupBy(*by).agg(F.count_if(~F.col("state").isin("LogoPending", "PreFailed")).alias("total"), F.count_if(F.col("state").isin("Queue", "Encoding")).alias("remaining"))
+    return counts.withColumn("progress", (F.col("total") - F.col("remaining") + 0.1) / (F.col("total") + 0.1))
 
 
 def not_active(files: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
@@ -118,6 +185,31 @@ def channel_numbers(rows: DataFrame, parent: str, channel: str, order: list[str]
     return first.withColumn("number", F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1)
 
 
+def reloaded(jobs: DataFrame, queue: str, order: str) -> DataFrame:
+    """A saved queue as it is taken up again: waiting and running jobs start over, and jobs are numbered anew from 1 within their queue. jobs: queue, order, state, start, seconds."""
+    again = F.col("state").isin("Encoding", "Queue")
+    numbers = F.row_number().over(Window.partitionBy(queue).orderBy(order))
+    return jobs.withColumns(
+        {"state": F.when(again, "LogoPending").otherwise(F.col("state")), "start": F.when(~again, F.col("start")), "seconds": F.when(~again, F.col("seconds")), "number": numbers}
+    )
+
+
+def is_cleared(state: Column) -> Column:
+    """Jobs that clearing a queue takes out; the others are retained."""
+    return state.isin("Complete", "PreFailed")
+
+
+def add_if_absent(values: Column, added: Column) -> Column:
+    """An array with a value at its end unless it holds it already."""
+    return F.when(F.array_contains(values, added), values).otherwise(F.array_append(values, added))
+
+
+def checked_last(listed: DataFrame, services: DataFrame, key: str) -> DataFrame:
+    """(key, known): ids of a condition that no service has, then the services that are checked. listed: key, checked (boolean); services: key."""
+    gone = listed.join(services.select(key), key, "left_anti").select(key, F.lit(False).alias("known"))
+    return gone.union(listed.filter("checked").join(services.select(key), key, "left_semi").select(key, F.lit(True)))
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("k = 1").drop("k")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelmark.functions import names
+
 # The named errors of each kind; whatever else is counted is another error.
 DECODE_ERRORS = ("decode-packet-failed", "h264-pts-mismatch", "h264-unexpected-field")
 TIME_ERRORS = ("unknown-pts", "non-continuous-pts")
@@ -13,6 +15,14 @@ BUCKETS = ("decode", "time", "glyph", "other")
 # What each kind of error is called in a summary.
 ERROR_MESSAGES = ("デコードエラー", "時間処理エラー", "DRCSマッピングのない文字", "その他のエラー")
 
+# Names of masks of written outputs, what isn't known, the header of an export.
+OUTPUT_TEXTS = {1: "通常", 2: "CMをカット", 3: "通常+CMカット", 4: "CMのみ", 5: "通常+CM", 6: "本編とCMを分離", 7: "通常+本編+CM"}
+UNKNOWN = "不明"
+CSV_HEADER = (
+    "結果 メッセージ 入力ファイル 出力ファイル 出力ファイル数 エンコード開始 エンコード終了 エンコード時間（秒） 入力ファイル時間（秒） 出力ファイル時間（秒） インシデント数 入力ファイルサイズ 中間ファイルサイズ "
+    "出力ファイルサイズ 圧縮率（％） 入力音声フレーム 出力音声フレーム ユニーク出力音声フレーム 未出力音声割合(%) 平均音ズレ(ms) 最大音ズレ(ms) 最大音ズレ位置(ms)"
+).split()
+# The fields of a result document.
 RESULT = (
     "srcpath string, outfiles array<struct<path: string, subs: array<string>>>, logofiles array<string>, srcfilesize long, intvideofilesize long, outfilesize long, srcduration double, "
     "outduration double, error map<string, int>, audiodiff struct<totalsrcframes: int, totaloutframes: int, totaloutuniqueframes: int, notincludedper: double, avgdiff: double, maxdiff: double, maxdiffpos: double>, "
@@ -71,13 +81,58 @@ def mebibytes(size: Column) -> Column:
 
 def output_mask(mask: Column) -> Column:
     """What was written: 1 the whole, 2 without and 4 only the cuts, and their sums; unknown masks read as 1."""
-    names = {2: "without cuts", 3: "whole and without cuts", 4: "cuts only", 5: "whole and cuts", 6: "parts apart", 7: "all"}
-    out = F.lit("whole")
-    for value, name in names.items():
+    out = F.lit(OUTPUT_TEXTS[1])
+    for value, name in OUTPUT_TEXTS.items():
         out = F.when(mask == value, name).otherwise(out)
     return out
 
 
+def flag_glyph(flag: Column) -> Column:
+    return F.when(flag, "○").otherwise("☓")
+
+
+def day_text(time: Column) -> Column:
+    """Year, month and day without leading zeros; a null time is unknown."""
+    return F.coalesce(F.date_format(time, "yyyy年M月d日"), F.lit(UNKNOWN))
+
+
+def check_text(kind: Column) -> Column:
+    return F.when(kind == "CM", "CM解析").when(kind == "DRCS", "DRCSチェック").otherwise(UNKNOWN)
+
+
+def labelled(log: DataFrame) -> DataFrame:
+    """log: src_path, out_path, chapter, nicojk, trim_avs, audio_diff. Adds file columns, the number of outputs, flags and the figures of the sound, null where there are none."""
+    c = F.col
+    audio = lambda name: c("audio_diff")[name]
+    return log.select(
+        "*",
+        names.directory(c("src_path")).alias("src_dir"),
+        names.base_name(c("src_path")).alias("src_name"),
+        F.when(F.size("out_path") > 0, names.directory(F.get("out_path", 0))).otherwise("-").alias("out_dir"),
+        F.transform("out_path", names.base_name).alias("out_names"),
+        F.when(c("out_path").isNull(), "-").otherwise(F.size("out_path").cast("string")).alias("out_num"),
+        *[flag_glyph(c(x)).alias(f"{x}_glyph") for x in ("chapter", "nicojk", "trim_avs")],
+        audio("totalsrcframes").alias("src_frames"),
+        audio("totaloutframes").alias("out_frames"),
+        F.round(audio("notincludedper"), 3).alias("sound_not_included"),
+        *[F.round(audio(x), 2).alias(y) for x, y in (("avgdiff", "avg_diff"), ("maxdiff", "max_diff"), ("maxdiffpos", "max_diff_pos"))],
+    )
+
+
+def csv_fields(log: DataFrame) -> list[Column]:
+    """The 22 fields of an exported row, in the order of CSV_HEADER. log: as in figures() and labelled(), with reason."""
+    c = F.col
+    gui = lambda x: F.date_format(x, "yyyy/MM/dd HH:mm:ss")
+    seconds = (F.unix_micros(c("finish").cast("timestamp")) - F.unix_micros(c("start").cast("timestamp"))) / 1e6
+    sound = [F.coalesce(c("audio_diff")[x].cast("string"), F.lit("0")) for x in ("totalsrcframes", "totaloutframes", "totaloutuniqueframes", "notincludedper", "avgdiff", "maxdiff", "maxdiffpos")]
+    fields = [
+        result_mark(c("success"), c("incident")), F.coalesce("reason", F.lit("")), c("src_path"), F.coalesce(F.array_join("out_path", ":"), F.lit("-")), F.coalesce(F.size("out_path"), F.lit(0)).cast("string"),
+        gui("start"), gui("finish"), seconds.cast("string"), c("src_s").cast("string"), c("out_s").cast("string"), c("incident").cast("string"),
+        c("src_size").cast("string"), c("int_size").cast("string"), c("out_size").cast("string"), F.format_string("%.2f", per_cent(c("out_size"), c("src_size"))), *sound,
+    ]
+    return [f.alias(name) for f, name in zip(fields, CSV_HEADER, strict=True)]
+
+
 def age_text(seconds: Column) -> Column:
     """How long ago in the largest unit that isn't below 1, exact bounds in the smaller one."""
     whole = lambda x: F.floor(x).cast("long").cast("string")
@@ -105,9 +160,9 @@ def figures(log: DataFrame) -> DataFrame:
         F.round(encode_speed(c("src_s"), seconds), 3).alias("speed"),
         F.round(megabits(c("src_size"), c("src_s")), 3).alias("src_mbps"),
         F.round(megabits(c("out_size"), c("out_s")), 3).alias("out_mbps"),
-        F.coalesce(F.try_element_at("logo_files", F.lit(1)), F.lit("none")).alias("logo"),
+        F.coalesce(F.try_element_at("logo_files", F.lit(1)), F.lit("なし")).alias("logo"),
         output_mask(c("output_mask")).alias("output"),
         F.concat(c("service_name"), F.lit("("), c("service_id").cast("string"), F.lit(")")).alias("service"),
-        F.coalesce(F.date_format("ts_time", "yyyy/MM/dd HH:mm:ss"), F.lit("unknown")).alias("recorded"),
+        day_text(c("ts_time")).alias("recorded"),
         F.array_join("tags", " ").alias("tag_text"),
     )

@@ -36,6 +36,22 @@ def tier(priority: Column) -> Column:
     return F.when(priority >= 5, 0).when(priority >= 2, 1).otherwise(2)
 
 
+def clamped(priority: Column) -> Column:
+    """The priority that a job is queued with."""
+    return F.greatest(F.lit(1), F.least(F.lit(5), priority))
+
+
+def is_misplaced(priority: Column, key: Column, own_priority: Column, own_key: Column) -> Column:
+    """A job stands under a priority or resource key that is no longer its own."""
+    return (priority != own_priority) | (key != own_key)
+
+
+def next_in_order(jobs: DataFrame, groups: list[str]) -> DataFrame:
+    """The job that goes next where resources don't count: of the highest priority the head of the resource key that was queued first, which is the job queued first."""
+    rest = [c for c in jobs.columns if c not in groups]
+    return jobs.groupBy(*groups).agg(F.min_by(F.struct(*rest), F.struct(-F.col("priority"), F.col("position"))).alias("next")).select(*groups, "next.*")
+
+
 def heads(jobs: DataFrame, groups: list[str]) -> DataFrame:
     """jobs: groups, resource_key, priority, position, cost and item. The first job of each resource key: highest priority, then position."""
     order = F.struct(-F.col("priority"), F.col("position"))
@@ -53,14 +69,16 @@ def next_jobs(jobs: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def admitted(waiting: DataFrame, groups: list[str]) -> DataFrame:
-    """Adds `admitted`: a request fits, and no waiting one of its group costs less."""
-    least = F.min("cost").over(Window.partitionBy(*groups))
-    return waiting.withColumn("admitted", (F.col("cost") <= 0) & (F.col("cost") <= least))
+    """Adds `admitted`: a request fits, and no waiting one of its group costs less. Groups may be few and large, so their least costs are an aggregate, joined back."""
+    least = waiting.groupBy(*groups).agg(F.min("cost").alias("least_cost"))
+    return waiting.join(least, groups).withColumn("admitted", (F.col("cost") <= 0) & (F.col("cost") <= F.col("least_cost"))).drop("least_cost")
 
 
 def moved(jobs: DataFrame, groups: list[str], moves: DataFrame) -> DataFrame:
-    """jobs: groups, item, position from 0; moves: groups, item, to, one a group at most. Positions after the item was taken out and put in at `to`."""
-    target = moves.select(*groups, F.col("item").alias("moved_item"), "to").join(jobs.select(*groups, F.col("item").alias("moved_item"), F.col("position").alias("from")), [*groups, "moved_item"])
+    """jobs: groups, item, position from 0; moves: groups, item, to, one a group at most. Positions after the item was taken out and put in at `to`; a place that the list doesn't have is refused."""
+    sizes = jobs.groupBy(*groups).agg(F.count("*").alias("size"))
+    allowed = moves.join(sizes, groups).filter((F.col("to") >= 0) & (F.col("to") < F.col("size")))
+    target = allowed.select(*groups, F.col("item").alias("moved_item"), "to").join(jobs.select(*groups, F.col("item").alias("moved_item"), F.col("position").alias("from")), [*groups, "moved_item"])
     both = jobs.join(target, groups, "left")
     position, start, to = F.col("position"), F.col("from"), F.col("to")
     shifted = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGEST_CHARS = 128
+# The log line of an unmapped glyph, and the line of an interval list.
 _GLYPH = r"\[字幕\] 映像時刻([0-9]+)分([0-9]+)秒付近にマッピングのないDRCS外字があります。追加してください -> .*[/\\]([0-9A-F]+)\.bmp"
 _SECTION = r"^\s*([0-9]+)\s+(\S)\s+([0-9]+)\s+(\S+)\s+([0-9]+)\s+([0-9]+)"
 

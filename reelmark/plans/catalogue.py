@@ -13,6 +13,9 @@ from reelmark.operators import catalogue, rules, scheduling
 from reelmark.sources.tables import table
 
 AUTO = rules.AUTO_PREFIX
+#: The moment at which a list is looked at.
+NOW = "2001-01-01 12:00:00"
+MODES = ("Batch", "AutoBatch", "Test", "DrcsCheck", "CMCheck")
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,27 +28,71 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 5 == 2, "Canceled")
         .otherwise("Complete")
     )
+    started = ~state.isin("Queue", "LogoPending", "PreFailed")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("source"),
         state.alias("state"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
+        F.element_at(F.array(*map(F.lit, MODES)), (key % 5 + 1).cast("int")).alias("mode"),
+        F.when(key % 3 == 0, f"{catalogue.TOO_SMALL}(320x180)").otherwise("TS").alias("fail_reason"),
+        F.when(started, F.col("o_orderdate")).alias("start"),
+        F.when(key % 5 > 0, key % 5000 * 60).otherwise(0).alias("seconds"),
+        (key % 4).cast("int").alias("console"),
         (key % 9 * 240).cast("int").alias("width"),
         (key % 5 * 270).cast("int").alias("height"),
-        F.col("o_orderdate").alias("finish"),
+        F.col("o_orderdate").alias("ts_time"),
         F.col("o_orderpriority").alias("profile_name"),
+        F.concat(F.when(key % 2 == 0, "\\\\nas\\").otherwise("C:\\"), F.lit("rec_"), key.cast("string"), F.lit(".ts")).alias("path"),
+        F.concat(F.lit("/out/"), (key % 6).cast("string"), F.lit("/rec_"), key.cast("string")).alias("dst_path"),
+        (key % 3 == 0).alias("hash_disabled"),
+        F.when(key % 4 > 0, F.array(F.concat(F.lit("genre"), (key % 11).cast("string")))).alias("genres"),
         F.concat(F.lit("rec_"), key.cast("string"), F.lit(".ts")).alias("file_name"),
         (key % 25).cast("int").alias("service_id"),
+        F.concat(F.lit("S"), (key % 25).cast("string")).alias("service_name"),
     )
 
 
 def queue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = catalogue.View(True, [0, 1, 2], [0, 1, 3, 5], "1995-01-01 00:00:00", "1999-06-30 00:00:00", "7", ["file_name", "profile_name"])
-    return catalogue.view(_jobs(spark, sf_dir), shown).select("id", "state", "priority", "finish", "file_name")
+    """The word is looked for in all six fields that a list can search."""
+    fields = ["file_name", "service_name", "profile_name", "genre_text", "state_text", "mode_text"]
+    shown = catalogue.View(True, [0, 1, 2], [2, 3, 5], "1995-01-01 00:00:00", "1999-06-30 00:00:00", "7", fields)
+    jobs = catalogue.displayed(_jobs(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
+    return catalogue.view(jobs, shown).select("id", "state", "priority", "start", "finish", "file_name")
+
+
+def queue_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a queue shows of each job, and what its mode allows."""
+    jobs = catalogue.displayed(_jobs(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
+    mode = F.col("mode")
+    return jobs.select(
+        "id", "is_error", "is_too_small", "elapsed_s", "finish", "genre_text", "size_text", "state_text", "mode_text", "service_text", "time_text", "out_dir",
+        catalogue.is_batch(mode).alias("is_batch"), catalogue.is_check(mode).alias("is_check"), catalogue.is_test(mode).alias("is_test"), catalogue.is_small(F.col("width"), F.col("height")).alias("is_one_seg"),
+        catalogue.needs_separate_hash(mode, F.col("hash_disabled"), F.col("path")).alias("separate_hash"),
+    )
+
+
+def queue_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's jobs as a saved queue that is taken up again."""
+    return catalogue.reloaded(_jobs(spark, sf_dir), "source", "id").select("source", "id", "number", "state", "start", "seconds", catalogue.is_cleared(F.col("state")).alias("cleared"))
+
+
+def cleared_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clearing takes out of each source's queue, and what stays in its order, numbered from 0."""
+    jobs = _jobs(spark, sf_dir).withColumn("cleared", catalogue.is_cleared(F.col("state")))
+    order = Window.partitionBy("source", "cleared").orderBy("id")
+    return jobs.select("source", "id", "cleared", F.when(~F.col("cleared"), F.row_number().over(order) - 1).alias("position"))
+
+
+def condition_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as services of which the first fifteen are known; every second one of all, and ids without a service, are on a condition's list."""
+    nation = table(spark, sf_dir, "nation")
+    listed = nation.select((F.col("n_nationkey") * 2).alias("service_id"), (F.col("n_nationkey") % 3 > 0).alias("checked"))
+    return catalogue.checked_last(listed, nation.filter("n_nationkey < 15").select(F.col("n_nationkey").alias("service_id")), "service_id")
 
 
 def queue_active_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.progress(_jobs(spark, sf_dir), ["priority"]).select("priority", "total", "active", F.round("progress", 9).alias("progress"))
+    return catalogue.progress(_jobs(spark, sf_dir), ["priority"]).select("priority", "total", "remaining", F.round("progress", 9).alias("progress"))
 
 
 def exclude_active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +101,11 @@ def exclude_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as items, nations as services; a service is only known below 20, one of name '' counts as not found."""
-    services = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_nationkey", "n_name")
+    """Suppliers as items, nations as services: pairs of them share an id, of which the first in the list counts, and id 0 is none; an item of no service is unknown."""
+    services = table(spark, sf_dir, "nation").select(F.floor(F.col("n_nationkey") / 2).cast("int").alias("id"), "n_nationkey", "n_name")
+    first = catalogue.first_of(services.filter("id <> 0"), ["id"], ["n_nationkey"]).select("id", "n_name")
     items = table(spark, sf_dir, "supplier")
-    return items.join(services, items["s_nationkey"] == services["n_nationkey"], "left").select("s_suppkey", F.coalesce("n_nationkey", F.lit(-1)).alias("service_id"), F.coalesce("n_name", F.lit("")).alias("service_name"))
+    return items.join(first, items["s_nationkey"] == first["id"], "left").select("s_suppkey", F.coalesce("n_name", F.lit("不明")).alias("service_name"))
 
 
 def _logo_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +127,7 @@ def _logo_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _timed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unknown = F.when(F.col("id") % 50 != 0, F.col("finish"))
+    unknown = F.when(F.col("id") % 50 != 0, F.col("ts_time"))
     return _jobs(spark, sf_dir).select("id", "service_id", unknown.alias("ts_time"))
 
 
@@ -169,6 +217,14 @@ def gpu_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waiting.select("id", "service_id", "gpu_index", "cost", "admitted")
 
 
+def schedule_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next job of each service without regard to resources, and how many jobs no longer stand where their priority and resources put them."""
+    jobs = _requests(spark, sf_dir).withColumn("asked", F.col("priority") * 2 - 4)
+    moved = scheduling.is_misplaced(F.col("id") % 5 + 1, F.col("resource_key") - F.col("id") % 2, scheduling.clamped(F.col("asked")), F.col("resource_key"))
+    counts = jobs.groupBy("service_id").agg(F.count_if(moved).alias("misplaced"))
+    return scheduling.next_in_order(jobs.withColumn("priority", scheduling.clamped(F.col("asked"))), ["service_id"]).select("service_id", "id", "priority", "resource_key").join(counts, "service_id")
+
+
 def sibling_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = catalogue.sibling_outcome(_jobs(spark, sf_dir), "source")
     return out.select("id", "source", "any_active", "any_complete", "any_failed", "none_canceled")
@@ -186,12 +242,13 @@ def multi_channel_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each priority's jobs renumbered from 0, then the job at a third of the list moved to its end, in lists of all services."""
-    order = Window.partitionBy("service_id", "priority").orderBy("id")
-    jobs = _jobs(spark, sf_dir).select("service_id", "priority", F.col("id").alias("item"), (F.row_number().over(order) - 1).cast("long").alias("position"))
-    sizes = jobs.groupBy("service_id", "priority").agg(F.count("*").alias("n"))
-    moves = jobs.join(sizes, ["service_id", "priority"]).filter(F.col("position") == F.floor(F.col("n") / 3)).select("service_id", "priority", "item", (F.col("n") - 1).alias("to"))
-    return scheduling.moved(jobs, ["service_id", "priority"], moves)
+    """Each source's jobs numbered from 0, then the one at a third of the list moved to its end; sources of even number ask for a place beyond it, which is refused."""
+    order = Window.partitionBy("source").orderBy("id")
+    jobs = _jobs(spark, sf_dir).select("source", F.col("id").alias("item"), (F.row_number().over(order) - 1).cast("long").alias("position"))
+    sizes = jobs.groupBy("source").agg(F.count("*").alias("n"))
+    to = F.when(F.col("source") % 2 == 0, F.col("n")).otherwise(F.col("n") - 1)
+    moves = jobs.join(sizes, "source").filter(F.col("position") == F.floor(F.col("n") / 3)).select("source", "item", to.alias("to"))
+    return scheduling.moved(jobs, ["source"], moves)
 
 
 def free_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +267,22 @@ _JOBS = """jobs AS (
   SELECT o_orderkey AS id, o_custkey AS source,
     CASE WHEN o_orderstatus = 'O' THEN 'Queue' WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Encoding' ELSE 'LogoPending' END
       WHEN o_orderkey % 5 = 0 THEN 'Failed' WHEN o_orderkey % 5 = 1 THEN 'PreFailed' WHEN o_orderkey % 5 = 2 THEN 'Canceled' ELSE 'Complete' END AS state,
-    cast(left(o_orderpriority, 1) AS INT) AS priority, o_orderkey % 9 * 240 AS width, o_orderkey % 5 * 270 AS height, o_orderdate AS finish, o_orderpriority AS profile_name,
+    cast(left(o_orderpriority, 1) AS INT) AS priority, o_orderkey % 9 * 240 AS width, o_orderkey % 5 * 270 AS height, o_orderdate AS ts_time, o_orderpriority AS profile_name,
     concat('rec_', o_orderkey, '.ts') AS file_name, cast(o_orderkey % 25 AS INT) AS service_id
   FROM orders)"""
+# What a list shows, each text spelt out as the service's own list does.
+_SHOWN = (
+    _JOBS
+    + """
+, timed AS (
+  SELECT *, CASE WHEN state IN ('Encoding', 'Complete', 'Failed', 'Canceled') THEN ts_time END AS start, CASE WHEN id % 5 > 0 THEN id % 5000 * 60 ELSE 0 END AS seconds FROM jobs)
+, shown AS (
+  SELECT *, CASE WHEN seconds <> 0 THEN start + to_seconds(seconds) END AS finish, state = 'PreFailed' AND id % 3 = 0 AS is_too_small,
+    CASE WHEN id % 4 > 0 THEN concat('genre', id % 11) ELSE '' END AS genre_text, concat('S', service_id) AS service_name,
+    CASE state WHEN 'Queue' THEN '待ち' WHEN 'Encoding' THEN concat(CASE id % 5 WHEN 4 THEN 'CM解析中→' WHEN 3 THEN 'DRCSチェック中→' ELSE 'エンコード中→' END, id % 4 + 1)
+      WHEN 'Failed' THEN '失敗' WHEN 'PreFailed' THEN '失敗' WHEN 'LogoPending' THEN 'ペンディング' WHEN 'Canceled' THEN 'キャンセル' ELSE '完了' END AS state_text,
+    ['通常', '自動追加', 'テスト', 'DRCSチェック', 'CM解析'][id % 5 + 1] AS mode_text FROM timed)"""
+)
 _ACTIVE = "state IN ('Encoding', 'LogoPending', 'Queue')"
 _SETTINGS = (
     _JOBS
@@ -221,7 +291,7 @@ _SETTINGS = (
   SELECT n_nationkey AS service_id, CASE WHEN (n_nationkey + k) % 3 = 0 THEN 'NO_LOGO' ELSE concat('SID', n_nationkey, '-', k, '.lgd') END AS file_name,
     (n_nationkey + k) % 7 <> 0 AND (n_nationkey + 2 * k) % 5 <> 0 AS usable, make_date(1994 + k, n_nationkey % 12 + 1, 1) AS a, make_date(1994 + k, n_nationkey % 12 + 1, 1) + 300 AS b
   FROM nation, range(6) t(k))
-, timed AS (SELECT id, service_id, CASE WHEN id % 50 <> 0 THEN finish END AS t FROM jobs)"""
+, timed AS (SELECT id, service_id, CASE WHEN id % 50 <> 0 THEN ts_time END AS t FROM jobs)"""
 )
 _RECORDINGS = """recordings AS (
   SELECT p_partkey AS id, p_type AS tag, p_name AS file_name, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 7 END AS g1, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 3 END AS g2,
@@ -252,24 +322,26 @@ _REQUESTS = (
 _LISTS = (
     _JOBS
     + """
-, lists AS (SELECT service_id, priority, id AS item, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY service_id, priority) AS n FROM jobs WINDOW w AS (PARTITION BY service_id, priority ORDER BY id))"""
+, lists AS (SELECT source, id AS item, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY source) AS n FROM jobs WINDOW w AS (PARTITION BY source ORDER BY id))"""
 )
 
 QUERIES = {
     f.__name__: f
     for f in (
         queue_view, queue_active_progress, exclude_active, service_lookup, valid_logo_semi, valid_logo_all, rule_assignment, profile_resolution, schedule_next, schedule_order, gpu_headroom,
-        sibling_outcome, mru_history, multi_channel_seq, queue_move, free_index, cross_outputs,
+        queue_display, queue_reload, cleared_queue, condition_services, schedule_off, sibling_outcome, mru_history, multi_channel_seq, queue_move, free_index, cross_outputs,
     )
 }
 ORACLE_SQL = {
-    "queue_view": f"""WITH {_JOBS} SELECT id, state, priority, finish, file_name FROM jobs
-WHERE NOT (width <= 320 OR height <= 260) AND greatest(0, least(4, priority - 1)) IN (0, 1, 2) AND state IN ('Queue', 'LogoPending', 'Failed', 'PreFailed', 'Complete')
-  AND finish >= TIMESTAMP '1995-01-01' AND finish <= TIMESTAMP '1999-06-30' AND (contains(file_name, '7') OR contains(profile_name, '7'))""",
-    "queue_active_progress": f"""WITH {_JOBS} SELECT priority, count(*) AS total, count(*) FILTER ({_ACTIVE}) AS active,
-  round((count(*) FILTER (NOT {_ACTIVE}) + 0.1::DOUBLE) / (count(*) + 0.1::DOUBLE), 9) AS progress FROM jobs GROUP BY priority""",
+    "queue_view": f"""WITH {_SHOWN} SELECT id, state, priority, start, finish, file_name FROM shown
+WHERE NOT is_too_small AND greatest(0, least(4, priority - 1)) IN (0, 1, 2) AND state IN ('Encoding', 'Canceled', 'Failed', 'PreFailed')
+  AND NOT finish < TIMESTAMP '1995-01-01' AND NOT coalesce(start > TIMESTAMP '1999-06-30', false)
+  AND (contains(file_name, '7') OR contains(service_name, '7') OR contains(profile_name, '7') OR contains(genre_text, '7') OR contains(state_text, '7') OR contains(mode_text, '7'))""",
+    "queue_active_progress": f"""WITH {_JOBS}, c AS (
+  SELECT priority, count(*) FILTER (state <> 'LogoPending' AND state <> 'PreFailed') AS total, count(*) FILTER (state = 'Queue' OR state = 'Encoding') AS remaining FROM jobs GROUP BY priority)
+SELECT *, round((total - remaining + 0.1::DOUBLE) / (total + 0.1::DOUBLE), 9) AS progress FROM c""",
     "exclude_active": f"WITH {_JOBS} SELECT c_custkey AS source, c_name AS path FROM customer WHERE c_custkey NOT IN (SELECT source FROM jobs WHERE {_ACTIVE} AND source IS NOT NULL)",
-    "service_lookup": "SELECT s_suppkey, coalesce(n_nationkey, -1) AS service_id, coalesce(n_name, '') AS service_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20",
+    "service_lookup": """SELECT s_suppkey, coalesce((SELECT n_name FROM nation WHERE n_nationkey // 2 = s_nationkey AND s_nationkey <> 0 ORDER BY n_nationkey LIMIT 1), '不明') AS service_name FROM supplier""",
     "valid_logo_semi": f"WITH {_SETTINGS} SELECT id, service_id FROM timed WHERE EXISTS (SELECT 1 FROM settings s WHERE s.service_id = timed.service_id AND usable AND (t IS NULL OR t BETWEEN a AND b))",
     "valid_logo_all": f"""WITH {_SETTINGS} SELECT timed.id, coalesce(string_agg(CASE WHEN file_name <> 'NO_LOGO' THEN file_name END, ';' ORDER BY file_name), '') AS files, coalesce(bool_or(file_name = 'NO_LOGO'), false) AS allows_none
 FROM timed LEFT JOIN settings s ON s.service_id = timed.service_id AND usable AND (t IS NULL OR t BETWEEN a AND b) GROUP BY timed.id""",
@@ -291,7 +363,18 @@ FROM timed LEFT JOIN settings s ON s.service_id = timed.service_id AND usable AN
   SELECT l_orderkey, l_partkey % 4 AS pid, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 4 ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1)
 , n AS (SELECT l_orderkey, pid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS number FROM firsts)
 SELECT l_orderkey, pid, number, CASE WHEN number > 0 THEN concat('-multi', number) ELSE '' END AS suffix FROM n""",
-    "queue_move": f"""WITH {_LISTS} SELECT service_id, priority, item, row_number() OVER (PARTITION BY service_id, priority ORDER BY position = n // 3, position) - 1 AS position FROM lists""",
+    "queue_move": f"""WITH {_LISTS} SELECT source, item, row_number() OVER (PARTITION BY source ORDER BY source % 2 = 1 AND position = n // 3, position) - 1 AS position FROM lists""",
+    "queue_display": f"""WITH {_SHOWN} SELECT id, state IN ('Failed', 'PreFailed') AS is_error, is_too_small, coalesce(date_diff('second', start, TIMESTAMP '2001-01-01 12:00:00'), 0) AS elapsed_s, finish, genre_text,
+  concat(width, 'x', height) AS size_text, state_text, mode_text, concat(service_name, '(', service_id, ')') AS service_text, strftime(ts_time, '%Y年%m月%d日') AS time_text, concat('/out/', id % 6) AS out_dir,
+  id % 5 < 2 AS is_batch, id % 5 > 2 AS is_check, id % 5 = 2 AS is_test, width <= 320 OR height <= 260 AS is_one_seg, id % 5 = 0 AND id % 3 <> 0 AND id % 2 = 0 AS separate_hash FROM shown""",
+    "queue_reload": f"""WITH {_SHOWN} SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS number, CASE WHEN state IN ('Encoding', 'Queue') THEN 'LogoPending' ELSE state END AS state,
+  CASE WHEN state NOT IN ('Encoding', 'Queue') THEN start END AS start, CASE WHEN state NOT IN ('Encoding', 'Queue') THEN seconds END AS seconds, state IN ('Complete', 'PreFailed') AS cleared FROM shown""",
+    "cleared_queue": f"""WITH {_JOBS}, c AS (SELECT source, id, state IN ('Complete', 'PreFailed') AS cleared FROM jobs)
+SELECT source, id, cleared, CASE WHEN NOT cleared THEN (SELECT count(*) FROM c o WHERE o.source = c.source AND NOT o.cleared AND o.id < c.id) END AS position FROM c""",
+    "condition_services": """SELECT n_nationkey * 2 AS service_id, n_nationkey * 2 < 15 AS known FROM nation WHERE n_nationkey * 2 >= 15 OR n_nationkey % 3 > 0""",
+    "schedule_off": f"""WITH {_REQUESTS}, o AS (SELECT service_id, id, resource_key, greatest(1, least(5, priority * 2 - 4)) AS priority FROM requests)
+, m AS (SELECT service_id, count(*) FILTER (id % 5 + 1 <> priority OR id % 2 <> 0) AS misplaced FROM o GROUP BY service_id)
+SELECT service_id, id, priority, resource_key, misplaced FROM (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY priority DESC, id) AS k FROM o) JOIN m USING (service_id) WHERE k = 1""",
     "free_index": """WITH used AS (SELECT DISTINCT l_orderkey, l_linenumber - 1 AS slot FROM lineitem WHERE (l_linenumber - 1) % 3 <> 1)
 SELECT k.l_orderkey, min(s) AS free FROM (SELECT DISTINCT l_orderkey FROM used) k, range(20) t(s) WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.l_orderkey = k.l_orderkey AND u.slot = s) GROUP BY k.l_orderkey""",
     "cross_outputs": f"""WITH {_JOBS} SELECT id, profile, concat(dst, '/', id) AS path FROM jobs, (VALUES ('main', '/out/a'), ('mobile', '/out/b'), ('archive', '/out/c')) o(profile, dst) WHERE state = 'Queue'""",
