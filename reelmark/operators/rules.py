@@ -23,27 +23,42 @@ def genre_matches(genres: Column, wanted: Column) -> Column:
     return F.coalesce((F.size(genres) > 0) & hit, F.lit(False))
 
 
-def assign(items: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """Adds profile and priority of the first rule of the item's rule_set that holds; null and 0 if none does.
+def rule_lists(rules: DataFrame) -> DataFrame:
+    """(rule_set, rule_list): the rules of each set in their order. Sets are what people write and read, so a list fits in a row."""
+    rest = [c for c in rules.columns if c not in ("rule_set", "seq")]
+    return rules.groupBy("rule_set").agg(F.array_sort(F.collect_list(F.struct("seq", *rest))).alias("rule_list"))
 
-    items: key, rule_set, tags, file_name, genres, service_id, width. Rules are joined on their rule set, so the pairs made are items times
-    the rules of one set, which people write and read; the least passing number of each item is an aggregate without a sort.
+
+def first_rule(rule_list: Column, item: dict[str, Column]) -> Column:
+    """The first rule of a list whose enabled tests all hold for an item; null if none does or there is no list."""
+
+    def passes(rule: Column) -> Column:
+        test = lambda enabled, holds: ~rule[enabled] | F.coalesce(holds, F.lit(False))
+        return (
+            test("tag_enabled", F.array_contains(item["tags"], rule["tag"]))
+            & test("file_name_enabled", F.contains(item["file_name"], rule["file_name"]))
+            & test("content_enabled", genre_matches(item["genres"], rule["contents"]))
+            & test("service_enabled", F.array_contains(rule["service_ids"], item["service_id"]))
+            & test("size_enabled", F.array_contains(rule["sizes"], size_bucket(item["width"])))
+        )
+
+    return F.get(F.filter(rule_list, passes), 0)
+
+
+def assign(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds profile and priority of the first rule of the item's rule_set that holds, null and 0 if none does, and known_set, whether there is such a set.
+
+    items: rule_set, tags, file_name, genres, service_id, width. Each set is one row, joined to its items; an item then goes through its own
+    set's rules in order, so items are neither multiplied nor grouped.
     """
-    pairs = items.alias("i").join(rules.alias("r"), "rule_set")
-    test = lambda enabled, holds: ~F.col(f"r.{enabled}") | F.coalesce(holds, F.lit(False))
-    passes = (
-        test("tag_enabled", F.array_contains("i.tags", F.col("r.tag")))
-        & test("file_name_enabled", F.contains("i.file_name", "r.file_name"))
-        & test("content_enabled", genre_matches(F.col("i.genres"), F.col("r.contents")))
-        & test("service_enabled", F.array_contains("r.service_ids", F.col("i.service_id")))
-        & test("size_enabled", F.array_contains("r.sizes", size_bucket(F.col("i.width"))))
-    )
-    first = pairs.filter(passes).groupBy(key).agg(F.min_by(F.struct("r.profile", "r.priority"), "r.seq").alias("hit"))
-    return items.join(first, key, "left").select(*[items[c] for c in items.columns], F.col("hit.profile").alias("profile"), F.coalesce("hit.priority", F.lit(0)).alias("priority"))
+    listed = items.join(rule_lists(rules), "rule_set", "left")
+    hit = first_rule(F.col("rule_list"), {c: F.col(c) for c in ("tags", "file_name", "genres", "service_id", "width")})
+    found = listed.withColumn("hit", hit)
+    return found.select(*items.columns, F.col("hit.profile").alias("profile"), F.coalesce("hit.priority", F.lit(0)).alias("priority"), F.col("rule_list").isNotNull().alias("known_set"))
 
 
-def resolve(items: DataFrame, rules: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
-    """items: key, requested and the columns of assign() but rule_set. Adds profile, priority and fail_reason.
+def resolve(items: DataFrame, rules: DataFrame, profiles: DataFrame) -> DataFrame:
+    """items: requested and the columns of assign() but rule_set. Adds profile, priority and fail_reason.
 
     A requested name with the prefix of automatic choice goes through the rule set named after it, others are profiles. Names of rule sets and
     profiles are compared without regard to case. Missing set, no rule that holds and missing profile are told apart.
@@ -51,13 +66,12 @@ def resolve(items: DataFrame, rules: DataFrame, profiles: DataFrame, key: str) -
     auto = F.startswith("requested", F.lit(AUTO_PREFIX))
     routed = items.withColumn("is_auto", auto).withColumn("rule_set", F.lower(F.when(auto, F.expr(f"substring(requested, {len(AUTO_PREFIX) + 1})"))))
     lowered = rules.withColumn("rule_set", F.lower("rule_set"))
-    known = lowered.select(F.col("rule_set").alias("known_set")).distinct()
-    chosen = assign(routed, lowered, key).join(known, F.col("rule_set") == F.col("known_set"), "left")
+    chosen = assign(routed, lowered)
     name = F.when(F.col("is_auto"), F.col("profile")).otherwise(F.col("requested"))
     named = chosen.withColumn("name", F.lower(name))
     found = named.join(profiles.select(F.lower("profile_name").alias("found"), F.col("profile_name")), F.col("name") == F.col("found"), "left")
     reason = (
-        F.when(F.col("is_auto") & F.col("known_set").isNull(), "no such rule set")
+        F.when(F.col("is_auto") & ~F.col("known_set"), "no such rule set")
         .when(F.col("is_auto") & F.col("profile").isNull(), "no rule holds")
         .when(F.col("found").isNull(), "no such profile")
         .otherwise("")

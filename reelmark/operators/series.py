@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmark.sources.storage import stored
+
 #: A score this far from zero tells on from off; the min-max test asks for more.
 THRESHOLD, MINMAX_THRESHOLD = 0.2, 0.5
 OFF, UNKNOWN, ON = 0, 1, 2
@@ -67,7 +69,8 @@ def sections(labels: DataFrame) -> DataFrame:
 
     An interval opens at the first on-label and closes at the next off-label; unknown frames keep the state. Both ends are then moved to
     where the smoothed score crosses its threshold, and start and best points are searched from there. Every search is a running
-    minimum or maximum over the series, looked up at one row, so a series is passed over once whatever its number of intervals.
+    minimum or maximum over the series, looked up at one row, so a series is passed over once whatever its number of intervals. The
+    frames with what was found are written once; the look-ups read them beside the edges, which are few.
     """
     by = Window.partitionBy("series_id").orderBy("n")
     past, ahead = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
@@ -80,7 +83,7 @@ def sections(labels: DataFrame) -> DataFrame:
     is_end = F.col("n") == F.col("frames")
     ended = ended.withColumn("score", F.when(~is_end, score)).withColumn("label", F.when(~is_end, F.col("label")))
     latch = F.coalesce(F.last(F.when(F.col("label") != UNKNOWN, F.col("label")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(OFF))
-    frames = ended.select(
+    frames = stored(ended.select(
         "series_id",
         "n",
         "frames",
@@ -94,7 +97,7 @@ def sections(labels: DataFrame) -> DataFrame:
         first(score > 0).alias("next_positive"),
         last(score >= THRESHOLD).alias("last_high"),
         last(score > 0).alias("last_positive"),
-    )
+    ))
     changed = frames.withColumn("was", F.coalesce(F.lag("state").over(by), F.lit(OFF)))
     opens, closes = (F.col("state") == ON) & (F.col("was") != ON), (F.col("state") == OFF) & (F.col("was") == ON)
     edges = changed.filter(opens | closes)

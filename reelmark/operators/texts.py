@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGEST_CHARS = 128
@@ -16,11 +18,12 @@ def manifest_entries(lines: DataFrame, manifest: str, order: str, line: str) ->
 
     A short last line ends the manifest; a short line before it, or one with other digits, is kept with digest null, for the caller to reject.
     """
-    last = F.col(order) == F.max(order).over(Window.partitionBy(manifest))
+    # A manifest may hold any part of all lines, so its last line is an aggregate, joined back.
+    ends = lines.groupBy(manifest).agg(F.max(order).alias("last_order"))
     text = F.col(line)
     whole = F.length(text) > DIGEST_CHARS + 2
     digest = F.lower(F.substring(text, 1, DIGEST_CHARS))
-    rows = lines.withColumn("is_last", last).filter(whole | ~F.col("is_last"))
+    rows = lines.join(ends, manifest).filter(whole | (F.col(order) < F.col("last_order")))
     named = rows.select(manifest, order, F.when(whole, F.expr(f"substring({line}, {DIGEST_CHARS + 3})")).otherwise(text).alias("name"), F.when(whole & digest.rlike("^[0-9a-f]+$"), digest).alias("digest"))
     first = named.groupBy(manifest, "name").agg(F.min_by(F.struct("digest"), order).alias("d"))
     return first.select(manifest, "name", "d.digest")
@@ -55,27 +58,41 @@ def section_lines(sections: DataFrame) -> DataFrame:
     return sections.select("series_id", "s_start", F.posexplode(both).alias("part", "line"))
 
 
-def console_lines(outputs: DataFrame, key: str, text: str, keep: int) -> DataFrame:
-    """(key, number, line): what a console shows of a text, its last `keep` lines.
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def console_lines(outputs: DataFrame, key: str, text: str, keep: int | None = None) -> DataFrame:
+    """(key, number, line): what a console shows of a text: all lines, or those that a rolling one still holds, which drops its first hundred
+    when one more comes to more than `keep`.
 
     A line ends at a line feed, carriage return or backspace; ends without text before them only set how the next one counts: a line that
     follows a carriage return or backspace replaces the one before it.
     """
-    # Each step pairs an array with itself moved by one place, so that no element looks its neighbour up in the whole array.
-    pieces = F.split(text, "(?<=[\n\r\b])")
-    returned = F.concat(F.array(F.lit(False)), F.transform(pieces, lambda p: p.rlike("[\r\b]$")))
-    ends = F.zip_with(pieces, returned, lambda p, r: F.struct(F.regexp_replace(F.coalesce(p, F.lit("")), "[\n\r\b]", "").alias("line"), r.alias("replaces")))
-    shown = F.filter(ends, lambda e: e["line"] != "")
-    # A line survives unless the next one replaces it.
-    replaced = F.slice(F.transform(shown, lambda e: e["replaces"]), 2, F.greatest(F.size(shown), F.lit(1)))
-    kept = F.filter(F.zip_with(shown, replaced, lambda e, r: F.struct(e["line"].alias("line"), F.coalesce(r, F.lit(False)).alias("gone"))), lambda e: ~e["gone"])
-    lines = outputs.select(key, F.transform(kept, lambda e: e["line"]).alias("lines"))
-    last = F.slice("lines", F.greatest(F.lit(1), F.size("lines") - keep + 1), keep)
-    return lines.filter(F.size("lines") > 0).select(key, F.posexplode(last).alias("number", "line"))
-
-
-def merged_comments(comments: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
-    """comments: keys, date, thread, no, xml. Those of [start, end), numbered by date, thread and no, with line ends written as entities."""
+
+    def marked(pieces: Column) -> Column:
+        # The array is paired with itself moved by one place, so that no element looks its neighbour up in the whole array.
+        returned = F.concat(F.array(F.lit(False)), F.transform(pieces, lambda p: F.substring(p, -1, 1).isin("\r", "\b")))
+        ends = F.zip_with(pieces, returned, lambda p, r: F.struct(F.translate(F.coalesce(p, F.lit("")), "\n\r\b", "").alias("line"), r.alias("replaces")))
+        return F.filter(ends, lambda e: e["line"] != "")
+
+    def surviving(shown: Column) -> Column:
+        # A line survives unless the next one replaces it.
+        replaced = F.slice(F.transform(shown, lambda e: e["replaces"]), 2, F.greatest(F.size(shown), F.lit(1)))
+        both = F.zip_with(shown, replaced, lambda e, r: F.struct(e["line"].alias("line"), F.coalesce(r, F.lit(False)).alias("gone")))
+        return F.transform(F.filter(both, lambda e: ~e["gone"]), lambda e: e["line"])
+
+    def held(lines: Column) -> Column:
+        gone = F.ceil(F.greatest(F.lit(0), F.size(lines) - (keep + 1)) / 100).cast("int") * 100
+        return F.slice(lines, gone + 1, F.greatest(F.size(lines), F.lit(1)))
+
+    lines = _bound(_bound(F.split(text, "(?<=[\n\r\b])"), marked), surviving)
+    return outputs.select(key, F.posexplode(lines if keep is None else _bound(lines, held)).alias("number", "line"))
+
+
+def merged_comments(comments: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:
+    """comments: keys, date, thread, no, xml. Those with start <= date < end, numbered by date, thread and no, with line ends written as entities."""
     order = Window.partitionBy(*keys).orderBy("date", "thread", "no", "xml")
     text = F.replace(F.replace("xml", F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("&#10;"))
     return comments.filter((F.col("date") >= start) & (F.col("date") < end)).select(*keys, F.row_number().over(order).alias("number"), text.alias("line"))

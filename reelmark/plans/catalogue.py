@@ -176,14 +176,14 @@ def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _recordings(spark, sf_dir).withColumn("rule_set", F.lit("basic"))
-    return rules.assign(items, _rules(spark), "id").select("id", "profile", "priority")
+    return rules.assign(items, _rules(spark)).select("id", "profile", "priority")
 
 
 def profile_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in (f"{AUTO}Basic", f"{AUTO}strict", f"{AUTO}gone", "Small", "nothing", f"{AUTO}all")])
     items = _recordings(spark, sf_dir).withColumn("requested", F.element_at(names, (F.col("id") % 6 + 1).cast("int")))
     profiles = spark.createDataFrame([(x,) for x in ("SMALL", "drama", "Sports", "wide", "default", "rings")], "profile_name string")
-    return rules.resolve(items, _rules(spark), profiles, "id").select("id", "requested", "profile", "priority", "fail_reason")
+    return rules.resolve(items, _rules(spark), profiles).select("id", "requested", "profile", "priority", "fail_reason")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:

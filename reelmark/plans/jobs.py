@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.functions import genre
@@ -36,6 +36,22 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 25).cast("int").alias("service_id"),
         F.when(F.col("o_custkey") % 10 != 0, F.col("o_orderdate")).alias("ts_time"),
         F.array("l_returnflag", "l_linestatus").alias("tags"),
+        F.when(F.col("l_linenumber") == 3, F.concat(F.lit("r"), (F.col("l_partkey") % 7).cast("string"))).alias("reason"),
+        F.concat(F.lit("/rec/"), (F.col("l_suppkey") % 9).cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit(".ts")).alias("src_path"),
+        F.when(F.col("l_linenumber") != 5, F.slice(F.array(*[F.concat(F.lit("/out/"), F.col("l_partkey").cast("string"), F.lit(e)) for e in ("", "-1", "-2")]), 1, (F.col("l_linenumber") % 4).cast("int"))).alias("out_path"),
+        *[(F.col("l_partkey") % (k + 2) == 0).alias(x) for k, x in enumerate(("chapter", "nicojk", "trim_avs"))],
+        F.when(
+            F.col("l_linenumber") != 4,
+            F.struct(
+                (F.col("l_partkey") % 1000).alias("totalsrcframes"),
+                (F.col("l_partkey") % 900).alias("totaloutframes"),
+                (F.col("l_partkey") % 800).alias("totaloutuniqueframes"),
+                (F.col("l_suppkey") % 64 / 16).alias("notincludedper"),
+                (F.col("l_suppkey") % 32 / 8).alias("avgdiff"),
+                (F.col("l_suppkey") % 64 / 4).alias("maxdiff"),
+                (F.col("l_partkey") % 512 / 2).alias("maxdiffpos"),
+            ),
+        ).alias("audio_diff"),
     )
 
 
@@ -54,12 +70,19 @@ def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a log export, newest first by number: quoted where needed, as the sink writes them."""
-    rows = joblog.figures(_log(spark, sf_dir))
-    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(",", "result", quoted(F.col("service")), quoted(F.col("tag_text")), F.date_format("start", "yyyy/MM/dd HH:mm:ss"), F.col("src_size").cast("string"), F.col("out_size").cast("string"))
-    order = Window.partitionBy("service_id").orderBy(F.desc("start"), "id", "line", "l_partkey", "l_suppkey")
-    return rows.select("service_id", F.row_number().over(order).alias("number"), line.alias("line"))
+    """The lines of a log export with all its fields, as they are written without quotes; a file of them is sorted by start, newest first."""
+    rows = _log(spark, sf_dir)
+    return rows.select(*_LOG_KEY, "start", F.concat_ws(",", *joblog.csv_fields(rows)).alias("csv"))
+
+
+def log_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, flags and sound of each log row, and a check log's kind, result and day beside it."""
+    out = joblog.labelled(_log(spark, sf_dir))
+    kind = F.element_at(F.array(F.lit("CM"), F.lit("DRCS"), F.lit("other")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    return out.select(
+        *_LOG_KEY, "src_dir", "src_name", "out_dir", F.array_join("out_names", ";").alias("out_names"), "out_num", "chapter_glyph", "nicojk_glyph", "trim_avs_glyph", "src_frames", "out_frames", "sound_not_included",
+        "avg_diff", "max_diff", "max_diff_pos", joblog.check_text(kind).alias("check_kind"), joblog.result_mark(F.col("success"), F.lit(0)).alias("ok"), joblog.day_text(F.col("ts_time")).alias("day"),
+    )
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +166,12 @@ def genre_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = """log AS (
   SELECT l_orderkey AS id, l_linenumber AS line, l_partkey, l_suppkey, o_orderstatus <> 'F' AS success, l_linenumber - 1 AS incident, l_shipdate AS start, l_partkey % 5000 AS encode_s,
     floor(l_quantity) * 60 AS src_s, floor(l_quantity) * 60 * (1 - l_discount) AS out_s, cast(floor(l_extendedprice * 10000) AS BIGINT) AS src_size, cast(floor(l_extendedprice * 7000) AS BIGINT) AS int_size,
-    cast(floor(l_extendedprice * (1 - l_discount) * 4000) AS BIGINT) AS out_size, CASE WHEN l_tax > 0.02::DOUBLE THEN concat('logo', l_suppkey % 9) ELSE 'none' END AS logo, l_partkey % 9 AS mask,
+    cast(floor(l_extendedprice * (1 - l_discount) * 4000) AS BIGINT) AS out_size, CASE WHEN l_tax > 0.02::DOUBLE THEN concat('logo', l_suppkey % 9) ELSE 'なし' END AS logo, l_partkey % 9 AS mask,
+    CASE WHEN l_linenumber <> 5 THEN least(3, l_linenumber % 4) END AS n,
     concat('S', l_suppkey % 25, '(', l_suppkey % 25, ')') AS service, l_suppkey % 25 AS service_id, CASE WHEN o_custkey % 10 <> 0 THEN o_orderdate END AS ts_time, concat(l_returnflag, ' ', l_linestatus) AS tag_text,
     CASE WHEN o_orderstatus = 'F' THEN '×' WHEN l_linenumber > 1 THEN '△' ELSE '〇' END AS result
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_DAY = "coalesce(year(ts_time) || '年' || month(ts_time) || '月' || day(ts_time) || '日', '不明')"
 _ERRORS = f"""errors AS (
   SELECT user_id, event_type, [{", ".join(f"'{n}'" for n in ERROR_NAMES)}][k % 6 + 1] AS name, k % 5 AS n FROM (
     SELECT user_id, event_type, cast(json_extract(props, '$.k') AS INT) AS k FROM events) WHERE k IS NOT NULL)"""
@@ -154,18 +179,27 @@ _BUCKETS = """sum(CASE WHEN name IN ('decode-packet-failed', 'h264-pts-mismatch'
   sum(CASE WHEN name IN ('unknown-pts', 'non-continuous-pts') THEN n ELSE 0 END) AS time, sum(CASE WHEN name = 'no-drcs-map' THEN n ELSE 0 END) AS glyph, sum(CASE WHEN name = 'something-else' THEN n ELSE 0 END) AS other"""
 _FEED = "SELECT *, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'update' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL"
 
-QUERIES = {f.__name__: f for f in (log_metrics, log_totals, csv_projection, error_buckets, zip_counts, result_documents, catalogue_diff, apply_updates, merge_updates, genre_lookup)}
+QUERIES = {f.__name__: f for f in (log_metrics, log_labels, log_totals, csv_projection, error_buckets, zip_counts, result_documents, catalogue_diff, apply_updates, merge_updates, genre_lookup)}
 ORACLE_SQL = {
     "log_metrics": f"""WITH {_LOG} SELECT id, line, l_partkey, l_suppkey, encode_s::DOUBLE AS encode_s, result, round(CASE WHEN src_s <> 0 THEN (src_s - out_s) / src_s * 100 END, 2) AS not_included,
   round(src_size / 1048576, 2) AS src_mib, round(out_size / 1048576, 2) AS out_mib, round(CASE WHEN src_size <> 0 THEN int_size / src_size * 100 END, 2) AS int_rate,
   round(CASE WHEN src_size <> 0 THEN out_size / src_size * 100 END, 2) AS out_rate, round(CASE WHEN encode_s > 0 THEN src_s / encode_s END, 3) AS speed,
   round(CASE WHEN src_s > 0 THEN src_size / (src_s * 131072) END, 3) AS src_mbps, round(CASE WHEN out_s > 0 THEN out_size / (out_s * 131072) END, 3) AS out_mbps, logo,
-  coalesce([NULL, 'without cuts', 'whole and without cuts', 'cuts only', 'whole and cuts', 'parts apart', 'all'][mask], 'whole') AS output, service,
-  coalesce(strftime(ts_time, '%Y/%m/%d %H:%M:%S'), 'unknown') AS recorded, tag_text FROM log""",
+  coalesce(['通常', 'CMをカット', '通常+CMカット', 'CMのみ', '通常+CM', '本編とCMを分離', '通常+本編+CM'][mask], '通常') AS output, service, {_DAY} AS recorded, tag_text FROM log""",
+    "log_labels": f"""WITH {_LOG} SELECT id, line, l_partkey, l_suppkey, concat('/rec/', l_suppkey % 9) AS src_dir, concat(l_partkey, '.ts') AS src_name,
+  CASE WHEN n > 0 THEN '/out' ELSE '-' END AS out_dir, CASE WHEN n IS NOT NULL THEN array_to_string(list_transform(range(n), lambda k: concat(l_partkey, ['', '-1', '-2'][k + 1])), ';') END AS out_names,
+  coalesce(n::VARCHAR, '-') AS out_num, if(l_partkey % 2 = 0, '○', '☓') AS chapter_glyph, if(l_partkey % 3 = 0, '○', '☓') AS nicojk_glyph, if(l_partkey % 4 = 0, '○', '☓') AS trim_avs_glyph,
+  if(line <> 4, l_partkey % 1000, NULL) AS src_frames, if(line <> 4, l_partkey % 900, NULL) AS out_frames, if(line <> 4, round(l_suppkey % 64 / 16, 3), NULL) AS sound_not_included,
+  if(line <> 4, round(l_suppkey % 32 / 8, 2), NULL) AS avg_diff, if(line <> 4, round(l_suppkey % 64 / 4, 2), NULL) AS max_diff, if(line <> 4, round(l_partkey % 512 / 2, 2), NULL) AS max_diff_pos,
+  ['CM解析', 'DRCSチェック', '不明'][l_partkey % 3 + 1] AS check_kind, if(success, '〇', '×') AS ok, {_DAY} AS day FROM log""",
     "log_totals": f"""WITH {_LOG} SELECT service, result, count(*) AS jobs, sum(src_size) AS src_size, sum(out_size) AS out_size, sum(encode_s) AS encode_s,
   round(CASE WHEN sum(src_size) <> 0 THEN sum(out_size) / sum(src_size) * 100 END, 2) AS rate FROM log GROUP BY service, result""",
-    "csv_projection": f"""WITH {_LOG} SELECT service_id, row_number() OVER (PARTITION BY service_id ORDER BY start DESC, id, line, l_partkey, l_suppkey) AS number,
-  concat(result, ',"', service, '","', tag_text, '",', strftime(start, '%Y/%m/%d %H:%M:%S'), ',', src_size, ',', out_size) AS line FROM log""",
+    "csv_projection": f"""WITH {_LOG} SELECT id, line, l_partkey, l_suppkey, start, array_to_string([result, if(line = 3, concat('r', l_partkey % 7), ''), concat('/rec/', l_suppkey % 9, '/', l_partkey, '.ts'),
+  coalesce(array_to_string(list_transform(range(n), lambda k: concat('/out/', l_partkey, ['', '-1', '-2'][k + 1])), ':'), '-'), coalesce(n, 0)::VARCHAR,
+  strftime(start, '%Y/%m/%d %H:%M:%S'), strftime(start + to_seconds(encode_s), '%Y/%m/%d %H:%M:%S'), encode_s::DOUBLE::VARCHAR, src_s::VARCHAR, out_s::VARCHAR, (line - 1)::VARCHAR, src_size::VARCHAR, int_size::VARCHAR, out_size::VARCHAR,
+  printf('%.2f', out_size / src_size * 100),
+  if(line <> 4, l_partkey % 1000, 0)::VARCHAR, if(line <> 4, l_partkey % 900, 0)::VARCHAR, if(line <> 4, l_partkey % 800, 0)::VARCHAR, if(line <> 4, (l_suppkey % 64 / 16)::VARCHAR, '0'), if(line <> 4, (l_suppkey % 32 / 8)::VARCHAR, '0'),
+  if(line <> 4, (l_suppkey % 64 / 4)::VARCHAR, '0'), if(line <> 4, (l_partkey % 512 / 2)::VARCHAR, '0')], ',') AS csv FROM log""",
     "error_buckets": f"""WITH {_ERRORS}, b AS (SELECT user_id, {_BUCKETS} FROM errors GROUP BY user_id)
 SELECT *, concat_ws(',', CASE WHEN decode > 0 THEN concat('デコードエラー ', decode, '件') END, CASE WHEN time > 0 THEN concat('時間処理エラー ', time, '件') END,
   CASE WHEN glyph > 0 THEN concat('DRCSマッピングのない文字 ', glyph, '件') END, CASE WHEN other > 0 THEN concat('その他のエラー ', other, '件') END) AS summary FROM b""",
@@ -182,6 +216,6 @@ UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custke
     "genre_lookup": """WITH c AS (
   SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN c_nationkey % 25 + 1 ELSE 0 END AS space, CASE WHEN c_custkey % 6 = 5 THEN c_custkey % 4 ELSE c_nationkey % 5 END AS level1,
     CASE WHEN c_custkey % 6 = 5 THEN c_custkey % 16 ELSE c_nationkey % 25 END AS level2 FROM customer)
-SELECT c_custkey, space, level1, level2, CASE WHEN n_name IS NOT NULL THEN concat(r_name, ' - ', n_name) ELSE concat('unknown (', space, ', ', level1, ', ', level2, ')') END AS label
+SELECT c_custkey, space, level1, level2, CASE WHEN n_name IS NOT NULL THEN concat(r_name, ' - ', n_name) ELSE concat('不明な', CASE space WHEN 0 THEN 'ARIB' WHEN 2 THEN 'CS' ELSE concat('事業者定義(', space - 1, ')') END, 'ジャンル(', level1, '-', level2, ')') END AS label
 FROM c LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON space = 0 AND level1 = r_regionkey AND level2 = n_nationkey""",
 }

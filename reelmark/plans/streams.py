@@ -11,15 +11,21 @@ from reelmark.sources.storage import shared_folder
 from reelmark.sources.tables import table
 from reelmark.streaming import updates
 
+OPS = ("add", "reject", "ready", "unready", "start", "done", "fail", "cancel", "retry", "ready", "start")
 FEED = "user_id long, seq long, op string, event_type string, value double"
 
 
-def _feed(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+def _feed(spark: SparkSession, sf_dir: str, parts: int = 3, files: int = 4) -> DataFrame:
+    """The events as arrivals in the order of their numbers: each part is written after the one before, in some files, which make a batch."""
     op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "remove").otherwise("update")
     events = table(spark, sf_dir, "events").filter("user_id is not null and event_id is not null")
     folder = shared_folder(spark)
-    events.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), "event_type", "value").repartitionByRange(parts, "seq").write.parquet(folder)
-    return updates.files(spark, folder, FEED)
+    rows = events.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), "event_type", "value")
+    low, high = rows.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    for k in range(parts):
+        first, last = (low + (high + 1 - low) * x // parts for x in (k, k + 1))
+        rows.filter((F.col("seq") >= first) & (F.col("seq") < last)).repartition(files).write.mode("append").parquet(folder)
+    return updates.files(spark, folder, FEED, files)
 
 
 def stream_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +35,8 @@ def stream_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state that each user's steps lead to, by a stateful operator in update mode."""
-    op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").otherwise("retry")
+    """The last state that each user's steps lead to, by a stateful operator in update mode; event numbers stand for steps."""
+    op = F.element_at(F.array(*map(F.lit, OPS)), (F.col("seq") * 7 % 31 % len(OPS) + 1).cast("int"))
     feed = _feed(spark, sf_dir).select(F.col("user_id").alias("item"), "seq", op.alias("op"))
     changed = updates.run_to_end(updates.item_states(feed), "update", "states")
     return changed.groupBy("item").agg(F.max_by(F.struct("state", "changes"), "batch").alias("last")).select("item", "last.state", "last.changes")
@@ -50,19 +56,42 @@ def glyph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arib_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts written as alphanumerics of a broadcast string, behind a locking shift, with sizes and colours, and read back."""
+    """Names of parts written as broadcast strings and read back: alphanumerics behind a locking shift with sizes and colours, then kanji, hiragana
+    and katakana by the part's number, a glyph that the map knows and one that it doesn't, and a repeated character."""
     words = F.split("p_name", " ")
-    data = F.concat(F.unhex(F.lit("0E89")), F.encode(words[0], "utf-8"), F.unhex(F.lit("2082")), F.encode(F.coalesce(F.get(words, 1), F.lit("")), "utf-8"))
-    runs = table(spark, sf_dir, "part").select("p_partkey", arib.decoded(data).alias("runs"))
+    key = F.col("p_partkey")
+    code = lambda first, n: F.unhex(F.hex((first + key % n).cast("int")))
+    # Back to kanji, two of row 16; G2 is hiragana on the right half; a single shift for one of katakana; DRCS-1 to G0; a repeat of three; ASCII.
+    tail = F.concat(
+        F.unhex(F.lit("0F30")), code(0x21, 80), code(0xA2, 60), F.unhex(F.lit("1D")), code(0x22, 60), F.unhex(F.lit("1B28204121")), F.unhex(F.lit("22")), F.unhex(F.lit("1B284A984341"))
+    )
+    data = F.concat(F.unhex(F.lit("0E89")), F.encode(words[0], "utf-8"), F.unhex(F.lit("2082")), F.encode(F.coalesce(F.get(words, 1), F.lit("")), "utf-8"), tail)
+    runs = table(spark, sf_dir, "part").select("p_partkey", arib.decoded(data, glyphs={"121": "☆"}).alias("runs"))
     return runs.select("p_partkey", F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("text"), F.size("runs").alias("runs"), F.array_join(F.transform("runs", lambda r: r["colour"]), ",").alias("colours"))
 
 
 _GLYPHS = "SELECT glyph, count(*) AS sources, min(path) AS first_path FROM (SELECT DISTINCT user_id % 40 AS glyph, event_type AS path, event_id % 7 AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) GROUP BY glyph"
 
 QUERIES = {f.__name__: f for f in (stream_updates, stream_states, stream_glyphs, glyph_counts, arib_decode)}
+# The steps are walked one by one, all users side by side.
+_WALK = f"""WITH RECURSIVE steps AS (
+  SELECT user_id AS item, [{", ".join(f"'{o}'" for o in OPS)}][event_id * 7 % 31 % {len(OPS)} + 1] AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
+  FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL)
+, moves(a, op, b) AS (VALUES ('', 'add', 'LogoPending'), ('', 'reject', 'PreFailed'), ('LogoPending', 'ready', 'Queue'), ('LogoPending', 'cancel', 'Canceled'), ('Queue', 'start', 'Encoding'), ('Queue', 'unready', 'LogoPending'),
+  ('Queue', 'cancel', 'Canceled'), ('Queue', 'retry', 'LogoPending'), ('Encoding', 'done', 'Complete'), ('Encoding', 'fail', 'Failed'), ('Encoding', 'cancel', 'Canceled'), ('Complete', 'retry', 'LogoPending'),
+  ('Failed', 'retry', 'LogoPending'), ('Canceled', 'retry', 'LogoPending'))
+, walk AS (
+  SELECT DISTINCT item, 0::BIGINT AS k, '' AS state, 0::BIGINT AS changes FROM steps
+  UNION ALL SELECT w.item, s.k, coalesce(m.b, w.state), w.changes + if(m.b IS NULL, 0, 1) FROM walk w JOIN steps s ON s.item = w.item AND s.k = w.k + 1 LEFT JOIN moves m ON m.a = w.state AND m.op = s.op)
+SELECT item, arg_max(state, k) AS state, arg_max(changes, k) AS changes FROM walk GROUP BY item"""
+
 ORACLE_SQL = {
+    "stream_states": _WALK,
     "stream_updates": """SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE user_id IS NOT NULL) WHERE k = 1 AND event_type <> 'error'""",
     "stream_glyphs": _GLYPHS,
     "glyph_counts": _GLYPHS,
-    "arib_decode": """SELECT p_partkey, p_name AS text, CASE WHEN contains(p_name, ' ') THEN 2 ELSE 1 END AS runs, CASE WHEN contains(p_name, ' ') THEN 'white,green' ELSE 'white' END AS colours FROM part""",
+    # Kanji 1 to 80 of the sixteenth row by their place in the standard's own order; both kana alphabets are rows of code points.
+    "arib_decode": """WITH k AS (SELECT p_partkey, p_name, p_partkey % 80 AS a, p_partkey % 60 AS b FROM part)
+SELECT p_partkey, concat(p_name, '亜唖娃阿哀愛挨姶逢葵茜穐悪握渥旭葦芦鯵梓圧斡扱宛姐虻飴絢綾鮎或粟袷安庵按暗案闇鞍杏以伊位依偉囲夷委威尉惟意慰易椅為畏異移維緯胃萎衣謂違遺医井亥域育郁磯一壱溢逸稲茨'[(a + 1)::INT],
+  chr((12354 + b)::INT), chr((12450 + b)::INT), '☆□AAA') AS text, 2 AS runs, 'white,green' AS colours FROM k""",
 }

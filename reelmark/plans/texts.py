@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelmark.functions import names, times
@@ -32,7 +32,7 @@ def name_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey",
         names.escaped(raw, True).alias("full"),
         names.escaped(raw, False).alias("partly"),
-        names.suffix((F.col("p_partkey") % 729).cast("int")).alias("suffix"),
+        names.suffix((F.col("p_partkey") * 7 % 30000).cast("int")).alias("suffix"),
         names.nibbles_swapped(F.md5("p_name")).alias("swapped"),
         names.folded_md5(F.col("p_name")).alias("folded"),
         names.is_hex(F.col("p_brand")).alias("brand_is_hex"),
@@ -77,20 +77,22 @@ def time_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as comments of their conversation modulo 20: those of a half-open range of dates in order."""
+    """Turns as comments of channels, one for twenty conversations: those from a channel's first date up to, not with, its last one, in order."""
     turns = table(spark, sf_dir, "conversations").filter("text is not null")
-    comments = turns.select((F.col("conv_id") % 20).alias("channel"), (F.col("conv_id") + F.col("turn") * 3).alias("date"), F.col("conv_id").alias("thread"), F.col("turn").alias("no"), F.concat("role", F.lit("\r\n"), "text").alias("xml"))
-    return texts.merged_comments(comments, ["channel"], 10, 100).select("channel", "number", F.md5("line").alias("line_md5"), F.length("line").alias("chars"))
+    comments = turns.select(F.floor(F.col("conv_id") / 20).alias("channel"), (F.col("conv_id") + F.col("turn") * 3).alias("date"), F.col("conv_id").alias("thread"), F.col("turn").alias("no"), F.concat("role", F.lit("\r\n"), "text").alias("xml"))
+    channel = Window.partitionBy("channel")
+    bounded = comments.filter("xml is not null").withColumns({"start": F.min("date").over(channel), "end": F.max("date").over(channel)})
+    return texts.merged_comments(bounded, ["channel"], F.col("start"), F.col("end")).select("channel", "number", F.md5("line").alias("line_md5"), F.length("line").alias("chars"))
 
 
 def regex_log_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glyph reports written into a log line of every third document and read back: sources of each glyph."""
+    """Glyph reports written after the text of every third document, each a log line of its whole text, and read back: sources of each glyph."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     glyph = F.upper(F.substring(F.md5((F.col("doc_id") % 50).cast("string")), 1, 32))
     report = F.concat(
         F.lit("[字幕] 映像時刻"), (F.col("doc_id") % 60).cast("string"), F.lit("分"), (F.col("doc_id") % 60).cast("string"), F.lit("秒付近にマッピングのないDRCS外字があります。追加してください -> C:\\drcs/"), glyph, F.lit(".bmp")
     )
-    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 20), report)).otherwise(F.substring("text", 1, 80))
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat("text", report)).otherwise(F.col("text"))
     logs = docs.select(F.concat(F.lit("log"), (F.col("doc_id") % 7).cast("string")).alias("path"), F.replace(line, F.lit("\n"), F.lit(" ")).alias("line"))
     return texts.glyph_sources(texts.glyph_reports(logs, "path", "line"))
 
@@ -98,7 +100,15 @@ def regex_log_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as console output whose commas return the carriage and whose bars step back."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.translate("text", ",|", "\r\b").alias("text"))
-    return texts.console_lines(docs, "doc_id", "text", 20).select("doc_id", "number", F.md5("line").alias("line_md5"))
+    return texts.console_lines(docs, "doc_id", "text").select("doc_id", "number", F.md5("line").alias("line_md5"))
+
+
+def console_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a rolling console of 500 lines still shows of all documents of a source and language, written one after another a hundred at a time."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id is not null")
+    outputs = docs.groupBy(F.floor(F.col("doc_id") / 100).alias("output")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("parts"))
+    whole = outputs.select("output", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
+    return texts.console_lines(whole, "output", "text", 500).select("output", "number", F.md5("line").alias("line_md5"))
 
 
 def section_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +131,12 @@ def bit_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = [(key % 101).cast("int"), (key % 97).cast("int"), (key % 53).cast("int")]
     packed = scheduling.packed(*asked)
     flags = F.array(*[(key % (k + 2)) == 0 for k in range(6)])
-    numbers = names.grouped_numbers(F.concat_ws(", ", *[x.cast("string") for x in asked], F.lit("9;8")), 3)
+    shown = F.concat_ws(":", *[x.cast("string") for x in asked])
+    numbers = names.grouped_numbers(F.concat(shown, F.lit("\r\n"), shown, F.when(key % 5 == 0, "\n 9 ").otherwise("\n\n")), 3, 2)
     ip = F.concat_ws(".", F.lit("10"), (key % 256).cast("string"), (key % 13).cast("string"), F.lit("7"))
     start, length = names.snapped((key % 999).cast("int"), (key % 77).cast("int"))
     one, two, three = scheduling.unpacked(F.col("packed"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", packed.alias("packed"), names.flag_mask(flags).alias("mask"), F.size(numbers).alias("groups"), F.array_join(numbers[0], "-").alias("first_group"), names.broadcast_address(ip, F.lit("255.255.240.0")).alias("broadcast"), start.alias("snap_start"), length.alias("snap_length")).withColumn(
+    return table(spark, sf_dir, "orders").select("o_orderkey", packed.alias("packed"), names.flag_mask(flags).alias("mask"), F.size(numbers).alias("groups"), F.array_join(F.get(numbers, 1), "-").alias("second_group"), names.broadcast_address(ip, F.lit("255.255.240.0")).alias("broadcast"), start.alias("snap_start"), length.alias("snap_length")).withColumn(
         "unpacked", F.concat_ws("/", one.cast("string"), two.cast("string"), three.cast("string"))
     )
 
@@ -136,7 +147,8 @@ def profile_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = table(spark, sf_dir, "orders")
     width = (F.col("o_orderkey") % 2000).cast("int")
-    title = names.recording_title(F.col("o_orderdate"), F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("ev"), F.col("o_custkey").cast("string"))).otherwise(""), F.lit("TV1"))
+    event = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("ev/"), F.col("o_custkey").cast("string"), F.lit("?"))).otherwise("")
+    title = names.recording_title(F.col("o_orderdate"), event, F.lit("TV:1"), F.concat(F.lit("rec_"), F.col("o_orderkey").cast("string"), F.lit(".ts")))
     return orders.select("o_orderkey", rules.size_bucket(width).alias("size"), title.alias("title"), age_text((F.col("o_orderkey") * F.col("o_orderkey") % 400000).cast("double")).alias("age"))
 
 
@@ -167,7 +179,14 @@ _MD5_WORD = "(('0x' || substr(h, {a}, 2) || substr(h, {b}, 2) || substr(h, {c},
 _FOLDED = "xor(xor({}, {}), xor({}, {}))".format(*[_MD5_WORD.format(a=8 * k + 7, b=8 * k + 5, c=8 * k + 3, d=8 * k + 1) for k in range(4)])
 _TAIL_RE = r"(-([0-9]+))?(_div([0-9]+))?(-cm)?(-nicojk-[0-9]+[ST])?(\..+)"
 
-QUERIES = {f.__name__: f for f in (hash_manifest, name_codes, path_parts, tail_class, time_slots, comment_merge, regex_log_extract, console_lines, section_text, set_ops, bit_masks, profile_routing, comment_attributes, checked_states, disk_roots)}
+# Of each key the surviving lines in order (k of c): a line that follows a return or step back replaces the one before it.
+_CONSOLE = """, x AS (SELECT key, regexp_extract_all(text, '[^\\n\\r\\x08]*[\\n\\r\\x08]|[^\\n\\r\\x08]+$') AS pieces FROM t)
+, p AS (SELECT key, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM x)
+, f AS (SELECT key, k, regexp_replace(piece, '[\\n\\r\\x08]', '') AS line, coalesce(regexp_matches(lag(piece) OVER (PARTITION BY key ORDER BY k), '[\\r\\x08]$'), false) AS replaces FROM p)
+, s AS (SELECT *, coalesce(lead(replaces) OVER (PARTITION BY key ORDER BY k), false) AS gone FROM f WHERE line <> '')
+, n AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY k) AS k, count(*) OVER (PARTITION BY key) AS c FROM s WHERE NOT gone)"""
+
+QUERIES = {f.__name__: f for f in (hash_manifest, name_codes, path_parts, tail_class, time_slots, comment_merge, regex_log_extract, console_lines, console_window, section_text, set_ops, bit_masks, profile_routing, comment_attributes, checked_states, disk_roots)}
 
 
 def _section_sql() -> str:
@@ -184,9 +203,9 @@ ORACLE_SQL = {
 , entries AS (SELECT source, name, arg_min(digest, doc_id) AS digest FROM lines WHERE NOT short GROUP BY source, name)
 SELECT d.doc_id, concat('f', d.doc_id % 45) AS name, CASE WHEN e.digest IS NULL THEN 'not listed' WHEN e.digest = sha256(d.text) THEN 'same' ELSE 'differs' END AS state
 FROM documents d LEFT JOIN entries e ON e.source = d.source AND e.name = concat('f', d.doc_id % 45) WHERE d.source IS NOT NULL""",
-    "name_codes": f"""WITH raw AS (SELECT *, concat(p_name, ':', p_brand, '/\\?<', p_type, '>|*"') AS r, md5(p_name) AS h, p_partkey % 729 AS n, p_partkey * 7919 - 70000 AS code FROM part)
+    "name_codes": f"""WITH raw AS (SELECT *, concat(p_name, ':', p_brand, '/\\?<', p_type, '>|*"') AS r, md5(p_name) AS h, p_partkey * 7 % 30000 AS n, p_partkey * 7919 - 70000 AS code FROM part)
 SELECT p_partkey, translate(r, '/:*?"<>|\\', '／：＊？”＜＞｜￥') AS "full", translate(r, '/:*?"<>|', '／：＊？”＜＞｜') AS partly,
-  CASE WHEN n = 0 THEN '' WHEN n < 27 THEN concat('-', chr((64 + n)::INT)) ELSE concat('-', chr((64 + n // 27 % 27)::INT), chr((65 + n % 27)::INT)) END AS suffix,
+  CASE WHEN n = 0 THEN '' ELSE concat('-', array_to_string(list_reverse(list_transform([k for k in range(4) if 27 ** k <= n], lambda k: chr((65 + n // (27 ** k)::BIGINT % 27 - if(n // (27 ** k)::BIGINT < 27, 1, 0))::INT))), '')) END AS suffix,
   regexp_replace(h, '(.)(.)', '\\2\\1', 'g') AS swapped, {_FOLDED} AS folded, regexp_full_match(p_brand, '[0-9A-Fa-f]+') AS brand_is_hex,
   CASE WHEN abs(code) < 65536 THEN code::VARCHAR ELSE concat('0x', lower(to_hex(CASE WHEN code < 0 THEN code + 4294967296 ELSE code END))) END AS exit_code FROM raw""",
     "path_parts": r"""WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages), b AS (SELECT *, regexp_extract(u, '([^/\\]*)$', 1) AS base FROM p)
@@ -202,29 +221,30 @@ SELECT p_partkey, tail, kind, mask, coalesce((kind & mask) <> 0, false) AS wante
 SELECT event_id, start, CASE WHEN b > a THEN (b - a + 7) // 8 ELSE 0 END AS requests, greatest(b - a, 0) AS slots, CASE WHEN b > a THEN a END AS first_slot,
   strftime(date_trunc('hour', ts + INTERVAL 60 MINUTE), '%Y-%m-%d %H:%M:%S') AS next_hour, hour(ts) % 5 = 2 AS paused,
   format('{}時間{:02d}分{:02d}秒', cast(floor(value * 1000) AS BIGINT) // 3600, cast(floor(value * 1000) AS BIGINT) // 60 % 60, cast(floor(value * 1000) AS BIGINT) % 60) AS duration FROM s""",
-    "comment_merge": """WITH c AS (SELECT conv_id % 20 AS channel, conv_id + turn * 3 AS date, conv_id AS thread, turn AS no, concat(role, chr(13), chr(10), text) AS xml FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
-, l AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY date, thread, no, xml) AS number, replace(replace(xml, chr(13), '&#13;'), chr(10), '&#10;') AS line FROM c WHERE date >= 10 AND date < 100)
+    "comment_merge": """WITH c AS (SELECT cast(floor(conv_id / 20) AS BIGINT) AS channel, conv_id + turn * 3 AS date, conv_id AS thread, turn AS no, concat(role, chr(13), chr(10), text) AS xml FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+, l AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY date, thread, no, xml) AS number, replace(replace(xml, chr(13), '&#13;'), chr(10), '&#10;') AS line FROM c WHERE date < (SELECT max(date) FROM c o WHERE o.channel = c.channel))
 SELECT channel, number, md5(line) AS line_md5, length(line) AS chars FROM l""",
     "regex_log_extract": """WITH r AS (SELECT DISTINCT upper(md5((doc_id % 50)::VARCHAR)) AS glyph, concat('log', doc_id % 7) AS path, doc_id % 60 * 61 AS seconds FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0)
 SELECT glyph, count(*) AS sources, min(path) AS first_path FROM r GROUP BY glyph""",
-    "console_lines": """WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, ',|', chr(13) || chr(8)), '[^\\n\\r\\x08]*[\\n\\r\\x08]|[^\\n\\r\\x08]+$') AS pieces FROM documents WHERE text IS NOT NULL)
-, p AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM t)
-, f AS (SELECT doc_id, k, regexp_replace(piece, '[\\n\\r\\x08]', '') AS line, coalesce(regexp_matches(lag(piece) OVER (PARTITION BY doc_id ORDER BY k), '[\\r\\x08]$'), false) AS replaces FROM p)
-, s AS (SELECT *, coalesce(lead(replaces) OVER (PARTITION BY doc_id ORDER BY k), false) AS gone FROM f WHERE line <> '')
-, n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM s WHERE NOT gone)
-SELECT doc_id, k - greatest(c - 20, 0) - 1 AS number, md5(line) AS line_md5 FROM n WHERE k > c - 20""",
+    "console_lines": f"""WITH t AS (SELECT doc_id AS key, translate(text, ',|', chr(13) || chr(8)) AS text FROM documents WHERE text IS NOT NULL)
+{_CONSOLE}
+SELECT key AS doc_id, k - 1 AS number, md5(line) AS line_md5 FROM n""",
+    "console_window": f"""WITH t AS (SELECT doc_id // 100 AS key, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL)
+{_CONSOLE}
+, w AS (SELECT *, cast(ceil(greatest(0, c - 501) / 100) AS BIGINT) * 100 AS gone FROM n)
+SELECT key AS output, k - gone - 1 AS number, md5(line) AS line_md5 FROM w WHERE k > gone""",
     "section_text": _section_sql(),
     "set_ops": """SELECT 'either' AS kind, key % 10 AS digit, count(*) AS n FROM (SELECT o_orderkey AS key FROM orders UNION SELECT l_orderkey FROM lineitem) GROUP BY ALL
 UNION ALL SELECT 'orders only', o_orderkey % 10, count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL
 UNION ALL SELECT 'bag', key % 10, count(*) FROM (SELECT o_orderkey AS key FROM orders UNION ALL SELECT l_orderkey FROM lineitem) GROUP BY ALL""",
     "bit_masks": """WITH o AS (SELECT o_orderkey, o_orderkey % 101 AS a, o_orderkey % 97 AS b, o_orderkey % 53 AS c FROM orders)
-SELECT o_orderkey, a * 65536 + b * 256 + c AS packed, (SELECT sum(CASE WHEN o_orderkey % (k + 2) = 0 THEN 2 ** k ELSE 0 END)::BIGINT FROM range(6) t(k)) AS mask, 1 AS groups, concat(a, '-', b, '-', c) AS first_group,
-  concat('10.', o_orderkey % 256, '.15.255') AS broadcast, o_orderkey % 999 // 2 * 2 AS snap_start, (o_orderkey % 999 + o_orderkey % 77 + 1) // 2 * 2 - o_orderkey % 999 // 2 * 2 AS snap_length, concat(a, '/', b, '/', c) AS unpacked FROM o""",
+SELECT o_orderkey, a * 65536 + b * 256 + c AS packed, (SELECT sum(CASE WHEN o_orderkey % (k + 2) = 0 THEN 2 ** k ELSE 0 END)::BIGINT FROM range(6) t(k)) AS mask, CASE WHEN o_orderkey % 5 <> 0 THEN 2 END AS groups, CASE WHEN o_orderkey % 5 <> 0 THEN concat(a, '-', b, '-', c) END AS second_group,
+  concat('10.', o_orderkey % 256, '.15.255') AS broadcast, o_orderkey % 999 // 2 * 2 AS snap_start, (o_orderkey % 77 + 1) // 2 * 2 AS snap_length, concat(a, '/', b, '/', c) AS unpacked FROM o""",
     "comment_attributes": "SELECT conv_id AS thread, turn AS no, conv_id * 60 + turn AS date FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL",
     "checked_states": """SELECT o_custkey, CASE WHEN bool_and(o_orderpriority = '1-URGENT') THEN 'all' WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'mixed' ELSE 'none' END AS checked, sum(cast(floor(o_totalprice) AS BIGINT)) AS total FROM orders GROUP BY o_custkey""",
     "disk_roots": """SELECT DISTINCT ['C:\\', 'D:\\', 'E:\\'][o_orderkey % 3 + 1] AS root FROM orders UNION SELECT unnest(['D:\\', 'F:\\', 'G:\\'])""",
     "profile_routing": """WITH o AS (SELECT *, o_orderkey % 2000 AS w, o_orderkey * o_orderkey % 400000 AS s FROM orders)
 SELECT o_orderkey, CASE WHEN w > 1440 THEN 'FullHD' WHEN w > 720 THEN 'HD1440' WHEN w > 320 THEN 'SD' ELSE 'OneSeg' END AS size,
-  CASE WHEN o_orderkey % 4 <> 0 AND o_orderdate > TIMESTAMP '2000-01-01' THEN concat(strftime(o_orderdate, '%Y%m%d%H%M'), '_ev', o_custkey, ' _TV1.ts') END AS title,
+  CASE WHEN o_orderkey % 4 <> 0 AND o_orderdate > TIMESTAMP '2000-01-01' THEN concat(strftime(o_orderdate, '%Y%m%d%H%M'), '_ev／', o_custkey, '？ _TV：1.ts') ELSE concat('rec_', o_orderkey, '.ts') END AS title,
   CASE WHEN s <= 60 THEN concat(s, ' s') WHEN s <= 3600 THEN concat(s // 60, ' min') WHEN s <= 86400 THEN concat(s // 3600, ' h') ELSE concat(s // 86400, ' d') END AS age FROM o""",
 }

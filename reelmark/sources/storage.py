@@ -14,14 +14,23 @@ _temporary: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that isn't set, as in tests."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session, as in tests, may lack that setting: it gets a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _temporary[:] = _temporary or [tempfile.mkdtemp(prefix="reelmark-")]
         top = _temporary[0]
     return f"{top.rstrip('/')}/reelmark-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: it is worked out once, and a lost executor costs no recomputation."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folder_files(spark: SparkSession, path: str, suffixes: list[str], prefix: str = "", recursive: bool = False) -> DataFrame:
     """(path, name, length, modified) of files by the ends of their names, compared in lower case, and an optional start. Contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", F.col("modificationTime").alias("modified"))
@@ -32,20 +41,20 @@ def folder_files(spark: SparkSession, path: str, suffixes: list[str], prefix: st
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha512) of whole files."""
+    """(path, sha512) of whole files. A digest reads its file from end to end and a file is one value here, so files above 2 GB fail."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 512).alias("sha512"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, number, line): lines of text files, numbered from 0 within each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("lines"))
-    return whole.select("path", F.posexplode("lines").alias("number", "line"))
+    """(path, block, number, line): lines of text files in the order of block and number. Files of any size are split among tasks."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))
+    return lines.withColumn("line", F.rtrim("line", F.lit("\r")))
 
 
 def glyph_map(spark: SparkSession, path: str) -> DataFrame:
     """(glyph, text) of lines `32 hexadecimal digits=text`; the first of a glyph counts."""
     lines = text_lines(spark, path).filter(F.col("line").rlike("^[0-9A-Fa-f]{32}="))
-    return lines.groupBy(F.substring("line", 1, 32).alias("glyph")).agg(F.min_by(F.expr("substring(line, 34)"), F.struct("path", "number")).alias("text"))
+    return lines.groupBy(F.substring("line", 1, 32).alias("glyph")).agg(F.min_by(F.expr("substring(line, 34)"), F.struct("path", "block", "number")).alias("text"))
 
 
 def read_xml_log(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
@@ -66,6 +75,29 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def first_result(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(path): the result file of a folder and all below it, of several the first by its path."""
+    return folder_files(spark, path, [suffix], recursive=True).agg(F.min("path").alias("path"))
+
+
+def existing(spark: SparkSession, candidates: DataFrame, folder: str) -> DataFrame:
+    """The candidates whose path, written as in a listing, names a file at any depth of a folder."""
+    return candidates.join(folder_files(spark, folder, [""], recursive=True).select("path"), "path", "left_semi")
+
+
+def dropped_files(spark: SparkSession, folders: list[str], files: DataFrame, suffix: str = "ts") -> DataFrame:
+    """(path): of dropped folders the files right in them whose names end so, and dropped files as they are. files: path."""
+    out = files.select("path")
+    for folder in folders:
+        out = out.unionByName(folder_files(spark, folder, [suffix]).select("path"))
+    return out
+
+
+def append_manifest(digests: DataFrame, path: str) -> None:
+    """Lines of 128 hexadecimal digits, two blanks and a name, added to a text manifest. digests: path, sha512."""
+    digests.select(F.concat("sha512", F.lit("  "), F.regexp_extract("path", r"([^/]*)$", 1)).alias("value")).write.mode("append").text(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """With a header, and quotes wherever a value needs them."""
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)

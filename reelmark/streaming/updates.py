@@ -5,14 +5,16 @@ Order is the order of arrival: the sources have no event time, so a stream names
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelmark.sources.storage import shared_folder
+from reelmark.operators.changes import snapshot_changes
+from reelmark.sources.storage import folder_files, shared_folder
 
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
@@ -26,25 +28,58 @@ def latest_rows(feed: DataFrame, key: str, order: str) -> DataFrame:
     return feed.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("last")).select(key, "last.*")
 
 
-STATES = {"add": "Queue", "start": "Encoding", "done": "Complete", "fail": "Failed", "cancel": "Canceled", "retry": "Queue"}
+#: From each of the states a job can be in, and '' before it was added, the steps that lead on. Steps that aren't listed are refused.
+STEPS = {
+    "": {"add": "LogoPending", "reject": "PreFailed"},
+    "LogoPending": {"ready": "Queue", "cancel": "Canceled"},
+    "Queue": {"start": "Encoding", "unready": "LogoPending", "cancel": "Canceled", "retry": "LogoPending"},
+    "Encoding": {"done": "Complete", "fail": "Failed", "cancel": "Canceled"},
+    "Complete": {"retry": "LogoPending"},
+    "Failed": {"retry": "LogoPending"},
+    "Canceled": {"retry": "LogoPending"},
+    "PreFailed": {},
+}
 
 
 def item_states(feed: DataFrame) -> DataFrame:
-    """feed: item long, seq long, op string. (item, state, changes) whenever an item's state changes: jobs that wait may start, those that run
-    may end, ended ones may only be retried, and other steps are ignored."""
-    allowed = {"": {"add"}, "Queue": {"start", "cancel"}, "Encoding": {"done", "fail", "cancel"}, "Failed": {"retry"}, "Canceled": {"retry"}, "Complete": {"retry"}}
+    """feed: item long, seq long, op string. (item, state, changes) whenever an item's state changes.
+
+    A job is added pending, or refused for good; it waits once its profile and mark are known and pends again when they no longer are; waiting
+    jobs may start, active ones be cancelled, and what isn't running or refused may be retried, which starts over. Other steps are ignored.
+    A batch's steps of one item are two numbers each, sorted together.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, changes = state.get if state.exists else ("", 0)
-        for op in pd.concat(list(batches)).sort_values("seq")["op"]:
-            if op in allowed[now]:
-                now, changes = STATES[op], changes + 1
+        for op in pd.concat([b[["seq", "op"]] for b in batches]).sort_values("seq")["op"]:
+            if (then := STEPS[now].get(op)) is not None:
+                now, changes = then, changes + 1
         state.update((now, changes))
         yield pd.DataFrame({"item": [key[0]], "state": [now], "changes": [changes]})
 
     return feed.groupBy("item").applyInPandasWithState(step, "item long, state string, changes long", "state string, changes long", "update", GroupStateTimeout.NoTimeout)
 
 
+def new_files(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """(path, length, modified) of files as they appear in a folder; contents aren't read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def watched(spark: SparkSession, folder: str, suffixes: list[str], snapshot: str, previous: str | None = None) -> DataFrame:
+    """(path, change) of a folder's files since the previous snapshot: added, removed, or changed by their time. What is there now is written as a snapshot."""
+    folder_files(spark, folder, suffixes, recursive=True).select("path", "modified").write.parquet(snapshot)
+    now = spark.read.parquet(snapshot)
+    before = spark.read.schema(now.schema).parquet(previous) if previous else now.limit(0)
+    return snapshot_changes(before, now, "path", ["modified"])
+
+
+def run_every(result: DataFrame, seconds: int, save: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Starts a stream that hands its batches on every so many seconds, until it is stopped."""
+    return result.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def run_to_end(result: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over all there is and returns what it wrote last, as a table read back from the shared folder.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelmark.functions import arib, genre, names, times
-from reelmark.operators import catalogue, changes, rules, scheduling, texts
+from reelmark.operators import catalogue, changes, joblog, rules, scheduling, texts
 from reelmark.sources import storage
+from reelmark.streaming import updates
 
 
 def one(spark, *columns):
@@ -23,6 +24,74 @@ def test_names(spark):
     assert one(spark, names.nibbles_swapped(F.lit("1a2b")), names.is_hex(F.lit("12g")))[0] == "a1b2"
 
 
+def test_values_of_the_service_itself(spark):
+    """Each by hand from what the service does."""
+    assert one(spark, *[names.suffix(F.lit(n)) for n in (53, 54, 728, 729, 800, 4095)]) == ("-A[", "-BA", "-Z[", "-AAA", "-ACR", "-EQS")
+    assert one(spark, *names.snapped(F.lit(1), F.lit(2)), *names.snapped(F.lit(3), F.lit(5))) == (0, 2, 2, 6)
+    three = "".join(f"{k}:{k + 1}:{k + 2}\r\n" for k in (1, 4))
+    assert one(spark, names.grouped_numbers(F.lit(three), 3, 2))[0] == [[1, 2, 3], [4, 5, 6]]
+    assert one(spark, *[names.grouped_numbers(F.lit(t), 3, 2) for t in (three + "7", "1,2,3\n4,5,6", "1:2:x\n4:5:6", " 1 :2:3\r\r4:5:6\n \n")]) == (None, None, None, [[1, 2, 3], [4, 5, 6]])
+    time = F.lit("2001-02-03 04:05:00").cast("timestamp_ntz")
+    title = lambda t, e, s: names.recording_title(t, F.lit(e), F.lit(s), F.lit("own.ts"))
+    assert one(spark, title(time, "a/b", "c:d"), title(time, "", "c"), title(F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), "a", "b"), title(F.lit(None).cast("timestamp_ntz"), "a", "b")) == ("200102030405_a／b _c：d.ts", "own.ts", "own.ts", "own.ts")
+    states = ("Queue", "LogoPending", "Encoding", "Canceled", "Complete", "Failed", "PreFailed")
+    assert one(spark, *[catalogue.state_bucket(F.lit(s)) for s in states]) == (0, 1, 2, 3, 4, 5, 5)
+    assert one(spark, joblog.day_text(F.lit("2001-02-03").cast("timestamp_ntz")), joblog.day_text(F.lit(None).cast("timestamp_ntz"))) == ("2001年2月3日", "不明")
+    jobs = spark.createDataFrame([(s,) for s in (*states, "Queue")], "state string").withColumn("by", F.lit(1))
+    row = catalogue.progress(jobs, ["by"]).first()
+    assert (row.total, row.remaining) == (6, 3) and abs(row.progress - 3.1 / 6.1) < 1e-12
+    assert names.mac_bytes and one(spark, names.mac_bytes(F.lit("00:1a-2B:ff:0c:9d")))[0] == [0, 26, 43, 255, 12, 157]
+
+
+def test_a_view_keeps_what_ran_within_it(spark):
+    rows = [(1, "2001-01-01", "2001-01-05"), (2, "2001-01-01", "2001-01-02"), (3, "2001-01-09", "2001-01-20"), (4, "2001-01-12", "2001-01-20"), (5, None, None), (6, "2001-01-05", None)]
+    jobs = spark.createDataFrame(rows, "id int, start string, finish string").select("id", *[F.col(c).cast("timestamp_ntz") for c in ("start", "finish")])
+    assert [r.id for r in catalogue.view(jobs, catalogue.View(start="2001-01-04", end="2001-01-10")).orderBy("id").collect()] == [1, 3]
+    assert [r.id for r in catalogue.view(jobs, catalogue.View(end="2001-01-10")).orderBy("id").collect()] == [1, 2, 3, 5, 6]
+
+
+def test_moves_beyond_a_list_are_refused(spark):
+    jobs = spark.createDataFrame([("g", k, k) for k in range(4)], "g string, item long, position long")
+    for to, expected in ((3, [0, 3, 1, 2]), (0, [1, 0, 2, 3]), (4, [0, 1, 2, 3]), (-1, [0, 1, 2, 3])):
+        moved = scheduling.moved(jobs, ["g"], spark.createDataFrame([("g", 1, to)], "g string, item long, to long"))
+        assert [r.position for r in moved.orderBy("item").collect()] == expected
+
+
+def test_a_rolling_console_drops_a_hundred(spark):
+    for n, first in ((500, 0), (501, 0), (502, 100), (601, 100), (602, 200)):
+        rows = spark.createDataFrame([(1, "\n".join(f"line {k}" for k in range(n)))], "id int, t string")
+        got = [r.line for r in texts.console_lines(rows, "id", "t", 500).orderBy("number").collect()]
+        assert got == [f"line {k}" for k in range(first, n)]
+
+
+def test_sets_that_grow_by_what_they_lack(spark):
+    assert one(spark, catalogue.add_if_absent(F.array(F.lit("a")), F.lit("b")), catalogue.add_if_absent(F.array(F.lit("a")), F.lit("a"))) == (["a", "b"], ["a"])
+
+
+def test_watching_a_folder(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.ts").write_text("x")
+    (folder / "b.ts").write_text("x")
+    names_of = lambda rows: sorted((r.path.rsplit("/", 1)[1], r.change) for r in rows.collect())
+    assert names_of(updates.watched(spark, str(folder), [".ts"], str(tmp_path / "s1"))) == [("a.ts", "add"), ("b.ts", "add")]
+    (folder / "b.ts").rename(folder / "c.ts")
+    import os
+
+    os.utime(folder / "a.ts", (1, 1))
+    assert names_of(updates.watched(spark, str(folder), [".ts"], str(tmp_path / "s2"), str(tmp_path / "s1"))) == [("a.ts", "change"), ("b.ts", "remove"), ("c.ts", "add")]
+    seen = updates.run_to_end(updates.new_files(spark, str(folder)), "append", "seen")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in seen.collect()) == ["a.ts", "c.ts"]
+    assert storage.first_result(spark, str(tmp_path), ".ts").first().path.endswith("/in/a.ts")
+    listed = storage.folder_files(spark, str(folder), ["c.ts"]).select("path")
+    assert storage.existing(spark, listed.union(spark.createDataFrame([("file:/gone.ts",)], "path string")), str(tmp_path)).count() == 1
+    assert storage.dropped_files(spark, [str(folder)], spark.createDataFrame([("x.txt",)], "path string")).count() == 3
+    storage.append_manifest(storage.file_digests(spark, str(folder)), str(tmp_path / "manifest"))
+    lines = storage.text_lines(spark, str(tmp_path / "manifest"))
+    entries = texts.manifest_entries(lines.select(F.lit("m").alias("m"), F.struct("path", "block", "number").alias("k"), "line"), "m", "k", "line").collect()
+    assert sorted(r.name for r in entries) == ["a.ts", "c.ts"] and all(len(r.digest) == 128 for r in entries)
+
+
 def test_packing_three_numbers_comes_back(spark):
     rows = spark.range(256).select(F.col("id").cast("int").alias("x"))
     packed = scheduling.packed(F.col("x"), 255 - F.col("x"), F.col("x"))
@@ -56,7 +125,7 @@ def test_first_rule_wins(spark):
     tagged = ("s", 1, True, "news", *base[2:], "first", 4)
     table = spark.createDataFrame([open_rule, tagged], rules.RULES)
     items = spark.createDataFrame([(1, "s", ["news"], "f", [], 1, 100), (2, "s", [], "f", [], 1, 100), (3, "gone", [], "f", [], 1, 100)], "id int, rule_set string, tags array<string>, file_name string, genres array<struct<space:int,level1:int,level2:int>>, service_id int, width int")
-    got = {r.id: (r.profile, r.priority) for r in rules.assign(items, table, "id").collect()}
+    got = {r.id: (r.profile, r.priority) for r in rules.assign(items, table).collect()}
     assert got == {1: ("first", 4), 2: ("any", 1), 3: (None, 0)}
 
 
