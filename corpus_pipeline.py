@@ -21,13 +21,13 @@ def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fit one of the languages; `lang` stays as it came."""
-    return language_id.identify(docs).filter("lang_accepted").select(*docs.columns)
+    """Documents that fit one of the languages; `lang` becomes the predicted one, by which the mix then weighs them."""
+    return language_id.identify(docs).filter("lang_accepted").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest doc_id."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near copies by five-word shingles, the one of the smallest doc_id."""
+    return near_dedup.keep_one(docs, width=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
