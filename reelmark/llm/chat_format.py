@@ -5,7 +5,8 @@ and the place of every byte are worked out in numpy, and headers and contents ar
 `<|`, with any backslashes between, gets one more backslash inside texts and roles, so no marker can arise there and reading back drops
 it again; in roles a backslash and a line feed are written as two characters. The loss mask is a list of byte spans: the texts of the assistant.
 
-A conversation is written as numbered chunks in the order of its turns, so one of any length never has to fit into a row.
+A conversation is written as numbered chunks of about CHUNK_BYTES in the order of its turns, so one of any length never has to fit into a
+row, and beside a chunk's bytes memory only grows with BLOCK_BYTES.
 
 Defined cases: null text and null role count as empty; rows of equal turn follow by role and text, repeated rows stay; a null
 conv_id is one conversation; an empty table gives an empty result; other columns are ignored.
@@ -19,13 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import text_bytes
+from reelmark.llm.common import steps, text_bytes
 
 START, BREAK, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 LOSS_ROLE = "assistant"
+#: Text that one chunk takes, longer single texts alone, and bytes that are copied at a time.
+CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 FORMATTED = "conv_id long, chunk long, n_turns long, formatted binary, loss_starts array<long>, loss_ends array<long>"
 _ESCAPED = re.compile(rb"<\\(\\*)\|")
 
@@ -33,16 +37,30 @@ _ESCAPED = re.compile(rb"<\\(\\*)\|")
 def escape_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Indices of each '<' that backslashes or nothing, and then '|', follow in the same text."""
     bars = np.flatnonzero(data == ord("|"))
-    if not len(bars):
-        return bars
-    solid = np.where(data != ord("\\"), np.arange(len(data)), -1)
-    last = np.maximum.accumulate(solid)
-    bars = bars[bars > 0]
-    before = last[bars - 1]
-    ok = before >= 0
-    bars, before = bars[ok], before[ok]
+    before = bars - 1
+    back = np.flatnonzero((before >= 0) & (data[before] == ord("\\")))
+    while len(back):
+        before[back] -= 1
+        back = back[before[back] >= 0]
+        back = back[data[before[back]] == ord("\\")]
     text = np.searchsorted(offsets, bars, "right") - 1
-    return before[(data[before] == ord("<")) & (before >= offsets[text])]
+    return before[(before >= offsets[text]) & (data[before] == ord("<"))]
+
+
+def _scatter(out: np.ndarray, data: np.ndarray, own: np.ndarray, places: np.ndarray, at: np.ndarray) -> None:
+    """Copies text k, data[own[k]:own[k+1]], to out from at[k] on, with a backslash after each of `places`; some of the data at a time, so that a long text needs little beside itself."""
+    before = np.searchsorted(places, own[:-1])
+    for lo in range(0, len(data), BLOCK_BYTES):
+        hi = min(len(data), lo + BLOCK_BYTES)
+        first, last = np.searchsorted(own, (lo, hi - 1), "right") - 1
+        rows = np.arange(first, last + 1)
+        sizes = np.minimum(own[rows + 1], hi) - np.maximum(own[rows], lo)
+        inner = places[slice(*np.searchsorted(places, (lo, hi)))]
+        extra = np.zeros(hi - lo + 1, np.int64)
+        extra[inner - lo + 1] = 1
+        target = np.arange(lo, hi) + np.cumsum(extra)[:-1] + (np.searchsorted(places, lo) + np.repeat(at[rows] - own[rows] - before[rows], sizes))
+        out[target] = data[lo:hi]
+        out[target[inner - lo] + 1] = ord("\\")
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,24 +80,23 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     for at, constant in ((offsets[:-1], START), (role_at + sizes[0], BREAK), (text_at + sizes[1], END)):
         out[at[:, None] + np.arange(len(constant))] = np.frombuffer(constant, np.uint8)
     for (data, own, places), at in zip(parts, (role_at, text_at), strict=True):
-        extra = np.zeros(len(data) + 1, np.int64)
-        extra[places + 1] = 1
-        extra = np.cumsum(extra)[:-1]
-        base = extra[np.minimum(own[:-1], max(0, len(data) - 1))] if len(data) else np.zeros(len(at), np.int64)
-        target = np.arange(len(data)) + extra + np.repeat(at - own[:-1] - base, np.diff(own))
-        out[target] = data
-        out[target[places] + 1] = ord("\\")
+        _scatter(out, data, own, places, at)
     return out, offsets, text_at, text_at + sizes[1]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of at most CHUNK_BYTES of text, or a single longer one."""
+    sizes = np.asarray(pa.compute.binary_length(batch["text"]).fill_null(0)).astype(np.int64) + 64
+    for first, last in steps(sizes, CHUNK_BYTES):
+        yield batch.slice(first, last - first)
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """Chunks of formatted conversations, each conversation's in one partition and in order."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chunk, begun = None, 0, False
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in _slices(whole)):
             out, offsets, text_starts, text_ends = assemble(batch["role"], batch["text"])
             ids = batch["conv_id"].to_pylist()
             first = [k for k in range(len(ids)) if k == 0 or ids[k] != ids[k - 1]]
