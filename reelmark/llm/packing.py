@@ -10,6 +10,7 @@ lengths are taken by doc_id and start; repeated rows are separate documents; an
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -30,6 +31,17 @@ GROUP_DOCUMENTS = 50_000
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 #: Fixed value: the tokenizer's own cuts (endings after an apostrophe, letters, single numbers, other marks), for lower-case characters below 256.
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+# Fixed value: how a tokenizer must normalise and cut for the pattern above to stand for its cuts; texts for any other go through it whole.
+_CUTS_ALONE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Pretokens that a worker remembers, in two halves; the older half is dropped as the younger one fills.
 _CACHED = 480_000
 _encoders: dict[str, Encoder] = {}
@@ -62,12 +74,14 @@ def _latin(text: str) -> bool:
 
 
 class Encoder:
-    """The ids of a text as bytes. The tokenizer cuts a text into pretokens and never joins across them, so each is encoded once and remembered."""
+    """The ids of a text as bytes. A tokenizer cuts a text into pretokens and never joins across them, so where its cuts are known each is encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        own = json.loads(self.tokenizer.to_str())
+        self.cuts_known = all(own[k] == v for k, v in _CUTS_ALONE.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -80,7 +94,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if not _latin(text) or any(x in text for x in _ODD):
+        if not self.cuts_known or not _latin(text) or any(x in text for x in _ODD):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(text.lower())))
