@@ -10,7 +10,7 @@ much in a long text. Only features that go with the grade far beyond chance get
 The model is fitted on at most FIT_DOCUMENTS rated documents, the first by a hash of doc_id (a parameter); everything else covers all.
 
 Defined cases: null and empty text have the bins alone and are scored like any text; a document rated twice takes its lowest grade,
-ratings without a document or with a null are ignored; without any ratings the model is flat and every document is kept; texts of any
+of several texts of it the one of least hash is learned from; ratings without a document or with a null are ignored; without any ratings the model is flat and every document is kept; texts of any
 length are read whole; repeated rows are scored alike; other columns pass through unread.
 """
 
@@ -173,14 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
         .agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("grade"))
     )
     chosen = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(chosen, "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [numbers[a:b].astype(np.int32) for numbers, at in features(batch["text"], bits) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "grade", "numbers"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], batch["grade"], pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "text_key", "grade", "numbers"])
 
-    rows = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(extract, "doc_id long, grade int, numbers binary").dropDuplicates(["doc_id"]).toArrow()
+    found = texts.select(F.col("doc_id").cast("long"), "text_key", F.col("grade").cast("int"), "text").mapInArrow(extract, "doc_id long, text_key long, grade int, numbers binary")
+    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("grade", "numbers"), "text_key").alias("row")).select("doc_id", "row.grade", "row.numbers").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     grades, parts = rows["grade"].to_numpy().astype(np.int64)[order], rows["numbers"].take(pa.array(order)).combine_chunks() if len(order) else []
     del rows
