@@ -2,8 +2,8 @@
 
 Each language has a model of order 4 over lower-cased letters, all else being one boundary mark. Counts of the highest order are those
 of the text, counts of lower orders are numbers of distinct left neighbours; every order gives an absolute discount to the next lower one,
-down to a uniform one. The grams of all languages stand in one sorted array of 64-bit keys per order, with a column of logarithms per
-language, and the discounts' weights in a sorted array of histories; texts are looked up in them by binary search.
+down to a uniform one. The grams of SIDE_BY_SIDE languages stand in one sorted array of 64-bit keys per order, with a column of logarithms
+per language, and the discounts' weights in a sorted array of histories; texts are looked up in them by binary search.
 
 The language of least cross-entropy per character is predicted. A prediction is accepted if that entropy lies no further above the
 language's mean than those of nearly all calibration texts that are told as their language do, with a margin and allowing for the spread
@@ -33,6 +33,8 @@ from reelmark.llm.common import distinct, extended, steps, stored, text_bytes
 ORDER = 4
 FIT_DOCUMENTS = 2_500
 UNKNOWN = "und"
+#: Languages whose grams share an array.
+SIDE_BY_SIDE = 8
 #: A list of more languages is joined by shuffling, not broadcast.
 BROADCAST_LANGUAGES = 10_000
 #: How sharply differences of entropy (bits a character) turn into the score.
@@ -95,8 +97,6 @@ class KneserNey:
     history_keys: dict[int, np.ndarray] = field(default_factory=dict)
     history_logs: dict[int, np.ndarray] = field(default_factory=dict)
     floor: float = -17.0
-    means: np.ndarray = None
-    excess: np.ndarray = None
 
     def log2(self, order: int, key: np.ndarray) -> np.ndarray:
         """[grams, languages]; unseen grams take their history's weight and the next lower order."""
@@ -115,33 +115,50 @@ class KneserNey:
             out[missing] = lower + weight
         return out
 
+
+@dataclass
+class Languages:
+    """Models of all languages, some side by side in each part, and what is usual among a language's own texts.
+
+    A part's arrays hold every gram of its languages, so all parts together grow with the grams of all languages, not with grams times languages.
+    """
+
+    parts: list[KneserNey]
+    means: np.ndarray = None
+    excess: np.ndarray = None
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for part in self.parts for x in part.langs]
+
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character, [texts, languages], and the number of characters of each text."""
         bits, sizes = [], []
         for key, offsets in grams(column):
-            logs = self.log2(ORDER, key)
             n = np.diff(offsets)
-            sums = np.zeros((len(n), len(self.langs)))
             some = n > 0
-            if some.any():
-                sums[some] = np.add.reduceat(logs, offsets[:-1][some], axis=0, dtype=np.float64)
+            sums = np.zeros((len(n), len(self.langs)))
+            if some.any() and self.parts:
+                starts = offsets[:-1][some]
+                sums[some] = np.concatenate([np.add.reduceat(part.log2(ORDER, key), starts, axis=0, dtype=np.float64) for part in self.parts], 1)
             bits.append(-sums / np.maximum(n, 1)[:, None])
             sizes.append(n)
         return (np.concatenate(bits), np.concatenate(sizes)) if bits else (np.zeros((0, len(self.langs))), np.zeros(0, np.int64))
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         bits, sizes = self.entropies(column)
-        if not self.langs:
+        langs = self.langs
+        if not langs:
             return [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
         best = bits.argmin(1)
         least = bits[np.arange(len(bits)), best]
         score = np.where(sizes > 0, 1 / np.exp2(-SHARPNESS * (bits - least[:, None])).sum(1), 0.0)
         over = (least - self.means[best]) * np.sqrt(np.minimum(sizes, STEADY_LENGTH))
-        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], score, (sizes > 0) & (over <= self.excess[best])
+        return [langs[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], score, (sizes > 0) & (over <= self.excess[best])
 
 
-def fit_kneser_ney(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> KneserNey:
-    """counts: for each language its distinct 4-grams (sorted) and how often each occurs."""
+def fit_kneser_ney(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], letters: int | None = None) -> KneserNey:
+    """counts: for each language its distinct 4-grams (sorted) and how often each occurs; letters: number of symbols, by default those seen here."""
     model = KneserNey(langs)
     if not langs:
         return model
@@ -149,8 +166,8 @@ def fit_kneser_ney(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]
     for order in range(ORDER - 1, 0, -1):
         suffix = [k & np.uint64((1 << 16 * order) - 1) for k, _ in by_order[order + 1]]
         by_order[order] = [np.unique(s, return_counts=True) for s in suffix]
-    alphabet = distinct(np.concatenate([k for k, _ in by_order[1]]))
-    model.floor = float(-np.log2(len(alphabet) + 1))
+    letters = letters or len(distinct(np.concatenate([k for k, _ in by_order[1]])))
+    model.floor = float(-np.log2(letters + 1))
     for order in range(1, ORDER + 1):
         keys = distinct(np.concatenate([k for k, _ in by_order[order]]))
         histories = distinct(keys >> np.uint64(16))
@@ -170,11 +187,16 @@ def fit_kneser_ney(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]
     return model
 
 
+def fit_languages(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> Languages:
+    letters = len(distinct(np.concatenate([distinct(k & np.uint64(0xFFFF)) for k, _ in counts]))) if counts else 0
+    return Languages([fit_kneser_ney(langs[a : a + SIDE_BY_SIDE], counts[a : a + SIDE_BY_SIDE], letters) for a in range(0, len(langs), SIDE_BY_SIDE)])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> KneserNey:
+def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Languages:
     """docs: doc_id, text, lang; only rows that are not held out and have a language are read. Gram counts and one figure for each calibration text come to the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")))
@@ -198,13 +220,14 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> KneserNey:
         pick = lambda x: (lambda i: (key[i], n[i]))(np.flatnonzero(lang == x)[np.argsort(key[lang == x])])
         return langs, [pick(x) for x in langs]
 
-    model = fit_kneser_ney(*counted(sample.filter("not calibrates")))
+    model = fit_languages(*counted(sample.filter("not calibrates")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, sizes = sent.value.entropies(batch["text"])
-            own = [sent.value.langs.index(x) if x in sent.value.langs else -1 for x in batch["lang"].to_pylist()]
+            numbers = {x: k for k, x in enumerate(sent.value.langs)}
+            own = [numbers.get(x, -1) for x in batch["lang"].to_pylist()]
             ok = (sizes > 0) & (np.array(own, int) >= 0)
             ok[ok] = bits[ok].argmin(1) == np.array(own, int)[ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)[ok]), pa.array(bits[np.flatnonzero(ok), np.array(own, int)[ok]]), pa.array(sizes[ok])], ["lang", "bits", "n"])
