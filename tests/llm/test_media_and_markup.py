@@ -419,6 +419,21 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
+def test_long_texts_are_copied_in_blocks(monkeypatch):
+    rng = random.Random(19)
+    texts = ["".join(rng.choice(["<", "|", "\\", "<|", "a", "é"]) for _ in range(rng.choice((0, 1, 30, 400)))) for _ in range(60)]
+    roles = ["user<|" if k % 3 else "" for k in range(60)]
+    whole = chat_format.assemble(pa.array(roles), pa.array(texts))
+    plain = b"".join(b"<|im_start|>%b\n%b<|im_end|>\n" % tuple(__import__("re").sub(rb"<(\\*)\|", rb"<\\\1|", x.encode()) for x in pair) for pair in zip(roles, texts, strict=True))
+    assert whole[0].tobytes() == plain
+    monkeypatch.setattr(chat_format, "BLOCK_BYTES", 7)
+    for a, b in zip(whole, chat_format.assemble(pa.array(roles), pa.array(texts)), strict=True):
+        assert (a == b).all()
+    monkeypatch.setattr(chat_format, "CHUNK_BYTES", 200)
+    parts = list(chat_format._slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])))
+    assert len(parts) > 5 and sum(len(p) for p in parts) == 60
+
+
 def test_markers_can_not_be_forged():
     rng = random.Random(11)
     texts = ["".join(rng.choice(["<", "|", "\\", "im_end|>", "<|im_start|>", "a", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(500)]

@@ -23,9 +23,10 @@ def test_stages_do_what_their_operators_say(spark, small, tmp_path):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     (first, rated), (_, identified), (before, deduplicated), (_, mixed), (_, packed) = kept
     assert ids(rated) == sorted(r.doc_id for r in quality.classify(first, labels).collect() if r.quality_kept)
-    assert ids(identified) == sorted(r.doc_id for r in language_id.identify(rated).collect() if r.lang_accepted)
+    found = language_id.identify(rated).filter("lang_accepted").select("doc_id", "lang_pred")
+    assert sorted(map(tuple, identified.select("doc_id", "lang").collect())) == sorted(map(tuple, found.collect()))
     texts = {r.doc_id: r.text for r in before.collect()}
-    assert ids(deduplicated) == sorted({c for c in plain_components(texts).values()})
+    assert ids(deduplicated) == sorted({c for c in plain_components(texts, width=5).values()})
     assert set(ids(mixed)) < set(ids(deduplicated)) and len(ids(mixed)) == len(set(ids(mixed)))
     pieces = defaultdict(list)
     for r in packed.collect():

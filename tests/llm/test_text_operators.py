@@ -68,6 +68,50 @@ def test_quality_scores_equal_a_plain_sum():
     assert np.allclose(whole, model.scores(texts), atol=1e-3) and np.allclose(alone, whole, atol=1e-3)
 
 
+def test_the_fit_is_the_likeliest():
+    """No step from the fitted weights and thresholds raises the penalised likelihood, worked out row by row."""
+    rng = np.random.default_rng(18)
+    lists, grades = [], []
+    for _ in range(600):
+        own = np.flatnonzero(rng.random(6) < 0.4)
+        score = np.array([1.5, -2.0, 0.8, 0.0, 0.0, 0.5])[own].sum() + rng.logistic()
+        lists.append(own)
+        grades.append(int(score > 0) + int(score > 1.5))
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    grades = np.array(grades)
+    model = quality.fit_ordinal(np.concatenate(lists), offsets, grades, 3, bits=4, passes=3000, ridge=0.002)
+    used = np.flatnonzero(model.weights)
+    assert set(used) <= set(range(6)) and {0, 1} <= set(used)
+
+    def loss(weights: np.ndarray, cuts: np.ndarray) -> float:
+        total = 0.0
+        for own, grade in zip(lists, grades, strict=True):
+            above = [1.0, *(1 / (1 + np.exp(c - weights[own].sum())) for c in cuts), 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / len(grades) + 0.002 / len(grades) / 2 * (weights**2).sum()
+
+    weights, cuts = model.weights.astype(float), model.thresholds
+    best = loss(weights, cuts)
+    for step in (-0.05, 0.05):
+        for k in used:
+            moved = weights.copy()
+            moved[k] += step
+            assert loss(moved, cuts) > best - 1e-6
+        for k in range(2):
+            moved = cuts.copy()
+            moved[k] += step
+            assert loss(weights, moved) > best - 1e-6
+    tails = model.tails(np.array([0.3]))[0]
+    assert tails == pytest.approx([1 / (1 + np.exp(c - 0.3)) for c in cuts])
+
+
+def test_one_text_of_a_repeated_document_is_learned_from(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} word{k % 3}") for k in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    one, other = (quality.train(d, labels, bits=12) for d in (docs, docs.orderBy(F.desc("text")).repartition(7)))
+    assert (one.weights == other.weights).all() and (one.thresholds == other.thresholds).all()
+
+
 def test_quality_edges(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     flat = quality.classify(odd.withColumn("p_tail", F.lit("mine")), labels)
@@ -90,6 +134,64 @@ def test_kneser_ney_sums_to_one():
         assert total == pytest.approx(1, abs=1e-3)
 
 
+def plain_kneser_ney(texts: list[str], letters: int):
+    """Interpolated Kneser-Ney as it is written down: a function from a history and a symbol to a probability."""
+    from collections import Counter
+
+    counts = {k: Counter() for k in range(1, 5)}
+    for text in texts:
+        symbols = plain_symbols(text)
+        counts[4].update(tuple(symbols[k - 3 : k + 1]) for k in range(3, len(symbols)))
+    for k in (3, 2, 1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+    discounts = {}
+    for k, own in counts.items():
+        ones, twos = (sum(v == n for v in own.values()) for n in (1, 2))
+        discounts[k] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def probability(history: tuple, symbol: str) -> float:
+        if not history:
+            lower = 1 / (letters + 1)
+        else:
+            lower = probability(history[1:], symbol)
+        own, d = counts[len(history) + 1], discounts[len(history) + 1]
+        after = {g: n for g, n in own.items() if g[:-1] == history}
+        total = sum(after.values())
+        return lower if not total else (max(after.get((*history, symbol), 0) - d, 0) + d * len(after) * lower) / total
+
+    return probability
+
+
+def plain_symbols(text: str) -> list[str]:
+    out = [""] * 3
+    for k, c in enumerate(text):
+        if c.isalpha():
+            out.append(c.lower()[0])
+        elif k and text[k - 1].isalpha():
+            out.append("")
+    return out
+
+
+def test_entropies_equal_plain_kneser_ney(monkeypatch):
+    monkeypatch.setattr(language_id, "SIDE_BY_SIDE", 2)
+    rng = random.Random(17)
+    corpora = {lang: [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(12)) + rng.choice([".", "", "!? x"]) for _ in range(4)] for lang, letters in (("a", "abcÄ"), ("b", "bcd"), ("c", "xyzab"))}
+    counts = [np.unique(np.concatenate([k for k, _ in language_id.grams(pa.array(t))]), return_counts=True) for t in corpora.values()]
+    model = language_id.fit_languages(list(corpora), counts)
+    assert model.langs == list(corpora) and len(model.parts) == 2
+    letters = len({s for t in corpora.values() for x in t for s in plain_symbols(x)[3:]})
+    texts = ["abc bcd", "Äxyz q, ab!", "d", "12 zz y-x", *corpora["c"][:2]]
+    bits, sizes = model.entropies(pa.array(texts))
+    for col, own in enumerate(corpora.values()):
+        probability = plain_kneser_ney(own, letters)
+        for row, text in enumerate(texts):
+            symbols = plain_symbols(text)
+            while symbols[3:] and symbols[3] == "":
+                del symbols[3]
+            plain = [-np.log2(probability(tuple(symbols[k - 3 : k]), symbols[k])) for k in range(3, len(symbols))]
+            assert sizes[row] == len(plain) and bits[row, col] == pytest.approx(np.mean(plain), abs=1e-4)
+
+
 def test_languages_are_told_apart(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
     got = language_id.identify(docs.select("doc_id", "text", F.col("lang").alias("truth")), docs).withColumn("held", language_id.held_out(F.col("doc_id"))).collect()
@@ -212,6 +314,15 @@ def test_ids_of_random_characters_equal_the_tokenizer(monkeypatch):
         assert encode.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
 
 
+def test_other_tokenizers_give_their_own_ids(spark, odd):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing.encoder(path)
+    assert not encode.cuts_known and packing.encoder(public_tokenizers.path(queries.TOKENIZER)).cuts_known
+    for text in ["It's Upper CASE", "  two  blanks\n", *[t or "" for t in ODD]]:
+        ids = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(4)
     lengths = sorted((rng.randint(1, 64) for _ in range(400)), reverse=True)
@@ -263,8 +374,8 @@ def plain_set(text: str | None, width: int = 4) -> frozenset:
     return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def plain_components(texts: dict[int, str | None], percent: int = 80) -> dict[int, int]:
-    sets = {i: plain_set(t) for i, t in texts.items()}
+def plain_components(texts: dict[int, str | None], percent: int = 80, width: int = 4) -> dict[int, int]:
+    sets = {i: plain_set(t, width) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i: int) -> int:
