@@ -41,6 +41,21 @@ def middle_half_mean(samples: DataFrame, keys: list[str], threshold: int) -> Dat
     return out.select(*keys, "n", "spread", (F.col("spread") <= threshold).alias("uniform"), cut.alias("middle"))
 
 
+def uniform_planes(samples: DataFrame, keys: list[str], planes: list[str], threshold: int) -> DataFrame:
+    """(keys, uniform): a border is of one colour if the samples of none of its planes lie further apart than threshold."""
+    flat = [F.max(p) - F.min(p) <= threshold for p in planes]
+    whole = flat[0]
+    for one in flat[1:]:
+        whole = whole & one
+    return samples.groupBy(*keys).agg(whole.alias("uniform"))
+
+
+def field_of(values: Column, width: int, bottom: int, offset: int = 0) -> Column:
+    """Every second row of a picture: the top field or the bottom one; of colour planes a picture that starts at an odd row takes the other."""
+    first = bottom ^ (offset % 2)
+    return F.filter(values, lambda v, i: F.floor(i / width) % 2 == first)
+
+
 def smoothed_down(values: Column, width: int, height: int) -> Column:
     """(1, 2, 1) / 4 along each column; first and last rows stay."""
     at = lambda i: F.element_at(values, (i + 1).cast("int"))

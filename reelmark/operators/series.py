@@ -171,6 +171,28 @@ def fade_kind(levels: DataFrame, distance: int = 4) -> DataFrame:
     return both.withColumn("abrupt", abrupt).drop("last_n")
 
 
+#: Frames that one analysis row holds.
+SLOTS = 8
+
+
+def analysed(levels: DataFrame) -> DataFrame:
+    """levels: (series_id, n, level, top, bottom). (series_id, row, slots): SLOTS frames to a row, as an analysis stores them; slots in the order of n."""
+    own = F.struct("n", "level", "top", "bottom")
+    return levels.groupBy("series_id", F.shiftright("n", 3).alias("row")).agg(F.array_sort(F.collect_list(own)).alias("slots"))
+
+
+def fades(frames: DataFrame, analysis: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(series_id, n, fade_top, fade_bottom): a frame's fades in tenths, looked up in its row and slot of the analysis. Where the change is abrupt each field has its own, else both take the frame's.
+
+    frames: (series_id, n); kinds: (series_id, n, abrupt), see fade_kind().
+    """
+    placed = frames.select("series_id", "n", F.shiftright("n", 3).alias("row"), (F.col("n").bitwiseAND(SLOTS - 1) + 1).cast("int").alias("slot"))
+    found = placed.join(analysis, ["series_id", "row"]).select("series_id", "n", F.element_at("slots", F.col("slot")).alias("s"))
+    both = found.join(kinds.select("series_id", "n", "abrupt"), ["series_id", "n"])
+    of = lambda own: (F.when(F.col("abrupt"), F.col(f"s.{own}")).otherwise(F.col("s.level")) / 10).alias(f"fade_{own}")
+    return both.select("series_id", "n", of("top"), of("bottom"))
+
+
 def detected(corr0: Column, corr1: Column) -> Column:
     """The mark is seen and can be removed."""
     return (corr0 > THRESHOLD) & (F.abs(corr1) < THRESHOLD)

@@ -43,6 +43,12 @@ def glyph_sources(reports: DataFrame) -> DataFrame:
     return places.groupBy("glyph").agg(F.count("*").alias("sources"), F.min("path").alias("first_path"))
 
 
+def glyph_catalogue(images: DataFrame, mapping: DataFrame, sources: DataFrame) -> DataFrame:
+    """(glyph, image, text, sources, unmapped) for every glyph that has an image or a mapping, with what is known of it. images: glyph, image; mapping: glyph, text; sources: glyph, sources."""
+    both = images.join(mapping, "glyph", "full_outer").join(sources.select("glyph", "sources"), "glyph", "left")
+    return both.select("glyph", "image", "text", F.coalesce("sources", F.lit(0)).alias("sources"), (F.coalesce("text", F.lit("")) == "").alias("unmapped"))
+
+
 def section_rows(lines: DataFrame, line: str) -> DataFrame:
     """Adds best, is_start, start and end of lines of an interval list; other lines are left out."""
     part = lambda k: F.regexp_extract(line, _SECTION, k)

@@ -32,6 +32,16 @@ def fade_constancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.join(kinds, ["series_id", "n"]).select("series_id", "n", "fixed", F.when(F.col("fixed").isNull(), F.col("abrupt")).alias("abrupt"), "level")
 
 
+def field_fades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fades of both fields of each frame: their levels lie beside the frame's, by its number."""
+    frames = frame_scores(spark, sf_dir)
+    level = F.floor((F.col("corr0") + F.col("corr1") + 1) * 5).cast("int")
+    near = lambda step: F.greatest(F.lit(0), F.least(F.lit(10), F.col("level") + (F.col("n") % step).cast("int") - 1))
+    levels = frames.select("series_id", "n", level.alias("level")).withColumns({"top": near(3), "bottom": near(4)})
+    kinds = series.fade_kind(levels.select("series_id", "n", "level"))
+    return series.fades(frames, series.analysed(levels), kinds)
+
+
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter("user_id is not null and event_type is not null and value is not null")
     raw = (F.col("value") - 50.0) / 50.0
@@ -114,7 +124,7 @@ _CANDIDATES = """
     sum(abs(corr1)) FILTER (corr0 > 0.2 AND abs(corr1) < 0.2) AS cost FROM evaluated GROUP BY series_id, logo)
 , scored AS (SELECT *, CASE WHEN detected > 0 THEN cost / detected * (frames / detected) END AS score FROM summary)"""
 
-QUERIES = {f.__name__: f for f in (logo_frame_labels, logo_sections, section_to_frames, fade_constancy, best_candidate, candidate_summary)}
+QUERIES = {f.__name__: f for f in (logo_frame_labels, logo_sections, section_to_frames, fade_constancy, field_fades, best_candidate, candidate_summary)}
 ORACLE_SQL = {
     "logo_frame_labels": f"WITH {_LABELS} SELECT series_id, n, round(score, 6) AS score, label FROM labels",
     "logo_sections": f"WITH {_SECTIONS} SELECT * FROM sections",
@@ -135,6 +145,14 @@ FROM frames f LEFT JOIN parts p ON p.series_id = f.series_id AND f.n BETWEEN p.a
   FROM (SELECT *, max(n) OVER (PARTITION BY series_id) AS last_n FROM levels) l, range(-4, 5) r(k), levels o
   WHERE k <> 0 AND o.series_id = l.series_id AND o.n = greatest(0, least(l.last_n, l.n + k)) GROUP BY l.series_id, l.n)
 SELECT series_id, n, fixed, CASE WHEN fixed IS NULL THEN (bef < 0.3 AND aft > 0.7) OR (bef > 0.7 AND aft < 0.3) END AS abrupt, level FROM fixed JOIN near USING (series_id, n)""",
+    "field_fades": f"""WITH {_FRAMES}
+, levels AS (SELECT series_id, n, cast(floor((corr0 + corr1 + 1) * 5) AS INT) AS level, max(n) OVER (PARTITION BY series_id) AS last_n FROM frames)
+, near AS (
+  SELECT l.series_id, l.n, any_value(l.level) AS level, round(avg(o.level) FILTER (k < 0) / 10, 9) AS bef, round(avg(o.level) FILTER (k > 0) / 10, 9) AS aft
+  FROM levels l, range(-4, 5) r(k), levels o WHERE k <> 0 AND o.series_id = l.series_id AND o.n = greatest(0, least(l.last_n, l.n + k)) GROUP BY l.series_id, l.n)
+, abrupt AS (SELECT *, (bef < 0.3 AND aft > 0.7) OR (bef > 0.7 AND aft < 0.3) AS is_abrupt FROM near)
+SELECT series_id, n, CASE WHEN is_abrupt THEN greatest(0, least(10, level + n % 3 - 1)) ELSE level END / 10 AS fade_top,
+  CASE WHEN is_abrupt THEN greatest(0, least(10, level + n % 4 - 1)) ELSE level END / 10 AS fade_bottom FROM abrupt""",
     "best_candidate": f"""WITH evaluated AS (
   SELECT user_id AS series_id, event_type AS logo, (value - 50.0) / 50.0 AS corr0, (value - 50.0) / 50.0 / 4 AS corr1
   FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL){_CANDIDATES}

@@ -28,6 +28,19 @@ def middle_half_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.middle_half_mean(samples, ["l_orderkey"], 24)
 
 
+def border_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as border samples of three planes of their order's frame."""
+    samples = table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor("l_quantity").alias("y"), F.round(F.col("l_discount") * 100).alias("u"), F.round(F.col("l_tax") * 100).alias("v"))
+    return pixels.uniform_planes(samples, ["l_orderkey"], ["y", "u", "v"], 6)
+
+
+def field_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fields of each picture, and the colour fields of one that starts at an odd row: number and sum of their samples."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    fields = {f"{name}{bottom}": pixels.field_of(F.col("v"), WIDTH, bottom, offset) for name, offset in (("luma", 0), ("colour", 5)) for bottom in (0, 1)}
+    return _pictures(spark, sf_dir).select("vec_id", F.size(fields["luma0"]).alias("size"), *[total(a).alias(name) for name, a in fields.items()])
+
+
 def spatial_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     smooth = _pictures(spark, sf_dir).select("vec_id", F.posexplode(pixels.smoothed_down(F.col("v"), WIDTH, HEIGHT)).alias("i", "v"))
     return smooth.select("vec_id", (F.col("i") % WIDTH).alias("x"), F.floor(F.col("i") / WIDTH).cast("int").alias("y"), "v")
@@ -69,7 +82,7 @@ _PICTURES = f"""pictures AS (
 _INNER = f"a.x BETWEEN 2 AND {WIDTH - 3} AND a.y BETWEEN 2 AND {HEIGHT - 3}"
 _NEAR = "p.vec_id = a.vec_id AND p.x BETWEEN a.x - 2 AND a.x + 2 AND p.y BETWEEN a.y - 2 AND a.y + 2"
 
-QUERIES = {f.__name__: f for f in (symmetric_fit, middle_half_mean, spatial_smooth, fade_mode, top_pixels, local_correlation, affine_restore)}
+QUERIES = {f.__name__: f for f in (symmetric_fit, middle_half_mean, border_planes, field_split, spatial_smooth, fade_mode, top_pixels, local_correlation, affine_restore)}
 ORACLE_SQL = {
     "symmetric_fit": """SELECT l_suppkey, n, round(a, 5) AS a, round(b, 4) AS b FROM (
   SELECT l_suppkey, count(*) AS n, (regr_slope(b, f) + 1 / nullif(regr_slope(f, b), 0)) / 2 AS a,
@@ -80,6 +93,10 @@ ORACLE_SQL = {
 , s AS (
   SELECT l_orderkey, n, max(v) - min(v) AS spread, sum(v) FILTER (k >= n // 4 AND k < n - n // 4) AS total, count(*) FILTER (k >= n // 4 AND k < n - n // 4) AS taken FROM ranked GROUP BY l_orderkey, n)
 SELECT l_orderkey, n, spread, spread <= 24 AS uniform, cast(trunc((total + taken // 2) / taken) AS BIGINT) AS middle FROM s""",
+    "border_planes": """SELECT l_orderkey, max(floor(l_quantity)) - min(floor(l_quantity)) <= 6 AND max(round(l_discount * 100)) - min(round(l_discount * 100)) <= 6
+  AND max(round(l_tax * 100)) - min(round(l_tax * 100)) <= 6 AS uniform FROM lineitem GROUP BY l_orderkey""",
+    "field_split": f"""WITH {_PICTURES} SELECT vec_id, count(*) FILTER (y % 2 = 0) AS size, sum(v) FILTER (y % 2 = 0) AS luma0, sum(v) FILTER (y % 2 = 1) AS luma1,
+  sum(v) FILTER (y % 2 = 1) AS colour0, sum(v) FILTER (y % 2 = 0) AS colour1 FROM pixels GROUP BY vec_id""",
     "spatial_smooth": f"""WITH {_PICTURES}
 SELECT vec_id, x, y, CASE WHEN y = 0 OR y = {HEIGHT - 1} THEN v ELSE (lag(v) OVER w + 2 * v + lead(v) OVER w) / 4 END AS v FROM pixels WINDOW w AS (PARTITION BY vec_id, x ORDER BY y)""",
     "fade_mode": f"""WITH {_PICTURES}

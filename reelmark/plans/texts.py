@@ -97,6 +97,15 @@ def regex_log_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.glyph_sources(texts.glyph_reports(logs, "path", "line"))
 
 
+def glyph_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as glyphs, some with an image, some with a mapping, which may be empty; line items of large quantity as reports of them."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("glyph"), "p_brand", "p_name")
+    images = part.filter("glyph % 3 <> 0").select("glyph", F.col("p_brand").alias("image"))
+    mapping = part.filter("glyph % 4 <> 0").select("glyph", F.when(F.col("glyph") % 5 == 0, "").otherwise(F.col("p_name")).alias("text"))
+    reports = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("glyph"), F.col("l_shipdate").cast("string").alias("path"), F.col("l_orderkey").alias("seconds"))
+    return texts.glyph_catalogue(images, mapping, texts.glyph_sources(reports))
+
+
 def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as console output whose commas return the carriage and whose bars step back."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.translate("text", ",|", "\r\b").alias("text"))
@@ -186,7 +195,7 @@ _CONSOLE = """, x AS (SELECT key, regexp_extract_all(text, '[^\\n\\r\\x08]*[\\n\
 , s AS (SELECT *, coalesce(lead(replaces) OVER (PARTITION BY key ORDER BY k), false) AS gone FROM f WHERE line <> '')
 , n AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY k) AS k, count(*) OVER (PARTITION BY key) AS c FROM s WHERE NOT gone)"""
 
-QUERIES = {f.__name__: f for f in (hash_manifest, name_codes, path_parts, tail_class, time_slots, comment_merge, regex_log_extract, console_lines, console_window, section_text, set_ops, bit_masks, profile_routing, comment_attributes, checked_states, disk_roots)}
+QUERIES = {f.__name__: f for f in (hash_manifest, name_codes, path_parts, tail_class, time_slots, comment_merge, regex_log_extract, glyph_catalogue, console_lines, console_window, section_text, set_ops, bit_masks, profile_routing, comment_attributes, checked_states, disk_roots)}
 
 
 def _section_sql() -> str:
@@ -229,6 +238,9 @@ SELECT glyph, count(*) AS sources, min(path) AS first_path FROM r GROUP BY glyph
     "console_lines": f"""WITH t AS (SELECT doc_id AS key, translate(text, ',|', chr(13) || chr(8)) AS text FROM documents WHERE text IS NOT NULL)
 {_CONSOLE}
 SELECT key AS doc_id, k - 1 AS number, md5(line) AS line_md5 FROM n""",
+    "glyph_catalogue": """WITH r AS (SELECT l_partkey AS glyph, count(DISTINCT (l_shipdate, l_orderkey)) AS sources FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey)
+SELECT p_partkey AS glyph, if(p_partkey % 3 <> 0, p_brand, NULL) AS image, CASE WHEN p_partkey % 4 <> 0 THEN if(p_partkey % 5 = 0, '', p_name) END AS text, coalesce(sources, 0) AS sources,
+  p_partkey % 4 = 0 OR p_partkey % 5 = 0 OR p_name = '' AS unmapped FROM part LEFT JOIN r ON glyph = p_partkey WHERE p_partkey % 3 <> 0 OR p_partkey % 4 <> 0""",
     "console_window": f"""WITH t AS (SELECT doc_id // 100 AS key, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL)
 {_CONSOLE}
 , w AS (SELECT *, cast(ceil(greatest(0, c - 501) / 100) AS BIGINT) * 100 AS gone FROM n)
