@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmark.functions.arrays import bound, total
+
 #: Side of the square neighbourhood of correlations and variances.
 SIDE = 5
 
 
-def symmetric_fit(points: DataFrame, keys: list[str]) -> DataFrame:
+def symmetric_fit(points: DataFrame, keys: list[str], most: float = 1.0) -> DataFrame:
     """points: keys, f, b. (keys, n, a, b): the line b = a f + b whose slope is the mean of the fit of b on f and the inverted fit of f on b, and likewise its height.
 
-    Keys without a finite line or of slope 0 are left out.
+    The height is in parts of `most`, as if all samples had been. Keys without a finite line or of slope 0 are left out.
     """
     fits = points.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -25,7 +27,7 @@ def symmetric_fit(points: DataFrame, keys: list[str]) -> DataFrame:
         F.regr_intercept("f", "b").alias("b2"),
     )
     whole = fits.filter("a1 is not null and a2 is not null and a2 <> 0")
-    lines = whole.select(*keys, "n", ((F.col("a1") + 1 / F.col("a2")) / 2).alias("a"), ((F.col("b1") - F.col("b2") / F.col("a2")) / 2).alias("b"))
+    lines = whole.select(*keys, "n", ((F.col("a1") + 1 / F.col("a2")) / 2).alias("a"), ((F.col("b1") - F.col("b2") / F.col("a2")) / 2 / most).alias("b"))
     return lines.filter("a <> 0 and not isnan(a) and not isnan(b)")
 
 
@@ -56,11 +58,11 @@ def field_of(values: Column, width: int, bottom: int, offset: int = 0) -> Column
     return F.filter(values, lambda v, i: F.floor(i / width) % 2 == first)
 
 
-def smoothed_down(values: Column, width: int, height: int) -> Column:
-    """(1, 2, 1) / 4 along each column; first and last rows stay."""
+def smoothed_down(values: Column, width: int, height: int, bias: int = 0) -> Column:
+    """(1, 2, 1) / 4 along each column; first and last rows stay. Samples of frames have a bias of 2, which raises them by a half, before the division."""
     at = lambda i: F.element_at(values, (i + 1).cast("int"))
     inner = lambda i: (i >= width) & (i < width * (height - 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.when(inner(i), (at(i - width) + 2 * at(i) + at(i + width)) / 4).otherwise(at(i)))
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.when(inner(i), (at(i - width) + 2 * at(i) + at(i + width) + bias) / 4).otherwise(at(i)))
 
 
 def neighbourhood(values: Column, i: Column, width: int) -> Column:
@@ -69,10 +71,6 @@ def neighbourhood(values: Column, i: Column, width: int) -> Column:
     return F.concat(*rows)
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
-
-
 def inside(i: Column, width: int, height: int) -> Column:
     edge = SIDE // 2
     x, y = i % width, F.floor(i / width)
@@ -81,17 +79,16 @@ def inside(i: Column, width: int, height: int) -> Column:
 
 def correlation(kernel: Column, values: Column) -> Column:
     """Sum of a kernel times the values with their mean taken off."""
-    mean = _sum(values) / (SIDE * SIDE)
-    return _sum(F.zip_with(kernel, values, lambda k, v: k * (v - mean)))
+    about = lambda near: bound(total(near) / (SIDE * SIDE), lambda mean: total(F.zip_with(kernel, near, lambda k, v: k * (v - mean))))
+    return bound(values, about)
 
 
 def local_variances(values: Column, width: int, height: int) -> Column:
     """For each pixel the sum of squared differences from the neighbourhood's mean, 0 near the edges."""
 
     def one(i: Column) -> Column:
-        near = neighbourhood(values, i, width)
-        total = _sum(near)
-        return _sum(F.transform(near, lambda v: v * v)) - total * total / (SIDE * SIDE)
+        squared = lambda near: bound(total(near), lambda t: total(F.transform(near, lambda v: v * v)) - t * t / (SIDE * SIDE))
+        return bound(neighbourhood(values, i, width), squared)
 
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.when(inside(i, width, height), F.round(one(i), 9)).otherwise(0.0))
 
@@ -113,6 +110,15 @@ def cover_distance(a: Column, b: Column) -> Column:
     return (a - 1) * (a - 1) / 3 + (a - 1) * b + b * b
 
 
+def without_faint(planes: list[tuple[Column, Column]], least: float = 0.3) -> tuple[Column, list[tuple[Column, Column]]]:
+    """The distance of a pixel's lines from leaving it as it is, in thousandths over all planes, and the lines, none where that is below `least`."""
+    far = cover_distance(*planes[0])
+    for plane in planes[1:]:
+        far = far + cover_distance(*plane)
+    far = F.round(far * 1000, 9)
+    return far, [(F.when(far < least, 1.0).otherwise(a), F.when(far < least, 0.0).otherwise(b)) for a, b in planes]
+
+
 def correlation_score(normalised: Column, weight: Column) -> Column:
     """What exceeds a full correlation doesn't count; weak ones are weighted down."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), normalised)) * weight

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmark.functions.arrays import bound
+
 DIGEST_CHARS = 128
 # The log line of an unmapped glyph, and the line of an interval list.
 _GLYPH = r"\[字幕\] 映像時刻([0-9]+)分([0-9]+)秒付近にマッピングのないDRCS外字があります。追加してください -> .*[/\\]([0-9A-F]+)\.bmp"
@@ -64,11 +64,6 @@ def section_lines(sections: DataFrame) -> DataFrame:
     return sections.select("series_id", "s_start", F.posexplode(both).alias("part", "line"))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once, however often it stands there."""
-    return F.transform(F.array(value), use)[0]
-
-
 def console_lines(outputs: DataFrame, key: str, text: str, keep: int | None = None) -> DataFrame:
     """(key, number, line): what a console shows of a text: all lines, or those that a rolling one still holds, which drops its first hundred
     when one more comes to more than `keep`.
@@ -93,8 +88,8 @@ def console_lines(outputs: DataFrame, key: str, text: str, keep: int | None = No
         gone = F.ceil(F.greatest(F.lit(0), F.size(lines) - (keep + 1)) / 100).cast("int") * 100
         return F.slice(lines, gone + 1, F.greatest(F.size(lines), F.lit(1)))
 
-    lines = _bound(_bound(F.split(text, "(?<=[\n\r\b])"), marked), surviving)
-    return outputs.select(key, F.posexplode(lines if keep is None else _bound(lines, held)).alias("number", "line"))
+    lines = bound(bound(F.split(text, "(?<=[\n\r\b])"), marked), surviving)
+    return outputs.select(key, F.posexplode(lines if keep is None else bound(lines, held)).alias("number", "line"))
 
 
 def merged_comments(comments: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:

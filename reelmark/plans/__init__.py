@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelmark.plans import catalogue, frames, jobs, pixels, streams, texts
+from reelmark.plans import catalogue, frames, jobs, marks, pixels, streams, texts
 
-_MODULES = (frames, pixels, catalogue, jobs, texts, streams)
+_MODULES = (frames, pixels, marks, catalogue, jobs, texts, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -12,7 +12,7 @@ WIDTH = HEIGHT = 8
 MASK_RATIO = 0.35
 
 
-def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, label, v): samples of 0 to 255."""
     grey = F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor((e.cast("double") + 0.5) * 256))))
     return table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", "label", grey.cast("array<double>").alias("v"))
@@ -38,17 +38,17 @@ def field_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both fields of each picture, and the colour fields of one that starts at an odd row: number and sum of their samples."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
     fields = {f"{name}{bottom}": pixels.field_of(F.col("v"), WIDTH, bottom, offset) for name, offset in (("luma", 0), ("colour", 5)) for bottom in (0, 1)}
-    return _pictures(spark, sf_dir).select("vec_id", F.size(fields["luma0"]).alias("size"), *[total(a).alias(name) for name, a in fields.items()])
+    return pictures(spark, sf_dir).select("vec_id", F.size(fields["luma0"]).alias("size"), *[total(a).alias(name) for name, a in fields.items()])
 
 
 def spatial_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smooth = _pictures(spark, sf_dir).select("vec_id", F.posexplode(pixels.smoothed_down(F.col("v"), WIDTH, HEIGHT)).alias("i", "v"))
+    smooth = pictures(spark, sf_dir).select("vec_id", F.posexplode(pixels.smoothed_down(F.col("v"), WIDTH, HEIGHT)).alias("i", "v"))
     return smooth.select("vec_id", (F.col("i") % WIDTH).alias("x"), F.floor(F.col("i") / WIDTH).cast("int").alias("y"), "v")
 
 
 def fade_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each label how often which of 20 fades fits best, and whether that is the most frequent one (the lowest on ties)."""
-    best = _pictures(spark, sf_dir).select("label", series.first_minimum(F.slice("v", 1, 20)).alias("fade"))
+    best = pictures(spark, sf_dir).select("label", series.first_minimum(F.slice("v", 1, 20)).alias("fade"))
     counts = best.groupBy("label", "fade").agg(F.count("*").alias("frames"))
     modes = counts.groupBy("label").agg(F.max_by("fade", F.struct("frames", -F.col("fade"))).alias("mode"))
     return counts.join(modes, "label").select("label", "fade", "frames", (F.col("fade") == F.col("mode")).alias("is_mode"))
@@ -56,7 +56,7 @@ def fade_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     variance = pixels.local_variances(F.col("v"), WIDTH, HEIGHT)
-    ranked = _pictures(spark, sf_dir).select("vec_id", variance.alias("s")).select("vec_id", "s", F.posexplode(pixels.top_pixels(F.col("s"), MASK_RATIO, WIDTH * HEIGHT)).alias("rank", "pixel"))
+    ranked = pictures(spark, sf_dir).select("vec_id", variance.alias("s")).select("vec_id", "s", F.posexplode(pixels.top_pixels(F.col("s"), MASK_RATIO, WIDTH * HEIGHT)).alias("rank", "pixel"))
     return ranked.select("vec_id", "rank", "pixel", F.round(F.element_at("s", F.col("pixel") + 1), 3).alias("variance"))
 
 
@@ -66,11 +66,11 @@ def local_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = [i for i in range(WIDTH * HEIGHT) if 2 <= i % WIDTH < WIDTH - 2 and 2 <= i // WIDTH < HEIGHT - 2]
     scores = F.transform(F.array(*map(F.lit, inner)), lambda i: pixels.correlation(kernel, pixels.neighbourhood(F.col("v"), i, WIDTH)) / 500)
     weighted = F.transform(scores, lambda s: pixels.correlation_score(s, F.least(F.lit(1.0), F.abs(s) / 0.2)))
-    return _pictures(spark, sf_dir).select("vec_id", F.round(F.aggregate(weighted, F.lit(0.0), lambda t, x: t + x), 6).alias("score"))
+    return pictures(spark, sf_dir).select("vec_id", F.round(F.aggregate(weighted, F.lit(0.0), lambda t, x: t + x), 6).alias("score"))
 
 
 def affine_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = _pictures(spark, sf_dir).select("vec_id", F.posexplode("v").alias("i", "v"))
+    samples = pictures(spark, sf_dir).select("vec_id", F.posexplode("v").alias("i", "v"))
     a, b = 1 + F.col("i") % 4 / F.lit(16.0), -(F.col("i") % 3) / F.lit(32.0)
     out = samples.select("vec_id", "i", pixels.restored(F.col("v"), a, b, 255.0, (F.col("i") % 5) / F.lit(4.0)).alias("v"), pixels.cover_distance(a, b).alias("d"))
     return out.groupBy("vec_id").agg(F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.sum("d") * 1000, 6).alias("distance"))
