@@ -49,6 +49,16 @@ def glyph_catalogue(images: DataFrame, mapping: DataFrame, sources: DataFrame) -
     return both.select("glyph", "image", "text", F.coalesce("sources", F.lit(0)).alias("sources"), (F.coalesce("text", F.lit("")) == "").alias("unmapped"))
 
 
+def updated_glyphs(images: DataFrame, reports: DataFrame, update: str, noticed: int) -> DataFrame:
+    """(glyph, sources, last_update) of glyphs with an image whose sources changed at the last notice or since. images: glyph; reports: glyph, path, seconds and the number of their update.
+
+    A place counts once, and its first report is what changes its glyph.
+    """
+    places = reports.groupBy("glyph", "path", "seconds").agg(F.min(update).alias("since"))
+    changed = places.groupBy("glyph").agg(F.count("*").alias("sources"), F.max("since").alias("last_update")).filter(F.col("last_update") >= noticed)
+    return changed.join(images.select("glyph").distinct(), "glyph", "left_semi")
+
+
 def section_rows(lines: DataFrame, line: str) -> DataFrame:
     """Adds best, is_start, start and end of lines of an interval list; other lines are left out."""
     part = lambda k: F.regexp_extract(line, _SECTION, k)
