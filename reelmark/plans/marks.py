@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelmark.operators import marks, pixels
 from reelmark.plans.pixels import HEIGHT, MASK_RATIO, WIDTH
 from reelmark.plans.pixels import pictures as pictures_of
-from reelmark.sources.storage import stored
+from reelmark.sources.storage import read_marks, shared_folder, stored, write_marks
 from reelmark.sources.tables import table
 
 STATIONS = 5
@@ -67,6 +67,18 @@ def faint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", far.alias("distance"), *own)
 
 
+def mark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every picture written as a mark of one plane and read back: its header, and its lines weighed by their places."""
+    lines = pictures_of(spark, sf_dir).select(
+        F.col("vec_id").alias("mark"), F.col("label").alias("service_id"), *[F.lit(n).alias(c) for n, c in ((1440, "image_width"), (1080, "image_height"), (64, "left"), (32, "top"), (WIDTH, "width"))],
+        F.lit("Y").alias("plane"), F.transform("v", lambda v: 1 + v / 256).alias("a"), F.transform("v", lambda v: -v / 512).alias("b"),
+    )
+    folder = f"{shared_folder(spark)}/marks"
+    write_marks(lines, folder)
+    weighed = lambda c: F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda t, v: t + v)
+    return read_marks(spark, folder).select("mark", "service_id", "left", "top", "plane", F.size("a").alias("pixels"), weighed("a").alias("a"), weighed("b").alias("b"))
+
+
 _NEAR = f"near AS (SELECT d, d % 5 - 2 + {WIDTH} * (d // 5 - 2) AS o FROM range(25) t(d))"
 
 
@@ -131,8 +143,10 @@ def _refit(p: str, name: str) -> str:
     return f"{name} AS (SELECT key, i, {_FIT} FROM (SELECT key, i, y AS f, back AS b FROM scan JOIN {p}fades USING (key, frame) WHERE fade > 8) GROUP BY key, i)"
 
 
-QUERIES = {f.__name__: f for f in (mark_evaluation, mark_refit, mark_fades, faint_lines)}
+QUERIES = {f.__name__: f for f in (mark_evaluation, mark_refit, mark_fades, faint_lines, mark_table)}
 ORACLE_SQL = {
+    "mark_table": f"""WITH raw AS (SELECT vec_id, label, i, greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor((embedding[i + 1]::DOUBLE + 0.5) * 256))) AS v FROM embeddings, range({AREA}) t(i) WHERE embedding IS NOT NULL)
+SELECT vec_id AS mark, label AS service_id, 64 AS left, 32 AS top, 'Y' AS plane, count(*) AS pixels, sum((1 + v / 256) * (i + 1)) AS a, sum(-v / 512 * (i + 1)) AS b FROM raw GROUP BY vec_id, label""",
     "mark_evaluation": f"""WITH {_NEAR},
 raw AS (SELECT label % {STATIONS} AS station, label, vec_id, i, greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor((embedding[i + 1]::DOUBLE + 0.5) * 256))) AS y FROM embeddings, range({AREA}) t(i) WHERE embedding IS NOT NULL),
 lines AS (SELECT label AS key, station, i, 1 + y % 16 / 32 AS a, -(y % 8) / 64 AS b FROM raw WHERE vec_id IN (SELECT min(vec_id) FROM raw GROUP BY label)),

@@ -98,6 +98,23 @@ def append_manifest(digests: DataFrame, path: str) -> None:
     digests.select(F.concat("sha512", F.lit("  "), F.regexp_extract("path", r"([^/]*)$", 1)).alias("value")).write.mode("append").text(path)
 
 
+#: What a mark's table says of it beside its lines: where it comes from, and its place and size in a picture.
+MARK_HEADER = ["mark", "service_id", "image_width", "image_height", "left", "top", "width"]
+
+
+def write_marks(marks: DataFrame, path: str) -> None:
+    """A row for each pixel of each plane: (MARK_HEADER, plane, x, y, a, b). marks: MARK_HEADER, plane, a, b, arrays in row order."""
+    lines = marks.select(*MARK_HEADER, "plane", F.posexplode(F.arrays_zip("a", "b")).alias("pixel", "line"))
+    x, y = F.col("pixel") % F.col("width"), F.floor(F.col("pixel") / F.col("width")).cast("int")
+    lines.select(*MARK_HEADER, "plane", x.alias("x"), y.alias("y"), "line.a", "line.b").write.mode("overwrite").parquet(path)
+
+
+def read_marks(spark: SparkSession, path: str) -> DataFrame:
+    """Marks as write_marks() takes them. A mark is as large as a picture at most, so its pixels are gathered in one row."""
+    rows = spark.read.parquet(path).groupBy(*MARK_HEADER, "plane").agg(F.array_sort(F.collect_list(F.struct("y", "x", "a", "b"))).alias("p"))
+    return rows.select(*MARK_HEADER, "plane", F.transform("p", lambda p: p["a"]).alias("a"), F.transform("p", lambda p: p["b"]).alias("b"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """With a header, and quotes wherever a value needs them."""
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
