@@ -13,24 +13,42 @@ from pyspark.sql import functions as F
 _temporary: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session, as in tests, may lack that setting: it gets a temporary one."""
+def _session_folder(spark: SparkSession) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _temporary[:] = _temporary or [tempfile.mkdtemp(prefix="reelmark-")]
         top = _temporary[0]
-    return f"{top.rstrip('/')}/reelmark-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/reelmark-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session, as in tests, may lack that setting: it gets a temporary one."""
+    return f"{_session_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: it is worked out once, and a lost executor costs no recomputation."""
+    """df written to the shared folder and read back: it is worked out once, and a lost executor costs no recomputation.
+
+    Such tables lie in one folder of the session. Whoever has written or read a result in full calls forget_stored().
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> bool:
+    """A folder or file of any store that Spark writes, taken away; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget_stored(spark: SparkSession) -> bool:
+    """Takes away all that stored() wrote in this session. Results that still read such tables can't be read any more."""
+    return removed(spark, _session_folder(spark))
+
+
 def folder_files(spark: SparkSession, path: str, suffixes: list[str], prefix: str = "", recursive: bool = False) -> DataFrame:
     """(path, name, length, modified) of files by the ends of their names, compared in lower case, and an optional start. Contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", F.col("modificationTime").alias("modified"))
