@@ -5,8 +5,6 @@ Everything here works on one Arrow batch inside a task; Spark partitions and shu
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from reelmark.sources.storage import shared_folder, stored
+
+__all__ = ["Hasher", "distinct", "extended", "mixed", "runs", "segment_hashes", "shared_folder", "steps", "stored", "table", "text_bytes"]
+
 #: Bytes of text that one step of numpy work takes; longer single texts are taken whole, alone.
 STEP_BYTES = 1 << 19
 
@@ -137,26 +139,3 @@ def extended(schema: StructType, added: str) -> StructType:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: The folder of sessions without spark.checkpoint.dir, made when first needed.
-_temporary: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session, as in tests, may lack that setting: it gets a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _temporary[:] = _temporary or [tempfile.mkdtemp(prefix="reelmark-")]
-        top = _temporary[0]
-    return f"{top.rstrip('/')}/reelmark-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: the plan is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import chat_format, fingerprint, html_extract, language_id, media, mixing, near_dedup, packing, quality, url_filter
+from reelmark.llm import chat_format, fingerprint, html_extract, language_id, media, merkle, mixing, near_dedup, packing, quality, url_filter
 from reelmark.llm.common import table
 
 MIX_SEED, MIX_EPOCHS = "mix-1", 4
@@ -85,6 +85,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    lowered = F.translate("text", url_filter._UPPER, url_filter._LOWER)
+    proven = merkle.manifest(table(spark, sf_dir, "documents"), F.when(number % 3 == 0, lowered).otherwise(F.col("text")))
+    return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_extract_html": op2_extract_html,
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_filter_urls": op9_filter_urls,
     "op10_fingerprint": op10_fingerprint,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _SHARE = """
@@ -169,4 +177,48 @@ SELECT u.page_id, u.host, u.path, f.rule,
   coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM mined m WHERE list_has_all(u.tokens, m.s)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM urls u LEFT JOIN fits f USING (id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_filter_urls": URL_SQL}
+# CRC-32 bit by bit: DuckDB has no function for it. Every byte is mixed in, then eight steps of the reflected polynomial follow.
+_CRC_BYTE = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(cast(doc_id AS VARCHAR), ''), lambda z: ascii(z)::BIGINT)), lambda c, b: {_CRC_BYTE}))"
+_FIELD = "coalesce(concat(strlen({0}), ':', {0}), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["cast(doc_id AS VARCHAR)", "source", "lang", "cast(n_chars AS VARCHAR)", text]
+    return f"sha256({' || '.join(_FIELD.format(x) for x in values)})"
+
+
+_LEVELS = """
+{name}(level, lang, k, digest, n) AS (
+  SELECT 0, lang, k, digest, count(*) OVER (PARTITION BY lang) FROM {leaves}
+  UNION ALL
+  SELECT level + 1, lang, k // 8, sha256(string_agg(digest, '' ORDER BY k)), (n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY level, lang, k // 8, n)"""
+
+MERKLE_SQL = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS digest,
+    {_leaf_sql("CASE WHEN doc_id IS NOT NULL AND (" + _CRC + f") % 3 = 0 THEN translate(text, {_CASE}) ELSE text END")} AS found
+  FROM documents)
+, leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest, found) - 1 AS k FROM rows)
+, {_LEVELS.format(name="nodes", leaves="leaves")}
+, subroots AS (SELECT lang AS of_lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, 0 AS lang FROM nodes WHERE n = 1)
+, {_LEVELS.format(name="tops", leaves="subroots")}
+, own AS (SELECT l.*, row_number() OVER () AS id, s.k AS top FROM leaves l JOIN subroots s ON s.of_lang IS NOT DISTINCT FROM l.lang)
+, beside AS (
+  SELECT id, 0 AS part, n.level, n.k, n.digest, own.k >> (3 * n.level) AS mine FROM own JOIN nodes n ON n.lang IS NOT DISTINCT FROM own.lang AND n.n > 1 AND n.k >> 3 = own.k >> (3 * n.level + 3)
+  UNION ALL
+  SELECT id, 1, t.level, t.k, t.digest, top >> (3 * t.level) FROM own JOIN tops t ON t.n > 1 AND t.k >> 3 = top >> (3 * t.level + 3))
+, steps AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, level) AS step, coalesce(string_agg(digest, '' ORDER BY k) FILTER (k < mine), '') AS before,
+    coalesce(string_agg(digest, '' ORDER BY k) FILTER (k > mine), '') AS after
+  FROM beside GROUP BY id, part, level)
+, climb(id, step, digest) AS (
+  SELECT id, 0, found FROM own
+  UNION ALL
+  SELECT c.id, c.step + 1, sha256(concat(s.before, c.digest, s.after)) FROM climb c JOIN steps s ON s.id = c.id AND s.step = c.step + 1)
+, ends AS (SELECT id, arg_max(digest, step) AS folded_root FROM climb GROUP BY id)
+, proofs AS (SELECT id, string_agg(before || after, '' ORDER BY step) AS proof FROM steps GROUP BY id)
+SELECT own.doc_id, own.digest AS leaf, r.digest AS subroot, t.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
+FROM own JOIN subroots r ON r.of_lang IS NOT DISTINCT FROM own.lang JOIN tops t ON t.n = 1 JOIN ends e USING (id) LEFT JOIN proofs p USING (id)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_filter_urls": URL_SQL, "op12_merkle_manifest": MERKLE_SQL}
