@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import chat_format, fingerprint, html_extract, language_id, media, merkle, mixing, near_dedup, packing, quality, url_filter
+from reelmark.llm import chat_format, exact_dedup, fingerprint, html_extract, language_id, media, merkle, mixing, near_dedup, packing, quality, url_filter
 from reelmark.llm.common import table
 
 MIX_SEED, MIX_EPOCHS = "mix-1", 4
@@ -92,6 +92,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_extract_html": op2_extract_html,
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_filter_urls": op9_filter_urls,
     "op10_fingerprint": op10_fingerprint,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _SHARE = """
@@ -221,4 +226,9 @@ WITH RECURSIVE rows AS (
 SELECT own.doc_id, own.digest AS leaf, r.digest AS subroot, t.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
 FROM own JOIN subroots r ON r.of_lang IS NOT DISTINCT FROM own.lang JOIN tops t ON t.n = 1 JOIN ends e USING (id) LEFT JOIN proofs p USING (id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_filter_urls": URL_SQL, "op12_merkle_manifest": MERKLE_SQL}
+EXACT_SQL = """
+WITH plain AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) AS k,
+  max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size FROM documents)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM plain"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_filter_urls": URL_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_exact_dedup": EXACT_SQL}
