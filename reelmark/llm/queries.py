@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import chat_format, exact_dedup, fingerprint, html_extract, language_id, media, merkle, mixing, near_dedup, packing, quality, url_filter
+from reelmark.llm import chat_format, exact_dedup, fingerprint, hard_negatives, html_extract, language_id, media, merkle, mixing, near_dedup, packing, quality, url_filter
 from reelmark.llm.common import table
 
 MIX_SEED, MIX_EPOCHS = "mix-1", 4
@@ -85,6 +85,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.usable(table(spark, sf_dir, "embeddings"))
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     lowered = F.translate("text", url_filter._UPPER, url_filter._LOWER)
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_filter_urls": op9_filter_urls,
     "op10_fingerprint": op10_fingerprint,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -226,9 +233,24 @@ WITH RECURSIVE rows AS (
 SELECT own.doc_id, own.digest AS leaf, r.digest AS subroot, t.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
 FROM own JOIN subroots r ON r.of_lang IS NOT DISTINCT FROM own.lang JOIN tops t ON t.n = 1 JOIN ends e USING (id) LEFT JOIN proofs p USING (id)"""
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))
+, scores AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, cast(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+, positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, cast(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10"""
+
 EXACT_SQL = """
 WITH plain AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) AS k,
   max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size FROM documents)
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM plain"""
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_filter_urls": URL_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_exact_dedup": EXACT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op9_filter_urls": URL_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_exact_dedup": EXACT_SQL}
