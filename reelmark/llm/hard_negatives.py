@@ -258,6 +258,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
 
 
 def _range(low: int, high: int) -> tuple[Column, Column]:
-    """The least and the largest whole score between two percentages of positive_score, in whole numbers."""
-    down = lambda x: F.expr(f"({x} - pmod({x}, 100L)) div 100L")
-    return -down(f"({-low}L * positive_score)"), down(f"({high}L * positive_score)")
+    """The least and the largest whole score between two percentages of positive_score, in whole numbers that stay small."""
+    rest = "pmod(positive_score, 100L)"
+    share = lambda percent, up: F.expr(f"(positive_score - {rest}) div 100L * {percent} + ({rest} * {percent} + {up}) div 100L")
+    return share(low, 99), share(high, 0)

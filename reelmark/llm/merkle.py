@@ -92,39 +92,39 @@ def proof_digest(proof: list[str]) -> str:
     return digest([siblings.replace("|", "") for siblings in proof])
 
 
-def _levels(blocks: int, n: int) -> int:
+def _levels(blocks: int, n: int, block_levels: int) -> int:
     """Levels of a block: those of its whole tree, or all that a block can have where there are several."""
-    return BLOCK_LEVELS if blocks > 1 else height(n)
+    return block_levels if blocks > 1 else height(n)
 
 
-def _block() -> Column:
-    return F.floor(F.col("number") / FANOUT**BLOCK_LEVELS).alias("block")
+def _block(block_levels: int) -> Column:
+    return F.floor(F.col("number") / FANOUT**block_levels).alias("block")
 
 
-def _roots(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def _roots(nodes: DataFrame, keys: list[str], block_levels: int) -> DataFrame:
     """(keys, number, digest, blocks, of): the root of each block, one of `of` in its tree, as a node of the next traversal. nodes: keys, number, digest, blocks."""
 
     def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("number")
         of = rows["blocks"][0].as_py()
-        root, _ = traverse(rows["digest"].to_pylist(), _levels(of, len(rows)))
+        root, _ = traverse(rows["digest"].to_pylist(), _levels(of, len(rows), block_levels))
         head = {name: rows[name].slice(0, 1) for name in keys}
-        number = rows["number"][0].as_py() // FANOUT**BLOCK_LEVELS
-        return pa.table({**head, "number": pa.array([number], pa.int64()), "digest": [root], "blocks": pa.array([-(-of // FANOUT**BLOCK_LEVELS)], pa.int64()), "of": pa.array([of], pa.int64())})
+        number = rows["number"][0].as_py() // FANOUT**block_levels
+        return pa.table({**head, "number": pa.array([number], pa.int64()), "digest": [root], "blocks": pa.array([-(-of // FANOUT**block_levels)], pa.int64()), "of": pa.array([of], pa.int64())})
 
     fields = ", ".join(f"{name} {nodes.schema[name].dataType.simpleString()}" for name in keys)
-    return nodes.groupBy(*keys, _block()).applyInArrow(work, f"{fields}, number long, digest string, blocks long, of long")
+    return nodes.groupBy(*keys, _block(block_levels)).applyInArrow(work, f"{fields}, number long, digest string, blocks long, of long")
 
 
-def tree(leaves: DataFrame, keys: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+def tree(leaves: DataFrame, keys: list[str], block_levels: int) -> tuple[DataFrame, list[DataFrame]]:
     """(keys, digest): the root of each tree; and the nodes of each traversal, the leaves first. leaves: keys, number, digest and what else a leaf has."""
     own = [F.col(name).alias(f"of_{name}") for name in keys]
-    blocks = leaves.groupBy(*own).agg(F.ceil(F.count("*") / FANOUT**BLOCK_LEVELS).alias("blocks"))
+    blocks = leaves.groupBy(*own).agg(F.ceil(F.count("*") / FANOUT**block_levels).alias("blocks"))
     joined = leaves.join(blocks, [leaves[name].eqNullSafe(blocks[f"of_{name}"]) for name in keys])
     floors = [stored(joined.drop(*[f"of_{name}" for name in keys]))]
     ends = None
     while True:
-        roots = stored(_roots(floors[-1], keys))
+        roots = stored(_roots(floors[-1], keys, block_levels))
         ended = roots.filter("of = 1").select(*keys, "digest")
         ends = ended if ends is None else ends.union(ended)
         above = roots.filter("of > 1").drop("of")
@@ -133,7 +133,7 @@ def tree(leaves: DataFrame, keys: list[str]) -> tuple[DataFrame, list[DataFrame]
         floors.append(above)
 
 
-def _proved(nodes: DataFrame, above: DataFrame | None, keys: list[str], columns: str, finish: Callable[[pa.Table, list[list[str]]], pa.Table]) -> DataFrame:
+def _proved(nodes: DataFrame, above: DataFrame | None, keys: list[str], block_levels: int, columns: str, finish: Callable[[pa.Table, list[list[str]]], pa.Table]) -> DataFrame:
     """finish() of the rows of each block and their proofs. nodes as for _roots(); above: (keys, number, proof) of the roots of blocks in trees of several."""
     if above is None:
         nodes = nodes.withColumn("proof", F.lit(None).cast("array<string>"))
@@ -141,18 +141,18 @@ def _proved(nodes: DataFrame, above: DataFrame | None, keys: list[str], columns:
         handed = above.select(*[F.col(name).alias(f"of_{name}") for name in keys], F.col("number").alias("of_block"), "proof")
         same = [nodes[name].eqNullSafe(handed[f"of_{name}"]) for name in keys]
         # A row for each block, to as many nodes as a block has.
-        nodes = nodes.join(handed, [*same, F.floor(nodes["number"] / FANOUT**BLOCK_LEVELS) == handed["of_block"]], "left")
+        nodes = nodes.join(handed, [*same, F.floor(nodes["number"] / FANOUT**block_levels) == handed["of_block"]], "left")
 
     def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("number")
-        _, proofs = traverse(rows["digest"].to_pylist(), _levels(rows["blocks"][0].as_py(), len(rows)))
+        _, proofs = traverse(rows["digest"].to_pylist(), _levels(rows["blocks"][0].as_py(), len(rows), block_levels))
         tail = rows["proof"][0].as_py() or []
         return finish(rows, [proof + tail for proof in proofs])
 
-    return nodes.groupBy(*keys, _block()).applyInArrow(work, columns)
+    return nodes.groupBy(*keys, _block(block_levels)).applyInArrow(work, columns)
 
 
-def proofs(floors: list[DataFrame], keys: list[str], columns: str, finish: Callable[[pa.Table, list[list[str]]], pa.Table]) -> DataFrame:
+def proofs(floors: list[DataFrame], keys: list[str], block_levels: int, columns: str, finish: Callable[[pa.Table, list[list[str]]], pa.Table]) -> DataFrame:
     """finish() of the leaves' blocks and their proofs up to their tree's root: the way down through the floors of tree()."""
     fields = ", ".join(f"{name} {floors[0].schema[name].dataType.simpleString()}" for name in keys)
 
@@ -161,8 +161,8 @@ def proofs(floors: list[DataFrame], keys: list[str], columns: str, finish: Calla
 
     above = None
     for nodes in reversed(floors[1:]):
-        above = stored(_proved(nodes, above, keys, f"{fields}, number long, proof array<string>", hand_down))
-    return _proved(floors[0], above, keys, columns, finish)
+        above = stored(_proved(nodes, above, keys, block_levels, f"{fields}, number long, proof array<string>", hand_down))
+    return _proved(floors[0], above, keys, block_levels, columns, finish)
 
 
 def _finished(rows: pa.Table, found: list[list[str]]) -> pa.Table:
@@ -173,7 +173,7 @@ def _finished(rows: pa.Table, found: list[list[str]]) -> pa.Table:
     return pa.table(out | {"proof": pa.array(whole, pa.list_(pa.string())), "proof_sha256": [proof_digest(proof) for proof in whole], "folded_root": ends, "verified": [x == root for x in ends]})
 
 
-def manifest(docs: DataFrame, found_text: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, found_text: Column | None = None, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """(doc_id, lang, number, leaf, subroot, root, proof, proof_sha256, folded_root, verified) for each row of docs.
 
     number is the leaf's place in its language; proof has the siblings of each level, those before the own node and those after it set apart
@@ -183,17 +183,17 @@ def manifest(docs: DataFrame, found_text: Column | None = None) -> DataFrame:
     now = [*own[:-1], found_text if found_text is not None else own[-1]]
     leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), leaf(own).alias("digest"), leaf(now).alias("found"))
     numbered_leaves = numbered_within(leaves, ["lang"], [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("found")], "number")
-    subroots, floors = tree(numbered_leaves, ["lang"])
+    subroots, floors = tree(numbered_leaves, ["lang"], block_levels)
 
     # The subroots are the leaves of one more tree.
     numbered_tops = numbered_within(subroots.withColumn("tree", F.lit(0)), ["tree"], [F.col("lang").asc_nulls_first()], "number")
-    roots, top_floors = tree(numbered_tops, ["tree"])
+    roots, top_floors = tree(numbered_tops, ["tree"], block_levels)
 
     def named(rows: pa.Table, found: list[list[str]]) -> pa.Table:
         return pa.table({"tree": rows["tree"], "of_lang": rows["lang"], "subroot": rows["digest"], "top_proof": pa.array(found, pa.list_(pa.string()))})
 
-    tops = proofs(top_floors, ["tree"], "tree int, of_lang string, subroot string, top_proof array<string>", named)
+    tops = proofs(top_floors, ["tree"], block_levels, "tree int, of_lang string, subroot string, top_proof array<string>", named)
     tops = stored(tops.join(roots.select("tree", F.col("digest").alias("root")), "tree").drop("tree"))
     floors[0] = floors[0].join(tops, floors[0]["lang"].eqNullSafe(tops["of_lang"])).drop("of_lang")
     columns = "doc_id long, lang string, number long, leaf string, subroot string, root string, proof array<string>, proof_sha256 string, folded_root string, verified boolean"
-    return proofs(floors, ["lang"], columns, _finished)
+    return proofs(floors, ["lang"], block_levels, columns, _finished)
