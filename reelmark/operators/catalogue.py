@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmark.operators import ranks
 from reelmark.functions.names import directory
 
 ACTIVE_STATES = ("Encoding", "LogoPending", "Queue")
@@ -187,11 +188,18 @@ def channel_numbers(rows: DataFrame, parent: str, channel: str, order: list[str]
 
 def reloaded(jobs: DataFrame, queue: str, order: str) -> DataFrame:
     """A saved queue as it is taken up again: waiting and running jobs start over, and jobs are numbered anew from 1 within their queue. jobs: queue, order, state, start, seconds."""
-    again = F.col("state").isin("Encoding", "Queue")
     numbers = F.row_number().over(Window.partitionBy(queue).orderBy(order))
-    return jobs.withColumns(
-        {"state": F.when(again, "LogoPending").otherwise(F.col("state")), "start": F.when(~again, F.col("start")), "seconds": F.when(~again, F.col("seconds")), "number": numbers}
-    )
+    return jobs.withColumns(_started_over() | {"number": numbers})
+
+
+def _started_over() -> dict[str, Column]:
+    again = F.col("state").isin("Encoding", "Queue")
+    return {"state": F.when(again, "LogoPending").otherwise(F.col("state")), "start": F.when(~again, F.col("start")), "seconds": F.when(~again, F.col("seconds"))}
+
+
+def taken_up(jobs: DataFrame, order: list[Column]) -> DataFrame:
+    """A saved queue of any length as it is taken up again, as reloaded() does for many: all its jobs are numbered from 1 in one order."""
+    return ranks.numbered(jobs, order, "before").withColumns(_started_over() | {"number": F.col("before") + 1}).drop("before")
 
 
 def is_cleared(state: Column) -> Column:

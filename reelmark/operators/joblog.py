@@ -157,7 +157,7 @@ def figures(log: DataFrame) -> DataFrame:
         F.round(mebibytes(c("out_size")), 2).alias("out_mib"),
         F.round(per_cent(c("int_size"), c("src_size")), 2).alias("int_rate"),
         F.round(per_cent(c("out_size"), c("src_size")), 2).alias("out_rate"),
-        F.round(encode_speed(c("src_s"), seconds), 3).alias("speed"),
+        F.round(encode_speed(c("src_s"), seconds), 2).alias("speed"),
         F.round(megabits(c("src_size"), c("src_s")), 3).alias("src_mbps"),
         F.round(megabits(c("out_size"), c("out_s")), 3).alias("out_mbps"),
         F.coalesce(F.try_element_at("logo_files", F.lit(1)), F.lit("なし")).alias("logo"),

@@ -19,38 +19,38 @@ _PLACE_BITS = 33
 
 
 def ranged(rows: DataFrame, order: list[Column], spread: Column | None = None) -> DataFrame:
-    """The rows, written in order, with (range, place): ranges follow the order, places count from 0 in each.
+    """The rows, written in order, with (_range, _place): ranges follow the order, places count from 0 in each.
 
     Rows that are alike in `order` share a range; `spread` is a further key that tells them apart where they may be many.
     """
     spark = rows.sparkSession
     keys = [*order, spread] if spread is not None else order
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    numbered = dealt.withColumn("place", F.monotonically_increasing_id())
-    ranges = numbered.withColumn("range", F.shiftright("place", _PLACE_BITS).cast("int")).withColumn("place", F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+    numbered = dealt.withColumn("_place", F.monotonically_increasing_id())
+    ranges = numbered.withColumn("_range", F.shiftright("_place", _PLACE_BITS).cast("int")).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
     return stored(ranges)
 
 
 def carried(ranges: DataFrame, column: str, own: Column, combine: Callable[[int, int], int], start: int) -> DataFrame:
     """Adds `column`: what the aggregate `own` gives for all ranges before a row's own, combined in their order. One row a range goes through the driver."""
-    found = {r["range"]: r["own"] for r in ranges.groupBy("range").agg(own.alias("own")).filter("own is not null").collect()}
+    found = {r["_range"]: r["own"] for r in ranges.groupBy("_range").agg(own.alias("own")).filter("own is not null").collect()}
     before = accumulate((found.get(k, start) for k in range(max(found, default=-1) + 1)), combine, initial=start)
     values = F.array(*[F.lit(int(v)).cast("long") for v in before])
-    return ranges.withColumn(column, F.coalesce(F.get(values, F.col("range")), F.lit(start).cast("long")))
+    return ranges.withColumn(column, F.coalesce(F.get(values, F.col("_range")), F.lit(start).cast("long")))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str, spread: Column | None = None) -> DataFrame:
     """Adds `name`, the row's number from 0 on in the order of the whole table."""
-    before = carried(ranged(rows, order, spread), "before", F.count("*"), lambda a, b: a + b, 0)
-    return before.withColumn(name, F.col("before") + F.col("place")).drop("range", "place", "before")
+    before = carried(ranged(rows, order, spread), "_before", F.count("*"), lambda a, b: a + b, 0)
+    return before.withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
 def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], name: str, spread: Column | None = None) -> DataFrame:
     """Adds `name`, the row's number from 0 on among the rows of its keys, nulls being a key; a key may hold most rows."""
-    whole = numbered(rows, [*[F.col(k) for k in keys], *order], "whole", spread)
-    starts = whole.groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).agg(F.min("whole").alias("start"))
-    same = [whole[k].eqNullSafe(starts[f"key_{i}"]) for i, k in enumerate(keys)]
-    return whole.join(starts, same).withColumn(name, F.col("whole") - F.col("start")).drop("whole", "start", *starts.columns)
+    whole = numbered(rows, [*[F.col(k) for k in keys], *order], "_whole", spread)
+    starts = whole.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(F.min("_whole").alias("_start"))
+    same = [whole[k].eqNullSafe(starts[f"_key_{i}"]) for i, k in enumerate(keys)]
+    return whole.join(starts, same).withColumn(name, F.col("_whole") - F.col("_start")).drop("_whole", "_start", *starts.columns)
 
 
 def probed(keys: DataFrame, home: str, order: list[Column], name: str) -> DataFrame:
@@ -60,12 +60,12 @@ def probed(keys: DataFrame, home: str, order: list[Column], name: str) -> DataFr
     by home, a key's slot is its number plus the running maximum of home less number, as no key stands before its home or shares a slot.
     Keys of one home take their slots in the given order.
     """
-    placed = carried(ranged(keys, [F.col(home), *order]), "before", F.count("*"), lambda a, b: a + b, 0)
-    placed = placed.withColumn("number", F.col("before") + F.col("place")).withColumn("lead", F.col(home) - F.col("number"))
+    placed = carried(ranged(keys, [F.col(home), *order]), "_before", F.count("*"), lambda a, b: a + b, 0)
+    placed = placed.withColumn("_number", F.col("_before") + F.col("_place")).withColumn("_lead", F.col(home) - F.col("_number"))
     least = -(1 << 62)
-    from_others = carried(placed, "lead_before", F.max("lead"), max, least)
-    own = F.max("lead").over(Window.partitionBy("range").orderBy("place"))
-    return from_others.withColumn(name, F.col("number") + F.greatest(own, F.col("lead_before"))).drop("range", "place", "before", "number", "lead", "lead_before")
+    from_others = carried(placed, "_lead_before", F.max("_lead"), max, least)
+    own = F.max("_lead").over(Window.partitionBy("_range").orderBy("_place"))
+    return from_others.withColumn(name, F.col("_number") + F.greatest(own, F.col("_lead_before"))).drop("_range", "_place", "_before", "_number", "_lead", "_lead_before")
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:

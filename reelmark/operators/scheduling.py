@@ -91,6 +91,22 @@ def moved(jobs: DataFrame, groups: list[str], moves: DataFrame) -> DataFrame:
     return both.select(*groups, "item", shifted.alias("position"))
 
 
+def moved_whole(queue: DataFrame, item: str, which: object, to: int) -> DataFrame:
+    """queue: item, position from 0. One item of a queue of any length goes to place `to`; a place that the queue doesn't have is refused."""
+    found = queue.agg(F.max(F.when(F.col(item) == which, F.col("position"))), F.count("*")).first()
+    if found[0] is None or not 0 <= to < found[1]:
+        return queue
+    start, position = found[0], F.col("position")
+    between = position.between(start + 1, to) if to > start else position.between(to, start - 1)
+    return queue.withColumn("position", F.when(position == start, F.lit(to).cast("long")).when(between, position - (1 if to > start else -1)).otherwise(position))
+
+
+def shown_workers(workers: DataFrame, running: str, place: str, parallel: int) -> DataFrame:
+    """Of workers with places from 0 on the first `parallel`, and all up to the last one that runs."""
+    last = workers.agg(F.max(F.when(F.col(running), F.col(place)))).first()[0]
+    return workers.filter(F.col(place) < max(parallel, -1 if last is None else last + 1))
+
+
 def lowest_free(used: DataFrame, groups: list[str], index: str) -> DataFrame:
     """The least number from 0 on that a group doesn't use: the first place where the sorted numbers skip their rank."""
     ranked = used.select(*groups, index).distinct().withColumn("k", F.row_number().over(Window.partitionBy(*groups).orderBy(index)) - 1)

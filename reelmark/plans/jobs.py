@@ -183,7 +183,7 @@ QUERIES = {f.__name__: f for f in (log_metrics, log_labels, log_totals, csv_proj
 ORACLE_SQL = {
     "log_metrics": f"""WITH {_LOG} SELECT id, line, l_partkey, l_suppkey, encode_s::DOUBLE AS encode_s, result, round(CASE WHEN src_s <> 0 THEN (src_s - out_s) / src_s * 100 END, 2) AS not_included,
   round(src_size / 1048576, 2) AS src_mib, round(out_size / 1048576, 2) AS out_mib, round(CASE WHEN src_size <> 0 THEN int_size / src_size * 100 END, 2) AS int_rate,
-  round(CASE WHEN src_size <> 0 THEN out_size / src_size * 100 END, 2) AS out_rate, round(CASE WHEN encode_s > 0 THEN src_s / encode_s END, 3) AS speed,
+  round(CASE WHEN src_size <> 0 THEN out_size / src_size * 100 END, 2) AS out_rate, round(cast(CASE WHEN encode_s > 0 THEN src_s / encode_s END AS DECIMAL(18, 9)), 2)::DOUBLE AS speed,
   round(CASE WHEN src_s > 0 THEN src_size / (src_s * 131072) END, 3) AS src_mbps, round(CASE WHEN out_s > 0 THEN out_size / (out_s * 131072) END, 3) AS out_mbps, logo,
   coalesce(['通常', 'CMをカット', '通常+CMカット', 'CMのみ', '通常+CM', '本編とCMを分離', '通常+本編+CM'][mask], '通常') AS output, service, {_DAY} AS recorded, tag_text FROM log""",
     "log_labels": f"""WITH {_LOG} SELECT id, line, l_partkey, l_suppkey, concat('/rec/', l_suppkey % 9) AS src_dir, concat(l_partkey, '.ts') AS src_name,

@@ -85,8 +85,44 @@ def append_xml_log(rows: DataFrame, path: str, row_tag: str) -> None:
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Replaces what is there once all is written."""
-    rows.write.mode("overwrite").parquet(path)
+    """Replaces the snapshot at a path in one step once all rows are written; a write that fails leaves the old one.
+
+    Each version is a folder of its own; a small file names the present one and is replaced by renaming another over it. The version
+    before stays until the next write, for those who still read it.
+    """
+    spark = rows.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    before = _present_version(spark, path)
+    rows.write.parquet(f"{path}/{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    files = at("").getFileSystem(conf)
+    out = files.create(at(f"_{version}"))
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at("").toUri(), conf).rename(at(f"_{version}"), at("_present"), over)
+    for status in files.listStatus(at("")):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            files.delete(status.getPath(), True)
+
+
+def _present_version(spark: SparkSession, path: str) -> str | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_present")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    source = files.open(at)
+    name = bytes(source.readAllBytes()).decode()
+    source.close()
+    return name
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write_snapshot() wrote last."""
+    return spark.read.parquet(f"{path}/{_present_version(spark, path)}")
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
