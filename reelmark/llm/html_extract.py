@@ -6,9 +6,12 @@ of the two trees match. A text that stands at the same place in nearly all diffe
 slots are content.
 
 Slots that serve the site rather than the article (menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts)
-vary as well; they are told by element, role and class words. Some words are weak, as they name parts of articles too: inside an article
-they only count against blocks made of links, elsewhere only if they don't name most of the page. If articles or a main part are marked,
-only their slots count; else lists and runs of links are dropped.
+vary as well; they are told by element, role and class names. A name only counts whole: `comments` or `ad-slot`, all of whose words speak of
+what isn't the article or of a box for it. In a name with any other word (`comments-open`, `cookie-recipe`) the word is a hint, which only
+counts against blocks made of links; so it does in paragraphs and headings of an article, if it isn't an advert's. Some words are weak, as
+they name parts of articles too: inside an article they only count against blocks made of links, elsewhere only if they don't name most
+of the page. If articles or a main part are marked, only their slots count; else lists and runs of links are dropped. A form is left out
+unless it holds most of the text, as where a framework wraps the page in one; then its labels and controls are.
 
 Defined cases: null or empty html gives empty text; broken or unclosed markup is read as far as it goes, at any depth; a lone page of a
 host has no template and is judged by its slots alone; pages of one article count once as evidence, whatever surrounds it; null urls share
@@ -23,6 +26,7 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +37,11 @@ from reelmark.llm.url_filter import url_host
 GROUP_PAGES, GROUP_BYTES = 128, 32 << 20
 #: A list of more hosts is joined by shuffling, not broadcast.
 BROADCAST_HOSTS = 100_000
-#: Part of the different articles at which a text must stand to be template, and the least number of them.
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 4
-#: Pairs of children that two elements are matched by trying; of longer lists each child takes the next one of its label.
-MOST_PAIRS = 1_000_000
+#: Part of the different articles at which a text must stand to be template, the least number of them, and the least for a place inside a
+#: marked article, where a few may well open or end alike. Headings of an article are never template.
+TEMPLATE_SHARE, TEMPLATE_PAGES, TEMPLATE_ARTICLES = 0.8, 6, 10
+#: Pairs of children up to which the table of scores is kept; longer lists are matched by halves, to as good a matching, in memory of one row.
+TABLE_PAIRS = 4096
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S
@@ -60,7 +65,7 @@ _SIBLINGS = {
     "option": frozenset(["option"]),
 }
 _SCOPES = frozenset("table ul ol dl div section article main aside nav body html form td th blockquote".split())
-_ASIDE_TAGS = frozenset("nav footer aside form head button dialog menu fieldset search".split())
+_ASIDE_TAGS = frozenset("nav footer aside head button dialog menu fieldset search".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 # Class words of what isn't the article, of page layout that may enclose it, and of what may as well be a part of it.
 _ASIDE_WORDS = frozenset(
@@ -71,19 +76,29 @@ _LAYOUT_WORDS = frozenset("masthead modal overlay sidebar toolbar topbar".split(
 _WEAK_WORDS = frozenset(
     "banner byline copyright disclaimer header meta reader recommended recommendations related share sharing skip social sponsor tags teaser widget widgets".split()
 )
+# Words of names that only say where or how a box stands, or what kind of box it is.
+_BOX_WORDS = frozenset(
+    "area bar base block body bottom box button card center child col column container content cta depth desktop element even fixed flex floating foot global google grid group head holder icon inline "
+    "inner item items label large layer leaderboard left level line link links list main message mid middle mobile mpu msg native new odd outer page panel parent place placeholder policy position post "
+    "primary reader readers rectangle responsive right row secondary section side site skyscraper slot small space spot static sticky strip sub tertiary thread toggle top unit user users "
+    "view warning wide wrap wrapper zone".split()
+)
+_ADVERT_WORDS = frozenset("ad ads adv advert advertisement adverts adsense adslot outbrain promo promoted sponsored taboola".split())
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd li td th".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LISTED = frozenset("li ul ol dd dt td th".split())
 _FRAME_WORDS = frozenset(["has", "no", "with", "without"])
 _ARTICLE_WORDS = frozenset("articlebody entrycontent postcontent storybody articlecontent".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-#: How surely a slot is no content: it is, a weak word says so, its layout does, it serves the site.
-CONTENT, WEAK, LAYOUT, ASIDE = range(4)
+#: How surely a slot is no content: it is, a word of its name hints so, a weak name says so, its layout does, it serves the site.
+CONTENT, HINT, WEAK, LAYOUT, ASIDE = range(5)
 
 
 @dataclass
 class Run:
-    """Text between the bounds of blocks: its node and place among the runs there, characters in links and number of links, in an article, and one of CONTENT to ASIDE."""
+    """Text between the bounds of blocks: its node and place among the runs there, characters in links and number of links, in an article, one of CONTENT to ASIDE, in a form."""
 
     node: int
     place: int
@@ -92,6 +107,7 @@ class Run:
     links: int
     article: bool
     aside: int
+    form: bool
 
     def linked(self) -> bool:
         return 2 * self.link_chars > len(self.text)
@@ -110,8 +126,8 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # An open element: tag, node, aside, in article, in a link.
-        stack: list[tuple[str, int, int, bool, bool]] = [("#", 0, CONTENT, False, False)]
+        # An open element: tag, node, aside, in article, in a link, in a form, a block.
+        stack: list[tuple[str, int, int, bool, bool, bool, bool]] = [("#", 0, CONTENT, False, False, False, True)]
         pieces: list[str] = []
         link_chars, links, counts = 0, 0, Counter()
 
@@ -119,17 +135,15 @@ class Page:
             nonlocal link_chars, links
             if pieces:
                 if text := " ".join(html.unescape("".join(pieces)).split()):
-                    _, node, aside, article, link = stack[-1]
-                    self.runs.append(Run(node, counts[node], text, link_chars, max(links, int(link)), article, aside))
+                    _, node, aside, article, link, form, _ = stack[-1]
+                    self.runs.append(Run(node, counts[node], text, link_chars, max(links, int(link)), article, aside, form))
                     counts[node] += 1
                 pieces.clear()
             link_chars = links = 0
 
         def close(depth: int) -> None:
-            for tag, *_ in stack[depth:]:
-                if tag in _BLOCKS:
-                    flush()
-                    break
+            if any(element[-1] for element in stack[depth:]):
+                flush()
             del stack[depth:]
 
         at, n = 0, len(source)
@@ -184,15 +198,17 @@ class Page:
                             break
                     elif stack[depth][0] in _SCOPES:
                         break
-            _, node, aside, article, link = stack[-1]
+            _, node, aside, article, link, form, _ = stack[-1]
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
             named = f"{attributes.get('id', '')} {attributes.get('class', '')}" if attributes else ""
             words = [w.lower() for w in _WORDS.findall(named)] if named.strip() else []
             if tag in ("article", "main") and aside <= LAYOUT:
-                aside = CONTENT
-            aside = max(aside, self._aside(tag, attributes, words, article))
+                aside, form = CONTENT, False
+            form = form or tag == "form"
+            aside = max(aside, self._aside(tag, attributes, named, article, form))
             article = article or tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" or bool(words) and "".join(words) in _ARTICLE_WORDS
-            if tag in _BLOCKS:
+            block = tag in _BLOCKS or form and tag in ("label", "button")
+            if block:
                 flush()
                 new = len(self.parents)
                 self.parents.append(node)
@@ -202,21 +218,33 @@ class Page:
                 node = new
             links += tag == "a"
             if not m[3].endswith("/"):
-                stack.append((tag, node, aside, article, link or tag == "a"))
+                stack.append((tag, node, aside, article, link or tag == "a", form, block))
         flush()
 
+    def tag(self, run: Run) -> str:
+        return self.labels[run.node].split(" ", 1)[0]
+
     @staticmethod
-    def _aside(tag: str, attributes: dict, words: list[str], article: bool) -> int:
-        if tag in _ASIDE_TAGS or tag == "header" and not article:
+    def _aside(tag: str, attributes: dict, named: str, article: bool, form: bool) -> int:
+        if tag in _ASIDE_TAGS or tag == "header" and not article or form and tag in ("label", "legend"):
             return ASIDE
         if attributes and (attributes.get("role") in _ASIDE_ROLES or attributes.get("aria-hidden") == "true" or "hidden" in attributes):
             return ASIDE
+        if tag in ("html", "body", "main"):
+            return CONTENT
+        return max((Page._named(name, article and tag in _TEXT_TAGS) for name in named.split()), default=CONTENT)
+
+    @staticmethod
+    def _named(name: str, article_text: bool) -> int:
+        """What one class name or id says; article_text: of a paragraph or the like in an article."""
+        words = {w.lower() for w in _WORDS.findall(name) if not w.isdigit()}
         # A frame that has or lacks a sidebar isn't one.
-        if not words or tag in ("html", "body", "main") or not _FRAME_WORDS.isdisjoint(words):
+        if not words or not _FRAME_WORDS.isdisjoint(words):
             return CONTENT
         for kind, names in ((ASIDE, _ASIDE_WORDS), (LAYOUT, _LAYOUT_WORDS), (WEAK, _WEAK_WORDS)):
             if not names.isdisjoint(words):
-                return kind
+                whole = words <= _ASIDE_WORDS | _LAYOUT_WORDS | _WEAK_WORDS | _BOX_WORDS
+                return kind if whole and not (article_text and _ADVERT_WORDS.isdisjoint(words)) else HINT
         return CONTENT
 
 
@@ -275,49 +303,61 @@ class Matcher:
             lo += 1
         while hi_a > lo and hi_b > lo and one[hi_a - 1] == two[hi_b - 1]:
             hi_a, hi_b = hi_a - 1, hi_b - 1
-        if (hi_a - lo) * (hi_b - lo) > MOST_PAIRS:
-            tried = {(one[i], two[j]) for i, j in self._in_turn(one, two, lo, hi_a, hi_b)}
-        else:
-            tried = {(x, y) for x in set(one[lo:hi_a]) for y in set(two[lo:hi_b]) if self.labels[x] == self.labels[y]}
+        tried = {(x, y) for x in set(one[lo:hi_a]) for y in set(two[lo:hi_b]) if self.labels[x] == self.labels[y]}
         return [p for p in tried if p[0] != p[1] and p not in self.found], (lo, hi_a, hi_b)
 
-    def _in_turn(self, one: tuple[int, ...], two: tuple[int, ...], lo: int, hi_a: int, hi_b: int) -> list[tuple[int, int]]:
-        at = defaultdict(list)
-        for j in range(hi_b - 1, lo - 1, -1):
-            at[self.labels[two[j]]].append(j)
-        pairs, last = [], -1
-        for i in range(lo, hi_a):
-            places = at[self.labels[one[i]]]
-            while places and places[-1] <= last:
-                places.pop()
-            if places:
-                last = places.pop()
-                pairs.append((i, last))
+    def _scores(self, one: tuple[int, ...], two: tuple[int, ...]) -> np.ndarray:
+        """What the best ordered matching of all of `one` with each beginning of `two` gives, row by row of the table of scores."""
+        weights: dict[int, np.ndarray] = {}
+        kinds = {y: self.labels[y] for y in set(two)}
+        row = np.zeros(len(two) + 1, np.int64)
+        for x in one:
+            if x not in weights:
+                weights[x] = np.array([self.weight(x, y) if kinds[y] == self.labels[x] else 0 for y in two], np.int64)
+            row[1:] = np.maximum(row[1:], row[:-1] + weights[x])
+            np.maximum.accumulate(row, out=row)
+        return row
+
+    def _by_halves(self, one: tuple[int, ...], two: tuple[int, ...]) -> list[tuple[int, int]]:
+        """A best ordered matching of long lists: where the first half of one ends best in the other, both halves are matched on their own."""
+        pairs, waiting = [], [(0, len(one), 0, len(two))]
+        while waiting:
+            a, b, c, d = waiting.pop()
+            if a == b or c == d:
+                continue
+            if b - a == 1 or (b - a) * (d - c) <= TABLE_PAIRS:
+                pairs += self._by_table(one, two, a, b, c, d)
+                continue
+            middle = (a + b) // 2
+            total = self._scores(one[a:middle], two[c:d]) + self._scores(one[middle:b][::-1], two[c:d][::-1])[::-1]
+            cut = c + int(total.argmax())
+            waiting += [(a, middle, c, cut), (middle, b, cut, d)]
+        return sorted(pairs)
+
+    def _by_table(self, one: tuple[int, ...], two: tuple[int, ...], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+        best = [[0] * (d - c + 1) for _ in range(b - a + 1)]
+        for i in range(b - 1, a - 1, -1):
+            label, row, below = self.labels[one[i]], best[i - a], best[i - a + 1]
+            for j in range(d - 1, c - 1, -1):
+                score = max(below[j - c], row[j - c + 1])
+                if label == self.labels[two[j]]:
+                    score = max(score, below[j - c + 1] + self.weight(one[i], two[j]))
+                row[j - c] = score
+        pairs, i, j = [], a, c
+        while i < b and j < d:
+            if best[i - a][j - c] == best[i - a + 1][j - c]:
+                i += 1
+            elif best[i - a][j - c] == best[i - a][j - c + 1]:
+                j += 1
+            else:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
         return pairs
 
     def _match(self, a: int, b: int, lo: int, hi_a: int, hi_b: int) -> tuple[int, list[tuple[int, int]]]:
         one, two = self.kids[a], self.kids[b]
         pairs = [(k, k) for k in range(lo)] + [(hi_a + k, hi_b + k) for k in range(len(one) - hi_a)]
-        if (hi_a - lo) * (hi_b - lo) > MOST_PAIRS:
-            pairs += self._in_turn(one, two, lo, hi_a, hi_b)
-        elif lo < hi_a and lo < hi_b:
-            best = [[0] * (hi_b - lo + 1) for _ in range(hi_a - lo + 1)]
-            for i in range(hi_a - 1, lo - 1, -1):
-                label, row, below = self.labels[one[i]], best[i - lo], best[i - lo + 1]
-                for j in range(hi_b - 1, lo - 1, -1):
-                    score = max(below[j - lo], row[j - lo + 1])
-                    if label == self.labels[two[j]]:
-                        score = max(score, below[j - lo + 1] + self.weight(one[i], two[j]))
-                    row[j - lo] = score
-            i, j = lo, lo
-            while i < hi_a and j < hi_b:
-                if best[i - lo][j - lo] == best[i - lo + 1][j - lo]:
-                    i += 1
-                elif best[i - lo][j - lo] == best[i - lo][j - lo + 1]:
-                    j += 1
-                else:
-                    pairs.append((i, j))
-                    i, j = i + 1, j + 1
+        pairs += [(lo + i, lo + j) for i, j in self._by_halves(one[lo:hi_a], two[lo:hi_b])]
         return 1 + sum(self.weight(one[i], two[j]) for i, j in pairs), pairs
 
     def align(self, a: Page, b: Page) -> dict[int, int]:
@@ -353,21 +393,27 @@ def induce(pages: list[Page]) -> list[set[int]]:
                 if place is not None:
                     texts[place][run.text] += 1
     fixed = {(place, text) for place, own in texts.items() for text, m in own.most_common(1) if m >= TEMPLATE_SHARE * len(evidence)}
-    return [{k for k, (place, run) in enumerate(zip(own, page.runs, strict=True)) if place is not None and (place, run.text) in fixed} for own, page in zip(places, pages, strict=True)]
+    cut = lambda page, run: not run.article or len(evidence) >= TEMPLATE_ARTICLES and page.tag(run) not in _HEADINGS
+    return [{k for k, (place, run) in enumerate(zip(own, page.runs, strict=True)) if place is not None and (place, run.text) in fixed and cut(page, run)} for own, page in zip(places, pages, strict=True)]
 
 
 def content(page: Page, template: set[int]) -> list[str]:
     """The texts of the content slots, in page order."""
     slots = [r for k, r in enumerate(page.runs) if k not in template and r.aside < LAYOUT]
-    if marked := [r for r in slots if r.article]:
-        return [r.text for r in marked if r.aside == CONTENT or not r.linked()]
+    slots = [r for r in slots if r.article] or slots
     size = lambda runs: sum(len(r.text) - r.link_chars for r in runs)
+    outside = [r for r in slots if not r.form]
+    if 2 * size(outside) >= size(slots) and outside:
+        slots = outside
+    if any(r.article for r in slots):
+        return [r.text for r in slots if r.aside == CONTENT or not r.linked()]
     weak = [r for r in slots if r.aside == WEAK]
     if 2 * size(weak) <= size(slots):
-        slots = [r for r in slots if r.aside == CONTENT]
+        slots = [r for r in slots if r.aside < WEAK]
+    slots = [r for r in slots if r.aside != HINT or not r.linked()]
     # One block that is a link may be a sentence; several side by side, or in a list, are a menu.
     linked = [False, *(r.linked() for r in slots), False]
-    in_list = lambda r: page.labels[r.node].split(" ", 1)[0] in _LISTED
+    in_list = lambda r: page.tag(r) in _LISTED
     return [r.text for k, r in enumerate(slots, 1) if not linked[k] or not (r.links > 1 or linked[k - 1] or linked[k + 1] or in_list(r))]
 
 

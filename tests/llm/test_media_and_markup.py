@@ -345,11 +345,48 @@ def test_alignment_matches_as_many_nodes_as_the_plain_matcher():
         assert all(a.labels[x] == b.labels[y] and (x == 0 or matched[a.parents[x]] == b.parents[y]) for x, y in matched.items())
 
 
-def test_long_lists_are_matched_in_turn(monkeypatch):
-    monkeypatch.setattr(html_extract, "MOST_PAIRS", 10)
-    a, b = (html_extract.Page("".join(f"<{t}><div></div></{t}>" for t in tags) + "<hr>x") for tags in (["p", "ul", "p", "section"] * 3, ["ul", "p", "p", "ol"] * 3))
-    matched = html_extract.Matcher().align(a, b)
-    assert len(matched) > 6 and all(a.labels[x] == b.labels[y] for x, y in matched.items())
+def test_long_lists_are_matched_as_well_as_by_the_plain_matcher(monkeypatch):
+    """By halves, with a table of a few pairs, and lists of thousands."""
+    rng = random.Random(8)
+    monkeypatch.setattr(html_extract, "TABLE_PAIRS", 6)
+    for _ in range(40):
+        lists = [[(rng.choice(["ol", "ul", "section"]), [("div", [])] * rng.randrange(3)) for _ in range(rng.randrange(1, 25))] for _ in range(2)]
+        a, b = (html_extract.Page("".join(f"<{t}>{'<div></div>' * len(x)}</{t}>" for t, x in own) + "<hr>x") for own in lists)
+        matched = html_extract.Matcher().align(a, b)
+        assert len(matched) == plain_matching(("#", lists[0]), ("#", lists[1]))
+        assert len(set(matched.values())) == len(matched) and all(a.labels[x] == b.labels[y] for x, y in matched.items())
+        assert sorted(matched.values()) == [matched[x] for x in sorted(matched)]
+    many = [html_extract.Page("".join(f"<{t}><div></div></{t}>" for t in rng.choices(["ol", "ul"], k=2000))) for _ in range(2)]
+    matched = html_extract.Matcher().align(*many)
+    assert len(matched) > 2000 and all(many[0].labels[x] == many[1].labels[y] for x, y in matched.items())
+
+
+def test_one_word_of_a_name_loses_no_article():
+    read = lambda source: html_extract.content(html_extract.Page(source), set())
+    assert read('<div class="post comments-open"><p>Body</p></div>') == ["Body"]
+    assert read('<div class="post ad-free"><p>Body</p></div>') == ["Body"]
+    assert read('<article class="menu-review"><p>Body</p></article>') == ["Body"]
+    assert read('<div><p>Before it all</p></div><section class="promotion-chess"><p>Pawns</p></section>') == ["Before it all", "Pawns"]
+    assert read('<h1 class="cookie-title">Biscuits</h1><div class="cookie-recipe"><p>Flour</p></div>') == ["Biscuits", "Flour"]
+    assert read('<article><p class="notice">Note</p><p class="ad-hoc">As needed</p><p class="ad">Buy</p><div class="notice">We moved</div></article>') == ["Note", "As needed"]
+    assert read('<div class="comments-open"><p>Body</p></div><div class="post-comments"><p>Nice</p></div><div id="top-ad">Buy</div><div class="adSlot-3">Buy</div>') == ["Body"]
+    assert read('<div class="share-prices"><p>Up again</p></div><p>A much longer text stands beside it here</p>') == ["Up again", "A much longer text stands beside it here"]
+    assert read('<div class="menu-review"><p>Text of it</p><p><a href="/">a</a></p></div>') == ["Text of it"]
+
+
+def test_forms_that_hold_the_page_are_opened():
+    read = lambda source: html_extract.content(html_extract.Page(source), set())
+    assert read('<form id="aspnet"><nav>Menu</nav><div><p>All of the body lies in here</p></div><label>Mail</label><input><button>Send</button></form>') == ["All of the body lies in here"]
+    assert read("<form><article><h1>Head</h1><p>Text</p><form><label>Mail</label> now</form></article></form>") == ["Head", "Text"]
+    assert read("<p>A text of some length stands here</p><form>Mail <input></form>") == ["A text of some length stands here"]
+    assert read("<main><form><p>Long text of a main part in a form</p><label>Search</label></form></main>") == ["Long text of a main part in a form"]
+
+
+def test_articles_may_open_and_end_alike():
+    extracted = lambda sources: (lambda pages: [html_extract.content(p, t) for p, t in zip(pages, html_extract.induce(pages), strict=True)])([html_extract.Page(x) for x in sources])
+    page = "<p>On every page</p><article><h2>Introduction</h2><p>{k}</p><p>The end.</p></article>"
+    assert extracted([page.format(k=f"text {k}") for k in range(6)]) == [["Introduction", f"text {k}", "The end."] for k in range(6)]
+    assert extracted([page.format(k=f"text {k}") for k in range(12)]) == [["Introduction", f"text {k}"] for k in range(12)]
 
 
 def test_deep_pages_have_a_template():
