@@ -422,7 +422,10 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).withColumn("key", F.xxhash64("page_id", "url"))
     # Only hosts of several groups are listed: at most one for GROUP_PAGES pages. The pages themselves move once, by host and group.
     many = F.greatest(F.ceil(F.count("*") / GROUP_PAGES), F.ceil(F.sum(F.octet_length("html")) / GROUP_BYTES)).cast("int")
-    groups = stored(keyed.groupBy("host").agg(many.alias("groups")).filter("groups > 1"))
+    hosts = stored(keyed.groupBy("host").agg(many.alias("groups"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes")))
+    groups = hosts.filter("groups > 1").select("host", "groups")
+    size = hosts.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * GROUP_BYTES)))
     listed = F.broadcast(groups) if groups.count() <= BROADCAST_HOSTS else groups
     # Rows of one page by the hundred would be one group however many a host has: each different one goes once, with its number.
     hot = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_PAGES))
@@ -431,7 +434,7 @@ def extract(pages: DataFrame) -> DataFrame:
         counted = keyed.join(hot, "key", "left_semi").groupBy("page_id", "url", "html", "host", "key").agg(F.count("*").alias("copies"))
         once = once.join(hot, "key", "left_anti").unionByName(counted)
     part = F.pmod(F.col("key"), F.coalesce("groups", F.lit(1)))
-    dealt = once.join(listed, "host", "left").withColumn("part", part).drop("groups", "key").repartition("host", "part")
+    dealt = once.join(listed, "host", "left").withColumn("part", part).drop("groups", "key").repartition(tasks, "host", "part")
 
     def read(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("page_id", kind="stable", ignore_index=True)
