@@ -607,7 +607,7 @@ def test_fingerprints_equal_plain_sums():
         own, triples, n = plain_fingerprint(text)
         assert exact[k].tolist() == own and count[k] == n
         # The squared length of the sketch estimates that of the counts of triples; its sum of signs keeps their parity.
-        assert int(sketch[k].view(np.int16).astype(int).sum()) % 2 == n % 2 and (n > 0 or not sketch[k].any())
+        assert int(sketch[k].view(np.int32).astype(int).sum()) % 2 == n % 2 and (n > 0 or not sketch[k].any())
     for a in range(len(texts)):
         for b in range(a):
             one, other = (plain_fingerprint(texts[k])[1] for k in (a, b))
@@ -619,6 +619,27 @@ def test_fingerprints_equal_plain_sums():
                 assert abs(near - max(0.0, 1 - apart / total)) < 0.5
 
 
+def test_a_triple_may_come_very_often():
+    one, other = prints("a " * 65_538), prints("a " * 65_538 + "\nb c d")
+    assert 0.99 < fingerprint.likeness(one, other)[0] < 1
+    assert fingerprint.deleted(fingerprint.rendered(other)[0], ["b c d"]) == fingerprint.rendered(one)[0]
+
+
+def test_rows_without_an_id_and_copies_are_spread(spark):
+    """A third without doc_id, a third copies of one row: no range is much above the mean, and each copy but the last is followed by its like."""
+    rows = [(None, f"null {k} " + "x" * 200) for k in range(900)] + [(500, "copied " + "y" * 200)] * 900 + [(k, f"own {k} " + "z" * 200) for k in range(1, 901)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain = fingerprint._once(docs.withColumn("key", F.xxhash64("text")))
+    assert plain.count() == 1801 and plain.agg(F.sum("copies")).first()[0] == 2700
+    bounds = [100 * k for k in range(1, 9)]
+    sizes = [r["count"] for r in fingerprint._ranged(plain, bounds, 1, 9).groupBy("range").count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    order = docs.withColumn("key", F.xxhash64("text")).orderBy(F.col("doc_id").desc_nulls_last(), F.col("key").desc()).collect()
+    expected = sorted((str(a.doc_id), hashlib.sha256(fingerprint.edited(a.text, b.text).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    for limit in (1 << 25, 5000):
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in fingerprint.fingerprint_edits(docs, 4, limit).collect()) == expected
+
+
 def test_no_family_of_strings_collides():
     from reelmark.llm.common import segment_hashes
     from reelmark.llm.shingles import shingle_sets
