@@ -28,12 +28,6 @@ def covered(level: Column, a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.when(x > 0, (level - y * MOST) / x).otherwise(level))
 
 
-def uncovered(values: Column, a: Column, b: Column, fade: Column) -> Column:
-    """A picture with a mark taken off by `fade`."""
-    lines = F.arrays_zip(values.alias("v"), a.alias("a"), b.alias("b"))
-    return F.transform(lines, lambda p: fade * (p["a"] * p["v"] + p["b"] * MOST) + (1 - fade) * p["v"])
-
-
 def strength(values: Column, points: Column, width: int) -> Column:
     """How clearly a picture shows a mark: the sum over its points of what the neighbourhood answers, in parts of what it would on a background of that level."""
 
@@ -49,6 +43,31 @@ def strength(values: Column, points: Column, width: int) -> Column:
     return bound(values, lambda whole: total(F.transform(points, lambda p: one(whole, p))))
 
 
+def strengths(values: Column, a: Column, b: Column, points: Column, width: int, fades: Column) -> Column:
+    """strength() of a picture with a mark taken off by each of `fades`.
+
+    What is taken off grows in proportion to the fade, and so do a neighbourhood's mean and answer: both are worked out once for the picture
+    and once for what a whole fade takes off.
+    """
+    side = pixels.SIDE * pixels.SIDE
+    answer = lambda kernel, near: total(F.zip_with(kernel, near, lambda k, v: k * v))
+
+    def part(p: Column, own: Column, off: Column) -> Column:
+        return F.struct(answer(p["kernel"], own).alias("a0"), answer(p["kernel"], off).alias("a1"), (total(own) / side).alias("m0"), (total(off) / side).alias("m1"), p["scales"].alias("scales"))
+
+    def parts(both: Column) -> Column:
+        of = lambda p, k: pixels.neighbourhood(both[k], p["pixel"], width)
+        return F.transform(points, lambda p: bound(of(p, "v"), lambda own: bound(of(p, "d"), lambda off: part(p, own, off))))
+
+    def score(q: Column, fade: Column) -> Column:
+        level = F.floor(F.least(F.lit(MOST), F.greatest(F.lit(0.0), F.round(q["m0"] + fade * q["m1"], 6))) / STEP).cast("int") + 1
+        return bound(F.element_at(q["scales"], level), lambda s: pixels.correlation_score((q["a0"] + fade * q["a1"]) * s["scale"], s["cap"]))
+
+    off = lambda v: F.transform(F.arrays_zip(v.alias("v"), a.alias("a"), b.alias("b")), lambda p: (p["a"] - 1) * p["v"] + p["b"] * MOST)
+    both = bound(values, lambda v: F.struct(v.alias("v"), off(v).alias("d")))
+    return bound(bound(both, parts), lambda all_parts: F.transform(fades, lambda fade: total(F.transform(all_parts, lambda q: score(q, fade)))))
+
+
 def prepared(marks: DataFrame, width: int, height: int, ratio: float) -> DataFrame:
     """marks: a, b and keys. Adds points (pixel, kernel, scales) and black, what a black background answers.
 
@@ -97,9 +116,9 @@ def evaluated(frames: DataFrame, marks: DataFrame, keys: list[str], width: int,
     odd = marks.filter(F.size("a") != width * height).select(*keys, "mark")
     rest = [c for c in frames.columns if c != "v"]
     level = pixels.smoothed_down(F.col("v"), width, height, 2)
-    parts = lambda v: F.struct(strength(v, F.col("points"), width).alias("on"), strength(uncovered(v, F.col("a"), F.col("b"), F.lit(1.0)), F.col("points"), width).alias("off"))
-    fits = frames.join(made, keys).select(*rest, "mark", "black", bound(level, parts).alias("s"))
-    own = fits.select(*rest, "mark", F.try_divide("s.on", "black").alias("corr0"), F.try_divide("s.off", "black").alias("corr1"))
+    shown = strengths(level, F.col("a"), F.col("b"), F.col("points"), width, F.array(F.lit(0.0), F.lit(1.0)))
+    fits = frames.join(made, keys).select(*rest, "mark", "black", shown.alias("s"))
+    own = fits.select(*rest, "mark", F.try_divide(F.get("s", 0), "black").alias("corr0"), F.try_divide(F.get("s", 1), "black").alias("corr1"))
     return own.unionByName(frames.select(*rest).join(odd, keys).select(*rest, "mark", F.lit(0.0).alias("corr0"), F.lit(-1.0).alias("corr1")))
 
 
@@ -113,10 +132,14 @@ def best_fades(frames: DataFrame, marks: DataFrame, keys: list[str], width: int,
     """Adds `fade`, in tenths: by which a key's mark has to be taken off to leave least of it, the least on ties."""
     made = prepared(smoothed(marks, width, height), width, height, ratio).filter("black <> 0")
     level = pixels.smoothed_down(F.col("v"), width, height, 2)
-    left = lambda v: F.transform(
-        F.sequence(F.lit(0), F.lit(FADES - 1)), lambda k: F.round(F.abs(strength(uncovered(v, F.col("a"), F.col("b"), k * F.lit(0.1)), F.col("points"), width) / F.col("black")), 6)
-    )
-    return frames.join(made, keys).select(*frames.columns, bound(bound(level, left), first_minimum).alias("fade"))
+    left = rests(level, F.col("a"), F.col("b"), F.col("points"), F.col("black"), width, FADES)
+    return frames.join(made, keys).select(*frames.columns, bound(left, first_minimum).alias("fade"))
+
+
+def rests(values: Column, a: Column, b: Column, points: Column, black: Column, width: int, fades: int) -> Column:
+    """What is left of a mark after it was taken off by 0, 1, 2 tenths and so on, in parts of what it shows on black."""
+    tenths = F.transform(F.sequence(F.lit(0), F.lit(fades - 1)), lambda k: k * F.lit(0.1))
+    return F.transform(strengths(values, a, b, points, width, tenths), lambda s: F.round(F.abs(s / black), 6))
 
 
 def fitted(frames: DataFrame, keys: list[str], area: int) -> DataFrame:

@@ -82,24 +82,22 @@ def mark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEAR = f"near AS (SELECT d, d % 5 - 2 + {WIDTH} * (d // 5 - 2) AS o FROM range(25) t(d))"
 
 
-def _inner(i: str) -> str:
-    return f"{i} % {WIDTH} BETWEEN 2 AND {WIDTH - 3} AND {i} // {WIDTH} BETWEEN 2 AND {HEIGHT - 3}"
+def _inner(i: str, height: int = HEIGHT) -> str:
+    return f"{i} % {WIDTH} BETWEEN 2 AND {WIDTH - 3} AND {i} // {WIDTH} BETWEEN 2 AND {height - 3}"
 
-
-
-def _smoothed(name: str, source: str, keys: str, columns: dict[str, int]) -> str:
+def _smoothed(name: str, source: str, keys: str, columns: dict[str, int], height: int = HEIGHT) -> str:
     """name(keys, i, columns): each column of source smoothed along y with its bias."""
-    of = ", ".join(f"CASE WHEN i < {WIDTH} OR i >= {WIDTH * (HEIGHT - 1)} THEN {c} ELSE (lag({c}) OVER w + 2 * {c} + lead({c}) OVER w + {bias}) / 4 END AS {c}" for c, bias in columns.items())
+    of = ", ".join(f"CASE WHEN i < {WIDTH} OR i >= {WIDTH * (height - 1)} THEN {c} ELSE (lag({c}) OVER w + 2 * {c} + lead({c}) OVER w + {bias}) / 4 END AS {c}" for c, bias in columns.items())
     return f"{name} AS (SELECT {keys}, i, {of} FROM {source} WINDOW w AS (PARTITION BY {keys}, i % {WIDTH} ORDER BY i))"
 
 
-def _prepared(p: str, source: str, count: int) -> str:
+def _prepared(p: str, source: str, count: int, height: int = HEIGHT) -> str:
     """{p}points(key, i, level, kernel..., scale, cap) of smoothed marks source(key, i, a, b), and {p}black(key, black)."""
     return f"""
 {p}levels AS (SELECT key, c, i, CASE WHEN a > 0 THEN (c * 8 - b * 255) / a ELSE c * 8 END AS y FROM {source}, range(32) r(c)),
-{p}spread AS (SELECT l.key, l.i, round(sum(n.y * n.y) - sum(n.y) * sum(n.y) / 25, 9) AS s FROM {p}levels l, near JOIN {p}levels n ON n.key = l.key AND n.c = l.c AND n.i = l.i + o WHERE l.c = 16 AND {_inner("l.i")} GROUP BY ALL),
+{p}spread AS (SELECT l.key, l.i, round(sum(n.y * n.y) - sum(n.y) * sum(n.y) / 25, 9) AS s FROM {p}levels l, near JOIN {p}levels n ON n.key = l.key AND n.c = l.c AND n.i = l.i + o WHERE l.c = 16 AND {_inner("l.i", height)} GROUP BY ALL),
 {p}every AS (SELECT m.key, m.i, coalesce(s, 0.0) AS s FROM {source} m LEFT JOIN {p}spread s ON s.key = m.key AND s.i = m.i),
-{p}chosen AS (SELECT key, i FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, i DESC) AS k FROM {p}every) WHERE k <= {count} AND {_inner("i")}),
+{p}chosen AS (SELECT key, i FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, i DESC) AS k FROM {p}every) WHERE k <= {count} AND {_inner("i", height)}),
 {p}around AS (SELECT l.key, h.i, l.c, d, l.y FROM {p}chosen h, near JOIN {p}levels l ON l.key = h.key AND l.i = h.i + o),
 {p}kernels AS (SELECT key, i, d, y - avg(y) OVER (PARTITION BY key, i) AS k FROM {p}around WHERE c = 0),
 {p}answers AS (SELECT key, i, c, abs(sum(k * (y - m))) AS corr FROM (SELECT *, avg(y) OVER (PARTITION BY key, i, c) AS m FROM {p}around) JOIN {p}kernels USING (key, i, d) GROUP BY key, i, c),
@@ -130,10 +128,10 @@ scan AS (SELECT * FROM raw JOIN taken USING (key, frame)),
 m0 AS (SELECT key, i, {_FIT} FROM (SELECT key, i, y AS f, back AS b FROM scan) GROUP BY key, i)"""
 
 
-def _fades(p: str, marks_name: str) -> str:
+def _fades(p: str, marks_name: str, height: int = HEIGHT) -> str:
     """{p}fades(key, frame, fade) of the frames by a mark."""
-    return f"""{_smoothed(f"{p}soft", marks_name, "key", {"a": 0, "b": 0})},
-{_prepared(p, f"{p}soft", int(AREA * REFIT_RATIO))},
+    return f"""{_smoothed(f"{p}soft", marks_name, "key", {"a": 0, "b": 0}, height)},
+{_prepared(p, f"{p}soft", int(WIDTH * height * REFIT_RATIO), height)},
 {p}tried AS (SELECT key, frame * 100 + k AS frame, i, k * 0.1::DOUBLE * (a * y + b * 255) + (1 - k * 0.1::DOUBLE) * y AS y FROM plain JOIN {p}soft USING (key, i), range(20) t(k)),
 {_strength(p, f"{p}left", f"{p}tried")},
 {p}fades AS (SELECT key, frame // 100 AS frame, arg_min(frame % 100, (round(abs(l.score / b.score), 6), frame % 100)) AS fade FROM {p}left l JOIN (SELECT key, score FROM {p}black) b USING (key) GROUP BY ALL)"""
