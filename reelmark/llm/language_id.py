@@ -9,8 +9,9 @@ The language of least cross-entropy per character is predicted. A prediction is
 language's mean than those of nearly all calibration texts that are told as their language do, with a margin and allowing for the spread
 of short texts; a few outliers among these don't widen it.
 
-Models are fitted on about FIT_DOCUMENTS texts a language, chosen by a hash of doc_id (a parameter), a fifth of them for calibration;
-prediction reads every text whole.
+Models are fitted on about FIT_DOCUMENTS different texts a language, chosen by a hash of doc_id and text (a parameter), a fifth of them for
+calibration; prediction reads every text whole. Models are sent to all executors; beyond MODEL_BYTES, which takes hundreds of languages, an
+error says so.
 
 Defined cases: null text and text without letters give `und`, score 0, not accepted; with no labelled text everything is `und`; equal
 entropies go to the language that sorts first; repeated rows are predicted alike; letters beyond the basic plane share one symbol; other
@@ -33,6 +34,8 @@ from reelmark.llm.common import distinct, extended, steps, stored, text_bytes
 ORDER = 4
 FIT_DOCUMENTS = 2_500
 UNKNOWN = "und"
+#: Bytes of all models together that may be held by the driver and each executor, and what a gram of a language takes of them.
+MODEL_BYTES, GRAM_BYTES = 1 << 30, 64
 #: Languages whose grams share an array.
 SIDE_BY_SIDE = 8
 #: A list of more languages is joined by shuffling, not broadcast.
@@ -201,8 +204,10 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Languages:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")))
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    sample = stored(known.join(sizes, "lang").filter(part * F.col("n") < fit_documents).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("calibrates")))
+    # Rows of one doc_id are chosen each by its text, and a text counts once: neither can fill the sample.
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    chosen = known.join(sizes, "lang").filter(part * F.col("n") < fit_documents).groupBy("lang", "text").agg(F.min("doc_id").alias("doc_id"))
+    sample = stored(chosen.select("lang", "text", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0).alias("calibrates")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +219,10 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Languages:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
     def counted(rows: DataFrame) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-        table = rows.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+        found = stored(rows.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+        if (size := found.count() * GRAM_BYTES) > MODEL_BYTES:
+            raise MemoryError(f"the models would take {size} bytes; MODEL_BYTES is {MODEL_BYTES}")
+        table = found.toArrow()
         lang, key, n = table["lang"].to_pandas().to_numpy(), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
         langs = sorted(set(lang))
         pick = lambda x: (lambda i: (key[i], n[i]))(np.flatnonzero(lang == x)[np.argsort(key[lang == x])])

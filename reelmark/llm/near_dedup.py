@@ -198,11 +198,12 @@ def _verified(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def leader_links(sets: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between nodes and the LEADERS leaders b that agree with them most. sets: node, shingles."""
+    """(a, b): links between nodes and the LEADERS leaders b that agree with them most. sets: node, n_shingles, shingles."""
     best = Window.partitionBy("a").orderBy(F.desc("agree"), F.xxhash64("b"), "b")
     picks = tied.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= LEADERS).select("a", "b")
-    # A leader of many stands in as many parts as its followers need.
-    parts = picks.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    # A leader of many, or of long ones, stands in as many parts as its followers need.
+    weighed = picks.join(sets.select(F.col("node").alias("a"), "n_shingles"), "a")
+    parts = weighed.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     followers = picks.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a", F.lit(2)), F.col("parts")).cast("int"))
     own = followers.select(F.col("a").alias("node"), "b", "part", F.lit(False).alias("leads"))
     heads = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"))

@@ -7,7 +7,8 @@ A document's features are the distinct words (letters, lower-cased) and their fi
 figures of its whole text: share of capitals, of marks, of repeated words, and length. Each counts once, so one telling word weighs as
 much in a long text. Only features that go with the grade far beyond chance get a weight (`screen`), so rare words can't be learnt by heart.
 
-The model is fitted on at most FIT_DOCUMENTS rated documents, the first by a hash of doc_id (a parameter); everything else covers all.
+The model is fitted on at most FIT_DOCUMENTS rated documents, the first by a hash of doc_id, and as many of these as have FIT_FEATURES features
+together (both parameters); everything else covers all.
 
 Defined cases: null and empty text have the bins alone and are scored like any text; a document rated twice takes its lowest grade,
 of several texts of it the one of least hash is learned from; ratings without a document or with a null are ignored; without any ratings the model is flat and every document is kept; texts of any
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import Hasher, distinct, extended, mixed, steps, text_bytes
+from reelmark.llm.common import Hasher, distinct, extended, mixed, steps, stored, text_bytes
 
 BITS = 20
-FIT_DOCUMENTS = 16_000
+FIT_DOCUMENTS, FIT_FEATURES = 16_000, 40_000_000
 GRADES = 3
 #: P(grade > CUT_GRADE) must reach CUT_PROBABILITY for a document to be kept.
 CUT_GRADE, CUT_PROBABILITY = 1, 0.7
@@ -165,8 +166,8 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(toxic == 1, 1).otherwise(2)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, bits: int = BITS) -> OrdinalModel:
-    """Fits on the first `fit_documents` rated documents by hash of doc_id; these few come to the driver as feature numbers."""
+def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, bits: int = BITS, fit_features: int = FIT_FEATURES) -> OrdinalModel:
+    """Fits on the first `fit_documents` rated documents by hash of doc_id, as far as they have `fit_features` features; these come to the driver as numbers."""
     rated = (
         labels.filter("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id")
@@ -181,7 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], batch["grade"], pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "text_key", "grade", "numbers"])
 
     found = texts.select(F.col("doc_id").cast("long"), "text_key", F.col("grade").cast("int"), "text").mapInArrow(extract, "doc_id long, text_key long, grade int, numbers binary")
-    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("grade", "numbers"), "text_key").alias("row")).select("doc_id", "row.grade", "row.numbers").toArrow()
+    sample = stored(found.groupBy("doc_id").agg(F.min_by(F.struct("grade", "numbers"), "text_key").alias("row")).select("doc_id", F.xxhash64("doc_id").alias("turn"), "row.grade", "row.numbers"))
+    # Two numbers a document first, to see how many documents the driver has room for.
+    sizes = sorted((r["turn"], r["doc_id"], r["n"]) for r in sample.select("turn", "doc_id", (F.octet_length("numbers") / 4).cast("long").alias("n")).collect())
+    last = int(np.searchsorted(np.cumsum([n for *_, n in sizes]), fit_features, "right"))
+    if last < len(sizes):
+        turn, doc_id, _ = sizes[last]
+        sample = sample.filter((F.col("turn") < turn) | (F.col("turn") == turn) & (F.col("doc_id") < doc_id))
+    rows = sample.select("doc_id", "grade", "numbers").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     grades, parts = rows["grade"].to_numpy().astype(np.int64)[order], rows["numbers"].take(pa.array(order)).combine_chunks() if len(order) else []
     del rows

@@ -486,3 +486,45 @@ def test_rows_without_an_id_are_grouped_too(spark):
     assert got == sorted([("None", "7", False), ("7", "7", True), ("9", "7", False), *[("None", "None", True)] * 4, *[("3", "3", True)] * 2, *[("5", "5", True)] * 2])
     kept = sorted((str(r.doc_id), str(r.text)) for r in near_dedup.keep_one(docs).collect())
     assert kept == sorted([("7", text), ("None", "alone here"), ("None", "None"), ("None", " "), ("3", "None"), ("5", "first text of five"), ("5", "second text of the same id")])
+
+
+# Bounds of samples ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_a_doc_id_of_most_rows_does_not_fill_the_language_sample(spark, monkeypatch):
+    rows = [(7, f"hot text number {k} of many", "en") for k in range(3000)] + [(7, "the very same text", "en")] * 3000 + [(k, f"der text nummer {k} von vielen", "de") for k in range(100, 1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~language_id.held_out(F.col("doc_id")))
+    seen = []
+    monkeypatch.setattr(language_id, "fit_languages", lambda langs, counts, fit=language_id.fit_languages: seen.append([int(n.sum()) for _, n in counts]) or fit(langs, counts))
+    model = language_id.train(docs, 200)
+    # About 200 texts a language of some 20 characters, a fifth of them for calibration; those of doc_id 7 are chosen one by one.
+    assert model.langs == ["de", "en"] or model.langs == ["de"]
+    assert all(500 < n < 12_000 for n in seen[0])
+
+
+def test_models_beyond_their_bound_are_refused(spark, small, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 1000)
+    with pytest.raises(MemoryError):
+        language_id.train(spark.read.parquet(f"{small}/documents.parquet"))
+
+
+def test_the_fit_takes_documents_as_far_as_features_go(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(30))) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    whole, cut, none = (quality.train(docs, labels, fit_features=n) for n in (10**6, 2000, 0))
+    assert whole.weights.shape == cut.weights.shape and not none.weights.any()
+    assert quality.classify(docs, labels).count() == 200
+
+
+def test_long_followers_of_one_leader_are_dealt_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(k % 4):
+            own[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(60), 0)
