@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelmark.operators.changes import snapshot_changes
 from reelmark.sources.storage import folder_files, shared_folder
+from reelmark.streaming import jobs
 
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
@@ -41,23 +43,28 @@ STEPS = {
 }
 
 
-def item_states(feed: DataFrame) -> DataFrame:
+def item_states(feed: DataFrame, shards: int = jobs.SHARDS) -> DataFrame:
     """feed: item long, seq long, op string. (item, state, changes) whenever an item's state changes.
 
     A job is added pending, or refused for good; it waits once its profile and mark are known and pends again when they no longer are; waiting
     jobs may start, active ones be cancelled, and what isn't running or refused may be retried, which starts over. Other steps are ignored.
-    A batch's steps of one item are two numbers each, sorted together.
+    Items lie in shards, whose steps of a batch are walked side by side (see jobs.walked).
     """
+    ops = sorted({op for steps in STEPS.values() for op in steps})
+    names = list(STEPS)
+    table = np.array([[names.index(steps[op]) if op in steps else -1 for op in ops] for steps in STEPS.values()])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, changes = state.get if state.exists else ("", 0)
-        for op in pd.concat([b[["seq", "op"]] for b in batches]).sort_values("seq")["op"]:
-            if (then := STEPS[now].get(op)) is not None:
-                now, changes = then, changes + 1
-        state.update((now, changes))
-        yield pd.DataFrame({"item": [key[0]], "state": [now], "changes": [changes]})
-
-    return feed.groupBy("item").applyInPandasWithState(step, "item long, state string, changes long", "state string, changes long", "update", GroupStateTimeout.NoTimeout)
+        held = [np.frombuffer(x, np.int64).copy() for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 3
+        batch = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+        items, states, changes = jobs.walked(*held, batch, table)
+        state.update(tuple(x.tobytes() for x in (items, states, changes)))
+        touched = np.searchsorted(items, batch["item"].unique())
+        yield pd.DataFrame({"item": items[touched], "state": [names[x] for x in states[touched]], "changes": changes[touched]})
+
+    known = F.array_position(F.array(*map(F.lit, ops)), F.col("op")).cast("int") - 1
+    dealt = feed.select(F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard"), "item", "seq", known.alias("op")).filter("op >= 0")
+    return dealt.groupBy("shard").applyInPandasWithState(step, "item long, state string, changes long", "items binary, states binary, changes binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def new_files(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
