@@ -1,7 +1,7 @@
 """Decoder of broadcast strings (ARIB STD-B24, 8-bit codes) as an Arrow-batched function.
 
 Four sets are designated to G0 to G3 by escape sequences and invoked on the left and right half by locking shifts, or for one character
-by single shifts. Two-byte kanji are read as JIS X 0208; kana, alphanumerics and their proportional forms as one byte; glyphs sent with the
+by single shifts. Two-byte kanji are read as JIS X 0208, rows 85 and beyond as additional symbols; kana, alphanumerics and their proportional forms as one byte; glyphs sent with the
 stream (DRCS) through a map, with a placeholder where it lacks one. Format codes set size, colour and position of what follows. What a
 broken or cut-off sequence leaves is skipped.
 """
@@ -27,6 +27,34 @@ PARAMETERS = {0x16: 1, 0x1C: 2, 0x8B: 1, 0x90: 1, 0x91: 1, 0x93: 1, 0x94: 1, 0x9
 SIZES = {0x88: "small", 0x89: "middle", 0x8A: "normal"}
 COLOURS = dict(zip(range(0x80, 0x88), "black red green yellow blue magenta cyan white".split(), strict=True))
 
+# Additional symbols by the code of the first of each run; those that follow a rule are made below. `symbols` gives others.
+_SYMBOL_RUNS = {
+    0x7A50: "[HV] [SD] [Ｐ] [Ｗ] [MV] [手] [字] [双] [デ] [Ｓ] [二] [多] [解] [SS] [Ｂ] [Ｎ] ■ ● [天] [交] [映] [無] [料] [年齢制限] [前] [後] [再] [新] [初] [終] [生] [販] [声] [吹] [PPV] (秘) ほか",
+    0x7C21: "→ ← ↑ ↓ ○ ● 年 月 日 円 ㎡ ㎥ ㎝ ㎠ ㎤",
+    0x7C3A: "氏 副 元 故 前 新",
+    0x7C4A: "(社) (財) (有) (株) (代) (問) ▶ ◀ 〖 〗 ◇",
+    0x7D29: "㍾ ㍽ ㍼ ㍻ № ℡ (〒) ○ 〔本〕 〔三〕 〔二〕 〔安〕 〔点〕 〔打〕 〔盗〕 〔勝〕 〔敗〕 〔Ｓ〕 ［投］ ［捕］ ［一］ ［二］ ［三］ ［遊］ ［左］ ［中］ ［右］ ［指］ ［走］ ［打］",
+    0x7D60: "☀ ☁ ☂ ☃",
+    0x7E2B: "XI XⅡ",
+}
+#: Runs of symbols that are numbered in Unicode as well: code of the first, how many, its code point.
+_SYMBOL_RANGES = [
+    (0x7C31, 9, 0x2488), (0x7D21, 7, 0x322A), (0x7D28, 1, 0x3237), (0x7E21, 10, 0x2160), (0x7E2D, 4, 0x2470), (0x7E31, 12, 0x2474), (0x7E3D, 4, 0x3251), (0x7E5B, 6, 0x3255), (0x7E61, 16, 0x2460),
+    (0x7E71, 10, 0x2776), (0x7E7B, 2, 0x24EB), (0x7E7D, 1, 0x325B),
+]
+
+
+def _symbol_table() -> dict[int, str]:
+    out = {first + k: text for first, texts in _SYMBOL_RUNS.items() for k, text in enumerate(texts.split(" "))}
+    out |= {first + k: chr(point + k) for first, n, point in _SYMBOL_RANGES for k in range(n)}
+    out |= {0x7C30: "０."} | {0x7C40 + k: chr(0xFF10 + k) + "," for k in range(10)}
+    return out | {0x7E41 + k: f"({chr(0x41 + k)})" for k in range(26)}
+
+
+SYMBOLS = _symbol_table()
+#: Codes from here on are no kanji but symbols.
+FIRST_SYMBOL = 0x7521
+
 
 def _one(kind: str, code: int) -> str:
     if kind == ALNUM:
@@ -39,7 +67,10 @@ def _one(kind: str, code: int) -> str:
     return ""
 
 
-def _two(kind: str, first: int, second: int) -> str:
+def _two(kind: str, first: int, second: int, symbols: dict[int, str]) -> str:
+    code = first << 8 | second
+    if kind == SYMBOL or code >= FIRST_SYMBOL:
+        return symbols.get(code) or SYMBOLS.get(code, PLACEHOLDER)
     if kind == KANJI:
         try:
             return bytes((0x1B, 0x24, 0x42, first, second, 0x1B, 0x28, 0x42)).decode("iso2022_jp")
@@ -48,8 +79,8 @@ def _two(kind: str, first: int, second: int) -> str:
     return "〓"
 
 
-def decode(data: bytes, caption: bool = False, glyphs: dict[str, str] | None = None) -> list[dict]:
-    """Runs of text that share a format: text, size, colour and position (row, column of the last positioning)."""
+def decode(data: bytes, caption: bool = False, glyphs: dict[str, str] | None = None, symbols: dict[int, str] | None = None) -> list[dict]:
+    """Runs of text that share a format: text, size, colour and position (row, column of the last positioning). symbols: texts of two-byte symbols, before those known here."""
     sets = [KANJI, ALNUM, HIRAGANA, MACRO if caption else KATAKANA]
     left, right = 0, 2
     style = {"size": "normal", "colour": "white", "row": None, "col": None}
@@ -76,7 +107,7 @@ def decode(data: bytes, caption: bool = False, glyphs: dict[str, str] | None = N
                 if i + 1 >= len(data):
                     break
                 second = data[i + 1] & 0x7F
-                put((glyphs or {}).get(f"{code:02x}{second:02x}", PLACEHOLDER) if kind == DRCS + "2" else _two(kind, code, second))
+                put((glyphs or {}).get(f"{code:02x}{second:02x}", PLACEHOLDER) if kind == DRCS + "2" else _two(kind, code, second, symbols or {}))
                 i += 2
                 continue
             if kind.startswith(DRCS):
@@ -138,12 +169,12 @@ def decode(data: bytes, caption: bool = False, glyphs: dict[str, str] | None = N
     return runs
 
 
-def decoded(data: Column, caption: bool = False, glyphs: dict[str, str] | None = None) -> Column:
+def decoded(data: Column, caption: bool = False, glyphs: dict[str, str] | None = None, symbols: dict[int, str] | None = None) -> Column:
     """An array of (text, size, colour, row, col); an empty one for null."""
 
     @F.pandas_udf("array<struct<text:string,size:string,colour:string,row:int,col:int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
-            yield column.map(lambda x: decode(bytes(x), caption, glyphs) if x is not None else [])
+            yield column.map(lambda x: decode(bytes(x), caption, glyphs, symbols) if x is not None else [])
 
     return run(data)

@@ -66,6 +66,12 @@ def is_hex(text: Column) -> Column:
     return text.rlike("^[0-9A-Fa-f]+$")
 
 
+def from_hex(text: Column) -> Column:
+    """The bytes that hexadecimal digits stand for; anything else is an error."""
+    whole = text.rlike("^([0-9A-Fa-f]{2})*$")
+    return F.when(text.isNull() | whole, F.unhex(text)).otherwise(F.raise_error(F.concat(F.lit("no hexadecimal bytes: "), text)).cast("binary"))
+
+
 def nibbles_swapped(text: Column) -> Column:
     return F.regexp_replace(text, "(.)(.)", "$2$1")
 

@@ -30,6 +30,14 @@ def paused(run_hours: Column, time: Column) -> Column:
     return ~F.element_at(run_hours, F.hour(time) + 1)
 
 
+# How a time is written in a list, as a number, in the name of a log, and as a day.
+FORMATS = {"list": "yyyy/MM/dd HH:mm:ss", "number": "yyyyMMddHHmm", "log": "yyyy-MM-dd_HHmmss.SSS", "day": "yyyy年MM月dd日"}
+
+
+def written(time: Column, kind: str) -> Column:
+    return F.date_format(time, FORMATS[kind])
+
+
 def duration_text(seconds: Column) -> Column:
     """Hours, minutes and seconds; hours go beyond 24."""
     whole = F.floor(seconds)

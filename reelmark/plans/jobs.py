@@ -146,21 +146,25 @@ def merge_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genre_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as genre nibbles: extended ones by their first level, names from the dimension of regions and nations; any level missing leaves no name."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    dimension = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
-        F.lit(0).alias("space"), F.col("r_regionkey").cast("int").alias("level1"), F.col("n_nationkey").cast("int").alias("level2"), F.col("r_name").alias("main_name"), F.col("n_name").alias("sub_name")
-    )
-    codes = table(spark, sf_dir, "customer").select(
-        "c_custkey",
-        genre.from_nibbles(
-            F.when(F.col("c_custkey") % 6 == 5, 14).otherwise((F.col("c_nationkey") % 5).cast("int")),
-            (F.col("c_nationkey") % 25).cast("int"),
-            (F.col("c_custkey") % 4).cast("int"),
-            (F.col("c_custkey") % 16).cast("int"),
-        ).alias("g"),
-    )
-    return genre.with_names(codes.select("c_custkey", "g.*"), dimension).select("c_custkey", "space", "level1", "level2", "label")
+    """Customers' keys as nibbles of a genre, some of them extended, with the names that broadcasts give them."""
+    key = F.col("c_custkey")
+    nibble = lambda x: x.cast("int")
+    first, second = nibble(key % 16), nibble(F.floor(key / 16) % F.when(key % 16 == genre.EXTENDED, 3).otherwise(16))
+    own = genre.from_nibbles(first, second, nibble(F.floor(key / 48) % 5), nibble(F.floor(key / 7) % 16))
+    codes = table(spark, sf_dir, "customer").select("c_custkey", own.alias("g"))
+    return genre.with_names(codes.select("c_custkey", "g.*"), F.broadcast(genre.dimension(spark))).select("c_custkey", "space", "level1", "level2", "label")
+
+
+def genre_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many customers' genres each known main genre and each of its parts includes."""
+    key = F.col("c_custkey")
+    items = table(spark, sf_dir, "customer").select(F.struct(F.lit(0).alias("space"), (key % 16).cast("int").alias("level1"), (F.floor(key / 16) % 16).cast("int").alias("level2")).alias("item"))
+    known = genre.dimension(spark)
+    groups = known.select("space", "level1", "level2").union(known.select("space", "level1", F.lit(-1)).distinct()).select(F.struct("space", "level1", "level2").alias("grp"))
+    # Few genres, and their items counted before they meet.
+    counted = items.groupBy("item").agg(F.count("*").alias("n"))
+    met = F.broadcast(groups).join(counted, (F.col("grp.level1") == F.col("item.level1")) & genre.includes(F.col("grp"), F.col("item")))
+    return met.groupBy("grp.space", "grp.level1", "grp.level2").agg(F.sum("n").alias("customers"))
 
 
 _LOG = """log AS (
@@ -179,7 +183,9 @@ _BUCKETS = """sum(CASE WHEN name IN ('decode-packet-failed', 'h264-pts-mismatch'
   sum(CASE WHEN name IN ('unknown-pts', 'non-continuous-pts') THEN n ELSE 0 END) AS time, sum(CASE WHEN name = 'no-drcs-map' THEN n ELSE 0 END) AS glyph, sum(CASE WHEN name = 'something-else' THEN n ELSE 0 END) AS other"""
 _FEED = "SELECT *, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'update' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL"
 
-QUERIES = {f.__name__: f for f in (log_metrics, log_labels, log_totals, csv_projection, error_buckets, zip_counts, result_documents, catalogue_diff, apply_updates, merge_updates, genre_lookup)}
+_GENRES = f"genres(space, level1, level2, main, sub) AS (VALUES {', '.join(str(x) for x in genre.named())})"
+
+QUERIES = {f.__name__: f for f in (log_metrics, log_labels, log_totals, csv_projection, error_buckets, zip_counts, result_documents, catalogue_diff, apply_updates, merge_updates, genre_lookup, genre_filter)}
 ORACLE_SQL = {
     "log_metrics": f"""WITH {_LOG} SELECT id, line, l_partkey, l_suppkey, encode_s::DOUBLE AS encode_s, result, round(CASE WHEN src_s <> 0 THEN (src_s - out_s) / src_s * 100 END, 2) AS not_included,
   round(src_size / 1048576, 2) AS src_mib, round(out_size / 1048576, 2) AS out_mib, round(CASE WHEN src_size <> 0 THEN int_size / src_size * 100 END, 2) AS int_rate,
@@ -213,9 +219,11 @@ WHERE (p_partkey % 7 = 0) <> (p_partkey % 11 = 0) OR (p_partkey % 13 = 0 AND p_p
     "apply_updates": f"SELECT user_id, event_type, value FROM ({_FEED}) WHERE k = 1 AND op <> 'remove'",
     "merge_updates": f"""SELECT user_id, event_type, value FROM ({_FEED}) WHERE k = 1 AND op <> 'remove'
 UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""",
-    "genre_lookup": """WITH c AS (
-  SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN c_nationkey % 25 + 1 ELSE 0 END AS space, CASE WHEN c_custkey % 6 = 5 THEN c_custkey % 4 ELSE c_nationkey % 5 END AS level1,
-    CASE WHEN c_custkey % 6 = 5 THEN c_custkey % 16 ELSE c_nationkey % 25 END AS level2 FROM customer)
-SELECT c_custkey, space, level1, level2, CASE WHEN n_name IS NOT NULL THEN concat(r_name, ' - ', n_name) ELSE concat('不明な', CASE space WHEN 0 THEN 'ARIB' WHEN 2 THEN 'CS' ELSE concat('事業者定義(', space - 1, ')') END, 'ジャンル(', level1, '-', level2, ')') END AS label
-FROM c LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON space = 0 AND level1 = r_regionkey AND level2 = n_nationkey""",
+    "genre_lookup": f"""WITH {_GENRES}
+, n AS (SELECT c_custkey, c_custkey % 16 AS a, c_custkey // 16 % CASE WHEN c_custkey % 16 = 14 THEN 3 ELSE 16 END AS b, c_custkey // 48 % 5 AS c, c_custkey // 7 % 16 AS d FROM customer)
+, c AS (SELECT c_custkey, CASE WHEN a = 14 THEN b + 1 ELSE 0 END AS space, CASE WHEN a = 14 THEN c ELSE a END AS level1, CASE WHEN a = 14 THEN d ELSE b END AS level2 FROM n)
+SELECT c_custkey, space, level1, level2, CASE WHEN main IS NOT NULL THEN concat(main, ' - ', sub) ELSE concat('不明な', CASE space WHEN 0 THEN 'ARIB' WHEN 2 THEN 'CS' ELSE concat('事業者定義(', space - 1, ')') END, 'ジャンル(', level1, '-', level2, ')') END AS label
+FROM c LEFT JOIN genres USING (space, level1, level2)""",
+    "genre_filter": f"""WITH {_GENRES}, groups AS (SELECT space, level1, level2 FROM genres UNION SELECT space, level1, -1 FROM genres)
+SELECT space, g.level1, g.level2, count(*) AS customers FROM groups g JOIN customer ON space = 0 AND g.level1 = c_custkey % 16 AND g.level2 IN (-1, c_custkey // 16 % 16) GROUP BY ALL""",
 }

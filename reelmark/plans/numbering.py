@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.functions import names
+from reelmark.functions import names, times
 from reelmark.operators import catalogue, ranks, scheduling
 from reelmark.plans.catalogue import _JOBS, _SHOWN, _jobs
 from reelmark.sources.tables import table
@@ -61,11 +61,19 @@ def active_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.shown_workers(workers, "running", "place", 4).select("s_suppkey", "running", "place")
 
 
-QUERIES = {f.__name__: f for f in (queue_renumbered, queue_cleared_order, queue_move_whole, cache_slots, lists_side_by_side, log_export_order, active_workers)}
+def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of events as each kind of text, and the digest of their digits as bytes."""
+    events = table(spark, sf_dir, "events").filter("ts is not null").select("event_id", *[times.written(F.col("ts"), kind).alias(kind) for kind in times.FORMATS])
+    return events.withColumn("digits", F.md5(names.from_hex(F.col("number"))))
+
+
+QUERIES = {f.__name__: f for f in (written_times, queue_renumbered, queue_cleared_order, queue_move_whole, cache_slots, lists_side_by_side, log_export_order, active_workers)}
 
 _WORD = lambda k: f"('0x' || h[{k + 7}:{k + 8}] || h[{k + 5}:{k + 6}] || h[{k + 3}:{k + 4}] || h[{k + 1}:{k + 2}])::BIGINT"
 _FOLDED = f"xor(xor({_WORD(0)}, {_WORD(8)}), xor({_WORD(16)}, {_WORD(24)}))"
 ORACLE_SQL = {
+    "written_times": """SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M:%S') AS list, strftime(ts, '%Y%m%d%H%M') AS number, concat(strftime(ts, '%Y-%m-%d_%H%M%S.'), lpad(cast(microsecond(ts) // 1000 % 1000 AS VARCHAR), 3, '0')) AS log,
+  strftime(ts, '%Y年%m月%d日') AS day, md5(unhex(strftime(ts, '%Y%m%d%H%M'))) AS digits FROM events WHERE ts IS NOT NULL""",
     "queue_renumbered": f"""WITH {_SHOWN} SELECT id, row_number() OVER (ORDER BY ts_time, id) AS number, CASE WHEN state IN ('Encoding', 'Queue') THEN 'LogoPending' ELSE state END AS state,
   CASE WHEN state NOT IN ('Encoding', 'Queue') THEN start END AS start, CASE WHEN state NOT IN ('Encoding', 'Queue') THEN seconds END AS seconds FROM shown""",
     "queue_cleared_order": f"WITH {_JOBS} SELECT id, state, row_number() OVER (ORDER BY ts_time, id) - 1 AS position FROM jobs WHERE state NOT IN ('Complete', 'PreFailed')",

@@ -82,6 +82,19 @@ def stream_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.run_to_end(reports.groupBy("glyph").agg(F.count("*").alias("sources"), F.min("path").alias("first_path")), "complete", "glyphs").select("glyph", "sources", "first_path")
 
 
+def stream_glyph_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each glyph by day, counted by a stream that keeps two days at most: repeated reports of a day count once, a day goes out when it is two days past."""
+    events = table(spark, sf_dir, "events").filter("user_id is not null and event_id is not null and event_type is not null and ts is not null")
+    rows = events.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 40).alias("glyph"), F.col("event_type").alias("path"), (F.col("event_id") % 7).alias("seconds"))
+    folder = shared_folder(spark)
+    low, high = rows.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    _in_parts(rows, low, high, folder, 3, 4)
+    feed = updates.files(spark, folder, "seq long, ts timestamp, glyph long, path string, seconds long", 4)
+    reports = feed.withWatermark("ts", "2 days").withColumn("day", F.window("ts", "1 day")).dropDuplicates(["day", "glyph", "path", "seconds"])
+    counted = reports.groupBy("day", "glyph").agg(F.count("*").alias("sources"), F.min("path").alias("first_path"))
+    return updates.run_to_end(counted, "append", "days").select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "glyph", "sources", "first_path")
+
+
 def glyph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in one batch."""
     events = table(spark, sf_dir, "events").filter("user_id is not null and event_id is not null and event_type is not null")
@@ -105,7 +118,7 @@ def arib_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GLYPHS = "SELECT glyph, count(*) AS sources, min(path) AS first_path FROM (SELECT DISTINCT user_id % 40 AS glyph, event_type AS path, event_id % 7 AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) GROUP BY glyph"
 
-QUERIES = {f.__name__: f for f in (stream_updates, stream_states, stream_queue, stream_glyphs, glyph_counts, arib_decode)}
+QUERIES = {f.__name__: f for f in (stream_updates, stream_states, stream_queue, stream_glyphs, stream_glyph_days, glyph_counts, arib_decode)}
 # The steps are walked one by one, all users side by side.
 _WALK = f"""WITH RECURSIVE steps AS (
   SELECT user_id AS item, [{", ".join(f"'{o}'" for o in OPS)}][event_id * 7 % 31 % {len(OPS)} + 1] AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
@@ -161,6 +174,8 @@ ORACLE_SQL = {
     "stream_states": _WALK,
     "stream_updates": """SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE user_id IS NOT NULL) WHERE k = 1 AND event_type <> 'error'""",
     "stream_glyphs": _GLYPHS,
+    "stream_glyph_days": """WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS day, user_id % 40 AS glyph, event_type AS path, event_id % 7 AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL)
+SELECT strftime(day, '%Y-%m-%d') AS day, glyph, count(*) AS sources, min(path) AS first_path FROM d WHERE day + INTERVAL 3 DAY <= (SELECT max(ts) FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) GROUP BY ALL""",
     "glyph_counts": _GLYPHS,
     # Kanji 1 to 80 of the sixteenth row by their place in the standard's own order; both kana alphabets are rows of code points.
     "arib_decode": """WITH k AS (SELECT p_partkey, p_name, p_partkey % 80 AS a, p_partkey % 60 AS b FROM part)

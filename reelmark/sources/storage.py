@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,9 +60,53 @@ def folder_files(spark: SparkSession, path: str, suffixes: list[str], prefix: st
     return found.filter(ends & F.startswith("name", F.lit(prefix)))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha512) of whole files. A digest reads its file from end to end and a file is one value here, so files above 2 GB fail."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 512).alias("sha512"))
+def file_digests(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, length, sha512) of whole files of any size.
+
+    Files are split among tasks at line feeds, as any bytes may be; the pieces come to one task a file in their order, where they stream
+    through its digest, which is sequential by nature. Only a stretch of 2 GB without a line feed can't be read; files without contents aren't
+    listed by Spark and have no row.
+    """
+    import hashlib
+
+    options = {"recursiveFileLookup": str(recursive).lower()}
+    pieces = spark.read.options(lineSep="\n", **options).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"), F.col("value").cast("binary").alias("piece"))
+    sizes = spark.read.format("binaryFile").options(**options).load(path).select(_plain_path("path").alias("path"), "length")
+    ordered = pieces.withColumn("path", _plain_path("path")).repartition("path").sortWithinPartitions("path", "block", "number")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Whether a file ends with a line feed isn't known here: the digests with and without one both go out, its length tells.
+        at, running, length = None, None, 0
+        done: list[tuple[str, int, str, str]] = []
+
+        def end() -> None:
+            if at is not None:
+                ended = running.copy()
+                ended.update(b"\n")
+                done.append((at, length, running.hexdigest(), ended.hexdigest()))
+
+        for batch in batches:
+            for own, piece in zip(batch["path"].to_pylist(), batch["piece"], strict=True):
+                data = piece.as_buffer()
+                if own != at:
+                    end()
+                    at, running, length = own, hashlib.sha512(), 0
+                else:
+                    running.update(b"\n")
+                    length += 1
+                running.update(data)
+                length += data.size
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["path", "read", "open_digest", "ended_digest"])
+
+    found = ordered.select("path", "piece").mapInArrow(digest, "path string, read long, open_digest string, ended_digest string")
+    own = F.when(F.col("read") == F.col("length"), F.col("open_digest")).when(F.col("read") + 1 == F.col("length"), F.col("ended_digest"))
+    return sizes.join(found, "path", "left").select("path", "length", own.alias("sha512"))
+
+
+def _plain_path(column: str) -> Column:
+    """A path written one way: listings and file metadata differ in the slashes behind the scheme and in escapes."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(F.regexp_replace(column, "\\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25"), "^file:/+", "file:///"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -174,6 +220,26 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
+def write_named(rows: DataFrame, name: str, line: str, folder: str, suffix: str) -> None:
+    """A text file `name` + suffix in a folder for each name, its lines in the order of `rows`' partitions. There are few names; their files are moved into place one by one."""
+    spark = rows.sparkSession
+    aside = shared_folder(spark)
+    rows.select(F.col(name).alias("name"), F.col(line).alias("value")).repartition("name").write.partitionBy("name").text(aside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for each in files.listStatus(path(aside)):
+        if each.isDirectory():
+            own = each.getPath().getName().removeprefix("name=")
+            parts = [x.getPath() for x in files.listStatus(each.getPath()) if x.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise ValueError(f"{own} was written in {len(parts)} parts")
+            target = path(f"{folder}/{own}{suffix}")
+            files.delete(target, False)
+            files.rename(parts[0], target)
+    removed(spark, aside)
+
+
 def write_by_candidate(scores: DataFrame, path: str, candidate: str) -> None:
     """A folder of score files for each candidate."""
     scores.write.mode("overwrite").partitionBy(candidate).csv(path)

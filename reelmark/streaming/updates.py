@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelmark.operators.changes import snapshot_changes
-from reelmark.sources.storage import folder_files, shared_folder
+from reelmark.sources.storage import folder_files, removed, shared_folder
 from reelmark.streaming import jobs
 
 
@@ -82,6 +82,29 @@ def watched(spark: SparkSession, folder: str, suffixes: list[str], snapshot: str
     return snapshot_changes(before, now, "path", ["modified"])
 
 
+def look(spark: SparkSession, folder: str, suffixes: list[str], state: str, number: int) -> DataFrame:
+    """The step of a watcher with a number: (path, change, number) since the step before, written below `state` beside what was seen.
+
+    A step that is repeated, as after a failure, replaces itself and compares with the same step before; the folder may have changed in
+    between, so it is looked at anew. Only the last two listings are kept.
+    """
+    seen = f"{state}/seen"
+    listing = folder_files(spark, folder, suffixes, recursive=True).select("path", "modified", "length")
+    listing.write.mode("overwrite").parquet(f"{seen}/{number}")
+    now = spark.read.parquet(f"{seen}/{number}")
+    before = spark.read.schema(now.schema).parquet(f"{seen}/{number - 1}") if number > 0 else now.limit(0)
+    out = f"{state}/changes/number={number}"
+    snapshot_changes(before, now, "path", ["modified", "length"]).select("path", "change").write.mode("overwrite").parquet(out)
+    removed(spark, f"{seen}/{number - 2}")
+    return spark.read.parquet(out).withColumn("number", F.lit(number))
+
+
+def watch(spark: SparkSession, folder: str, suffixes: list[str], state: str, seconds: int, handle: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Looks at a folder every so many seconds until it is stopped, and hands on what changed. Batches of a clock are the steps, so a restart goes on with the step that failed."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return run_every(clock, seconds, lambda _, number: handle(look(spark, folder, suffixes, state, number)), checkpoint)
+
+
 def run_every(result: DataFrame, seconds: int, save: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Starts a stream that hands its batches on every so many seconds, until it is stopped."""
     return result.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

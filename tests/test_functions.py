@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelmark.functions import arib, genre, names, times
@@ -171,3 +172,10 @@ def test_storage_round_trips(spark, tmp_path):
     assert storage.read_xml_log(spark, str(tmp_path / "xml"), "Item", "id long, text string").count() == 2
     storage.write_csv(rows, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').first().text == 'say "hi", you'
+
+
+def test_hexadecimal_bytes(spark):
+    assert one(spark, names.from_hex(F.lit("00fF")), names.from_hex(F.lit("")), names.from_hex(F.lit(None).cast("string"))) == (bytearray(b"\x00\xff"), bytearray(), None)
+    for bad in ("0", "0g", "00 "):
+        with pytest.raises(Exception, match="no hexadecimal"):
+            one(spark, names.from_hex(F.lit(bad)))
