@@ -80,15 +80,13 @@ def moved(jobs: DataFrame, groups: list[str], moves: DataFrame) -> DataFrame:
     allowed = moves.join(sizes, groups).filter((F.col("to") >= 0) & (F.col("to") < F.col("size")))
     target = allowed.select(*groups, F.col("item").alias("moved_item"), "to").join(jobs.select(*groups, F.col("item").alias("moved_item"), F.col("position").alias("from")), [*groups, "moved_item"])
     both = jobs.join(target, groups, "left")
-    position, start, to = F.col("position"), F.col("from"), F.col("to")
-    shifted = (
-        F.when(start.isNull(), position)
-        .when(F.col("item") == F.col("moved_item"), to)
-        .when((position > start) & (position <= to), position - 1)
-        .when((position < start) & (position >= to), position + 1)
-        .otherwise(position)
-    )
-    return both.select(*groups, "item", shifted.alias("position"))
+    return both.select(*groups, "item", F.when(F.col("from").isNull(), F.col("position")).otherwise(shifted(F.col("position"), F.col("from"), F.col("to"))).alias("position"))
+
+
+def shifted(position: Column, start: Column, to: Column, size: Column | None = None) -> Column:
+    """A position after the item at `start` was taken out and put in at `to`; where the list's size is given, a place that it doesn't have is refused."""
+    moved_on = F.when(position == start, to).when((position > start) & (position <= to), position - 1).when((position < start) & (position >= to), position + 1).otherwise(position)
+    return moved_on if size is None else F.when((to >= 0) & (to < size), moved_on).otherwise(position)
 
 
 def moved_whole(queue: DataFrame, item: str, which: object, to: int) -> DataFrame:

@@ -70,7 +70,7 @@ def sections(labels: DataFrame) -> DataFrame:
     An interval opens at the first on-label and closes at the next off-label; unknown frames keep the state. Both ends are then moved to
     where the smoothed score crosses its threshold, and start and best points are searched from there. Every search is a running
     minimum or maximum over the series, looked up at one row, so a series is passed over once whatever its number of intervals. The
-    frames with what was found are written once; the look-ups read them beside the edges, which are few.
+    frames with what was found are written once and read twice: for the edges, and where intervals begin and end.
     """
     by = Window.partitionBy("series_id").orderBy("n")
     past, ahead = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
@@ -83,7 +83,7 @@ def sections(labels: DataFrame) -> DataFrame:
     is_end = F.col("n") == F.col("frames")
     ended = ended.withColumn("score", F.when(~is_end, score)).withColumn("label", F.when(~is_end, F.col("label")))
     latch = F.coalesce(F.last(F.when(F.col("label") != UNKNOWN, F.col("label")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(OFF))
-    frames = stored(ended.select(
+    running = ended.select(
         "series_id",
         "n",
         "frames",
@@ -94,36 +94,38 @@ def sections(labels: DataFrame) -> DataFrame:
         last(score > -THRESHOLD).alias("last_not_off"),
         first(score <= -THRESHOLD).alias("next_off"),
         last(score <= -THRESHOLD).alias("last_off"),
-        first(score > 0).alias("next_positive"),
+        F.coalesce(first(score > 0), F.col("frames")).alias("next_positive"),
         last(score >= THRESHOLD).alias("last_high"),
         last(score > 0).alias("last_positive"),
-    ))
+    )
+    # The first positive frame as seen from right after the last off one, and from the series' start.
+    behind = F.last(F.when(score <= -THRESHOLD, F.col("positive_behind")), ignorenulls=True).over(past)
+    whole = running.withColumn("positive_behind", F.coalesce(F.lead("next_positive").over(by), F.col("frames")))
+    whole = whole.withColumn("off_positive", behind).withColumn("first_positive", F.first("next_positive").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("positive_behind")
+    frames = stored(whole)
     changed = frames.withColumn("was", F.coalesce(F.lag("state").over(by), F.lit(OFF)))
     opens, closes = (F.col("state") == ON) & (F.col("was") != ON), (F.col("state") == OFF) & (F.col("was") == ON)
-    edges = changed.filter(opens | closes)
-    found = edges.withColumn("close", F.lead("n").over(by)).withColumn("after", F.coalesce(F.lag(F.when(closes, F.col("n"))).over(by), F.lit(0))).filter(opens)
-    begun = found.select(
-        "series_id",
-        "frames",
-        "after",
-        F.col("close"),
-        F.coalesce(F.when(score >= THRESHOLD, F.coalesce(F.col("last_low") + 1, F.lit(0))).otherwise(F.col("next_high")), F.col("frames")).alias("s_end"),
-    )
-
-    def at(rows: DataFrame, place: str, *columns: str) -> DataFrame:
-        return rows.join(frames.select("series_id", F.col("n").alias(place), *columns), ["series_id", place])
-
-    back = F.when(F.col("last_not_off") >= F.col("s_end"), F.col("last_not_off") + 1).otherwise(F.col("s_end"))
-    closed = at(begun, "close", "score", "last_not_off", "next_off").withColumn(
-        "e_end", F.when(F.col("close") == F.col("frames"), F.col("frames")).when(score <= -THRESHOLD, back).otherwise(F.coalesce("next_off", F.col("frames")))
+    before = lambda column, none: F.coalesce(F.lag(F.when(closes, F.col(column))).over(by), F.col(none) if none else F.lit(0))
+    # Edges open and close in turn: what is known where an interval closes is the next edge's.
+    ahead_of = [F.lead(c).over(by).alias(f"close_{c}") for c in ("score", "last_not_off", "next_off")]
+    edges = changed.filter(opens | closes).select(
+        "series_id", "n", "frames", "score", "last_low", "next_high", F.lead("n").over(by).alias("close"), before("n", "").alias("after"), before("next_positive", "first_positive").alias("after_positive"), opens.alias("opens"), *ahead_of
     )
-    closed = closed.select("series_id", "after", "s_end", "e_end")
-    started = at(closed, "s_end", "last_off").withColumn("s_start", F.when(F.col("last_off") >= F.col("after"), F.col("last_off") + 1).otherwise(F.col("after"))).drop("last_off")
-    ending = at(started, "e_end", "last_high", "last_positive")
+    s_end = F.coalesce(F.when(score >= THRESHOLD, F.coalesce(F.col("last_low") + 1, F.lit(0))).otherwise(F.col("next_high")), F.col("frames"))
+    begun = edges.filter("opens").withColumn("s_end", s_end)
+    back = F.when(F.col("close_last_not_off") >= F.col("s_end"), F.col("close_last_not_off") + 1).otherwise(F.col("s_end"))
+    e_end = F.when(F.col("close") == F.col("frames"), F.col("frames")).when(F.col("close_score") <= -THRESHOLD, back).otherwise(F.coalesce("close_next_off", F.col("frames")))
+    closed = begun.withColumn("e_end", e_end).filter("s_end != e_end").select("series_id", F.col("n").alias("opened"), "after", "after_positive", "s_end", "e_end")
+    # Both ends of an interval are looked up in one go.
+    ends = closed.select("*", F.explode(F.array("s_end", "e_end")).alias("n")).join(frames.select("series_id", "n", "last_off", "off_positive", "last_high", "last_positive"), ["series_id", "n"])
+    at = lambda place, column: F.max(F.when(F.col("n") == F.col(place), F.col(column))).alias(column)
+    ending = ends.groupBy("series_id", "opened", "after", "after_positive", "s_end", "e_end").agg(at("s_end", "last_off"), at("s_end", "off_positive"), at("e_end", "last_high"), at("e_end", "last_positive"))
+    went_off = F.col("last_off") >= F.col("after")
+    ending = ending.withColumn("s_start", F.when(went_off, F.col("last_off") + 1).otherwise(F.col("after"))).withColumn("next_positive", F.when(went_off, F.col("off_positive")).otherwise(F.col("after_positive")))
     ending = ending.withColumn("e_from", F.when(F.col("last_high") >= F.col("s_end"), F.col("last_high") + 1).otherwise(F.col("s_end")))
     ending = ending.withColumn("e_peak", F.when(F.col("last_positive") >= F.col("e_from"), F.col("last_positive") + 1).otherwise(F.col("e_from")))
-    best = at(ending, "s_start", "next_positive").withColumn("s_best", F.when(F.col("next_positive") < F.col("s_end"), F.col("next_positive")).otherwise(F.col("s_end")))
-    return best.filter("s_end != e_end").select(
+    best = ending.withColumn("s_best", F.when(F.col("next_positive") < F.col("s_end"), F.col("next_positive")).otherwise(F.col("s_end")))
+    return best.select(
         "series_id",
         "s_best",
         "s_start",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelmark.operators import catalogue, rules, scheduling
+from reelmark.sources.storage import stored
 from reelmark.sources.tables import table
 
 AUTO = rules.AUTO_PREFIX
@@ -213,7 +214,7 @@ def schedule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gpu_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waiting = scheduling.admitted(_requests(spark, sf_dir), ["service_id"])
+    waiting = scheduling.admitted(stored(_requests(spark, sf_dir)), ["service_id"])
     return waiting.select("id", "service_id", "gpu_index", "cost", "admitted")
 
 
@@ -243,11 +244,18 @@ def multi_channel_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's jobs numbered from 0, then the one at a third of the list moved to its end; sources of even number ask for a place beyond it, which is refused."""
-    order = Window.partitionBy("source").orderBy("id")
-    jobs = _jobs(spark, sf_dir).select("source", F.col("id").alias("item"), (F.row_number().over(order) - 1).cast("long").alias("position"))
-    sizes = jobs.groupBy("source").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("source")
+    position = (F.row_number().over(by.orderBy("id")) - 1).cast("long")
+    jobs = _jobs(spark, sf_dir).select("source", F.col("id").alias("item"), position.alias("position"), F.count("*").over(by).alias("n"))
     to = F.when(F.col("source") % 2 == 0, F.col("n")).otherwise(F.col("n") - 1)
-    moves = jobs.join(sizes, "source").filter(F.col("position") == F.floor(F.col("n") / 3)).select("source", "item", to.alias("to"))
+    return jobs.select("source", "item", scheduling.shifted(F.col("position"), F.floor(F.col("n") / 3), to, F.col("n")).alias("position"))
+
+
+def queue_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table of moves, one for each source that wants any: its latest job goes to the front."""
+    jobs = _jobs(spark, sf_dir).select("source", F.col("id").alias("item"), (F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1).cast("long").alias("position"))
+    jobs = stored(jobs)
+    moves = jobs.groupBy("source").agg(F.max("item").alias("item")).filter("source % 3 > 0").withColumn("to", F.lit(0).cast("long"))
     return scheduling.moved(jobs, ["source"], moves)
 
 
@@ -329,7 +337,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         queue_view, queue_active_progress, exclude_active, service_lookup, valid_logo_semi, valid_logo_all, rule_assignment, profile_resolution, schedule_next, schedule_order, gpu_headroom,
-        queue_display, queue_reload, cleared_queue, condition_services, schedule_off, sibling_outcome, mru_history, multi_channel_seq, queue_move, free_index, cross_outputs,
+        queue_display, queue_reload, cleared_queue, condition_services, schedule_off, sibling_outcome, mru_history, multi_channel_seq, queue_move, queue_moves, free_index, cross_outputs,
     )
 }
 ORACLE_SQL = {
@@ -364,6 +372,7 @@ FROM timed LEFT JOIN settings s ON s.service_id = timed.service_id AND usable AN
 , n AS (SELECT l_orderkey, pid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS number FROM firsts)
 SELECT l_orderkey, pid, number, CASE WHEN number > 0 THEN concat('-multi', number) ELSE '' END AS suffix FROM n""",
     "queue_move": f"""WITH {_LISTS} SELECT source, item, row_number() OVER (PARTITION BY source ORDER BY source % 2 = 1 AND position = n // 3, position) - 1 AS position FROM lists""",
+    "queue_moves": f"""WITH {_LISTS} SELECT source, item, row_number() OVER (PARTITION BY source ORDER BY NOT (source % 3 > 0 AND position = n - 1), position) - 1 AS position FROM lists""",
     "queue_display": f"""WITH {_SHOWN} SELECT id, state IN ('Failed', 'PreFailed') AS is_error, is_too_small, coalesce(date_diff('second', start, TIMESTAMP '2001-01-01 12:00:00'), 0) AS elapsed_s, finish, genre_text,
   concat(width, 'x', height) AS size_text, state_text, mode_text, concat(service_name, '(', service_id, ')') AS service_text, strftime(ts_time, '%Y年%m月%d日') AS time_text, concat('/out/', id % 6) AS out_dir,
   id % 5 < 2 AS is_batch, id % 5 > 2 AS is_check, id % 5 = 2 AS is_test, width <= 320 OR height <= 260 AS is_one_seg, id % 5 = 0 AND id % 3 <> 0 AND id % 2 = 0 AS separate_hash FROM shown""",

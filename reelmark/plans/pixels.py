@@ -47,8 +47,10 @@ def spatial_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fade_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each label how often which of 20 fades fits best, and whether that is the most frequent one (the lowest on ties)."""
-    best = pictures(spark, sf_dir).select("label", series.first_minimum(F.slice("v", 1, 20)).alias("fade"))
+    """Of each label how often which of 20 fades fits best, and whether that is the most frequent one (the lowest on ties). What is left after a fade is the sum of every 20th sample."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    left = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: total(F.filter("v", lambda v, i: i % 20 == k)))
+    best = pictures(spark, sf_dir).select("label", series.first_minimum(left).alias("fade"))
     counts = best.groupBy("label", "fade").agg(F.count("*").alias("frames"))
     modes = counts.groupBy("label").agg(F.max_by("fade", F.struct("frames", -F.col("fade"))).alias("mode"))
     return counts.join(modes, "label").select("label", "fade", "frames", (F.col("fade") == F.col("mode")).alias("is_mode"))
@@ -100,7 +102,8 @@ SELECT l_orderkey, n, spread, spread <= 24 AS uniform, cast(trunc((total + taken
     "spatial_smooth": f"""WITH {_PICTURES}
 SELECT vec_id, x, y, CASE WHEN y = 0 OR y = {HEIGHT - 1} THEN v ELSE (lag(v) OVER w + 2 * v + lead(v) OVER w) / 4 END AS v FROM pixels WINDOW w AS (PARTITION BY vec_id, x ORDER BY y)""",
     "fade_mode": f"""WITH {_PICTURES}
-, best AS (SELECT vec_id, label, arg_min(i, v * 1000 + i) AS fade FROM pixels WHERE i < 20 GROUP BY vec_id, label)
+, rests AS (SELECT vec_id, label, i % 20 AS fade, sum(v) AS v FROM pixels GROUP BY ALL)
+, best AS (SELECT vec_id, label, arg_min(fade, v * 1000 + fade) AS fade FROM rests GROUP BY vec_id, label)
 , counts AS (SELECT label, fade, count(*) AS frames FROM best GROUP BY label, fade)
 SELECT label, fade, frames, row_number() OVER (PARTITION BY label ORDER BY frames DESC, fade) = 1 AS is_mode FROM counts""",
     "top_pixels": f"""WITH {_PICTURES}

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from reelmark.functions import names, times
 from reelmark.operators import rules, scheduling, series, texts
+from reelmark.sources.storage import stored
 from reelmark.sources.tables import frame_scores, table
 
 
 def hash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest for each source, a line for each document; names repeat, so the first line of one counts. Items of the same names are held against it."""
-    docs = table(spark, sf_dir, "documents").filter("source is not null")
-    digest = F.concat(F.sha2("text", 256), F.sha2(F.concat("text", F.lit("#")), 256))
+    # Texts are read and hashed once; what follows are digests.
+    docs = stored(table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", "source", F.sha2("text", 256).alias("own")))
     name = F.concat(F.lit("f"), (F.col("doc_id") % 40).cast("string"))
-    line = F.when(F.col("doc_id") % 17 == 3, "short").otherwise(F.concat(digest, F.lit("  "), name))
-    entries = texts.manifest_entries(docs.filter("text is not null").select("source", "doc_id", line.alias("line")), "source", "doc_id", "line")
-    items = docs.select("doc_id", F.col("source"), F.concat(F.lit("f"), (F.col("doc_id") % 45).cast("string")).alias("name"), F.sha2("text", 256).alias("own"))
+    line = F.when(F.col("doc_id") % 17 == 3, "short").otherwise(F.concat("own", "own", F.lit("  "), name))
+    entries = texts.manifest_entries(docs.filter("own is not null").select("source", "doc_id", line.alias("line")), "source", "doc_id", "line")
+    items = docs.select("doc_id", "source", F.concat(F.lit("f"), (F.col("doc_id") % 45).cast("string")).alias("name"), "own")
     found = items.join(entries, ["source", "name"], "left")
     state = F.when(F.col("digest").isNull(), "not listed").when(F.substring("digest", 1, 64) == F.col("own"), "same").otherwise("differs")
     return found.select("doc_id", "name", state.alias("state"))
