@@ -68,6 +68,31 @@ def probed(keys: DataFrame, home: str, order: list[Column], name: str) -> DataFr
     return from_others.withColumn(name, F.col("_number") + F.greatest(own, F.col("_lead_before"))).drop("_range", "_place", "_before", "_number", "_lead", "_lead_before")
 
 
+def counted_before(rows: DataFrame, order: list[Column], counts: Column, name: str) -> DataFrame:
+    """Adds `name`: how many rows before this one, in the order of the whole table, satisfy `counts`."""
+    ranges = ranged(rows, order)
+    whole = carried(ranges, "_before", F.count_if(counts), lambda a, b: a + b, 0)
+    own = F.count_if(counts).over(Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    return whole.withColumn(name, F.col("_before") + own).drop("_range", "_place", "_before")
+
+
+def probed_beside(keys: DataFrame, home: str, order: list[Column], name: str, taken: DataFrame, slot: str) -> DataFrame:
+    """probed() where some slots are taken already. taken: slot, each once.
+
+    Without the taken ones the free slots are numbered through; there keys are probed as in an empty table, and what they get is turned
+    back into slots. Both ways are counts of taken slots in one order of keys and slots together.
+    """
+    used = taken.select(F.col(slot).cast("long").alias("_at"), F.lit(None).cast("struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in keys.schema) + ">").alias("_key"))
+    both = keys.select(F.col(home).cast("long").alias("_at"), F.struct(*keys.columns).alias("_key")).union(used)
+    is_taken = F.col("_key").isNull()
+    # Keys of a slot stand before it: a key's count is that of the taken slots below its home.
+    free = counted_before(both, [F.col("_at"), is_taken], is_taken, "_below").withColumn("_free", F.col("_at") - F.col("_below"))
+    placed = probed(free.filter(~is_taken).select("_key.*", F.col("_free")), "_free", [F.col(home), *order], "_index")
+    again = placed.select(F.col("_index").alias("_at"), F.struct(*keys.columns).alias("_key")).union(free.filter(is_taken).select(F.col("_free").alias("_at"), "_key"))
+    back = counted_before(again, [F.col("_at"), ~is_taken], is_taken, "_below").filter(~is_taken)
+    return back.select("_key.*", (F.col("_at") + F.col("_below")).alias(name))
+
+
 def zipped(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
     """Two tables side by side by position: the k-th row of one beside the k-th of the other, as far as the shorter goes, with `position` from 0 on."""
     return numbered(left, left_order, "position").join(numbered(right, right_order, "position"), "position")

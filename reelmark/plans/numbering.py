@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelmark.functions import names, times
 from reelmark.operators import catalogue, ranks, scheduling
 from reelmark.plans.catalogue import _JOBS, _SHOWN, _jobs
+from reelmark.sources.storage import stored
 from reelmark.sources.tables import table
 
 #: Slots of the cache in the query: few, so that many names collide.
@@ -41,6 +42,16 @@ def cache_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.join(named, "script").groupBy("script").agg(F.first("home").alias("home"), F.first("slot").alias("slot"), F.lpad(F.hex(F.first("slot")), 8, "0").alias("name"), F.count("*").alias("uses"))
 
 
+def cache_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file name for each script where a cache holds the scripts of some parts already: those keep theirs, the others find free ones around them."""
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_brand", F.col("p_size").cast("string")).alias("script"), (F.col("p_size") % 3 == 0).alias("held"))
+    scripts = parts.groupBy("script").agg(F.bool_or("held").alias("held")).withColumn("home", names.folded_md5(F.col("script")).bitwiseAND(F.lit((1 << CACHE_BITS) - 1)))
+    scripts = stored(scripts)
+    held = stored(ranks.probed(scripts.filter("held"), "home", [F.col("script")], "slot"))
+    added = ranks.probed_beside(scripts.filter("not held"), "home", [F.col("script")], "slot", held, "slot")
+    return held.unionByName(added).select("script", "held", "home", "slot")
+
+
 def lists_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a list shows at each place beside what now belongs there: customers by key beside orders by time, as far as the shorter goes."""
     shown = table(spark, sf_dir, "customer").select("c_custkey")
@@ -67,7 +78,7 @@ def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("digits", F.md5(names.from_hex(F.col("number"))))
 
 
-QUERIES = {f.__name__: f for f in (written_times, queue_renumbered, queue_cleared_order, queue_move_whole, cache_slots, lists_side_by_side, log_export_order, active_workers)}
+QUERIES = {f.__name__: f for f in (written_times, queue_renumbered, queue_cleared_order, queue_move_whole, cache_slots, cache_additions, lists_side_by_side, log_export_order, active_workers)}
 
 _WORD = lambda k: f"('0x' || h[{k + 7}:{k + 8}] || h[{k + 5}:{k + 6}] || h[{k + 3}:{k + 4}] || h[{k + 1}:{k + 2}])::BIGINT"
 _FOLDED = f"xor(xor({_WORD(0)}, {_WORD(8)}), xor({_WORD(16)}, {_WORD(24)}))"
@@ -88,6 +99,18 @@ SELECT id, row_number() OVER (ORDER BY CASE WHEN p = 99 THEN 6.5 ELSE p END) - 1
   UNION ALL
   SELECT t.turn, t.script, t.home, t.uses, greatest(t.home, p.slot + 1) FROM placed p JOIN turns t ON t.turn = p.turn + 1)
 SELECT script, home, slot, printf('%08X', slot) AS name, uses FROM placed""",
+    "cache_additions": f"""WITH RECURSIVE scripts AS (SELECT concat(p_type, ' ', p_brand, ' ', p_size) AS script, bool_or(p_size % 3 = 0) AS held FROM part GROUP BY 1)
+, codes AS (SELECT *, md5(script) AS h FROM scripts)
+, homes AS (SELECT script, held, {_FOLDED} & {(1 << CACHE_BITS) - 1} AS home FROM codes)
+, turns AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY home, script) AS turn FROM homes)
+, first(turn, script, home, slot) AS (
+  SELECT turn, script, home, home FROM turns WHERE turn = 1 AND held
+  UNION ALL SELECT t.turn, t.script, t.home, greatest(t.home, p.slot + 1) FROM first p JOIN turns t ON t.turn = p.turn + 1 AND t.held)
+, free AS (SELECT s, min(CASE WHEN s NOT IN (SELECT slot FROM first) THEN s END) OVER (ORDER BY s DESC) AS next FROM range({4 << CACHE_BITS}) r(s))
+, second(turn, script, home, slot) AS (
+  SELECT turn, script, home, next FROM turns JOIN free ON s = home WHERE turn = 1 AND NOT held
+  UNION ALL SELECT t.turn, t.script, t.home, f.next FROM second p JOIN turns t ON t.turn = p.turn + 1 AND NOT t.held JOIN free f ON f.s = greatest(t.home, p.slot + 1))
+SELECT script, true AS held, home, slot FROM first UNION ALL SELECT script, false, home, slot FROM second""",
     "lists_side_by_side": """WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders)
 SELECT position, c_custkey, o_orderkey FROM c JOIN o USING (position)""",
     "log_export_order": f"WITH {_SHOWN} SELECT id, start, row_number() OVER (ORDER BY start DESC, id DESC) + 1 AS line FROM shown WHERE start IS NOT NULL",

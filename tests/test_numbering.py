@@ -56,6 +56,21 @@ def test_probing_equals_insertion_one_by_one(spark, slots):
     assert other == set(taken)  # whatever the order of insertion
 
 
+@pytest.mark.parametrize(("slots", "n_taken"), [(1, 5), (40, 30), (300, 250), (100000, 200)])
+def test_probing_goes_round_taken_slots(spark, slots, n_taken):
+    rng = random.Random(slots + 1)
+    taken = set(rng.sample(range(slots + n_taken), n_taken))
+    keys = [(f"k{i}", rng.randrange(slots)) for i in range(400)]
+    used = dict.fromkeys(taken)
+    for key, home in sorted(keys, key=lambda x: (x[1], x[0])):
+        while home in used:
+            home += 1
+        used[home] = key
+    got = ranks.probed_beside(spark.createDataFrame(keys, "key string, home long").repartition(5), "home", [F.col("key")], "slot", spark.createDataFrame([(x,) for x in taken], "slot int"), "slot").collect()
+    assert {r.slot: r.key for r in got} == {s: k for s, k in used.items() if s not in taken}
+    assert all((r.key, r.home) in keys for r in got)
+
+
 def test_nothing_to_number(spark):
     none = spark.createDataFrame([], "x int, home long")
     assert ranks.numbered(none, [F.col("x")], "n").collect() == [] and ranks.probed(none, "home", [F.col("x")], "n").collect() == []
