@@ -40,6 +40,12 @@ def stream_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.run_to_end(latest, "complete", "latest").filter("op <> 'remove'").select("user_id", "event_type", "value")
 
 
+def stream_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of the latest events of all users, the highest value first, kept in order by a stream."""
+    view = updates.live_view(_feed(spark, sf_dir), "user_id", "seq", F.col("op") == "remove", [F.col("value").desc_nulls_last(), F.col("user_id")], "sorted")
+    return view.select("position", "user_id", "event_type", "value")
+
+
 def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state that each user's steps lead to, by a stateful operator in update mode; event numbers stand for steps."""
     op = F.element_at(F.array(*map(F.lit, OPS)), (F.col("seq") * 7 % 31 % len(OPS) + 1).cast("int"))
@@ -118,7 +124,7 @@ def arib_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GLYPHS = "SELECT glyph, count(*) AS sources, min(path) AS first_path FROM (SELECT DISTINCT user_id % 40 AS glyph, event_type AS path, event_id % 7 AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) GROUP BY glyph"
 
-QUERIES = {f.__name__: f for f in (stream_updates, stream_states, stream_queue, stream_glyphs, stream_glyph_days, glyph_counts, arib_decode)}
+QUERIES = {f.__name__: f for f in (stream_updates, stream_sorted, stream_states, stream_queue, stream_glyphs, stream_glyph_days, glyph_counts, arib_decode)}
 # The steps are walked one by one, all users side by side.
 _WALK = f"""WITH RECURSIVE steps AS (
   SELECT user_id AS item, [{", ".join(f"'{o}'" for o in OPS)}][event_id * 7 % 31 % {len(OPS)} + 1] AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
@@ -173,6 +179,8 @@ ORACLE_SQL = {
     "stream_queue": _QUEUE,
     "stream_states": _WALK,
     "stream_updates": """SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE user_id IS NOT NULL) WHERE k = 1 AND event_type <> 'error'""",
+    "stream_sorted": """SELECT row_number() OVER (ORDER BY value DESC NULLS LAST, user_id) - 1 AS position, user_id, event_type, value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE user_id IS NOT NULL) WHERE k = 1 AND event_type <> 'error'""",
     "stream_glyphs": _GLYPHS,
     "stream_glyph_days": """WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS day, user_id % 40 AS glyph, event_type AS path, event_id % 7 AS seconds FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL)
 SELECT strftime(day, '%Y-%m-%d') AS day, glyph, count(*) AS sources, min(path) AS first_path FROM d WHERE day + INTERVAL 3 DAY <= (SELECT max(ts) FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) GROUP BY ALL""",

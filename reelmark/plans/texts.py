@@ -114,7 +114,7 @@ def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def console_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a rolling console of 500 lines still shows of all documents of a source and language, written one after another a hundred at a time."""
+    """What a rolling console of 500 lines still shows of the documents of each hundred numbers, written one after another; without a number a document has no place."""
     docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id is not null")
     outputs = docs.groupBy(F.floor(F.col("doc_id") / 100).alias("output")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("parts"))
     whole = outputs.select("output", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))

@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelmark.operators.changes import snapshot_changes
+from reelmark.operators.ranks import numbered
 from reelmark.sources.storage import folder_files, removed, shared_folder
 from reelmark.streaming import jobs
 
@@ -67,6 +68,15 @@ def item_states(feed: DataFrame, shards: int = jobs.SHARDS) -> DataFrame:
     return dealt.groupBy("shard").applyInPandasWithState(step, "item long, state string, changes long", "items binary, states binary, changes binary", "update", GroupStateTimeout.NoTimeout)
 
 
+def live_view(feed: DataFrame, key: str, order: str, gone: Column, sort: list[Column], name: str) -> DataFrame:
+    """The last row of each key but those that are gone, sorted, as a list that shows them keeps them: whenever rows arrive the whole view is numbered anew (`position` from 0 on) and replaces the one before.
+
+    Returns the view after all there is. The number of keys bounds what is written each time.
+    """
+    latest = latest_rows(feed, key, order)
+    return run_to_end(latest, "complete", name, lambda batch: numbered(batch.filter(~gone), sort, "position"))
+
+
 def new_files(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """(path, length, modified) of files as they appear in a folder; contents aren't read."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -110,17 +120,18 @@ def run_every(result: DataFrame, seconds: int, save: Callable[[DataFrame, int],
     return result.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def run_to_end(result: DataFrame, mode: str, name: str) -> DataFrame:
+def run_to_end(result: DataFrame, mode: str, name: str, shaped: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs a stream over all there is and returns what it wrote last, as a table read back from the shared folder.
 
     Each batch is written whole to a folder of its own (complete mode) or added (update and append mode), so a repeated batch replaces itself.
+    shaped: what becomes of a batch before it is written.
     """
     spark = result.sparkSession
     out, checkpoint = f"{shared_folder(spark)}/{name}", f"{shared_folder(spark)}/{name}-checkpoint"
 
     def save(batch: DataFrame, number: int) -> None:
         target = f"{out}/batch={0 if mode == 'complete' else number}"
-        batch.write.mode("overwrite").parquet(target)
+        (shaped(batch) if shaped else batch).write.mode("overwrite").parquet(target)
 
     query = result.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
