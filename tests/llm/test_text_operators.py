@@ -205,8 +205,9 @@ def test_what_is_no_learned_language_is_rejected(spark, small):
     rng = random.Random(5)
     letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
     # An outlier among each language's calibration texts: random letters under its label.
-    calibrating = spark.range(10**6, 10**6 + 1000).filter(~language_id.held_out(F.col("id")) & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)).limit(4).collect()
-    outliers = [(r.id, letters(100), lang) for r, lang in zip(calibrating, ("de", "en", "es", "fr"), strict=True)]
+    tried = spark.createDataFrame([(10**6 + k, letters(100)) for k in range(100)], "doc_id long, text string")
+    calibrating = tried.filter(~language_id.held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0)).limit(4).collect()
+    outliers = [(r.doc_id, r.text, lang) for r, lang in zip(calibrating, ("de", "en", "es", "fr"), strict=True)]
     strange = [letters(n) for n in (4, 8, 20, 80, 300) for _ in range(4)] + [
         "Kolme pientä porsasta rakensi talon metsän reunaan ja susi tuli puhaltamaan sen nurin kun talvi oli kylmä",
         "Het was een koude dag in april en de klokken sloegen dertien toen hij door de glazen deuren van het gebouw liep",
