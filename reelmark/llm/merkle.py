@@ -181,9 +181,11 @@ def manifest(docs: DataFrame, found_text: Column | None = None, block_levels: in
     """
     own = [F.col(name) for name in FIELDS]
     now = [*own[:-1], found_text if found_text is not None else own[-1]]
-    leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), leaf(own).alias("digest"), leaf(now).alias("found"))
+    leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), leaf(own).alias("digest"), leaf(now).alias("found"), F.monotonically_increasing_id().alias("row"))
     # Ranges are found by a sample of the rows; without this table texts would be hashed for it once more.
-    numbered_leaves = numbered_within(stored(leaves), ["lang"], [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("found")], "number")
+    # The number of its row tells a repeated row's copies apart, which may be as many as a third of the table.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("found")]
+    numbered_leaves = numbered_within(stored(leaves), ["lang"], order, "number", F.col("row")).drop("row")
     subroots, floors = tree(numbered_leaves, ["lang"], block_levels)
 
     # The subroots are the leaves of one more tree.

@@ -175,6 +175,17 @@ def test_manifest_edges(spark):
         merkle.folded("a", ["no mark of the own place"])
 
 
+def test_copies_of_one_row_are_numbered_by_many_tasks(spark, monkeypatch):
+    rows = [(7, "same", "en", "s", 1)] * 3000 + [(k, f"t{k}", "en", "s", 1) for k in range(20)]
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    from reelmark.operators import ranks
+
+    sizes = []
+    monkeypatch.setattr(ranks, "ranged", lambda *a, make=ranks.ranged: (lambda out: sizes.append([r["count"] for r in out.groupBy("_range").count().collect()]) or out)(make(*a)))
+    assert proven(df) == plain_manifest(rows, lambda r: r[1])
+    assert max(sizes[0]) < 2000
+
+
 def test_traversal_counts_its_levels():
     for n in (1, 2, 7, 8, 9, 63, 64, 65, 513):
         leaves = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(n)]
