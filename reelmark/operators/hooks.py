@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmark.functions.names import base_name
+from reelmark.operators.catalogue import add_if_absent
 
 ON_ADD, PRE_ENCODE, POST_ENCODE = "OnAdd", "PreEncode", "PostEncode"
 ADD_TAG, SET_OUT_DIR, SET_PRIORITY, GET_OUT_FILES, CANCEL = "AddTag", "SetOutDir", "SetPriority", "GetOutFiles", "CancelItem"
@@ -24,8 +25,7 @@ def _taken(job: Column, c: Column) -> Column:
     name, arg, phase = c["command"], c["arg"], c["phase"]
     given = F.coalesce(arg, F.lit("")) != ""
     number = arg.try_cast("int")
-    tagged = (name == ADD_TAG) & given & ~F.array_contains(job["tags"], F.coalesce(arg, F.lit("")))
-    tags = F.when(tagged, F.array_append(job["tags"], arg)).otherwise(job["tags"])
+    tags = F.when((name == ADD_TAG) & given, add_if_absent(job["tags"], arg)).otherwise(job["tags"])
     moves = (name == SET_OUT_DIR) & (phase != POST_ENCODE) & given
     path = F.when(moves, F.concat(F.regexp_replace(arg, r"\\+$", ""), F.lit("\\"), base_name(job["dst_path"]))).otherwise(job["dst_path"])
     ranked = (name == SET_PRIORITY) & (phase == ON_ADD) & F.coalesce(number.between(1, 5), F.lit(False))
