@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelmark.operators import hooks, texts
-from reelmark.sources import storage
-from reelmark.sources.tables import table
+from reelmark.operators import hooks, series, texts
+from reelmark.plans.frames import _SECTIONS
+from reelmark.sources import formats, storage
+from reelmark.sources.tables import frame_scores, table
 from reelmark.streaming import updates
 
 
@@ -61,6 +62,27 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(entries, "name", "left").select("name", "length", F.coalesce(F.col("own") == F.col("digest"), F.lit(False)).alias("same"))
 
 
+def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of documents appended to a manifest in two goes, as a data source, and read back by ranges of bytes."""
+    formats.register(spark)
+    folder = storage.shared_folder(spark)
+    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id is not null")
+    rows = docs.select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.concat(F.sha2("text", 256), F.sha2("text", 256)).alias("digest"))
+    for k in range(2):
+        rows.filter(F.pmod("doc_id", F.lit(2)) == k).select("name", "digest").write.format("hash_manifest").mode("append").save(folder)
+    return spark.read.format("hash_manifest").option("rangeBytes", 1 << 16).load(folder).select("name", "digest")
+
+
+def section_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of all series as a list of lines, written and read back as a data source."""
+    formats.register(spark)
+    folder = storage.shared_folder(spark)
+    found = series.sections(series.frame_labels(frame_scores(spark, sf_dir)))
+    ends = F.array(*[F.struct(F.col(f"{x}_best").alias("best"), F.lit(x == "s").alias("is_start"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end")) for x in "se"])
+    found.select(F.explode(ends).alias("e")).select("e.*").write.format("section_list").mode("append").save(folder)
+    return spark.read.format("section_list").load(folder).groupBy("is_start", "start", "end", "best").agg(F.count("*").alias("lines"))
+
+
 def glyph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glyph map written as lines, with what is no entry among them, and read back: the first entry of a glyph counts."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.md5((F.col("p_partkey") % 300).cast("string"))).alias("glyph"), "p_name")
@@ -129,7 +151,7 @@ def hook_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("job", F.explode("replies").alias("r")).select("job", "r.seq", "r.reply")
 
 
-QUERIES = {f.__name__: f for f in (folder_scan, drop_expansion, xml_log, file_manifest, glyph_file, candidate_dump, comment_packets, folder_changes, hook_results, hook_replies)}
+QUERIES = {f.__name__: f for f in (folder_scan, drop_expansion, xml_log, file_manifest, manifest_source, section_source, glyph_file, candidate_dump, comment_packets, folder_changes, hook_results, hook_replies)}
 
 _LINES = "lines AS (SELECT event_type, concat_ws(',', event_id, user_id, props) AS line FROM events WHERE event_type IS NOT NULL)"
 _COMMANDS = r"""commands AS (
@@ -145,6 +167,9 @@ SELECT concat(event_type, '.TS') AS name, length FROM sizes UNION ALL SELECT con
     "drop_expansion": f"WITH {_LINES} SELECT count(DISTINCT event_type) + 1 AS dropped, count(DISTINCT event_type) + 1 AS known, concat(min(event_type), '.TS') AS first FROM lines",
     "xml_log": "SELECT o_orderstatus, o_orderpriority, count(*) AS items, sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY ALL",
     "file_manifest": f"WITH {_LINES} SELECT concat(event_type, '.TS') AS name, sum(strlen(line) + 1)::BIGINT AS length, true AS same FROM lines GROUP BY event_type",
+    "manifest_source": "SELECT concat('doc ', doc_id) AS name, concat(sha256(text), sha256(text)) AS digest FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL",
+    "section_source": f"""WITH {_SECTIONS} SELECT is_start, start, "end", best, count(*) AS lines FROM (
+  SELECT true AS is_start, s_start AS start, s_end AS "end", s_best AS best FROM sections UNION ALL SELECT false, e_start, e_end, e_best FROM sections) GROUP BY ALL""",
     "glyph_file": """SELECT upper(md5(cast(p_partkey % 300 AS VARCHAR))) AS glyph, arg_min(p_name, p_partkey) AS text FROM part GROUP BY 1""",
     "candidate_dump": "SELECT (l_suppkey % 8)::INTEGER AS logo, count(*) AS frames, sum(l_orderkey)::BIGINT AS keys, round(sum(l_discount), 4) AS score FROM lineitem GROUP BY 1",
     "comment_packets": """WITH p AS (
