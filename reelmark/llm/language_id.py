@@ -7,7 +7,8 @@ per language, and the discounts' weights in a sorted array of histories; texts a
 
 The language of least cross-entropy per character is predicted. A prediction is accepted if that entropy lies no further above the
 language's mean than those of nearly all calibration texts that are told as their language do, with a margin and allowing for the spread
-of short texts; a few outliers among these don't widen it.
+of short texts; a few outliers among these don't widen it, and a least margin lets texts pass that are spelt oddly or hold some of another
+language.
 
 Models are fitted on about FIT_DOCUMENTS different texts a language, chosen by a hash of doc_id and text (a parameter), a fifth of them for
 calibration; prediction reads every text whole. Models are sent to all executors; beyond MODEL_BYTES, which takes hundreds of languages, an
@@ -43,7 +44,7 @@ BROADCAST_LANGUAGES = 10_000
 #: How sharply differences of entropy (bits a character) turn into the score.
 SHARPNESS = 8.0
 #: The calibration excess is that of this part of the texts, the least one at that; and the margin on it.
-CALIBRATION_SHARE, LEAST_EXCESS, MARGIN = 0.995, 4.0, 1.5
+CALIBRATION_SHARE, LEAST_EXCESS, MARGIN = 0.995, 12.0, 1.5
 #: Texts shorter than this may deviate more, as the square root of their length.
 STEADY_LENGTH = 400
 
