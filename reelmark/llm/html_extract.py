@@ -78,10 +78,10 @@ _WEAK_WORDS = frozenset(
 )
 # Words of names that only say where or how a box stands, or what kind of box it is.
 _BOX_WORDS = frozenset(
-    "area bar base block body bottom box button card center child col column container content cta depth desktop element even fixed flex floating foot global google grid group head holder icon inline "
-    "inner item items label large layer leaderboard left level line link links list main message mid middle mobile mpu msg native new odd outer page panel parent place placeholder policy position post "
-    "primary reader readers rectangle responsive right row secondary section side site skyscraper slot small space spot static sticky strip sub tertiary thread toggle top unit user users "
-    "view warning wide wrap wrapper zone".split()
+    "accept area bar base block body bottom box button buttons card center child close col column container content cta depth desktop element even fixed flex floating foot form forms frame global google "
+    "grid group head holder icon info inline inner item items label large law layer leaderboard left level line link links list main message mid middle mobile mpu msg native new odd outer page panel parent "
+    "place placeholder policy position post primary reader readers rectangle responsive right row secondary section side site skyscraper slot small space spot static sticky strip sub tertiary text thread "
+    "toggle top unit user users view warning wide wrap wrapper x zone".split()
 )
 _ADVERT_WORDS = frozenset("ad ads adv advert advertisement adverts adsense adslot outbrain promo promoted sponsored taboola".split())
 _TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd li td th".split())

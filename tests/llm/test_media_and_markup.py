@@ -374,6 +374,13 @@ def test_one_word_of_a_name_loses_no_article():
     assert read('<div class="menu-review"><p>Text of it</p><p><a href="/">a</a></p></div>') == ["Text of it"]
 
 
+def test_names_of_boxes_are_told_from_those_of_texts():
+    aside = "comments-section navbar-fixed-top site-footer cookie-consent-banner newsletter-signup-form ad-300x250 google-ads-1 promo-box breadcrumb-list pagination-links post-navigation comment-42 user-comments adBanner comment-form cookie-law-info"
+    assert {html_extract.Page._named(x, False) for x in aside.split()} == {html_extract.ASIDE}
+    assert {html_extract.Page._named(x, False) for x in "comments-open ad-free menu-review promotion-chess cookie-recipe ad-hoc noticeable-birds".split()} <= {html_extract.HINT, html_extract.CONTENT}
+    assert html_extract.Page._named("notice", True) == html_extract.HINT and html_extract.Page._named("ad", True) == html_extract.ASIDE
+
+
 def test_forms_that_hold_the_page_are_opened():
     read = lambda source: html_extract.content(html_extract.Page(source), set())
     assert read('<form id="aspnet"><nav>Menu</nav><div><p>All of the body lies in here</p></div><label>Mail</label><input><button>Send</button></form>') == ["All of the body lies in here"]
