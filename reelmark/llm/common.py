@@ -5,6 +5,8 @@ Everything here works on one Arrow batch inside a task; Spark partitions and shu
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from reelmark.sources.storage import shared_folder, stored
 
-__all__ = ["Hasher", "distinct", "extended", "mixed", "runs", "segment_hashes", "shared_folder", "steps", "stored", "table", "text_bytes"]
+__all__ = ["Hasher", "distinct", "extended", "given_back", "mixed", "runs", "segment_hashes", "shared_folder", "steps", "stored", "table", "text_bytes"]
 
 #: Bytes of text that one step of numpy work takes; longer single texts are taken whole, alone.
 STEP_BYTES = 1 << 19
@@ -137,5 +139,14 @@ def extended(schema: StructType, added: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(added).fields])
 
 
+def given_back() -> None:
+    """Hands memory that a fit on the driver no longer uses back to the system, which allocators otherwise keep for themselves."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
