@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.llm import language_id, mixing, near_dedup, packing, quality, queries
-from reelmark.llm.common import shared_folder, table
+from reelmark.llm.common import given_back, shared_folder, table
 
 #: The mix takes this part of the tokens that reach it, each document at most once.
 MIX_SHARE = 0.8
@@ -17,12 +17,16 @@ MIX_SHARE = 0.8
 
 def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade reaches the classifier's cut."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("quality_kept").select(*docs.columns)
+    kept = quality.classify(docs, table(spark, sf_dir, "labels")).filter("quality_kept").select(*docs.columns)
+    given_back()
+    return kept
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fit one of the languages; `lang` becomes the predicted one, by which the mix then weighs them."""
-    return language_id.identify(docs).filter("lang_accepted").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    kept = language_id.identify(docs).filter("lang_accepted").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    given_back()
+    return kept
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
