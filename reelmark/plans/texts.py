@@ -70,7 +70,7 @@ def time_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "start",
         F.size("requests").alias("requests"),
         F.coalesce(F.aggregate("requests", F.lit(0).cast("long"), lambda t, r: t + r["n"]), F.lit(0)).alias("slots"),
-        F.col("requests")[0]["slot"].alias("first_slot"),
+        F.get("requests", F.lit(0))["slot"].alias("first_slot"),
         F.date_format(times.next_hour(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("next_hour"),
         times.paused(mask, F.col("ts")).alias("paused"),
         times.duration_text(F.col("value") * 1000).alias("duration"),

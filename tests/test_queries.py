@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelmark import plans
 from tests.compare import differences
@@ -13,6 +14,14 @@ def test_query_equals_its_sql(name, spark, small):
     assert differences(plans.QUERIES[name], plans.ORACLE_SQL[name], spark, small) == ""
 
 
+def test_events_without_a_slot(spark, tmp_path):
+    """Of no length at the very start of a slot, and ordinary ones."""
+    rows = [(k, "2024-01-01 00:05:00" if k < 6 else "2024-01-01 00:07:03.5", v) for k, v in enumerate((0.0, 0.01, 300.0, 0.0, 0.02, 560.21, 0.0, 0.01, 3.0, None))]
+    events = spark.createDataFrame(rows, "event_id long, ts string, value double").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert differences(plans.QUERIES["time_slots"], plans.ORACLE_SQL["time_slots"], spark, str(tmp_path)) == ""
+
+
 def test_every_sql_has_its_query():
     assert set(plans.ORACLE_SQL) <= set(plans.QUERIES)
 
