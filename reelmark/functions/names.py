@@ -84,8 +84,10 @@ def folded_md5(text: Column) -> Column:
 
 
 def exit_code(code: Column) -> Column:
-    """Small codes in decimal, others as hexadecimal of 32 bits."""
-    return F.when(F.abs(code.cast("long")) < 65536, code.cast("string")).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(code.cast("long").bitwiseAND(0xFFFFFFFF)))))
+    """Small codes in decimal, others as hexadecimal, negative ones of 32 bits; codes beyond 32 bits show all their digits."""
+    whole = code.cast("long")
+    unsigned = F.when(whole < 0, whole + (1 << 32)).otherwise(whole)
+    return F.when(F.abs(whole) < 65536, code.cast("string")).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(unsigned))))
 
 
 def flag_mask(flags: Column) -> Column:

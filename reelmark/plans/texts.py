@@ -28,7 +28,7 @@ def name_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escaped names, suffixes, swapped and folded digests and exit codes of parts."""
     part = table(spark, sf_dir, "part")
     raw = F.concat("p_name", F.lit(":"), "p_brand", F.lit("/\\?<"), "p_type", F.lit('>|*"'))
-    code = (F.col("p_partkey") * 7919 - 70000).cast("int")
+    code = F.col("p_partkey") * 7919 - 70000
     return part.select(
         "p_partkey",
         names.escaped(raw, True).alias("full"),

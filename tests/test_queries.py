@@ -22,6 +22,13 @@ def test_events_without_a_slot(spark, tmp_path):
     assert differences(plans.QUERIES["time_slots"], plans.ORACLE_SQL["time_slots"], spark, str(tmp_path)) == ""
 
 
+def test_codes_of_large_keys(spark, tmp_path):
+    """Codes beyond an int, and beyond 32 bits."""
+    keys = (0, 1, 9, 17, 271186, 271187, 542362, 542363, 7199999, 1 << 40)
+    spark.createDataFrame([(k, f"small {k}", "Brand#1", "ECONOMY", 1, 900.0) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert differences(plans.QUERIES["name_codes"], plans.ORACLE_SQL["name_codes"], spark, str(tmp_path)) == ""
+
+
 def test_every_sql_has_its_query():
     assert set(plans.ORACLE_SQL) <= set(plans.QUERIES)
 
