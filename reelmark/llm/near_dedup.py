@@ -43,6 +43,8 @@ TIE_AGREEMENT = 0.5
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Leaders that a node is verified against before blocks are paired.
 LEADERS = 3
+#: Edges of a graph that one task walks at most (16 MB); larger graphs are shuffled in rounds.
+WALKED_EDGES = 1 << 20
 
 _FACTORS = mixed(np.arange(1, 4 * GROUPS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -111,10 +113,39 @@ def ties(nodes: DataFrame) -> DataFrame:
     return tied.join(own, "a").join(other, "b").select("a", "b", agree.alias("agree")).filter(F.col("agree") >= int(TIE_AGREEMENT * 4 * GROUPS))
 
 
+def least_of_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges a - b, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (apart := root[a] != root[b]).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while ((above := root[root]) != root).any():
+            root = above
+    return nodes, nodes[root]
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """components() of a graph that a task can hold."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch[k].to_numpy(zero_copy_only=False) for k in range(2)] for batch in batches]
+        if parts:
+            nodes, roots = least_of_components(*map(np.concatenate, zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(walk, "node long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), root the least node of its component. Alternates two steps, each cut off from
-    its lineage by a written table: every node hands its larger neighbours, then its smaller ones, to the least of them."""
-    stars = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """(node, root) for every node of the edges (a, b), root the least node of its component; edges should be stored.
+
+    Up to WALKED_EDGES are walked by one task. Beyond that two steps alternate, each cut off from its lineage by a written table: every node
+    hands its larger neighbours, then its smaller ones, to the least of them."""
+    edges = edges.select("a", "b").filter("a != b")
+    if edges.count() <= WALKED_EDGES:
+        return _walked(edges)
+    stars = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = state(stars)
     while before[0]:

@@ -473,6 +473,24 @@ def test_components_of_any_shape(spark):
     assert got == {i: find(i) for i in root}
 
 
+def test_small_graphs_are_walked_in_one_go(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(k * 7919 % 500, (k + 1) * 7919 % 500) for k in range(499)] + [(rng.randint(-900, -1), rng.randint(-900, -1)) for _ in range(500)] + [(1 << 62, 1 << 61)]
+    graph = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    found, stages = [], []
+    for most in (near_dedup.WALKED_EDGES, 10):
+        monkeypatch.setattr(near_dedup, "WALKED_EDGES", most)
+        context.setJobGroup(f"components {most}", "")
+        found.append(sorted(tuple(r) for r in near_dedup.components(graph).select("node", "root").collect()))
+        stages.append(sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"components {most}")))
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(found[0]) > 900
+    assert stages[0] * 5 < stages[1]
+    empty = near_dedup.components(graph.limit(0))
+    assert empty.columns == ["node", "root"] and empty.count() == 0
+
+
 def test_one_of_each_group_stays(spark, odd, empty):
     kept = near_dedup.keep_one(odd.withColumn("node", F.lit("mine")).withColumn("text_key", F.lit(7)))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9] and "node" in kept.columns
