@@ -1,15 +1,17 @@
 """A queue as a stream of two inputs: what happens to jobs, and what is set for services, marks and profiles.
 
 State is kept for shards of jobs, not for single jobs: a shard's jobs lie in one sorted array, and the steps of a batch are applied to all of
-them at once, the first step of each job, then the second, and so on. Settings go to every shard; there are few of them. A setting that
-changes lets a shard look again at all its waiting jobs. Shards are a number of their own (SHARDS), so that a shard's array stays small: take
-about a ten-thousandth of the jobs that are held at a time.
+them at once, the first step of each job, then the second, and so on. Settings go to every shard. A setting that changes lets all waiting jobs
+be looked at again; what comes of it depends on a job's own service, profile and day alone, so the settings of a batch are summed up for those
+(Facts), and a job passes all settings between two of its steps in one look-up. The work grows with steps and settings, not with their
+product; what a task holds grows with the changes of a service's settings in a batch times the days that its jobs have. Shards are a number of
+their own (SHARDS), so that a shard's array stays small: take about a ten-thousandth of the jobs that are held at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ FEED = "seq long, item long, op string, service long, profile long, day long, ch
 _JOB = np.dtype([("item", "i8"), ("state", "i1"), ("reason", "i1"), ("decided", "?"), ("chapter", "?"), ("hash", "?"), ("changes", "i8"), ("service", "i8"), ("profile", "i8"), ("day", "i8"), ("check", "?"), ("needs_hash", "?")])
 _STEPS = {"start": ((QUEUED,), ENCODING), "done": ((ENCODING,), COMPLETE), "fail": ((ENCODING,), FAILED), "cancel": ((PENDING, QUEUED, ENCODING), CANCELED)}
 SETTINGS = ("service", "mark", "profile")
+#: What a job takes from the step that adds it, besides whether it is broken.
+_OWN = ("service", "profile", "day", "check", "needs_hash")
 
 
 class Settings:
@@ -48,18 +52,97 @@ class Settings:
         else:
             self.profiles[key] = [bool(a), not b]
 
-    def facts(self, jobs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each job: its service is known, its mark usable, its profile there, and looks for chapters."""
-        of = lambda table, keys, default: np.array([table.get(int(k), default) for k in keys])
-        known = of(self.services, jobs["service"], False).astype(bool)
-        span = of(self.marks, jobs["service"], [0, -1]).reshape(-1, 2)
-        there = of(self.profiles, jobs["profile"], [False, False]).reshape(-1, 2).astype(bool)
-        return known, (span[:, 0] <= jobs["day"]) & (jobs["day"] <= span[:, 1]), there[:, 0], there[:, 1]
 
+class _Timeline:
+    """What each key is set to as of each epoch. keys: all that are asked for, sorted; held: what they are set to at epoch 0."""
 
-def looked_at(jobs: np.ndarray, settings: Settings) -> np.ndarray:
-    """Jobs that wait or are queued, after it was looked at whether they may start."""
-    known, usable, there, chapter = settings.facts(jobs)
+    def __init__(self, keys: np.ndarray, held: dict[int, object], default: list[int], changed: np.ndarray, epochs: np.ndarray, values: np.ndarray, most: int) -> None:
+        self.keys, self.most = keys, most
+        rank = np.concatenate((np.arange(len(keys)), np.searchsorted(keys, changed)))
+        epoch = np.concatenate((np.zeros(len(keys), np.int64), epochs))
+        first = np.array([np.ravel(held.get(int(k), default)) for k in keys], np.int64).reshape(len(keys), len(default))
+        order = np.lexsort((epoch, rank))
+        self.rank, self.epoch, self.values = rank[order], epoch[order], np.concatenate((first, values))[order]
+        self.codes = self.rank * most + self.epoch
+
+    def place(self, keys: np.ndarray, epochs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.codes, np.searchsorted(self.keys, keys) * self.most + epochs, "right") - 1
+
+    def of(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.rank, (k := np.searchsorted(self.keys, key), k + 1))
+        return self.epoch[a:b], self.values[a:b]
+
+
+class Facts:
+    """What is set as of each epoch of a batch, an epoch being the number of settings before it.
+
+    rows: the settings in their order; jobs: all whose services, profiles and days may be asked for. Of each service and day, with chapters
+    or without, only the epochs are kept at which another reason holds jobs back.
+    """
+
+    def __init__(self, settings: Settings, rows: pd.DataFrame, jobs: np.ndarray) -> None:
+        self.most = len(rows) + 2
+        op, key, values, epochs = rows["op"].to_numpy(str), rows["item"].to_numpy(np.int64), rows[["a", "b"]].astype(np.int64).to_numpy(), np.arange(1, len(rows) + 1)
+
+        def timeline(name: str, wanted: np.ndarray, held: dict[int, object], default: list[int], shape: Callable[[np.ndarray], np.ndarray]) -> _Timeline:
+            own = op == name
+            return _Timeline(np.unique(np.concatenate((wanted, key[own]))), held, default, key[own], epochs[own], shape(values[own]), self.most)
+
+        self.services = timeline("service", jobs["service"], settings.services, [0], lambda v: (v[:, :1] != 0).astype(np.int64))
+        self.marks = timeline("mark", jobs["service"], settings.marks, [0, -1], lambda v: v)
+        self.profiles = timeline("profile", jobs["profile"], settings.profiles, [0, 0], lambda v: np.stack((v[:, 0] != 0, v[:, 1] == 0), 1).astype(np.int64))
+        there = np.where(self.profiles.values[:, 0] != 0, np.arange(len(self.profiles.rank)), len(self.profiles.rank))
+        self.next_there = np.minimum.accumulate(there[::-1])[::-1]
+        self._sum_up(jobs)
+
+    def _sum_up(self, jobs: np.ndarray) -> None:
+        self.days = np.unique(jobs["day"])
+        self.pairs = np.unique(self._pair(jobs))
+        parts, service = [], None
+        for k, pair in enumerate(self.pairs.tolist()):
+            if service != (service := self.services.keys[pair // len(self.days)]):
+                (at, known), (mark_at, mark) = self.services.of(service), self.marks.of(service)
+                epoch = np.union1d(at, mark_at)
+                known = known[np.searchsorted(at, epoch, "right") - 1, 0] != 0
+                first, last = mark[np.searchsorted(mark_at, epoch, "right") - 1].T
+            day = self.days[pair % len(self.days)]
+            for chapter in range(2):
+                reason = np.where(~known, 2, np.where((first <= day) & (day <= last), 0, 3 * chapter))
+                new = np.concatenate(([True], reason[1:] != reason[:-1]))
+                parts.append(((2 * k + chapter) * self.most + epoch[new], reason[new]))
+        self.codes, self.reasons = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (list(zip(*parts, strict=True)) or [(), ()]))
+        free = self.reasons == 0
+        self.flips = np.cumsum(np.concatenate(([False], free[1:] != free[:-1]))[: len(free)])
+        self.last_held = np.maximum.accumulate(np.where(free, -1, np.arange(len(free)))) if len(free) else self.flips
+
+    def _pair(self, jobs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.services.keys, jobs["service"]) * len(self.days) + np.searchsorted(self.days, jobs["day"])
+
+    def of(self, jobs: np.ndarray, epochs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each job as of its epoch: its service is known, its mark usable, its profile there, and looks for chapters."""
+        known = self.services.values[self.services.place(jobs["service"], epochs), 0] != 0
+        first, last = self.marks.values[self.marks.place(jobs["service"], epochs)].T
+        there, chapter = (self.profiles.values[self.profiles.place(jobs["profile"], epochs)] != 0).T
+        return known, (first <= jobs["day"]) & (jobs["day"] <= last), there, chapter
+
+    def there_from(self, jobs: np.ndarray, epochs: np.ndarray) -> np.ndarray:
+        """The first epoch, this one or later, at which a job's profile is there; beyond all epochs if none."""
+        place = self.profiles.place(jobs["profile"], epochs)
+        then = self.next_there[place]
+        at = np.minimum(then, len(self.next_there) - 1)
+        return np.where((then > at) | (self.profiles.rank[at] != self.profiles.rank[place]), self.most, np.maximum(self.profiles.epoch[at], epochs))
+
+    def passed(self, jobs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of decided jobs: how often they are held back or let go after epoch start up to stop, the reason that holds them then, and the last reason that held them, start included; 0 for none."""
+        code = (2 * np.searchsorted(self.pairs, self._pair(jobs)) + jobs["chapter"]) * self.most
+        a, b = (np.searchsorted(self.codes, code + x, "right") - 1 for x in (start, stop))
+        last = self.last_held[b]
+        return self.flips[b] - self.flips[a], self.reasons[b], np.where(last >= a, self.reasons[last], 0)
+
+
+def looked_at(jobs: np.ndarray, facts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Jobs that wait or are queued, after it was looked at whether they may start. facts: see Facts.of()."""
+    known, usable, there, chapter = facts
     waiting = np.isin(jobs["state"], (PENDING, QUEUED))
     ready = waiting & jobs["check"]
     rest = waiting & ~jobs["check"]
@@ -79,13 +162,35 @@ def looked_at(jobs: np.ndarray, settings: Settings) -> np.ndarray:
     return jobs
 
 
-def stepped(jobs: np.ndarray, steps: pd.DataFrame, settings: Settings) -> np.ndarray:
-    """One step of each of these jobs."""
-    before, op = jobs["state"].copy(), steps["op"].to_numpy(str)
+def waited(jobs: np.ndarray, facts: Facts, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Jobs after all settings from epoch start to stop: those that wait were looked at as of start and are as if looked at after each setting."""
+    waiting = np.isin(jobs["state"], (PENDING, QUEUED)) & ~jobs["check"] & (start < stop)
+    at = np.flatnonzero(waiting & ~jobs["decided"])
+    then = facts.there_from(jobs[at], start[at])
+    at, then = at[then <= stop[at]], then[then <= stop[at]]
+    own = looked_at(jobs[at], facts.of(jobs[at], then))
+    own["changes"] += own["state"] != jobs["state"][at]
+    jobs[at] = own
+    start = start.copy()
+    start[at] = then
+    at = np.flatnonzero(waiting & jobs["decided"] & (jobs["service"] != -1))
+    own = jobs[at]
+    flips, now, last = facts.passed(own, start[at], stop[at])
+    hashed = own["hash"] | ~own["needs_hash"]
+    own["state"] = np.where(hashed & (now == 0), QUEUED, PENDING)
+    own["reason"] = np.where(hashed, now, np.where(last > 0, last, own["reason"]))
+    own["changes"] += np.where(hashed, flips, 0)
+    jobs[at] = own
+    return jobs
+
+
+def stepped(jobs: np.ndarray, steps: dict[str, np.ndarray], facts: Facts, epochs: np.ndarray) -> np.ndarray:
+    """One step of each of these jobs, as of its epoch."""
+    before, op = jobs["state"].copy(), steps["op"]
     new = (op == "add") & (before == GONE)
-    for name in ("service", "profile", "day", "check", "needs_hash"):
-        jobs[name] = np.where(new, steps[name].fillna(0).to_numpy(), jobs[name])
-    jobs["state"] = np.where(new, np.where(steps["broken"].fillna(False).to_numpy(bool), PREFAILED, PENDING), before)
+    for name in _OWN:
+        jobs[name] = np.where(new, steps[name], jobs[name])
+    jobs["state"] = np.where(new, np.where(steps["broken"], PREFAILED, PENDING), before)
     again = (op == "retry") & ~np.isin(before, (GONE, ENCODING, PREFAILED))
     jobs["state"][again] = PENDING
     for name in ("decided", "hash", "reason"):
@@ -96,7 +201,7 @@ def stepped(jobs: np.ndarray, steps: pd.DataFrame, settings: Settings) -> np.nda
     jobs["hash"] |= (op == "hash") & (before != GONE)
     jobs["state"][op == "remove"] = GONE
     looked = new | again | (op == "hash")
-    jobs[looked] = looked_at(jobs[looked], settings)
+    jobs[looked] = looked_at(jobs[looked], facts.of(jobs[looked], epochs[looked]))
     jobs["changes"] += jobs["state"] != before
     return jobs
 
@@ -105,26 +210,30 @@ def advanced(jobs: np.ndarray, settings: Settings, batch: pd.DataFrame) -> np.nd
     """All jobs of a shard after a batch of its steps and settings, in the order of seq."""
     batch = batch.sort_values("seq", kind="stable", ignore_index=True)
     is_setting = batch["op"].isin(SETTINGS).to_numpy(bool)
-    fresh = np.setdiff1d(batch["item"][~is_setting].dropna().to_numpy(np.int64), jobs["item"])
+    is_step = ~is_setting & batch["item"].notna().to_numpy(bool)
+    rows, own = batch[is_setting], batch[is_step]
+    items, epochs = own["item"].to_numpy(np.int64), np.cumsum(is_setting)[is_step]
+    steps = {name: own[name].fillna(False if name == "broken" else 0).to_numpy(bool if name == "broken" else _JOB[name]) for name in (*_OWN, "broken")} | {"op": own["op"].to_numpy(str)}
+    fresh = np.setdiff1d(items, jobs["item"])
     added = np.zeros(len(fresh), _JOB)
     added["item"] = fresh
     jobs = np.concatenate((jobs, added))
     jobs = jobs[np.argsort(jobs["item"])]
-    cuts = [-1, *np.flatnonzero(is_setting).tolist(), len(batch)]
-    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-        part = batch.iloc[start + 1 : stop]
-        turn = part.groupby("item").cumcount()
-        for k in range(int(turn.max()) + 1 if len(part) else 0):
-            own = part[turn == k]
-            at = np.searchsorted(jobs["item"], own["item"].to_numpy(np.int64))
-            jobs[at] = stepped(jobs[at], own, settings)
-        if stop < len(batch):
-            row = batch.iloc[stop]
-            settings.change(row["op"], int(row["item"]), int(row["a"]), int(row["b"]))
-            before = jobs["state"].copy()
-            jobs = looked_at(jobs, settings)
-            jobs["changes"] += jobs["state"] != before
-    return jobs
+    asked = np.zeros(int((steps["op"] == "add").sum()), _JOB)
+    for name in ("service", "profile", "day"):
+        asked[name] = steps[name][steps["op"] == "add"]
+    facts = Facts(settings, rows, np.concatenate((jobs, asked)))
+    turn, at, since = own.groupby("item").cumcount().to_numpy(), np.searchsorted(jobs["item"], items), np.zeros(len(jobs), np.int64)
+    order = np.argsort(turn, kind="stable")
+    cuts = np.flatnonzero(np.diff(turn[order], prepend=-1, append=-1)) if len(order) else [0]
+    for first, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        k = order[first:stop]
+        before = waited(jobs[at[k]], facts, since[at[k]], epochs[k])
+        jobs[at[k]] = stepped(before, {name: x[k] for name, x in steps.items()}, facts, epochs[k])
+        since[at[k]] = epochs[k]
+    for row in rows.drop_duplicates(["op", "item"], keep="last").itertuples():
+        settings.change(row.op, int(row.item), int(row.a), int(row.b))
+    return waited(jobs, facts, since, np.full(len(jobs), len(rows)))
 
 
 def queue_states(feed: DataFrame, shards: int = SHARDS) -> DataFrame:

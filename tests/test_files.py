@@ -139,6 +139,91 @@ def test_waiting_jobs_are_looked_at_again_when_settings_change(spark, tmp_path):
     assert seen[5][-1][1] == "Canceled" and ("Queue" in [s for _, s, _ in seen[5]])
 
 
+def plain_queue(rows):
+    """Each job by itself: [state, reason, changes] by item. rows: as in FEED, in their order."""
+    services, marks, profiles, held, out = {}, {}, {}, {}, {}
+
+    def look(item):
+        own = out[item]
+        if own[0] not in ("LogoPending", "Queue"):
+            return
+        j = held[item]
+        there, chapter = profiles.get(j["profile"], (False, False))
+        if not j["check"]:
+            if not j["decided"] and there:
+                j["decided"], j["chapter"] = True, chapter
+            if not j["decided"]:
+                return
+            first, last = marks.get(j["service"], (0, -1))
+            why = 1 if j["service"] == -1 else 2 if not services.get(j["service"]) else 3 if j["chapter"] and not first <= j["day"] <= last else None
+            if why or j["needs"] and not j["hash"]:
+                own[0], own[1] = "LogoPending", why or own[1]
+                return
+        own[:2] = ["Queue", 0] if own[0] == "LogoPending" else own[:2]
+
+    def counted(item, change):
+        before = out[item][0]
+        change()
+        out[item][2] += out[item][0] != before
+
+    for _, item, op, service, profile, day, check, needs, broken, a, b in rows:
+        if op in jobs.SETTINGS:
+            {"service": services, "mark": marks, "profile": profiles}[op][item] = {"service": bool(a), "mark": (a, b), "profile": (bool(a), not b)}[op]
+            for other in out:
+                counted(other, lambda other=other: look(other))
+            continue
+        own = out.setdefault(item, ["", 0, 0])
+
+        def step(item=item, op=op, own=own, job=(service, profile, day, check, needs), broken=broken):
+            was = own[0]
+            if op == "add" and was == "":
+                held[item] = dict(zip(("service", "profile", "day", "check", "needs"), job, strict=True), decided=False, chapter=False, hash=False)
+                own[:2] = ["PreFailed" if broken else "LogoPending", 0]
+            elif op == "retry" and was not in ("", "Encoding", "PreFailed"):
+                own[0], held[item]["decided"] = "LogoPending", False
+            elif op == "hash" and was:
+                held[item]["hash"] = True
+            elif (op, was) in (("start", "Queue"), ("done", "Encoding"), ("fail", "Encoding")) or op == "cancel" and was in ("LogoPending", "Queue", "Encoding"):
+                own[0] = {"start": "Encoding", "done": "Complete", "fail": "Failed", "cancel": "Canceled"}[op]
+            elif op == "remove":
+                own[0] = ""
+            if item in held and (op in ("retry", "hash") or op == "add" and was == ""):
+                look(item)
+
+        counted(item, step)
+    return out
+
+
+def test_a_queue_passes_many_settings_at_once(monkeypatch):
+    """As if every setting let every waiting job be looked at; jobs that are looked at grow with steps, not with steps times settings."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    looked, plain = [], jobs.looked_at
+    monkeypatch.setattr(jobs, "looked_at", lambda own, facts: looked.append(len(own)) or plain(own, facts))
+    names = [c.split()[0] for c in jobs.FEED.split(", ")]
+    ops = ("add", "add", "start", "done", "fail", "cancel", "retry", "hash", "remove")
+    for seed, share in enumerate((0.1, 0.5, 0.9, 0.0, 1.0, 0.7)):
+        rng, rows = random.Random(seed), []
+        for seq in range(900):
+            item, kind, j = rng.randint(0, 29), rng.choice(jobs.SETTINGS), rng.randint(0, 99)
+            setting = (rng.randint(-1, 3), kind, None, None, None, None, None, None, rng.randint(0, 3) if kind == "mark" else rng.randint(0, 1), rng.randint(0, 3) if kind == "mark" else rng.randint(0, 1))
+            rows.append((seq, *setting) if rng.random() < share else (seq, item, rng.choice(ops), j % 6 - 1, j % 3, j % 4, j % 11 == 0, j % 3 == 0, j % 13 == 0, None, None))
+        settings, held = jobs.Settings(), np.zeros(0, jobs._JOB)
+        looked.clear()
+        for a in range(0, 900, 300):
+            held = jobs.advanced(held.copy(), jobs.Settings(settings.text()) if a else settings, pd.DataFrame(rows[a : a + 300], columns=names).sample(frac=1, random_state=seed))
+            for r in rows[a : a + 300]:
+                if r[2] in jobs.SETTINGS:
+                    settings.change(r[2], r[1], r[-2], r[-1])
+        got = {int(r["item"]): [jobs.STATES[r["state"]], int(r["reason"]), int(r["changes"])] for r in held}
+        assert got == plain_queue(rows)
+        steps = sum(r[2] not in jobs.SETTINGS for r in rows)
+        assert sum(looked) <= 2 * steps + 3 * len(held)
+
+
 def test_a_key_of_many_steps_is_walked_side_by_side():
     import numpy as np
     import pandas as pd
