@@ -50,7 +50,7 @@ def fades(own: DataFrame, sections: DataFrame | None, fade_length: int = FADE_LE
     if sections is None:
         return found
     fixed = series.clamped_constancy(series.section_labels(own.select("series_id", "n"), sections), fade_length >> 1)
-    both = found.join(fixed.select("series_id", "n", "fixed"), ["series_id", "n"])
+    both = found.join(fixed.select("series_id", "n", "fixed").hint("merge"), ["series_id", "n"])
     return both.select("series_id", "n", *[F.coalesce(F.col("fixed").cast("double"), F.col(c)).alias(c) for c in ("fade_top", "fade_bottom")])
 
 

@@ -17,6 +17,15 @@ OFF, UNKNOWN, ON = 0, 1, 2
 AVERAGE_SECONDS, MEDIAN_SECONDS = 1.0, 0.5
 
 
+#: Frames that a task takes on average. More frames are dealt to more tasks, so what a task holds doesn't grow with the table.
+TASK_FRAMES = 1 << 17
+
+
+def tasks_of(frames: DataFrame) -> int:
+    """As many tasks as shuffles have, more where frames need them."""
+    return max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frames.count() // TASK_FRAMES))
+
+
 def half_window(fps: int, seconds: float) -> int:
     return int(fps * seconds / 2 + 0.5)
 
@@ -103,7 +112,8 @@ def sections(labels: DataFrame) -> DataFrame:
     whole = running.withColumn("positive_behind", F.coalesce(F.lead("next_positive").over(by), F.col("frames")))
     whole = whole.withColumn("off_positive", behind).withColumn("first_positive", F.first("next_positive").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("positive_behind")
     frames = stored(whole)
-    changed = frames.withColumn("was", F.coalesce(F.lag("state").over(by), F.lit(OFF)))
+    tasks = tasks_of(frames)
+    changed = frames.repartition(tasks, "series_id").withColumn("was", F.coalesce(F.lag("state").over(by), F.lit(OFF)))
     opens, closes = (F.col("state") == ON) & (F.col("was") != ON), (F.col("state") == OFF) & (F.col("was") == ON)
     before = lambda column, none: F.coalesce(F.lag(F.when(closes, F.col(column))).over(by), F.col(none) if none else F.lit(0))
     # Edges open and close in turn: what is known where an interval closes is the next edge's.
@@ -117,7 +127,9 @@ def sections(labels: DataFrame) -> DataFrame:
     e_end = F.when(F.col("close") == F.col("frames"), F.col("frames")).when(F.col("close_score") <= -THRESHOLD, back).otherwise(F.coalesce("close_next_off", F.col("frames")))
     closed = begun.withColumn("e_end", e_end).filter("s_end != e_end").select("series_id", F.col("n").alias("opened"), "after", "after_positive", "s_end", "e_end")
     # Both ends of an interval are looked up in one go.
-    ends = closed.select("*", F.explode(F.array("s_end", "e_end")).alias("n")).join(frames.select("series_id", "n", "last_off", "off_positive", "last_high", "last_positive"), ["series_id", "n"])
+    # Stored frames take far less room than in a task's memory, so they are never broadcast.
+    looked_up = frames.select("series_id", "n", "last_off", "off_positive", "last_high", "last_positive").repartition(tasks, "series_id", "n").hint("merge")
+    ends = closed.select("*", F.explode(F.array("s_end", "e_end")).alias("n")).repartition(tasks, "series_id", "n").join(looked_up, ["series_id", "n"])
     at = lambda place, column: F.max(F.when(F.col("n") == F.col(place), F.col(column))).alias(column)
     ending = ends.groupBy("series_id", "opened", "after", "after_positive", "s_end", "e_end").agg(at("s_end", "last_off"), at("s_end", "off_positive"), at("e_end", "last_high"), at("e_end", "last_positive"))
     went_off = F.col("last_off") >= F.col("after")
@@ -139,18 +151,20 @@ def sections(labels: DataFrame) -> DataFrame:
 def section_labels(frames: DataFrame, found: DataFrame) -> DataFrame:
     """(series_id, n, label) for frames (series_id, n): 1 while a change may go on, 2 between both changes, 0 elsewhere; later intervals and later parts of one win.
 
-    Each interval covers three ranges, opened out into frames; the latest write to a frame counts.
+    Each interval covers three ranges, opened out into frames; the latest write to a frame counts. Ranges are written once, and opened out in
+    as many tasks as the frames need.
     """
+    tasks = tasks_of(frames)
     parts = F.array(
         F.struct(F.col("s_start").alias("a"), F.col("s_end").alias("b"), F.lit(1).alias("label")),
         F.struct(F.col("s_end").alias("a"), F.col("e_start").alias("b"), F.lit(2).alias("label")),
         F.struct((F.col("e_start") + 1).alias("a"), F.col("e_end").alias("b"), F.lit(1).alias("label")),
     )
     number = F.row_number().over(Window.partitionBy("series_id").orderBy("s_start", "s_end"))
-    ranges = found.withColumn("number", number).select("series_id", "number", F.posexplode(parts).alias("step", "part"))
+    ranges = stored(found.withColumn("number", number).select("series_id", "number", F.posexplode(parts).alias("step", "part")))
     writes = ranges.filter("part.a <= part.b").select("series_id", F.explode(F.sequence("part.a", "part.b")).alias("n"), "part.label", (F.col("number") * 3 + F.col("step")).alias("turn"))
-    latest = writes.groupBy("series_id", "n").agg(F.max_by("label", "turn").alias("label"))
-    return frames.select("series_id", "n").join(latest, ["series_id", "n"], "left").select("series_id", "n", F.coalesce("label", F.lit(0)).alias("label"))
+    latest = writes.repartition(tasks, "series_id", "n").groupBy("series_id", "n").agg(F.max_by("label", "turn").alias("label"))
+    return frames.select("series_id", "n").repartition(tasks, "series_id", "n").join(latest.hint("merge"), ["series_id", "n"], "left").select("series_id", "n", F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def clamped_constancy(labels: DataFrame, half: int) -> DataFrame:
@@ -189,8 +203,8 @@ def fades(frames: DataFrame, analysis: DataFrame, kinds: DataFrame) -> DataFrame
     frames: (series_id, n); kinds: (series_id, n, abrupt), see fade_kind().
     """
     placed = frames.select("series_id", "n", F.shiftright("n", 3).alias("row"), (F.col("n").bitwiseAND(SLOTS - 1) + 1).cast("int").alias("slot"))
-    found = placed.join(analysis, ["series_id", "row"]).select("series_id", "n", F.element_at("slots", F.col("slot")).alias("s"))
-    both = found.join(kinds.select("series_id", "n", "abrupt"), ["series_id", "n"])
+    found = placed.join(analysis.hint("merge"), ["series_id", "row"]).select("series_id", "n", F.element_at("slots", F.col("slot")).alias("s"))
+    both = found.join(kinds.select("series_id", "n", "abrupt").hint("merge"), ["series_id", "n"])
     of = lambda own: (F.when(F.col("abrupt"), F.col(f"s.{own}")).otherwise(F.col("s.level")) / 10).alias(f"fade_{own}")
     return both.select("series_id", "n", of("top"), of("bottom"))
 

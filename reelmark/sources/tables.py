@@ -17,7 +17,10 @@ def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
+    from reelmark.operators.series import tasks_of
+
     events = table(spark, sf_dir, "events").filter(F.col("user_id").isNotNull())
+    events = events.repartition(tasks_of(events), "user_id")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     raw = (F.coalesce("value", F.lit(50.0)) - F.lit(50.0)) / F.lit(50.0)
     return events.select(

@@ -38,3 +38,16 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).limit(5).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_frames_are_dealt_by_their_number_and_never_broadcast(spark, small, monkeypatch):
+    """Stored frames take little room on disk, so Spark would broadcast them whole."""
+    from reelmark.operators import series
+
+    monkeypatch.setattr(series, "TASK_FRAMES", 60)
+    query = plans.QUERIES["section_to_frames"]
+    assert "Broadcast" not in query(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plans.QUERIES["logo_sections"](spark, small)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
+    frames = spark.range(1000)
+    assert series.tasks_of(frames) == 17 and series.tasks_of(frames.limit(10)) == 4
+    assert differences(query, plans.ORACLE_SQL["section_to_frames"], spark, small) == ""
