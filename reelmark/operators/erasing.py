@@ -28,7 +28,7 @@ def analysis(frames: DataFrame, found: DataFrame, shape: scan.Shape, ratio: floa
     for name, (mark, rows) in kinds.items():
         made = marks.prepared(mark, width, rows, ratio).filter("black <> 0")
         # One row a series: what tells its mark.
-        joined = joined.join(made.select("series_id", F.struct("a", "b", "points", "black").alias(f"{name}_mark")), "series_id")
+        joined = joined.join(marks.to_frames(found, made.select("series_id", F.struct("a", "b", "points", "black").alias(f"{name}_mark"))), "series_id")
     pictures = {"frame": pixels.smoothed_down(F.col("py"), width, height, 2)} | {name: pixels.field_of(F.col("py"), width, bottom) for bottom, name in enumerate(("top", "bottom"))}
     of = lambda name: F.col(f"{name}_mark")
     left = [marks.rests(pictures[name], of(name)["a"], of(name)["b"], of(name)["points"], of(name)["black"], width, FADES).alias(name) for name in kinds]
@@ -64,6 +64,6 @@ def erased(frames: DataFrame, found: DataFrame, fade: DataFrame, shape: scan.Sha
         amount = lambda i: F.when(F.floor(i / width) % 2 == first, F.col("fade_top")).otherwise(F.col("fade_bottom"))
         return F.transform(lines, lambda p, i: pixels.restored(p["v"], p["a"], p["b"], marks.MOST, amount(i)))
 
-    met = frames.join(fade, ["series_id", "n"]).join(found, "series_id")
+    met = frames.join(fade.hint("merge"), ["series_id", "n"]).join(marks.to_frames(found, found), "series_id")
     own = {f"p{name}": plane(name, width) for name, (width, _) in shape.planes().items()}
     return met.select(*[own[c].alias(c) if c in own else frames[c] for c in frames.columns], "fade_top", "fade_bottom")

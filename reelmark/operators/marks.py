@@ -21,6 +21,13 @@ LEVELS, STEP, MIDDLE, BLACK = 32, 8, 16, 2
 WEAK = 0.2
 #: Fades of a tenth each that a frame is tried with, and the least one of a frame that shows the mark.
 FADES, SHOWN = 20, 9
+#: So many marks are broadcast to their frames; more meet them by shuffling, and then one key's frames are in one task.
+BROADCAST_MARKS = 64
+
+
+def to_frames(marks: DataFrame, made: DataFrame) -> DataFrame:
+    """made, a row for each of the marks, as the side of a join with their frames."""
+    return F.broadcast(made) if marks.count() <= BROADCAST_MARKS else made
 
 
 def covered(level: Column, a: Column, b: Column) -> Column:
@@ -117,7 +124,7 @@ def evaluated(frames: DataFrame, marks: DataFrame, keys: list[str], width: int,
     rest = [c for c in frames.columns if c != "v"]
     level = pixels.smoothed_down(F.col("v"), width, height, 2)
     shown = strengths(level, F.col("a"), F.col("b"), F.col("points"), width, F.array(F.lit(0.0), F.lit(1.0)))
-    fits = frames.join(made, keys).select(*rest, "mark", "black", shown.alias("s"))
+    fits = frames.join(to_frames(marks, made), keys).select(*rest, "mark", "black", shown.alias("s"))
     own = fits.select(*rest, "mark", F.try_divide(F.get("s", 0), "black").alias("corr0"), F.try_divide(F.get("s", 1), "black").alias("corr1"))
     return own.unionByName(frames.select(*rest).join(odd, keys).select(*rest, "mark", F.lit(0.0).alias("corr0"), F.lit(-1.0).alias("corr1")))
 
@@ -133,7 +140,7 @@ def best_fades(frames: DataFrame, marks: DataFrame, keys: list[str], width: int,
     made = prepared(smoothed(marks, width, height), width, height, ratio).filter("black <> 0")
     level = pixels.smoothed_down(F.col("v"), width, height, 2)
     left = rests(level, F.col("a"), F.col("b"), F.col("points"), F.col("black"), width, FADES)
-    return frames.join(made, keys).select(*frames.columns, bound(left, first_minimum).alias("fade"))
+    return frames.join(to_frames(marks, made), keys).select(*frames.columns, bound(left, first_minimum).alias("fade"))
 
 
 def rests(values: Column, a: Column, b: Column, points: Column, black: Column, width: int, fades: int) -> Column:

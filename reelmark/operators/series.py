@@ -21,9 +21,9 @@ AVERAGE_SECONDS, MEDIAN_SECONDS = 1.0, 0.5
 TASK_FRAMES = 1 << 17
 
 
-def tasks_of(frames: DataFrame) -> int:
-    """As many tasks as shuffles have, more where frames need them."""
-    return max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frames.count() // TASK_FRAMES))
+def tasks_of(frames: DataFrame, most: int | None = None) -> int:
+    """As many tasks as shuffles have, more where frames need them: `most` to a task on average, TASK_FRAMES by default."""
+    return max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frames.count() // (most or TASK_FRAMES)))
 
 
 def half_window(fps: int, seconds: float) -> int:

@@ -18,6 +18,8 @@ from reelmark.sources.tables import table
 SHAPE = scan.Shape(8, 12)
 #: Samples of a plain border lie no further apart; what a series' windows take for a second.
 THRESHOLD, RATE = 5, 6
+#: Frames whose planes a task works on.
+TASK_PLANES = 4096
 #: A picture begins here, so that the top field of colour planes has the odd rows.
 IMAGE_Y = 2
 # Of each plane: its width, the inner part that the mark covers, its lines at a pixel, the background, and which component is a pixel's noise.
@@ -41,6 +43,8 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter("embedding is not null and vec_id is not null and label is not null")
     order = Window.partitionBy("series_id").orderBy("vec_id")
     numbered = rows.select((F.col("label") % STATIONS).cast("long").alias("series_id"), "vec_id", "embedding").withColumn("n", (F.row_number().over(order) - 1).cast("long"))
+    # Numbered by series, of which there are few; planes are made in as many tasks as there is work for.
+    numbered = numbered.repartition(series.tasks_of(rows, TASK_PLANES), "series_id", "n")
     c = F.col("n") % 40
 
     def plane(name: str, width: int, height: int, step: int, start: int) -> Column:
@@ -85,7 +89,7 @@ def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def erased_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame with its mark taken off: by how much in each field, and its samples weighed by their places."""
-    frames, found = recordings(spark, sf_dir), _given_mark(spark, sf_dir)
+    frames, found = stored(recordings(spark, sf_dir)), _given_mark(spark, sf_dir)
     own = stored(erasing.levels(erasing.analysis(frames, found, SHAPE)))
     shown = marks.evaluated(frames.select("series_id", "n", F.col("py").alias("v")), scan.luma(found, ["series_id"]).withColumn("mark", F.lit(0)), ["series_id"], _W, _H, erasing.RATIO)
     sections = series.sections(series.frame_labels(shown.select("series_id", "n", "corr0", "corr1"), RATE))

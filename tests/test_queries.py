@@ -51,3 +51,12 @@ def test_frames_are_dealt_by_their_number_and_never_broadcast(spark, small, monk
     frames = spark.range(1000)
     assert series.tasks_of(frames) == 17 and series.tasks_of(frames.limit(10)) == 4
     assert differences(query, plans.ORACLE_SQL["section_to_frames"], spark, small) == ""
+
+
+def test_planes_of_few_recordings_are_worked_on_by_many_tasks(spark, small, monkeypatch):
+    """Recordings are five, so tasks by recording would be five at most."""
+    from reelmark.plans import scan
+
+    monkeypatch.setattr(scan, "TASK_PLANES", 20)
+    frames = scan.recordings(spark, small)
+    assert frames.rdd.getNumPartitions() == -(-frames.count() // 20)
